@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._components import components
+from tidemark.llm._groups import runs
 from tidemark.llm._spark import keep, partitions
 from tidemark.llm._words import MULTIPLIERS, Words, mix, pieces, signed, windows, words
 
@@ -109,30 +110,6 @@ def _bucket_links(ids: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]
     return [(int(ids[i]), int(ids[r])) for i, r in enumerate(label.tolist()) if r != i]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of equal keys of a sorted stream."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [np.asarray(batch.column(k)) for k in keys]
-        cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-        head = tuple(c[0] for c in cols)
-        if held and head != last:
-            yield pa.Table.from_batches(held)
-            held = []
-        bounds = [0, *cut.tolist(), batch.num_rows]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if a and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-        last = tuple(c[-1] for c in cols)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, width)
 
@@ -144,7 +121,7 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _candidate_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs: list[tuple[int, int]] = []
-    for group in _groups(batches, ["bucket", "tile"]):
+    for group in runs(batches, ["bucket", "tile"]):
         if group.num_rows > 1:
             ids = group.column("doc_id").to_numpy()
             order = np.argsort(ids, kind="stable")
@@ -202,7 +179,7 @@ def _confirmed(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tu
 
 def _confirmed_links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["cluster", "tile"]):
+        for group in runs(batches, ["cluster", "tile"]):
             ids, (data, offsets) = group.column("doc_id").to_numpy(), _binary(group.column("shingles"))
             if len(ids) < 2:
                 continue

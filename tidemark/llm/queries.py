@@ -4,18 +4,87 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import mixing, quality, secrets, url_filter
 from tidemark.llm._spark import documents
+from tidemark.llm.extraction import extract_pages
 from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.ngram_lm import score_documents
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.repeats import repeated_passages
+from tidemark.llm.topk import top_inner_products
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir)).drop("row")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_pages(spark, sf_dir))
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(documents(spark, sf_dir))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_pages(spark, sf_dir))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_suffix_array_dedup, op2_minhash_near_dedup, op3_exact_topk, op4_html_extraction, op5_mix_sources,
+        op6_packing, op7_lm_scoring, op8_quality_rules, op9_url_filter, op10_secret_scan,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Exact top-k is brute force in SQL; the others are the operators' own definitions written anew.
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_topk": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+          SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+        ), ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+    "op5_mix_sources": mixing.ORACLE_SQL,
+    "op8_quality_rules": quality.ORACLE_SQL,
+    "op9_url_filter": url_filter.ORACLE_SQL,
+    "op10_secret_scan": secrets.ORACLE_SQL,
+}
