@@ -41,19 +41,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], limit: int) -> Da
     return ranked.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(F.least("most", share * F.col("weight")))).select("key", "source", "source_size", "target")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3) -> DataFrame:
-    """How often each document enters the mixture.
+def _base(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), F.col("source"),
+        word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id"), F.col("text")).alias("hash"),
+    )
 
-    docs: doc_id, source, text. Returns for each row doc_id, size (words), source_size, target (its source's), copies
-    and taken (= copies * size, at most limit times its size). Sources weigh by their place in code point order, null
-    last. Every document enters floor(target / source_size) times, and those below the source's hash threshold once more.
 
-    Null text has size 0 and takes nothing; a null source is a source. Fully repeated rows share a hash and so their
-    fate. Other columns are ignored; an empty table gives an empty result; reruns agree.
-    """
-    base = keep(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), F.col("source"), word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id"), F.col("text")).alias("hash"))
-    )
+def _plan(base: DataFrame, weights: tuple[int, ...], limit: int) -> DataFrame:
+    """What each source's documents do: key, source_size, target, rounds, and below, the hash prefix under which they enter once more."""
     cell = F.shiftright("hash", BITS - STEP)
     first = keep(base.groupBy("key", "source", cell.alias("cell")).agg(F.sum("size").alias("words")))
     targets = source_targets(first.groupBy("key", "source").agg(F.sum("words").alias("source_size")), weights, limit)
@@ -70,9 +66,38 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: in
         bound = keep(found.withColumn("left", F.col("left") - (F.col("upto") - F.col("words"))).select("key", "cell", "left", "words"))
     # the last boundary cell enters whole if that comes nearer to the budget
     limits = bound.select("key", (F.col("cell") + (F.col("words") - F.col("left") <= F.col("left")).cast("long")).alias("below"))
-    plan = keep(plan.join(limits, "key", "left").select("key", "source_size", "target", "rounds", F.coalesce("below", F.lit(0).cast("long")).alias("below")))
-    copies = F.col("rounds") + (F.shiftright("hash", BITS - STEP * LEVELS) < F.col("below")).cast("long")
-    return base.join(plan, "key").select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return keep(plan.join(limits, "key", "left").select("key", "source_size", "target", "rounds", F.coalesce("below", F.lit(0).cast("long")).alias("below")))
+
+
+def _copies() -> Column:
+    return F.col("rounds") + (F.shiftright("hash", BITS - STEP * LEVELS) < F.col("below")).cast("long")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3) -> DataFrame:
+    """How often each document enters the mixture.
+
+    docs: doc_id, source, text. Returns for each row doc_id, size (words), source_size, target (its source's), copies
+    and taken (= copies * size, at most limit times its size). Sources weigh by their place in code point order, null
+    last. Every document enters floor(target / source_size) times, and those below the source's hash threshold once more.
+
+    Null text has size 0 and takes nothing; a null source is a source. Fully repeated rows share a hash and so their
+    fate. Other columns are ignored; an empty table gives an empty result; reruns agree.
+    """
+    base = keep(_base(docs))
+    return base.join(_plan(base, weights, limit), "key").withColumn("copies", _copies()).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3) -> DataFrame:
+    """The mixture itself: every row of docs as often as mix_sources says, with the columns of docs.
+
+    Only the plan, a row for each source, is joined to the texts.
+    """
+    names = docs.columns
+    plan = _plan(keep(_base(docs).select("doc_id", "key", "source", "size", "hash")), weights, limit)
+    rows = docs.select(F.struct(*names).alias("_row"), "doc_id", "source", "text")
+    whole = rows.select("_row", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), document_hash(F.col("doc_id"), F.col("text")).alias("hash"))
+    copies = whole.join(plan, "key").select("_row", _copies().alias("n")).filter("n > 0")
+    return copies.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("_copy")).select("_row.*")
 
 
 ORACLE_SQL = r"""
