@@ -1,0 +1 @@
+"""Analytics over event tapes and probability forecasts, as transforms of Spark DataFrames."""

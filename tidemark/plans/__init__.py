@@ -1,0 +1 @@
+"""Join and windowing strategies that Spark has no operator for, as plans of built-in ones."""
