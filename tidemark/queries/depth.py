@@ -1 +1,123 @@
+from pyspark.sql import functions as F
 
+from tidemark.operators import depth as op
+from tidemark.queries import query
+from tidemark.sources.adapters import view
+
+HOUR = 3_600_000_000
+
+_CELLS = """cs AS (SELECT *, least(lead(us) OVER (PARTITION BY ticker ORDER BY us, id), us + 86400000000) AS end_us FROM v_touch),
+  sl AS (SELECT *, unnest(range(us {div} 3600000000, (end_us - 1) {div} 3600000000 + 1)) AS slot FROM cs WHERE end_us > us),
+  cells AS (SELECT ticker, slot % 24 AS hour, yes_bid, no_bid, yes_size, least(end_us, (slot + 1) * 3600000000) - greatest(us, slot * 3600000000) AS held_us FROM sl)"""
+
+@query("depth_cells", f"WITH {_CELLS} SELECT hour, yes_size, sum(held_us)::BIGINT AS held_us FROM cells GROUP BY hour, yes_size")
+def depth_cells(spark, sf_dir):
+    return op.depth_bins(op.depth_cells(view(spark, sf_dir, "v_touch")), ["hour"], "yes_size")
+
+@query("depth_readout", f"""WITH {_CELLS}, al AS (SELECT hour, yes_bid > 0 AND no_bid > 0 AS two, yes_size, held_us FROM cells UNION ALL SELECT -1, yes_bid > 0 AND no_bid > 0, yes_size, held_us FROM cells),
+  bn AS (SELECT hour, yes_size, sum(held_us) AS w FROM al GROUP BY ALL), cm AS (SELECT *, sum(w) OVER (PARTITION BY hour ORDER BY yes_size) AS upto, sum(w) OVER (PARTITION BY hour) AS tot FROM bn),
+  qu AS (SELECT hour, min(yes_size) AS p50_size FROM cm WHERE upto >= tot * 0.5 GROUP BY hour)
+  SELECT hour, sum(held_us)::BIGINT AS kept_us, sum(CASE WHEN two THEN held_us ELSE 0 END)::BIGINT AS two_sided_us, any_value(p50_size) AS p50_size FROM al JOIN qu USING (hour) GROUP BY hour""")
+def depth_readout(spark, sf_dir):
+    return op.depth_readout(op.depth_cells(view(spark, sf_dir, "v_touch")))
+
+_LADDER = "lad AS (SELECT user_id, list(k ORDER BY k DESC)[1:6] AS ps, list(c ORDER BY k DESC)[1:6] AS ss FROM (SELECT user_id, k, min(c) AS c FROM ev GROUP BY user_id, k) GROUP BY user_id)"
+
+def _ladders(spark, sf_dir):
+    levels = view(spark, sf_dir, "ev").groupBy("user_id", "k").agg(F.min("c").alias("c"))
+    rows = levels.groupBy("user_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "c")), False), 1, 6).alias("x"))
+    return rows.select("user_id", F.col("x.k").alias("prices"), F.col("x.c").alias("sizes"))
+
+@query("cumulative_depth", f"WITH {_LADDER} SELECT user_id, list_sum(list_transform(list_filter(range(1, len(ps) + 1), lambda i: ps[i] >= ps[1] - 5), lambda i: ss[i]))::BIGINT AS depth FROM lad")
+def cumulative_depth(spark, sf_dir):
+    return _ladders(spark, sf_dir).select("user_id", op.cumulative_depth("prices", "sizes", 5).alias("depth"))
+
+@query("walk_capacity", f"""WITH RECURSIVE {_LADDER}, wk AS (SELECT user_id, ps, ss, 1 AS i, 0::BIGINT AS n, 0::BIGINT AS spare, true AS is_open FROM lad UNION ALL
+  SELECT user_id, ps, ss, i + 1, n + room, spare - room * gap, is_open AND room = ss[i] FROM (SELECT *, CASE WHEN NOT is_open THEN 0 WHEN gap <= 0 THEN ss[i] ELSE least(ss[i], spare {{div}} gap) END AS room FROM (SELECT *, ps[1] - ps[i] - 1 AS gap FROM wk WHERE i <= len(ps))))
+  SELECT user_id, n AS capacity FROM wk WHERE i = len(ps) + 1""")
+def walk_capacity(spark, sf_dir):
+    return _ladders(spark, sf_dir).select("user_id", op.walk_capacity("prices", "sizes", 1).alias("capacity"))
+
+@query("depth_at_price", f"WITH {_LADDER} SELECT user_id, coalesce(ss[list_position(ps, 97)], 0) AS size FROM lad")
+def depth_at_price(spark, sf_dir):
+    return _ladders(spark, sf_dir).select("user_id", op.depth_at_price("prices", "sizes", F.lit(97).cast("long")).alias("size"))
+
+_GROUPS = "(SELECT DISTINCT ticker, CAST(substr(ticker, 2) AS BIGINT) % 20 AS grp FROM v_touch)"
+
+@query("atm_pick", f"""WITH d AS (SELECT ticker, quantile_cont(abs(mid2 - 10000), 0.5) AS distance FROM v_mid WHERE mid2 IS NOT NULL GROUP BY ticker),
+  r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY distance, ticker) AS n FROM d JOIN {_GROUPS} USING (ticker)) SELECT ticker, distance, grp FROM r WHERE n = 1""")
+def atm_pick(spark, sf_dir):
+    quotes = view(spark, sf_dir, "v_mid")
+    groups = quotes.select("ticker", (F.substring("ticker", 2, 20).cast("long") % 20).alias("grp")).distinct()
+    return op.atm_pick(quotes, groups)
+
+@query("classify_print", """WITH x AS (SELECT p.id, p.ticker, yes_price, (SELECT arg_max((yes_bid, no_bid), (t.us, t.id)) FROM v_touch t WHERE t.ticker = p.ticker AND t.us < p.us) AS s FROM v_prints p)
+  SELECT id, ticker, CASE WHEN s IS NULL THEN 'no_state' WHEN yes_price = s[1] THEN 'yes' WHEN 10000 - yes_price = s[2] THEN 'no' ELSE 'no_match' END AS hit FROM x""")
+def classify_print(spark, sf_dir):
+    return op.classify_print(view(spark, sf_dir, "v_prints"), view(spark, sf_dir, "v_touch"))
+
+@query("replenishment", """WITH x AS (SELECT p.id, p.ticker, p.us, (SELECT arg_max(yes_size, (t.us, t.id)) FROM v_touch t WHERE t.ticker = p.ticker AND t.us < p.us) AS before, (SELECT arg_min(yes_size, (t.us, t.id)) FROM v_touch t WHERE t.ticker = p.ticker AND t.us > p.us) AS after FROM v_prints p)
+  SELECT id, ticker, before, after, (SELECT min(t.us) FROM v_touch t WHERE t.ticker = x.ticker AND t.us > x.us AND t.us <= x.us + 86400000000 AND 2 * yes_size >= before) - us AS refill_us FROM x WHERE before > 0 AND 2 * after < before""")
+def replenishment(spark, sf_dir):
+    return op.replenishment(view(spark, sf_dir, "v_prints"), view(spark, sf_dir, "v_touch"), 24 * HOUR)
+
+_MATRIX = f"""lg AS (SELECT ticker, grp, row_number() OVER (PARTITION BY grp ORDER BY ticker) - 1 AS seat, count(*) OVER (PARTITION BY grp) AS n FROM {_GROUPS}),
+  lt AS (SELECT grp, us, id, seat, yes_bid, yes_size FROM v_touch JOIN lg USING (ticker) WHERE n >= 3 AND seat < 3),
+  ma AS (SELECT grp, us, id, {", ".join(f"last_value(CASE WHEN seat = {i} THEN {c} END IGNORE NULLS) OVER w AS {n}_{i}" for n, c in (("bid", "yes_bid"), ("size", "yes_size")) for i in range(3))} FROM lt WINDOW w AS (PARTITION BY grp ORDER BY us, id ROWS UNBOUNDED PRECEDING)),
+  mx AS (SELECT * FROM ma WHERE bid_0 IS NOT NULL AND bid_1 IS NOT NULL AND bid_2 IS NOT NULL)"""
+
+def _matrix(spark, sf_dir):
+    quotes = view(spark, sf_dir, "v_touch")
+    return op.ladder_state_matrix(quotes, op.ladder_build(quotes, F.substring("ticker", 2, 20).cast("long") % 20, 3), 3)
+
+@query("ladder_build", f"WITH {_MATRIX} SELECT grp, ticker, seat FROM lg WHERE n >= 3 AND seat < 3")
+def ladder_build(spark, sf_dir):
+    return op.ladder_build(view(spark, sf_dir, "v_touch"), F.substring("ticker", 2, 20).cast("long") % 20, 3)
+
+@query("ladder_state_matrix", f"WITH {_MATRIX} SELECT * FROM mx")
+def ladder_state_matrix(spark, sf_dir):
+    return _matrix(spark, sf_dir)
+
+_EPISODES = f"""{_MATRIX}, on1 AS (SELECT *, bid_0 + bid_1 + bid_2 - 10000 AS magnitude, least(size_0, size_1, size_2) AS depth, lead(us) OVER (PARTITION BY grp ORDER BY us, id) AS next_us FROM mx),
+  on2 AS (SELECT *, magnitude > 0 AND depth > 0 AS is_on FROM on1), on3 AS (SELECT *, lag(is_on) OVER (PARTITION BY grp ORDER BY us, id) AS was FROM on2),
+  on4 AS (SELECT *, sum(CASE WHEN is_on AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY grp ORDER BY us, id ROWS UNBOUNDED PRECEDING) AS island FROM on3),
+  ep AS (SELECT grp, min(us) AS start_us, (arg_max((next_us, 1), (us, id)))[1] AS end_us, count(*) AS states, arg_min((magnitude, depth, id), (-magnitude, us, id)) AS w FROM on4 WHERE is_on GROUP BY grp, island),
+  epi AS (SELECT grp, start_us, end_us, states, w[1] AS magnitude, w[2] AS depth, w[3] AS state_id FROM ep)"""
+
+def _episodes(spark, sf_dir):
+    return op.arb_episodes(_matrix(spark, sf_dir), F.col("bid_0") + F.col("bid_1") + F.col("bid_2") - 10_000, F.least("size_0", "size_1", "size_2"))
+
+@query("arb_episodes", f"WITH {_EPISODES} SELECT * FROM epi")
+def arb_episodes(spark, sf_dir):
+    return _episodes(spark, sf_dir)
+
+@query("episode_summary", f"WITH {_EPISODES} SELECT count(*) AS found, count(*) FILTER (end_us - start_us >= 3600000000) AS tradeable, count(*) FILTER (end_us IS NULL) AS censored, min(magnitude) AS least, quantile_disc(magnitude, 0.5) AS p50, quantile_disc(magnitude, 0.9) AS p90, max(magnitude) AS most FROM epi")
+def episode_summary(spark, sf_dir):
+    return op.episode_summary(_episodes(spark, sf_dir), HOUR)
+
+_CROSSINGS = """rk AS (SELECT ticker, id, us, mid2, row_number() OVER (PARTITION BY ticker ORDER BY us, id) AS n FROM v_mid WHERE mid2 IS NOT NULL),
+  pr AS (SELECT a.ticker, a.n AS i, b.n AS j, a.id AS anchor_id, b.id AS crossing_id, b.us, CASE WHEN b.mid2 > a.mid2 THEN 1 ELSE -1 END AS direction FROM rk a JOIN rk b ON a.ticker = b.ticker AND b.n > a.n AND b.us - a.us <= 86400000000 AND abs(b.mid2 - a.mid2) >= 2000),
+  cr AS (SELECT DISTINCT ticker, 0::BIGINT AS upto, NULL::BIGINT AS anchor_id, NULL::BIGINT AS crossing_id, NULL::BIGINT AS us, NULL::INT AS direction FROM rk UNION ALL
+    SELECT ticker, x[1], x[2], x[3], x[4], x[5] FROM (SELECT cr.ticker, arg_min((pr.j, pr.anchor_id, pr.crossing_id, pr.us, pr.direction), (pr.j, pr.i)) AS x FROM cr JOIN pr ON pr.ticker = cr.ticker AND pr.i > cr.upto GROUP BY cr.ticker)),
+  crossings AS (SELECT ticker, anchor_id, crossing_id, us, direction FROM cr WHERE anchor_id IS NOT NULL)"""
+_RESPONSES = f"""{_CROSSINGS}, ba AS (SELECT c.ticker, concat('M', CAST(substr(c.ticker, 2) AS BIGINT) + 1) AS follower, crossing_id, us, direction FROM crossings c),
+  bs AS (SELECT ba.*, (SELECT arg_max(mid2, (m.us, m.id)) FROM v_mid m WHERE m.ticker = follower AND mid2 IS NOT NULL AND m.us <= ba.us) AS base2 FROM ba),
+  responses AS (SELECT ticker, follower, crossing_id, us, direction, (SELECT min(m.us) FROM v_mid m WHERE m.ticker = follower AND m.us > bs.us AND m.us <= bs.us + 172800000000 AND (mid2 - base2) * direction >= 1000) - us AS lead_us FROM bs WHERE base2 IS NOT NULL)"""
+
+
+@query("leader_crossings", f"WITH RECURSIVE {_CROSSINGS} SELECT * FROM crossings")
+def leader_crossings(spark, sf_dir):
+    return op.leader_crossings(view(spark, sf_dir, "v_mid"), 24 * HOUR, 2000)
+
+def _pairs(spark, sf_dir):
+    tickers = view(spark, sf_dir, "v_mid").select("ticker").distinct()
+    return tickers.select("ticker", F.concat(F.lit("M"), F.substring("ticker", 2, 20).cast("long") + 1).alias("follower"))
+
+@query("follower_response", f"WITH RECURSIVE {_RESPONSES} SELECT * FROM responses")
+def follower_response(spark, sf_dir):
+    quotes = view(spark, sf_dir, "v_mid")
+    return op.follower_response(op.leader_crossings(quotes, 24 * HOUR, 2000), quotes, _pairs(spark, sf_dir), 48 * HOUR, 1000)
+
+@query("pair_lead_lag", f"WITH RECURSIVE {_RESPONSES} SELECT ticker, follower, count(*) AS crossings, count(lead_us) AS responses, quantile_cont(lead_us, 0.5) AS median_lead_us FROM responses GROUP BY ticker, follower")
+def pair_lead_lag(spark, sf_dir):
+    return op.pair_lead_lag(follower_response(spark, sf_dir))

@@ -1 +1,207 @@
+from pyspark.sql import functions as F
 
+from tidemark.operators import events as op
+from tidemark.queries import query
+from tidemark.sources.adapters import view
+
+HOUR = 3_600_000_000
+_RUN = "rx AS (SELECT *, max(tenths) OVER (PARTITION BY station, day ORDER BY valid_us, id ROWS UNBOUNDED PRECEDING) AS extreme FROM (SELECT *, valid_us {div} 86400000000 AS day FROM v_obs))"
+_LOCKED = f"""{_RUN}, m AS (SELECT s.station, s.day, s.strike, s.ticker, r.* EXCLUDE (station, day) FROM v_strikes s LEFT JOIN rx r ON s.station = r.station AND s.day = r.day),
+  lk AS (SELECT station, day, strike, ticker, arg_min((seen_us, tenths, id), (valid_us, id)) FILTER (extreme >= strike + 10) AS c, arg_min(id, (valid_us, id)) FILTER (extreme >= strike) AS r FROM m GROUP BY ALL),
+  locks AS (SELECT station, day, strike, ticker, CASE WHEN c IS NOT NULL THEN 'clean' WHEN r IS NOT NULL THEN 'ambiguous' ELSE 'none' END AS kind, c[1] AS t0_us, c[2] AS tenths, c[3] AS reading_id FROM lk)"""
+
+
+def _locks(spark, sf_dir):
+    return op.detect_locks(view(spark, sf_dir, "v_obs"), view(spark, sf_dir, "v_strikes"), 10)
+
+
+@query("lst_day_window", "SELECT DISTINCT 'America/New_York' AS tz, valid_us {div} 86400000000 AS day, valid_us {div} 86400000000 * 86400000000 + 18000000000 AS start_us, valid_us {div} 86400000000 * 86400000000 + 18000000000 + 86400000000 AS end_us FROM v_obs")
+def lst_day_window(spark, sf_dir):
+    return op.lst_day_window(view(spark, sf_dir, "v_days").select(F.lit("America/New_York").alias("tz"), F.col("day").cast("int")).distinct()).withColumn("day", F.col("day").cast("long"))
+
+
+@query("wall_clock_window", """WITH d AS (SELECT DISTINCT (CAST(l_shipdate AS DATE) - DATE '1970-01-01')::BIGINT AS day FROM lineitem)
+  SELECT 'America/New_York' AS tz, day, epoch_us(timezone('America/New_York', CAST(DATE '1970-01-01' + day::INT AS TIMESTAMP))) AS start_us, epoch_us(timezone('America/New_York', CAST(DATE '1970-01-01' + day::INT + 1 AS TIMESTAMP))) AS end_us FROM d""")
+def wall_clock_window(spark, sf_dir):
+    from tidemark.sources.adapters import table
+
+    days = table(spark, sf_dir, "lineitem").select(F.lit("America/New_York").alias("tz"), F.unix_date(F.col("l_shipdate").cast("date")).alias("day")).distinct()
+    return op.wall_clock_window(days).withColumn("day", F.col("day").cast("long"))
+
+
+@query("detect_locks", f"WITH {_LOCKED} SELECT * FROM locks")
+def detect_locks(spark, sf_dir):
+    return _locks(spark, sf_dir)
+
+
+@query("lock_supply", f"WITH {_LOCKED} SELECT station, count(*) AS strikes, count(*) FILTER (kind = 'clean') AS clean, count(*) FILTER (kind = 'ambiguous') AS ambiguous FROM locks GROUP BY ROLLUP (station)")
+def lock_supply(spark, sf_dir):
+    return op.lock_supply(_locks(spark, sf_dir))
+
+
+_EVENTS = "et AS (SELECT event_id, concat('M', user_id) AS ticker, us AS t0_us FROM ev WHERE event_type = 'error')"
+_LAGS = f"{_EVENTS}, lags AS (SELECT event_id, ticker, t0_us, (SELECT min(us) FROM v_mid m WHERE m.ticker = et.ticker AND us > t0_us AND us <= t0_us + 172800000000 AND mid2 >= 9000 AND mid2 <= 11000) - t0_us AS lag_us FROM et)"
+
+
+def _events(spark, sf_dir):
+    return view(spark, sf_dir, "ev").filter("event_type = 'error'").select("event_id", F.concat(F.lit("M"), "user_id").alias("ticker"), F.col("us").alias("t0_us"))
+
+
+def _lags(spark, sf_dir):
+    return op.reprice_lag(_events(spark, sf_dir), view(spark, sf_dir, "v_mid"), 9000, 11_000, 48 * HOUR)
+
+
+@query("reprice_lag", f"WITH {_LAGS} SELECT * FROM lags")
+def reprice_lag(spark, sf_dir):
+    return _lags(spark, sf_dir)
+
+
+@query("lag_report", f"""WITH {_LAGS}, s AS (SELECT concat('G', CAST(substr(ticker, 2) AS BIGINT) % 5) AS series, lag_us FROM lags UNION ALL SELECT 'POOLED', lag_us FROM lags),
+  k AS (SELECT series, lag_us, row_number() OVER (PARTITION BY series ORDER BY lag_us) - 1 AS i, count(*) OVER (PARTITION BY series) AS m FROM s WHERE lag_us IS NOT NULL)
+  SELECT series, count(*) AS n, count(*) FILTER (lag_us IS NULL) AS never, (SELECT min(lag_us) FROM k WHERE k.series = s.series AND i = round_even((m - 1) * 0.5, 0)) AS median_us, (SELECT min(lag_us) FROM k WHERE k.series = s.series AND i = round_even((m - 1) * 0.9, 0)) AS p90_us FROM s GROUP BY series""")
+def lag_report(spark, sf_dir):
+    return op.lag_report(_lags(spark, sf_dir), F.concat(F.lit("G"), F.substring("ticker", 2, 20).cast("long") % 5))
+
+
+@query("fillable_depth", f"""WITH {_EVENTS}, l AS (SELECT et.*, x.l AS latency_us FROM et, (SELECT unnest([0, 3600000000, 43200000000]) AS l) x),
+  q AS (SELECT l.*, (SELECT arg_max((yes_bid, yes_size), (us, id)) FROM v_touch t WHERE t.ticker = l.ticker AND us <= t0_us) AS a, (SELECT arg_min((yes_bid, yes_size), (us, id)) FROM v_touch t WHERE t.ticker = l.ticker AND us >= t0_us + latency_us) AS b FROM l)
+  SELECT event_id, latency_us, CASE WHEN a[1] > 0 AND a[1] = b[1] THEN least(a[2], b[2], 50000000 {{div}} nullif(a[1], 0)) ELSE 0 END AS units FROM q""")
+def fillable_depth(spark, sf_dir):
+    return op.fillable_depth(_events(spark, sf_dir), view(spark, sf_dir, "v_touch"), [0, HOUR, 12 * HOUR], 5000)
+
+
+_TICKER_LOCKS = "tl AS (SELECT ticker, min(us) + 43200000000 AS lock_us FROM v_touch GROUP BY ticker)"
+
+
+def _ticker_locks(spark, sf_dir):
+    return view(spark, sf_dir, "v_touch").groupBy("ticker").agg((F.min("us") + 12 * HOUR).alias("lock_us"))
+
+
+@query("convergence_time", f"""WITH {_TICKER_LOCKS}, r1 AS (SELECT *, coalesce(mid2 >= 9000, false) AS is_on, lead(us) OVER (PARTITION BY ticker ORDER BY us, id) AS next_us FROM v_mid), r2 AS (SELECT *, lag(is_on) OVER (PARTITION BY ticker ORDER BY us, id) AS was FROM r1),
+  r3 AS (SELECT *, sum(CASE WHEN is_on AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY us, id ROWS UNBOUNDED PRECEDING) AS island FROM r2),
+  r4 AS (SELECT ticker, min(us) AS from_us, (arg_max((next_us, 1), (us, id)))[1] AS to_us FROM r3 WHERE is_on GROUP BY ticker, island)
+  SELECT ticker, lock_us, min(CASE WHEN from_us IS NOT NULL AND (to_us IS NULL OR greatest(from_us, lock_us) + 21600000000 <= to_us) AND greatest(from_us, lock_us) + 21600000000 <= lock_us + 864000000000 THEN greatest(from_us, lock_us) END) - lock_us AS converged_us FROM tl LEFT JOIN r4 USING (ticker) GROUP BY ticker, lock_us""")
+def convergence_time(spark, sf_dir):
+    return op.convergence_time(_ticker_locks(spark, sf_dir), view(spark, sf_dir, "v_mid"), 9000, 6 * HOUR, 240 * HOUR)
+
+
+@query("post_lock_flow", f"WITH {_TICKER_LOCKS} SELECT taker_side, count(*) AS fills, sum(units)::BIGINT AS units, sum(units * CASE taker_side WHEN 'yes' THEN yes_price ELSE 10000 - yes_price END)::BIGINT AS notional FROM v_prints JOIN tl USING (ticker) WHERE us > lock_us AND taker_side <> '' GROUP BY taker_side")
+def post_lock_flow(spark, sf_dir):
+    return op.post_lock_flow(view(spark, sf_dir, "v_prints"), _ticker_locks(spark, sf_dir))
+
+
+_QC = """q1 AS (SELECT *, lag(tenths) OVER w AS t, lag(valid_us) OVER w AS u, lead(tenths) OVER w AS t2, lead(valid_us) OVER w AS u2 FROM v_obs WINDOW w AS (PARTITION BY station ORDER BY valid_us, id)),
+  q2 AS (SELECT *, CASE WHEN tenths < 420 OR tenths > 980 THEN 'implausible' WHEN abs(tenths - t) * 60000000 > 2 * (valid_us - u) THEN 'needs_confirmation' ELSE 'ok' END AS status FROM q1)"""
+
+
+def _checked(spark, sf_dir):
+    return op.qc_plausible_rate(view(spark, sf_dir, "v_obs"), 420, 980, 2)
+
+
+@query("qc_plausible_rate", f"WITH {_QC} SELECT id, station, valid_us, tenths, status FROM q2")
+def qc_plausible_rate(spark, sf_dir):
+    return _checked(spark, sf_dir)
+
+
+@query("qc_confirm", f"WITH {_QC} SELECT id, station, coalesce(u2 - valid_us <= 7200000000 AND abs(t2 - tenths) <= 100, false) AS confirmed FROM q2 WHERE status = 'needs_confirmation'")
+def qc_confirm(spark, sf_dir):
+    return op.qc_confirm(_checked(spark, sf_dir), 2 * HOUR, 100)
+
+
+@query("qc_stuck", """WITH a AS (SELECT station, valid_us, id, tenths {div} 200 AS value FROM v_obs), b AS (SELECT *, lag(value) OVER (PARTITION BY station ORDER BY valid_us, id) AS was FROM a), c AS (SELECT *, sum(CASE WHEN was IS NULL OR was <> value THEN 1 ELSE 0 END) OVER (PARTITION BY station ORDER BY valid_us, id ROWS UNBOUNDED PRECEDING) AS island FROM b)
+  SELECT station, value, min(valid_us) AS first_us, max(valid_us) AS last_us, count(*) AS n FROM c GROUP BY station, island, value HAVING max(valid_us) - min(valid_us) >= 14400000000""")
+def qc_stuck(spark, sf_dir):
+    return op.qc_stuck(view(spark, sf_dir, "v_obs"), F.expr("tenths div 200"), 4 * HOUR)
+
+
+@query("qc_neighbor", """SELECT id, EXISTS (SELECT 1 FROM v_obs n WHERE n.station = concat('S', (CAST(substr(o.station, 2) AS BIGINT) + 1) % 20) AND abs(n.valid_us - o.valid_us) <= 1800000000 AND abs(n.tenths - o.tenths) <= 50) AS supported FROM v_obs o""")
+def qc_neighbor(spark, sf_dir):
+    readings = view(spark, sf_dir, "v_obs")
+    near = readings.select("station").distinct().select("station", F.concat(F.lit("S"), (F.substring("station", 2, 9).cast("long") + 1) % 20).alias("neighbour"))
+    return op.qc_neighbor(readings, near, HOUR // 2, 50)
+
+
+_BASIS = """hi AS (SELECT station, valid_us {div} 86400000000 AS day, max(tenths) AS high, count(DISTINCT valid_us {div} 60000000) AS minutes FROM v_obs GROUP BY 1, 2 HAVING count(DISTINCT valid_us {div} 60000000) >= 5),
+  cp AS (SELECT station, day, high, minutes, official, high - official * 10 AS delta, abs(round_even((high - official * 10) / 10, 0)) <= 1 AS valid FROM hi JOIN v_days USING (station, day))"""
+
+
+def _compared(spark, sf_dir):
+    return op.basis_compare(view(spark, sf_dir, "v_obs"), view(spark, sf_dir, "v_days"), 5)
+
+
+@query("basis_compare", f"WITH {_BASIS} SELECT * FROM cp")
+def basis_compare(spark, sf_dir):
+    return _compared(spark, sf_dir)
+
+
+@query("basis_summary", f"""WITH {_BASIS}, k AS (SELECT station, delta, row_number() OVER (PARTITION BY station ORDER BY delta) - 1 AS i, count(*) OVER (PARTITION BY station) AS m FROM cp)
+  SELECT station, count(*) AS n, count(*) FILTER (NOT valid) AS invalid, {", ".join(f"(SELECT min(delta) FROM k WHERE k.station = cp.station AND i = floor((m - 1) * {q / 100} + 0.5)) AS p{q}" for q in (10, 50, 90))} FROM cp GROUP BY station""")
+def basis_summary(spark, sf_dir):
+    return op.basis_summary(_compared(spark, sf_dir))
+
+
+@query("delta_partition", f"WITH {_BASIS} SELECT round_even(delta / 10, 0)::BIGINT AS degrees, count(*) AS n, sum(minutes)::BIGINT AS minutes, abs(round_even(delta / 10, 0)) <= 1 AS within_one FROM cp GROUP BY round_even(delta / 10, 0)")
+def delta_partition(spark, sf_dir):
+    return op.delta_partition(_compared(spark, sf_dir))
+
+
+@query("separating_strikes", f"WITH {_BASIS} SELECT station, day, array_to_string(list_filter([900, 950, 970, 980, 990], lambda s: (high > s) <> (official * 10 > s)), ',') AS strikes FROM cp")
+def separating_strikes(spark, sf_dir):
+    rows = _compared(spark, sf_dir).withColumn("settled", F.col("official") * 10)
+    return rows.select("station", "day", F.array_join(op.separating_strikes("high", "settled", [900, 950, 970, 980, 990]).cast("array<string>"), ",").alias("strikes"))
+
+
+_ENTRY = f"{_RUN}, nn AS (SELECT rx.*, official, row_number() OVER (PARTITION BY station, day ORDER BY valid_us, id) AS n FROM rx JOIN v_days USING (station, day)), en AS (SELECT station, day, min(valid_us) AS entry_us, CASE WHEN arg_min(n, (valid_us, id)) = 1 THEN 'open' ELSE 'crossing' END AS how FROM nn WHERE extreme > official * 10 GROUP BY station, day)"
+
+
+@query("straddle_entry", f"WITH {_ENTRY} SELECT * FROM en")
+def straddle_entry(spark, sf_dir):
+    return op.straddle_entry(view(spark, sf_dir, "v_obs"), view(spark, sf_dir, "v_days"))
+
+
+@query("straddle_price", f"""WITH {_EVENTS}, s AS (SELECT event_id AS entry_id, ticker, t0_us AS at_us, (SELECT arg_max((yes_bid, yes_size, mid2), (us, id)) FROM v_mid m WHERE m.ticker = et.ticker AND us <= t0_us) AS x FROM et)
+  SELECT entry_id, ticker, at_us, x[3] AS mid2, CASE WHEN x IS NULL THEN 'no_row' WHEN x[3] IS NULL THEN 'one_sided' WHEN x[2] < 2600 THEN 'censored' ELSE 'ok' END AS status FROM s""")
+def straddle_price(spark, sf_dir):
+    entries = _events(spark, sf_dir).select(F.col("event_id").alias("entry_id"), "ticker", F.col("t0_us").alias("at_us"))
+    return op.straddle_price(entries, view(spark, sf_dir, "v_mid"), 2600)
+
+
+@query("mechanism_rates", """WITH f AS (SELECT station, tenths > 900 AS hot, tenths < 450 AS cold, seen_us - valid_us > 300000000 AS late FROM v_obs), u AS (SELECT station, 'hot' AS mechanism, hot::INT AS hit FROM f UNION ALL SELECT station, 'cold', cold::INT FROM f UNION ALL SELECT station, 'late', late::INT FROM f)
+  SELECT station, mechanism, sum(hit)::BIGINT AS hits, count(*) AS n, sum(hit)::BIGINT * 1000000 {div} count(*) AS millionths FROM u GROUP BY station, mechanism""")
+def mechanism_rates(spark, sf_dir):
+    flags = view(spark, sf_dir, "v_obs").select("station", (F.col("tenths") > 900).alias("hot"), (F.col("tenths") < 450).alias("cold"), (F.col("seen_us") - F.col("valid_us") > 300_000_000).alias("late"))
+    return op.mechanism_rates(flags, "station", ["hot", "cold", "late"])
+
+
+_TWO = "pb AS (SELECT station, valid_us {div} 60000000 AS minute, max(tenths) AS value FROM v_obs WHERE id % 7 <> 0 GROUP BY 1, 2), dc AS (SELECT station, valid_us {div} 60000000 AS minute, max(tenths - tenths % 2) AS value FROM v_obs WHERE id % 5 <> 0 GROUP BY 1, 2)"
+
+
+@query("decode_agreement", f"""WITH {_TWO} SELECT coalesce(p.station, d.station) AS station, count(*) FILTER (p.value = d.value) AS same, count(*) FILTER (p.value <> d.value) AS differing, count(*) FILTER (d.value IS NULL) AS absent, count(*) FILTER (p.value IS NULL) AS extra
+  FROM pb p FULL JOIN dc d ON p.station = d.station AND p.minute = d.minute GROUP BY 1""")
+def decode_agreement(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_obs").withColumn("minute", F.expr("valid_us div 60000000"))
+    side = lambda test, value: rows.filter(test).groupBy("station", "minute").agg(F.max(value).alias("value"))
+    return op.decode_agreement(side("id % 7 <> 0", F.col("tenths")), side("id % 5 <> 0", F.col("tenths") - F.col("tenths") % 2))
+
+
+@query("window_difference", """WITH a AS (SELECT station, (valid_us - 18000000000) {div} 86400000000 AS day, max(tenths) AS high_a FROM v_obs GROUP BY 1, 2), b AS (SELECT station, (valid_us - 14400000000) {div} 86400000000 AS day, max(tenths) AS high_b FROM v_obs GROUP BY 1, 2),
+  d AS (SELECT station, day FROM v_days) SELECT station, day, high_a, high_b FROM d LEFT JOIN a USING (station, day) LEFT JOIN b USING (station, day) WHERE high_a IS DISTINCT FROM high_b""")
+def window_difference(spark, sf_dir):
+    days = view(spark, sf_dir, "v_days")
+    windows = lambda hours: days.select("station", "day", (F.col("day") * op.DAY_US + hours * HOUR).alias("start_us"), ((F.col("day") + 1) * op.DAY_US + hours * HOUR).alias("end_us"))
+    return op.window_difference(view(spark, sf_dir, "v_obs"), windows(5), windows(4))
+
+
+@query("settle_trades", """WITH t AS (SELECT event_id AS trade_id, concat('S', user_id % 20) AS station, us {div} 86400000000 + k % 3 AS day, 900 + k AS strike, CASE WHEN k % 2 = 0 THEN 'yes' ELSE 'no' END AS side, c AS units, 100 * (1 + k % 98) AS price FROM ev WHERE event_type = 'click'),
+  j AS (SELECT t.*, official * 10 >= strike AS yes FROM t LEFT JOIN v_days USING (station, day))
+  SELECT trade_id, CASE WHEN yes IS NULL THEN 'pending' WHEN yes = (side = 'yes') THEN 'won' ELSE 'lost' END AS outcome, CASE WHEN yes IS NULL THEN NULL WHEN yes = (side = 'yes') THEN units * (10000 - price) ELSE -units * price END AS pnl FROM j""")
+def settle_trades(spark, sf_dir):
+    ev = view(spark, sf_dir, "ev").filter("event_type = 'click'")
+    trades = ev.select(F.col("event_id").alias("trade_id"), F.concat(F.lit("S"), F.col("user_id") % 20).alias("station"), (F.expr("us div 86400000000") + F.col("k") % 3).alias("day"), (900 + F.col("k")).alias("strike"), F.when(F.col("k") % 2 == 0, "yes").otherwise("no").alias("side"), F.col("c").alias("units"), (100 * (1 + F.col("k") % 98)).alias("price"))
+    return op.settle_trades(trades, view(spark, sf_dir, "v_days"))
+
+
+@query("observation_sidecar", """WITH g AS (SELECT station, valid_us {div} 86400000000 AS day, count(*) AS n, md5(string_agg(concat(id, ':', tenths), ',' ORDER BY valid_us, id)) AS digest FROM v_obs GROUP BY 1, 2)
+  SELECT station, day, n, digest, official IS NULL AS missing FROM g LEFT JOIN (SELECT * FROM v_days WHERE official % 3 <> 0) USING (station, day)""")
+def observation_sidecar(spark, sf_dir):
+    return op.observation_sidecar(view(spark, sf_dir, "v_obs"), view(spark, sf_dir, "v_days").filter("official % 3 <> 0"))

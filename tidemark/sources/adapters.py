@@ -54,6 +54,8 @@ def sql(query: str) -> str:
         return query
     head = with_views(names, "duckdb")
     own = query.strip()
+    if own.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head[5:]}, {own[15:]}"
     return f"{head}, {own[5:]}" if own.upper().startswith("WITH ") else f"{head} {own}"
 
 
