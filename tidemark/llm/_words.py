@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; bounds the memory of a task, whatever the batch holds.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
 _TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -82,21 +82,21 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets.astype(np.int64)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches cut into runs of rows of about CHUNK_BYTES of text (one longer text is a run of its own)."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches cut into runs of rows of about size bytes of text (one longer text is a run of its own)."""
     for batch in batches:
         data, offsets = buffers(batch.column(text))
         at = 0
         while at < batch.num_rows:
-            to = int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1
+            to = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
             to = min(max(to, at + 1), batch.num_rows)
             own = offsets[at : to + 1]
             yield batch.slice(at, to - at), data[own[0] : own[-1]], own - own[0]
             at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of the texts data[offsets[i]:offsets[i+1]]."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, cut: np.ndarray | None = None) -> Words:
+    """Words of the texts data[offsets[i]:offsets[i+1]]; a new one begins at the bytes in cut as well."""
     if lower:
         data = _LOWER[data]
     n = len(data)
@@ -107,6 +107,8 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     ends = inside[:-1] & ~inside[1:]
     edge = offsets[1:-1]
     edge = edge[(edge > 0) & (edge < n)]
+    if cut is not None:
+        edge = np.concatenate([edge, cut])
     both = edge[inside[edge] & inside[edge + 1]]  # a word ends and another starts where two texts meet
     starts[both] = ends[both] = True
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends)

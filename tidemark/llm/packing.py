@@ -10,6 +10,7 @@ waits for the next pool; at the end of a partition it is cut to size.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,16 +20,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._words import pieces, words
+from tidemark.llm._words import Words, pieces, words
 
 #: Tokens and documents of a pool, and words whose ids a worker remembers.
-POOL_TOKENS, POOL_DOCUMENTS, REMEMBERED = 2_000_000, 16_384, 400_000
+POOL_TOKENS, POOL_DOCUMENTS, REMEMBERED = 2_000_000, 16_384, 600_000
+
+# Letters, digits and other ASCII signs; 0 is what may join with its neighbours: apostrophes and most of what isn't ASCII.
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[ord("'")] = 0
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
+def parts(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Words in lower case, cut further where a letter, a digit and another sign meet.
+
+    For tokenizers that lower-case and never join these, the parts' tokens are the text's. Nothing is cut beside an
+    apostrophe or a character that isn't ASCII, but for the letters of U+00C0 to U+00FF. A chunk that may hold special
+    tokens keeps its case.
+    """
+    kind = _KIND[data]
+    lead = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+    kind[lead] = kind[lead + 1] = 1
+    special = b"<|" in data.tobytes()
+    cut = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1 if not special else None
+    return words(data, offsets, lower=not special, cut=cut)
+
+
 class WordTokenizer:
-    """Token ids of whole texts from a tokenizer whose tokens never span white space; words seen before aren't encoded again."""
+    """Token ids of whole texts from a tokenizer as in parts(); parts seen before aren't encoded again."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,7 +61,7 @@ class WordTokenizer:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's begin."""
-        w = words(data, offsets)
+        w = parts(data, offsets)
         unique, at, which = np.unique(w.hashes, return_index=True, return_inverse=True)
         keys, known = unique.tolist(), self.known
         new = [i for i, k in enumerate(keys) if k not in known]
@@ -48,7 +71,7 @@ class WordTokenizer:
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
             for i, e in zip(part, self.tokenizer.encode_batch_fast([w.text(at[i]) for i in part], add_special_tokens=False), strict=True):
-                known[keys[i]] = np.array(e.ids, dtype="<u4").tobytes()
+                known[keys[i]] = pack_ids(e.ids)
         own = [known[k] for k in keys]
         size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
         flat, start = np.frombuffer(b"".join(own), dtype="<u4"), np.cumsum(size) - size
@@ -59,6 +82,10 @@ class WordTokenizer:
         return ids, np.concatenate([[0], ends])[w.first]
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def tokenizer(path: str) -> WordTokenizer:
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
@@ -164,7 +191,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end
 
         encode, packer = tokenizer(tokenizer_path).encode, _Packer(window, TaskContext.get().partitionId(), want_ids)
         tokens = documents = 0
-        for part, data, offsets in pieces(batches):
+        for part, data, offsets in pieces(batches, size=3 << 20):
             ids, first = encode(data, offsets)
             for doc, a, b in zip(part.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
                 packer.add(doc, np.append(ids[a:b], np.uint32(end_id)).astype("<u4"))
