@@ -67,3 +67,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = with_views([name], "spark")
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
     return spark.sql(f"{text} SELECT * FROM {name}", **used)
+
+
+def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view over the events as a stream of files; views that aggregate or window are not for streams."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern, as streams read no single file
+    return spark.sql(f"{with_views([name], 'spark')} SELECT * FROM {name}", events=events)
