@@ -73,11 +73,11 @@ def signed_move2() -> Column:
 
 
 def print_net_cents(windows: DataFrame) -> DataFrame:
-    """Net cents of a print, in 1/10000: contracts times half the doubled move, less the fee in and out."""
-    gross = F.col("units") * signed_move2() * 50
+    """Net of a print in 1/20000 cent: contracts times half the doubled move, less the fee in and out."""
+    gross = F.col("units") * signed_move2()
     price = F.expr("CASE WHEN taker_side = 'yes' THEN yes_price ELSE 10000 - yes_price END")
     fee = fee_cents("units", "price")
-    return windows.filter("status = 'ok'").withColumn("price", price).withColumn("fee", fee).withColumn("net", (gross - 2 * 10_000 * F.col("fee")).cast("long"))
+    return windows.filter("status = 'ok'").withColumn("price", price).withColumn("fee", fee).withColumn("net", (gross - 2 * 20_000 * F.col("fee")).cast("long"))
 
 
 def flow_clusters(nets: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ _HORIZONS = f"""{_ANCHORS}, h AS (SELECT a.*, x.h AS horizon_us, anchor_us + x.h
     (SELECT max(m.us) FROM v_mid m WHERE m.ticker = h.ticker) AS last_us FROM h),
   w AS (SELECT * EXCLUDE last_us, CASE WHEN anchor_us IS NULL THEN 'unresolved' WHEN end_us > last_us THEN 'uncovered' WHEN mid2_start IS NULL OR mid2_end IS NULL THEN 'one_sided' ELSE 'ok' END AS status FROM q),
   n AS (SELECT *, (7 * units * p * (10000 - p) + 9999999999) {{div}} 10000000000 AS fee FROM (SELECT *, CASE taker_side WHEN 'yes' THEN yes_price ELSE 10000 - yes_price END AS p FROM w WHERE status = 'ok')),
-  net AS (SELECT *, units * (mid2_end - mid2_start) * CASE taker_side WHEN 'yes' THEN 1 ELSE -1 END * 50 - 20000 * fee AS net FROM n)"""
+  net AS (SELECT *, units * (mid2_end - mid2_start) * CASE taker_side WHEN 'yes' THEN 1 ELSE -1 END - 40000 * fee AS net FROM n)"""
 
 
 def _prints(spark, sf_dir):
