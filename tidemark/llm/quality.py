@@ -43,7 +43,12 @@ def _features(df: DataFrame) -> DataFrame:
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
     }).drop("lines")
     failed: Column = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return _repeated_words(df).withColumn("base_failed", failed)
+    found = _repeated_words(df).withColumn("base_failed", failed)
+    # A filter on what is found would be pushed down with its whole expression in place of each name, and lambdas would
+    # then evaluate the arrays anew for every element. Nothing is pushed through a generator, even of one row.
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    rest = [c for c in found.columns if c not in names]
+    return found.select(*rest, F.explode(F.array(F.struct(*names))).alias("_found")).select(*rest, "_found.*")
 
 
 def host_rates(judged: DataFrame) -> DataFrame:
