@@ -103,6 +103,20 @@ def convergence_time(locks: DataFrame, quotes: DataFrame, low2: int, hold_us: in
     return found.select("ticker", "lock_us", (F.col("at_us") - F.col("lock_us")).alias("converged_us"))
 
 
+def arrival_delay(readings: DataFrame, strikes: DataFrame) -> DataFrame:
+    """Per strike, the time from when the station's maximum reached it to when a reading that shows it was first seen.
+
+    The first runs on the clock of the readings, the second on that of their arrival; never where none reaches it.
+    """
+    valid = detect_locks(readings, strikes, 0).select("station", "day", "strike", "reading_id")
+    at = readings.select(F.col("id").alias("reading_id"), F.col("valid_us").alias("reached_us"))
+    rows = readings.withColumn("day", F.expr(f"valid_us div {DAY_US}"))
+    arrivals = strikes.join(rows, ["station", "day"]).filter(F.col("tenths") >= F.col("strike")).groupBy("station", "day", "strike").agg(F.min("seen_us").alias("seen_us"))
+    out = valid.join(at, "reading_id", "left").join(arrivals, ["station", "day", "strike"], "left")
+    kind = F.when(F.col("reached_us").isNull(), "never").when(F.col("seen_us") > F.col("reached_us"), "delayed").otherwise("at_once")
+    return out.select("station", "day", "strike", kind.alias("kind"), (F.col("seen_us") - F.col("reached_us")).alias("delay_us"))
+
+
 def post_lock_flow(prints: DataFrame, locks: DataFrame) -> DataFrame:
     """Prints after their ticker's lock by the taker's side: fills, contracts, notional in cents and mean price in ticks."""
     rows = prints.join(locks, "ticker").filter("us > lock_us and taker_side <> ''")

@@ -41,6 +41,16 @@ def ingest_station_csv(lines: DataFrame, column: str) -> DataFrame:
     return rows.select("station", "valid_us", (F.col("_d") * 9 / 5 + 32).cast("decimal(10,2)").alias("temp_f"), (F.col("station").isNull() | F.col("valid_us").isNull()).alias("bad"))
 
 
+def ingest_mos_csv(lines: DataFrame, column: str, keys: list[str], values: list[str]) -> DataFrame:
+    """CSV lines (line, and the column) with keys and then values: one row for each key, the first line's; empty values are null."""
+    parts = F.split(column, ",")
+    named = [F.trim(F.get(parts, F.lit(i))).alias(k) for i, k in enumerate(keys)]
+    rows = lines.select("line", *named, *(F.nullif(F.trim(F.get(parts, F.lit(len(keys) + i))), F.lit("")).alias(v) for i, v in enumerate(values)))
+    rows = rows.withColumns({v: F.expr(f"try_cast({v} as decimal(10,2))") for v in values})
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("line"))
+    return rows.withColumn("_n", rank).filter("_n = 1").select(*keys, *values, "line")
+
+
 def metar_tenths(raw: Column) -> Column:
     """Temperature in tenths of a degree Celsius from a report's T group; null without one."""
     sign, digits = F.regexp_extract(raw, r"\bT([01])(\d{3})[01]\d{3}\b", 1), F.regexp_extract(raw, r"\bT([01])(\d{3})[01]\d{3}\b", 2)

@@ -205,3 +205,9 @@ def settle_trades(spark, sf_dir):
   SELECT station, day, n, digest, official IS NULL AS missing FROM g LEFT JOIN (SELECT * FROM v_days WHERE official % 3 <> 0) USING (station, day)""")
 def observation_sidecar(spark, sf_dir):
     return op.observation_sidecar(view(spark, sf_dir, "v_obs"), view(spark, sf_dir, "v_days").filter("official % 3 <> 0"))
+
+
+@query("arrival_delay", """WITH x AS (SELECT s.station, s.day, s.strike, min(valid_us) AS reached_us, min(seen_us) AS seen_us FROM v_strikes s LEFT JOIN v_obs o ON o.station = s.station AND valid_us {div} 86400000000 = s.day AND tenths >= strike GROUP BY ALL)
+  SELECT station, day, strike, CASE WHEN reached_us IS NULL THEN 'never' WHEN seen_us > reached_us THEN 'delayed' ELSE 'at_once' END AS kind, seen_us - reached_us AS delay_us FROM x""")
+def arrival_delay(spark, sf_dir):
+    return op.arrival_delay(view(spark, sf_dir, "v_obs"), view(spark, sf_dir, "v_strikes"))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import ingest as op
 from tidemark.queries import query
 from tidemark.sources.adapters import table, view
+from tidemark.streaming import shared_folder
 
 
 @query("ingest_markets", "SELECT p_partkey, p_name, CAST(p_size AS DECIMAL(18,2)) / 100 AS p_size FROM part WHERE p_brand LIKE 'Brand#1%' OR p_brand LIKE 'Brand#3%'")
@@ -36,7 +37,7 @@ def ingest_station_csv(spark, sf_dir):
     return op.ingest_station_csv(lines, "line").withColumn("temp_f", F.col("temp_f").cast("double"))
 
 
-@query("ingest_metar", "SELECT event_id AS id, CASE WHEN k % 5 = 0 THEN (k % 40) * 10 ELSE (c % 400) * CASE WHEN k % 2 = 1 THEN -1 ELSE 1 END END AS tenths, k % 9 = 0 AS is_special FROM ev")
+@query("ingest_metar_json", "SELECT event_id AS id, CASE WHEN k % 5 = 0 THEN (k % 40) * 10 ELSE (c % 400) * CASE WHEN k % 2 = 1 THEN -1 ELSE 1 END END AS tenths, k % 9 = 0 AS is_special FROM ev")
 def ingest_metar(spark, sf_dir):
     group = F.when(F.col("k") % 5 == 0, "").otherwise(F.concat(F.lit(" T"), (F.col("k") % 2).cast("string"), F.lpad((F.col("c") % 400).cast("string"), 3, "0"), F.lit("0123")))
     raw = F.concat(F.when(F.col("k") % 9 == 0, "SPECI KNYC").otherwise("METAR KNYC"), group, F.lit(" A3001"))
@@ -106,3 +107,24 @@ def freeze_digest(spark, sf_dir):
 def read_window(spark, sf_dir):
     tape = view(spark, sf_dir, "v_tape").withColumn("day", F.expr("us div 86400000000"))
     return op.read_window(tape, "day", "us", 1_705_000_000_000_000, 1_705_600_000_000_000).drop("day")
+
+
+@query("ingest_mos_csv", """WITH r AS (SELECT concat('R', us {div} 86400000000) AS runtime, concat('F', k % 24) AS ftime, CASE WHEN c % 4 = 0 THEN NULL ELSE (c % 100)::DOUBLE END AS tmp, event_id AS line FROM ev)
+  SELECT runtime, ftime, tmp, line FROM (SELECT *, row_number() OVER (PARTITION BY runtime, ftime ORDER BY line) AS rn FROM r) WHERE rn = 1""")
+def ingest_mos_csv(spark, sf_dir):
+    value = F.when(F.col("c") % 4 == 0, "").otherwise((F.col("c") % 100).cast("string"))
+    lines = view(spark, sf_dir, "ev").select(F.col("event_id").alias("line"), F.concat_ws(",", F.concat(F.lit("R"), F.expr("us div 86400000000")), F.concat(F.lit("F"), F.col("k") % 24), value).alias("csv"))
+    return op.ingest_mos_csv(lines, "csv", ["runtime", "ftime"], ["tmp"]).withColumn("tmp", F.col("tmp").cast("double"))
+
+
+@query("partitioned_sink", "SELECT side, count(*) AS n_rows, min(id) AS first_id, sum(size)::BIGINT AS size FROM v_tape GROUP BY side")
+def partitioned_sink(spark, sf_dir):
+    path = f"{shared_folder(spark)}/tape"
+    op.partitioned_sink(view(spark, sf_dir, "v_tape"), path, ["side"], "id")
+    return spark.read.parquet(path).groupBy("side").agg(F.count("*").alias("n_rows"), F.min("id").alias("first_id"), F.sum("size").alias("size"))
+
+
+@query("freeze_parquet", "SELECT count(*) AS n_rows, bit_xor(('0x' || substr(md5(concat_ws('|', id, station, tenths, valid_us)), 1, 15))::BIGINT) AS digest FROM v_obs")
+def freeze_parquet(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_obs").select("id", "station", "valid_us", "tenths")
+    return op.freeze(rows, f"{shared_folder(spark)}/frozen").select("n_rows", "digest")

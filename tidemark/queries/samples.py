@@ -34,7 +34,7 @@ def class_highs(spark, sf_dir):
     return op.class_highs(hourly, 24)
 
 
-@query("lead_panel", """WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS leg_id, max(o) AS o, max(CASE WHEN lead % 2 = 0 THEN p END) AS a, max(p / 2) AS b, max(CASE WHEN lead % 3 > 0 THEN 1 - p END) AS c FROM v_scored GROUP BY 1),
+@query("lead_run", """WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS leg_id, max(o) AS o, max(CASE WHEN lead % 2 = 0 THEN p END) AS a, max(p / 2) AS b, max(CASE WHEN lead % 3 > 0 THEN 1 - p END) AS c FROM v_scored GROUP BY 1),
   u AS (SELECT 'a' AS member, a AS p, o, a IS NOT NULL AND c IS NOT NULL AS whole FROM b UNION ALL SELECT 'b', b, o, a IS NOT NULL AND c IS NOT NULL FROM b UNION ALL SELECT 'c', c, o, a IS NOT NULL AND c IS NOT NULL FROM b UNION ALL SELECT 'blend', a * 0.5 + b * 0.3 + c * 0.2, o, a IS NOT NULL AND c IS NOT NULL FROM b)
   SELECT member, count(p) AS legs, count(*) FILTER (whole) AS blendable, round(avg(CASE WHEN whole THEN (p - o) * (p - o) END), 9) AS brier FROM u GROUP BY member""")
 def lead_panel(spark, sf_dir):

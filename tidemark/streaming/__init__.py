@@ -104,6 +104,26 @@ def late_rows(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("ticker").applyInPandasWithState(_late, "ticker string, n_rows long, late long", "most long, n_rows long, late long", "update", GroupStateTimeout.NoTimeout)
 
 
+def _stale(stale_us: int, most_gaps: int):
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, gaps = state.get if state.exists else (None, 0)
+        out = []
+        for r in pd.concat(list(parts)).sort_values("us").itertuples():
+            late, many = last is not None and r.us - last > stale_us, r.gaps - gaps > most_gaps
+            if late or many:
+                out.append((key[0], r.us, "both" if late and many else "stale" if late else "gaps"))
+            last, gaps = int(r.us), int(r.gaps)
+        state.update((last, gaps))
+        yield pd.DataFrame(out, columns=["stream", "us", "alarm"])
+
+    return run
+
+
+def stream_stale_alarm(beats: DataFrame, stale_us: int, most_gaps: int) -> DataFrame:
+    """Beats (stream, us, gaps) that come late after the one before, or with too many new gaps."""
+    return beats.groupBy("stream").applyInPandasWithState(_stale(stale_us, most_gaps), "stream string, us long, alarm string", "last long, gaps long", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_update(stream: DataFrame, key: str, newest: str) -> DataFrame:
     """Runs an update stream over what is there now and keeps each key's last row, by the column that only grows."""
     spark, path = stream.sparkSession, shared_folder(stream.sparkSession)
