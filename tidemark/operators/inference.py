@@ -18,10 +18,8 @@ def numbered(clusters: DataFrame, order: list[str]) -> DataFrame:
 
 def resampled(clusters: DataFrame, order: list[str], seed: int, replicates: int) -> DataFrame:
     """Clusters as each replicate draws them, with replacement: rep, multiplicity and the cluster's columns."""
-    places = numbered(clusters, order)
-    reps = clusters.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-    size = places.agg(F.max("n").alias("n"))
-    draws = reps.join(F.broadcast(size)).select("rep", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    places, n = numbered(clusters, order), clusters.count()
+    draws = clusters.sparkSession.range(replicates * n).select(F.expr(f"id div {max(n, 1)}").alias("rep"), (F.col("id") % max(n, 1)).alias("k"), F.lit(n).alias("n"))
     picks = draws.select("rep", (draw(seed, "rep", "k") % F.col("n")).alias("i")).groupBy("rep", "i").agg(F.count("*").alias("times"))
     return picks.join(places.drop("n"), "i")
 
@@ -64,8 +62,7 @@ def wild_cluster_bootstrap(blocks: DataFrame, order: list[str], seed: int, repli
     """
     rows = numbered(blocks, order)
     point = rows.agg((F.sum("total") / F.sum("weight")).alias("estimate"), F.sqrt(F.sum(F.col("total") * F.col("total"))).alias("scale"), F.sum("total").alias("sum"))
-    reps = blocks.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-    flips = rows.select("i", "total").withColumn("_k", F.lit(1)).join(reps.withColumn("_k", F.lit(1)), "_k").withColumn("sign", F.when(draw(seed, "rep", "i") % 2 == 0, 1).otherwise(-1))
+    flips = rows.select("i", "total", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("sign", F.when(draw(seed, "rep", "i") % 2 == 0, 1).otherwise(-1))
     each = flips.groupBy("rep").agg(F.abs(F.sum(F.col("sign") * F.col("total"))).alias("t"))
     out = each.join(F.broadcast(point)).groupBy("estimate", "scale", "sum").agg(F.count_if((F.col("scale") == 0) | (F.col("t") >= F.abs("sum"))).alias("extreme"))
     return out.select(F.round("estimate", 6).alias("estimate"), F.round(F.when(F.col("scale") > 0, F.abs("sum") / F.col("scale")), 6).alias("t"), F.round((1 + F.col("extreme")) / F.lit(replicates + 1), 9).alias("p_value"))
