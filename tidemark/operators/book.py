@@ -126,7 +126,7 @@ def replay_parity(touch: DataFrame, state: DataFrame) -> DataFrame:
 def sample_points(tape: DataFrame, every: int) -> DataFrame:
     """Evenly spaced rows of every ticker, by its row numbers, and the number of rows it has."""
     own = Window.partitionBy("ticker")
-    ranked = tape.withColumn("rank", F.row_number().over(own.orderBy("id"))).withColumn("n_rows", F.count("*").over(own))
+    ranked = tape.withColumn("rank", F.row_number().over(own.orderBy("id")).cast("long")).withColumn("n_rows", F.count("*").over(own))
     return ranked.filter(F.col("rank") % every == 0).select("id", "ticker", "us", "rank", "n_rows")
 
 

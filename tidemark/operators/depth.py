@@ -113,7 +113,7 @@ def ladder_build(tickers: DataFrame, group: Column, seats: int) -> DataFrame:
     """The first seats tickers of every group, by name, of groups that have that many: grp, ticker, seat."""
     own = Window.partitionBy("grp")
     rows = tickers.select("ticker").distinct().withColumn("grp", group)
-    return rows.withColumn("seat", F.row_number().over(own.orderBy("ticker")) - 1).withColumn("n", F.count("*").over(own)).filter((F.col("n") >= seats) & (F.col("seat") < seats)).drop("n")
+    return rows.withColumn("seat", (F.row_number().over(own.orderBy("ticker")) - 1).cast("long")).withColumn("n", F.count("*").over(own)).filter((F.col("n") >= seats) & (F.col("seat") < seats)).drop("n")
 
 
 def arb_episodes(matrix: DataFrame, magnitude: Column, depth: Column) -> DataFrame:

@@ -53,7 +53,7 @@ def bracket_probability(spark, sf_dir):
     return _members(spark, sf_dir).select("vec_id", *(F.round(op.bracket_probability("members", k, a, b, 0.1), 9).alias(f"rung_{i}") for i, (k, a, b) in enumerate(_RUNGS)))
 
 
-@query("ladder_sum", "SELECT vec_id, 1.0::DOUBLE AS total, 4 AS rungs, true AS sound FROM embeddings")
+@query("ladder_sum", "SELECT vec_id, 1.0::DOUBLE AS total, 4::BIGINT AS rungs, true AS sound FROM embeddings")
 def ladder_sum(spark, sf_dir):
     rows = _members(spark, sf_dir).select("vec_id", F.explode(F.array(*(op.bracket_probability("members", k, a, b, 0.1) for k, a, b in _RUNGS))).alias("p"))
     return op.ladder_sum(rows, "vec_id").withColumn("total", F.round("total", 9))
