@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,14 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, which is a checkpoint, as the broadcast side of a join if it has no more than most rows, else as it is.
+
+    Beyond that the join shuffles, and its skewed partitions split, as both sides are exchanged for it.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session, for explicit repartitioning."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._columns import word_count
-from tidemark.llm._spark import keep
+from tidemark.llm._spark import keep, small_side
 
 #: Bits of the hash, bits that one histogram resolves, and histograms.
 BITS, STEP, LEVELS = 60, 12, 3
@@ -58,7 +58,7 @@ def _plan(base: DataFrame, weights: tuple[int, ...], limit: int) -> DataFrame:
     bound, cells = plan.select("key", "left"), first.select("key", "cell", "words")
     for level in range(1, LEVELS + 1):
         if level > 1:
-            cells = base.join(bound.withColumnRenamed("cell", "within"), "key").filter(F.shiftright("hash", BITS - STEP * (level - 1)) == F.col("within"))
+            cells = base.join(small_side(bound).withColumnRenamed("cell", "within"), "key").filter(F.shiftright("hash", BITS - STEP * (level - 1)) == F.col("within"))
             cells = cells.groupBy("key", F.shiftright("hash", BITS - STEP * level).alias("cell")).agg(F.sum("size").alias("words"))
         upto = F.sum("words").over(Window.partitionBy("key").orderBy("cell"))
         found = cells.withColumn("upto", upto).join(bound.select("key", "left"), "key").filter(F.col("upto") > F.col("left"))
@@ -84,7 +84,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: in
     fate. Other columns are ignored; an empty table gives an empty result; reruns agree.
     """
     base = keep(_base(docs))
-    return base.join(_plan(base, weights, limit), "key").withColumn("copies", _copies()).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return base.join(small_side(_plan(base, weights, limit)), "key").withColumn("copies", _copies()).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3) -> DataFrame:
@@ -96,7 +96,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit
     plan = _plan(keep(_base(docs).select("doc_id", "key", "source", "size", "hash")), weights, limit)
     rows = docs.select(F.struct(*names).alias("_row"), "doc_id", "source", "text")
     whole = rows.select("_row", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), document_hash(F.col("doc_id"), F.col("text")).alias("hash"))
-    copies = whole.join(plan, "key").select("_row", _copies().alias("n")).filter("n > 0")
+    copies = whole.join(small_side(plan), "key").select("_row", _copies().alias("n")).filter("n > 0")
     return copies.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("_copy")).select("_row.*")
 
 

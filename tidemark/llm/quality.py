@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._columns import BLANK_CLASS, BLANKS, word_list
-from tidemark.llm._spark import keep
+from tidemark.llm._spark import keep, small_side
 
 SYMBOLS = "#*$%&|<>"
 #: Fewest words, and the highest percentage of words in repeated three-word windows.
@@ -69,7 +69,7 @@ def _with_verdict(judged: DataFrame, rates: DataFrame, limit: float) -> DataFram
     """Adds kept. Rows without a host meet no rate; their join keys are spread."""
     key = F.coalesce(F.concat(F.lit("="), "host"), F.concat(F.lit("-"), F.pmod(F.xxhash64("doc_id"), F.lit(1000)).cast("string")))
     bad = keep(rates.filter(F.col("rate") > limit).select(F.concat(F.lit("="), "host").alias("key"), F.lit(True).alias("bad")))
-    return judged.withColumn("key", key).join(bad, "key", "left").withColumn("kept", ~F.col("base_failed") & F.col("bad").isNull()).drop("key", "bad", "host")
+    return judged.withColumn("key", key).join(small_side(bad), "key", "left").withColumn("kept", ~F.col("base_failed") & F.col("bad").isNull()).drop("key", "bad", "host")
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

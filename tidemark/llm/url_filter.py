@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._columns import lower_ascii
-from tidemark.llm._spark import keep
+from tidemark.llm._spark import keep, small_side
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Share of a score that is passed on, and rounds of passing.
@@ -78,7 +78,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, lim
     scores = spread(host_links(parsed), seeds)
     by_host = scores.groupBy("host").agg(*(F.coalesce(F.max(F.when(F.col("kind") == k, F.col("received"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
     bad = keep(by_host.filter((F.col("distrust") >= limit) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("judged")))
-    rows = ruled.drop("html").join(bad, "host", "left")
+    rows = ruled.drop("html").join(small_side(bad), "host", "left")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", "judged", F.lit("allow")).alias("verdict"))
 
 
