@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._words import Words, pieces, words
 
 #: Tokens and documents of a pool, and words whose ids a worker remembers.
-POOL_TOKENS, POOL_DOCUMENTS, REMEMBERED = 2_000_000, 16_384, 600_000
+POOL_TOKENS, POOL_DOCUMENTS, REMEMBERED = 2_000_000, 16_384, 250_000
 
 # Letters, digits and other ASCII signs; 0 is what may join with its neighbours: apostrophes and most of what isn't ASCII.
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -203,6 +203,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end
                 yield packer.batch()
         packer.pack()
         packer.finish()
+        tokenizer(tokenizer_path).known.clear()  # workers live on, and other stages need the memory
         if packer.rows:
             yield packer.batch()
 
