@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._words import Words, pieces, words
 
 #: Tokens and documents of a pool, and words whose ids a worker remembers.
-POOL_TOKENS, POOL_DOCUMENTS, REMEMBERED = 2_000_000, 16_384, 250_000
+POOL_TOKENS, POOL_DOCUMENTS, REMEMBERED = 2_000_000, 16_384, 600_000
 
 # Letters, digits and other ASCII signs; 0 is what may join with its neighbours: apostrophes and most of what isn't ASCII.
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -177,9 +177,10 @@ class _Packer:
         return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, want_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, want_ids: bool = False, forget: bool = False) -> DataFrame:
     """Pieces of packed sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with want_ids
-    the piece's ids as little-endian unsigned 32-bit integers.
+    the piece's ids as little-endian unsigned 32-bit integers. forget clears the ids that a Python worker remembers at
+    the end of each task, for jobs whose other stages need the memory; it changes no results.
 
     docs: doc_id, text. A document is its token ids and end_id; each lies in exactly one piece. Sequences have window
     tokens; the last few of a Spark partition have a power of two. A null or empty text is end_id alone. Repeated
@@ -203,7 +204,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end
                 yield packer.batch()
         packer.pack()
         packer.finish()
-        tokenizer(tokenizer_path).known.clear()  # workers live on, and other stages need the memory
+        if forget:
+            tokenizer(tokenizer_path).known.clear()
         if packer.rows:
             yield packer.batch()
 
