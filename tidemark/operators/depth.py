@@ -109,11 +109,14 @@ def ladder_state_matrix(quotes: DataFrame, legs: DataFrame, seats: int) -> DataF
     return known.filter(" and ".join(f"bid_{i} is not null" for i in range(seats)))
 
 
-def ladder_build(tickers: DataFrame, group: Column, seats: int) -> DataFrame:
-    """The first seats tickers of every group, by name, of groups that have that many: grp, ticker, seat."""
+def ladder_build(tickers: DataFrame, group: Column, seats: int, exact: bool = False) -> DataFrame:
+    """The first seats tickers of every group, by name, of groups that have that many: grp, ticker, seat.
+
+    With exact, only groups of just that many: then no ticker of a group is left out.
+    """
     own = Window.partitionBy("grp")
     rows = tickers.select("ticker").distinct().withColumn("grp", group)
-    return rows.withColumn("seat", (F.row_number().over(own.orderBy("ticker")) - 1).cast("long")).withColumn("n", F.count("*").over(own)).filter((F.col("n") >= seats) & (F.col("seat") < seats)).drop("n")
+    return rows.withColumn("seat", (F.row_number().over(own.orderBy("ticker")) - 1).cast("long")).withColumn("n", F.count("*").over(own)).filter(F.col("n") == seats if exact else (F.col("n") >= seats) & (F.col("seat") < seats)).drop("n")
 
 
 def arb_episodes(matrix: DataFrame, magnitude: Column, depth: Column) -> DataFrame:

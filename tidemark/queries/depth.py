@@ -95,6 +95,39 @@ def arb_episodes(spark, sf_dir):
 def episode_summary(spark, sf_dir):
     return op.episode_summary(_episodes(spark, sf_dir), HOUR)
 
+#: The ladder queries above seat three tickers of each of 20 groups; these seat every ticker, three to a group.
+_WHOLE = (_GROUPS, _GROUPS.replace("% 20", "{div} 3")), ("n >= 3 AND seat < 3", "n = 3")
+
+def _whole_sql(text):
+    for old, new in _WHOLE:
+        text = text.replace(old, new)
+    return text
+
+def _whole_legs(spark, sf_dir):
+    return op.ladder_build(view(spark, sf_dir, "v_touch"), F.expr("CAST(substr(ticker, 2) AS BIGINT) div 3"), 3, exact=True)
+
+def _whole_matrix(spark, sf_dir):
+    return op.ladder_state_matrix(view(spark, sf_dir, "v_touch"), _whole_legs(spark, sf_dir), 3)
+
+def _whole_episodes(spark, sf_dir):
+    return op.arb_episodes(_whole_matrix(spark, sf_dir), F.col("bid_0") + F.col("bid_1") + F.col("bid_2") - 10_000, F.least("size_0", "size_1", "size_2"))
+
+@query("ladder_build_whole", _whole_sql(f"WITH {_MATRIX} SELECT grp, ticker, seat FROM lg WHERE n >= 3 AND seat < 3"))
+def ladder_build_whole(spark, sf_dir):
+    return _whole_legs(spark, sf_dir)
+
+@query("ladder_state_matrix_whole", _whole_sql(f"WITH {_MATRIX} SELECT * FROM mx"))
+def ladder_state_matrix_whole(spark, sf_dir):
+    return _whole_matrix(spark, sf_dir)
+
+@query("arb_episodes_whole", _whole_sql(f"WITH {_EPISODES} SELECT * FROM epi"))
+def arb_episodes_whole(spark, sf_dir):
+    return _whole_episodes(spark, sf_dir)
+
+@query("episode_summary_whole", _whole_sql(f"WITH {_EPISODES} SELECT count(*) AS found, count(*) FILTER (end_us - start_us >= 3600000000) AS tradeable, count(*) FILTER (end_us IS NULL) AS censored, min(magnitude) AS least, quantile_disc(magnitude, 0.5) AS p50, quantile_disc(magnitude, 0.9) AS p90, max(magnitude) AS most FROM epi"))
+def episode_summary_whole(spark, sf_dir):
+    return op.episode_summary(_whole_episodes(spark, sf_dir), HOUR)
+
 _CROSSINGS = """rk AS (SELECT ticker, id, us, mid2, row_number() OVER (PARTITION BY ticker ORDER BY us, id) AS n FROM v_mid WHERE mid2 IS NOT NULL),
   pr AS (SELECT a.ticker, a.n AS i, b.n AS j, a.id AS anchor_id, b.id AS crossing_id, b.us, CASE WHEN b.mid2 > a.mid2 THEN 1 ELSE -1 END AS direction FROM rk a JOIN rk b ON a.ticker = b.ticker AND b.n > a.n AND b.us - a.us <= 86400000000 AND abs(b.mid2 - a.mid2) >= 2000),
   cr AS (SELECT DISTINCT ticker, 0::BIGINT AS upto, NULL::BIGINT AS anchor_id, NULL::BIGINT AS crossing_id, NULL::BIGINT AS us, NULL::INT AS direction FROM rk UNION ALL
