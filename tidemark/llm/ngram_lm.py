@@ -1,37 +1,41 @@
 """Bigram language model in a log-frequency Bloom filter.
 
-Counting: every task counts its tokens and token pairs and sends the counts, packed by segment of the hash, to the
-task that owns the segment. Storing: a count c becomes the level 1 + floor(log_BASE c), and an n-gram of level q is
-put into the filter q times, once for each level up to q. Every n-gram's bits lie in the filter segment of its hash,
-so the tasks that hold the counts build the filter without another shuffle. Scoring: workers probe the broadcast
-filter for levels 1, 2, ... until one is missing, which gives the quantised count; the probability of a token is
-interpolated between its share of the pairs after the token before and its smoothed share of all tokens.
-
-The filter has a size bound: all tokens are in it, and pairs from the lowest level (of count 2 at least) from which
-they fit. The exact counts that base scores need are broadcast for frequent tokens, also up to a bound, and joined
-for the rest.
+Chunks: documents are dealt to chunks of bounded size by a hash of their row, so a chunk can be made again. Counting:
+every chunk sends its distinct tokens and token pairs, with their counts in training documents, packed by segment of the
+hash, to the task that owns the segment. Storing: a count c becomes the level 1 + floor(log_BASE c), and an n-gram of
+level q is put into the segment's filter q times, once for each level up to q. The filter is as large as its entries
+ask for, and pairs of every count are in it. Answers: the segment probes its filter for levels 1, 2, ... until one is
+missing, which gives the quantised count, for all that the chunks sent, and sends levels (of tokens, exact counts as
+well) back in the order of the keys. Scoring: the probability of a token is interpolated between its share of the
+pairs after the token before and its smoothed share of all tokens.
+
+No task and no broadcast holds the whole model: what a task holds is bounded by the sizes of a chunk and of a segment.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._groups import runs
 from tidemark.llm._spark import keep, partitions
-from tidemark.llm._words import MULTIPLIERS, mix, pieces, signed, words
+from tidemark.llm._words import MULTIPLIERS, mix, pieces, words
 
 BASE = 1.5
 #: Weight of the pair model; bits for every n-gram and level; probes of each.
 PAIR_WEIGHT, BITS_EACH, PROBES = 0.5, 10, 4
-#: Bounds of the broadcasts: bits of the filter, and frequent tokens with exact counts.
-FILTER_BITS, FREQUENT = 1 << 29, 1 << 19
-#: Tokens that a task counts before it sends; levels that a count can have.
-TOKENS_HELD, LEVELS = 1_000_000, 110
+#: Without effect since exact counts come with the answers; kept for those who set it.
+FREQUENT = 1 << 19
+#: Bytes of text in a chunk, and for which a segment is owned, in the mean; least bits of a segment.
+CHUNK, SEGMENT, SEGMENT_BITS = 12 << 20, 16 << 20, 10
+#: Levels that a count can have.
+LEVELS = 110
 END = np.uint64(0x6A09E667F3BCC909)
 TOKEN, PAIR = 1, 2
 _LOG = np.log(BASE)
@@ -70,6 +74,8 @@ def _pairs(tokens: np.ndarray) -> np.ndarray:
 
 
 def _segment(keys: np.ndarray, bits: int) -> np.ndarray:
+    if not bits:
+        return np.zeros(len(keys), dtype=np.int64)
     return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -77,67 +83,97 @@ def _segment(keys: np.ndarray, bits: int) -> np.ndarray:
 _LOW = np.uint64((1 << 40) - 1)
 
 
-def _count(bits: int):
+def _packed(counts: np.ndarray) -> bytes:
+    """A byte for each count; those from 255 follow at full width."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<i8", -1, n) if len(data) > n else 0
+    return out
+
+
+def _gaps(keys: np.ndarray, width: int) -> bytes:
+    """Sorted keys as gaps, all lowest bytes first: the highest are nearly all 0, which the shuffle's compression takes."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_gaps(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _chunk(group: pa.Table) -> tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]:
+    """Rows of a chunk, their tokens, and how many each row has."""
+    rows, tokens, n = [], [], []
+    for part, data, offsets in pieces(group.combine_chunks().to_batches()):
+        own, first = _tokens(data, offsets)
+        rows.append(part)
+        tokens.append(own)
+        n.append(np.diff(first))
+    return rows, np.concatenate(tokens), np.concatenate(n)
+
+
+def _keys(tokens: np.ndarray, kind: int, bits: int) -> np.ndarray:
+    return tokens if kind == TOKEN else _pairs(tokens) & (_LOW | ~np.uint64((1 << (64 - bits)) - 1))
+
+
+_SENT = "chunk long, kind int, segment int, keys binary, counts binary"
+
+
+def _sent(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for _, data, offsets in pieces(batches):
-            held.append(_tokens(data, offsets)[0])
-            n += len(held[-1])
-            if n >= TOKENS_HELD:
-                yield from send(held)
-                held, n = [], 0
-        if held:
-            yield from send(held)
-
-    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for kind in (TOKEN, PAIR):
-            keys, counts = np.unique(np.concatenate(held if kind == TOKEN else [_pairs(t) for t in held]), return_counts=True)
-            if kind == PAIR:  # a count over 255 takes several entries, and so fits a byte
-                extra = counts // 255
-                keys = np.repeat(keys, extra + 1)
-                whole = np.full(len(keys), 255, dtype=np.int64)
-                last = np.cumsum(extra + 1) - 1
-                whole[last] = counts - 255 * extra
-                counts = whole
-            cut = np.searchsorted(_segment(keys, bits), np.arange((1 << bits) + 1))
-            low = keys & _LOW
-            rows = []
-            for s in np.flatnonzero(np.diff(cut)).tolist():
-                a, b = cut[s], cut[s + 1]
-                if kind == PAIR:
-                    rows.append((kind, s, low[a:b].astype("<u4").tobytes() + (low[a:b] >> np.uint64(32)).astype(np.uint8).tobytes(), counts[a:b].astype(np.uint8).tobytes()))
-                else:
-                    rows.append((kind, s, keys[a:b].astype("<u8").tobytes(), counts[a:b].astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "segment", "keys", "counts"])
+        for group in runs(batches, ["chunk"]):
+            rows, tokens, n = _chunk(group)
+            trains = ~np.concatenate([r.column("held_out").to_numpy(zero_copy_only=False) for r in rows]).astype(bool)
+            trains, chunk = np.repeat(trains, n), group.column("chunk")[0].as_py()
+            for kind in (TOKEN, PAIR):
+                keys, which = np.unique(_keys(tokens, kind, bits), return_inverse=True)
+                counts = np.bincount(which[trains], minlength=len(keys))
+                cut = np.searchsorted(_segment(keys, bits), np.arange((1 << bits) + 1))
+                low, out = keys & _LOW, []
+                for s in np.flatnonzero(np.diff(cut)).tolist():
+                    a, b = cut[s], cut[s + 1]
+                    own = _gaps(keys[a:b], 8) if kind == TOKEN else _gaps(low[a:b], 5)
+                    out.append((chunk, kind, s, own, _packed(counts[a:b])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "kind", "segment", "keys", "counts"])
 
     return run
 
 
-def _summed(bits: int):
+_ANSWERS = "chunk long, kind int, segment int, levels binary, counts binary, total long, distinct long"
+
+
+def _answers(bits: int):
+    """For each chunk the levels of its keys, and for tokens their counts; with chunk -1 the sums of the segment."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["kind", "segment"]):
             kind, segment = group.column("kind")[0].as_py(), group.column("segment")[0].as_py()
             keys, counts = [], []
             for k, c in zip(group.column("keys").to_pylist(), group.column("counts").to_pylist(), strict=True):
-                if kind == PAIR:
-                    n = len(c)
-                    keys.append(np.frombuffer(k, "<u4", n).astype(np.uint64) | np.frombuffer(k, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32) | np.uint64(segment) << np.uint64(64 - bits))
-                    counts.append(np.frombuffer(c, np.uint8).astype(np.int64))
-                else:
-                    keys.append(np.frombuffer(k, "<u8"))
-                    counts.append(np.frombuffer(c, "<u4").astype(np.int64))
-            keys, counts = np.concatenate(keys), np.concatenate(counts)
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            keys, counts = keys[first], np.add.reduceat(counts, first)
-            total, distinct = int(counts.sum()), len(keys)
-            if kind == PAIR:
-                keys, counts = keys[counts > 1], counts[counts > 1]
-            levels = np.bincount(level_of(counts), minlength=LEVELS)
+                keys.append(_from_gaps(k, 8) if kind == TOKEN else _from_gaps(k, 5) | np.uint64(segment) << np.uint64(64 - bits))
+                counts.append(_unpacked(c, len(keys[-1])))
+            cut = np.cumsum([0, *(len(k) for k in keys)])
+            unique, which = np.unique(np.concatenate(keys), return_inverse=True)
+            summed = np.bincount(which, np.concatenate(counts), len(unique)).astype(np.int64)
+            seen = summed > 0
+            stored = level_of(summed[seen])
+            size = 64 * (max(64, BITS_EACH * int(stored.sum())) // 64 + 1)
+            model = Filter(Filter.segment([(kind, unique[seen], stored)], size).reshape(1, -1), 0)
+            levels = model.levels(unique, kind).astype(np.uint8)[which]
+            exact = summed[which]
+            rows = [(-1, b"", b"", int(summed.sum()), int(seen.sum()))]
+            for i, chunk in enumerate(group.column("chunk").to_pylist()):
+                own = slice(cut[i], cut[i + 1])
+                rows.append((chunk, zlib.compress(levels[own].tobytes(), 1), zlib.compress(_packed(exact[own]), 1) if kind == TOKEN else b"", 0, 0))
+            chunk, found, packed, total, distinct = zip(*rows, strict=True)
+            same = np.ones(len(rows), dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([kind], pa.int32()), pa.array([segment], pa.int32()), pa.array([keys.astype("<u8").tobytes()], pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary()), pa.array([levels.tolist()], pa.list_(pa.int64())), pa.array([total]), pa.array([distinct])],
-                ["kind", "segment", "keys", "counts", "levels", "total", "distinct"],
+                [pa.array(chunk, pa.int64()), pa.array(kind * same), pa.array(segment * same), pa.array(found, pa.binary()), pa.array(packed, pa.binary()), pa.array(total, pa.int64()), pa.array(distinct, pa.int64())],
+                ["chunk", "kind", "segment", "levels", "counts", "total", "distinct"],
             )
 
     return run
@@ -182,65 +218,36 @@ class Filter:
         return out
 
 
-def _decoded(group: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    return [(r["kind"], np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["counts"], "<i8")) for r in group.to_pylist()]
-
-
-def _filter_segments(size: int, least: dict[int, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                own = pa.Table.from_batches([batch.slice(i, 1)])
-                found = [(k, keys[level_of(c) >= least[k]], level_of(c[level_of(c) >= least[k]])) for k, keys, c in _decoded(own)]
-                yield pa.RecordBatch.from_arrays([own.column("segment").chunk(0), pa.array([Filter.segment(found, size).tobytes()], pa.binary())], ["segment", "cells"])
-
-    return run
-
+def _answered(group: pa.Table, kind: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Levels and counts of the n keys of a chunk; its rows are sorted by segment, as the keys are."""
+    own = group.filter(pc.equal(group.column("kind"), kind))
+    found = [zlib.decompress(x) for x in own.column("levels").to_pylist()]
+    levels = np.frombuffer(b"".join(found), np.uint8).astype(np.int64)
+    if len(levels) != n:
+        raise RuntimeError(f"a chunk has {n} keys and {len(levels)} answers")
+    counts = [_unpacked(zlib.decompress(c), len(k)) for c, k in zip(own.column("counts").to_pylist(), found, strict=True)] if kind == TOKEN else []
+    return levels, np.concatenate([np.zeros(0, np.int64), *counts])
 
-def _by_frequency(limit: int, frequent: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, keys, counts in _decoded(pa.Table.from_batches([batch])):
-                own = (level_of(counts) >= limit) == frequent
-                yield pa.RecordBatch.from_arrays([signed(keys[own]), pa.array(counts[own])], ["token", "count"])
 
-    return run
+def _scores(bits: int, total: int, distinct: int):
+    whole = total + distinct + 1
 
-
-def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        model, row = shared.value, TaskContext.get().partitionId() << 33
-        lm = Filter(np.frombuffer(model["cells"], np.uint8).reshape(model["shape"]), model["bits"])
-        known, exact, total = np.frombuffer(model["known"], "<u8"), np.frombuffer(model["exact"], "<i8"), model["tokens"]
-        whole = total + model["distinct"] + 1
-        for part, data, offsets in pieces(batches):
-            tokens, first = _tokens(data, offsets)
-            n = np.diff(first)
+        for group in runs(batches, ["chunk"]):
+            rows, tokens, n = _chunk(group.filter(pc.equal(group.column("kind"), 0)).select(["doc_id", "held_out", "text"]))
             document = np.repeat(np.arange(len(n)), n)
             unique, which = np.unique(tokens, return_inverse=True)
-            at = np.minimum(np.searchsorted(known, unique), max(0, len(known) - 1))
-            hit = known[at] == unique if len(known) else np.zeros(len(unique), dtype=bool)
-            counts = np.where(hit, exact[at] if len(known) else 0, 0)
-            base = np.bincount(document, np.log10(counts + 1.0)[which], len(n)) - n * np.log10(float(whole))
-            n_known = np.bincount(document, hit[which], len(n)).astype(np.int64)
-            approx = count_of(lm.levels(unique, TOKEN))
+            levels, exact = _answered(group, TOKEN, len(unique))
+            base = np.bincount(document, np.log10(exact + 1.0)[which], len(n)) - n * np.log10(float(whole))
+            n_known = np.bincount(document, (exact > 0)[which], len(n)).astype(np.int64)
+            approx = count_of(levels)
             single = (approx[which] + 1) / whole
-            ends = np.searchsorted(unique, END)
-            before = np.concatenate([[ends], which[:-1]])
-            pair, place = np.unique(_pairs(tokens) & (_LOW | ~np.uint64((1 << (64 - model["bits"])) - 1)), return_inverse=True)
-            share = np.minimum(count_of(lm.levels(pair, PAIR))[place] / np.maximum(approx[before], 1.0), 1.0)
+            before = np.concatenate([[np.searchsorted(unique, END)], which[:-1]])
+            pair, place = np.unique(_keys(tokens, PAIR, bits), return_inverse=True)
+            share = np.minimum(count_of(_answered(group, PAIR, len(pair))[0])[place] / np.maximum(approx[before], 1.0), 1.0)
             score = np.bincount(document, np.log10(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * single), len(n))
-            rest = np.flatnonzero(~hit[which])
-            code, times = np.unique(document[rest] * len(unique) + which[rest], return_counts=True)
-            cut = np.searchsorted(code // max(1, len(unique)), np.arange(len(n) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row + np.arange(len(n))), part.column("doc_id"), part.column("held_out"), pa.array(n), pa.array(n_known), pa.array(base), pa.array(score),
-                 pa.ListArray.from_arrays(pa.array(cut), signed(unique[code % max(1, len(unique))])), pa.ListArray.from_arrays(pa.array(cut), pa.array(times))],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest", "times"],
-            )
-            row += len(n)
+            own = pa.Table.from_batches(rows).select(["doc_id", "held_out"]).combine_chunks()
+            yield pa.RecordBatch.from_arrays([own.column("doc_id").combine_chunks(), own.column("held_out").combine_chunks(), pa.array(n.astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -252,36 +259,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
     documents whose crc32(doc_id as text) mod 7 is not 2. A null or empty text is one end; a null doc_id trains;
     repeated rows count and are scored each; other columns are ignored; no rows give no rows.
     """
-    context, parts = docs.sparkSession.sparkContext, partitions(docs)
-    bits = max(10, (8 * parts - 1).bit_length())
+    parts = partitions(docs)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out)
-    sent = docs.filter(~F.col("held_out")).select("text").mapInArrow(_count(bits), "kind int, segment int, keys binary, counts binary")
-    counted = keep(sent.repartition(parts, "kind", "segment").sortWithinPartitions("kind", "segment").mapInArrow(_summed(bits), "kind int, segment int, keys binary, counts binary, levels array<long>, total long, distinct long"))
-    sums = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).collect()}
-    levels = np.zeros((3, LEVELS), dtype=np.int64)
-    for r in counted.select("kind", F.posexplode("levels").alias("level", "n")).groupBy("kind", "level").agg(F.sum("n").alias("n")).collect():
-        levels[r["kind"], r["level"]] = r["n"]
-    entries = lambda kind, least: int((levels[kind, least:] * np.arange(least, LEVELS)).sum())
-    least = {TOKEN: 1, PAIR: next(q for q in range(1, LEVELS) if (entries(TOKEN, 1) + entries(PAIR, q)) * BITS_EACH <= FILTER_BITS or q == LEVELS - 1)}
-    whole = min(FILTER_BITS, BITS_EACH * (entries(TOKEN, 1) + entries(PAIR, least[PAIR])))
-    size = 64 * (max(64, -(-whole // (1 << bits))) // 64 + 1)
-    cells = np.zeros((1 << bits, size // 8), dtype=np.uint8)
-    # both kinds of a segment are or-ed together here; the driver holds no more than FILTER_BITS and a little
-    for r in counted.select("kind", "segment", "keys", "counts").mapInArrow(_filter_segments(size, least), "segment int, cells binary").toLocalIterator():
-        cells[r["segment"]] |= np.frombuffer(r["cells"], np.uint8)
-    frequent = next(q for q in range(1, LEVELS) if levels[TOKEN, q:].sum() <= FREQUENT)
-    tokens = counted.filter(F.col("kind") == TOKEN).select("kind", "segment", "keys", "counts")
-    known = tokens.mapInArrow(_by_frequency(frequent, True), "token long, count long").toArrow()
-    keys = known.column("token").to_numpy().view(np.uint64) if known.num_rows else np.zeros(0, np.uint64)
-    order = np.argsort(keys)
-    exact = known.column("count").to_numpy()[order] if known.num_rows else np.zeros(0, np.int64)
-    total = int(sums[TOKEN]["total"]) if TOKEN in sums else 0
-    shared = context.broadcast({"cells": cells.tobytes(), "shape": cells.shape, "bits": bits, "known": keys[order].tobytes(), "exact": exact.tobytes(), "tokens": total, "distinct": int(sums[TOKEN]["distinct"]) if TOKEN in sums else 0})
-    scored = docs.mapInArrow(_scores(shared), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<long>, times array<long>")
-    rare = tokens.mapInArrow(_by_frequency(frequent, False), "token long, count long")
-    own = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-    each = scored.select(*own, F.explode_outer(F.arrays_zip("rest", "times")).alias("x")).select(*own, F.coalesce("x.rest", F.xxhash64("row")).alias("token"), F.coalesce("x.times", F.lit(0)).alias("times"))
-    joined = each.join(rare, "token", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    found = joined.groupBy("row").agg(*(F.first(c).alias(c) for c in own[1:]), F.sum(F.col("times") * F.log10(F.col("count") + 1.0)).alias("more"), F.sum(F.when(F.col("count") > 0, F.col("times")).otherwise(0)).alias("also"))
-    return found.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("also")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("more")).alias("base_score"), "score")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(SEGMENT_BITS, (size // SEGMENT).bit_length())
+    placed = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // CHUNK + 1)))
+    sent = placed.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_sent(bits), _SENT)
+    answers = keep(sent.repartition(parts, "kind", "segment").sortWithinPartitions("kind", "segment").mapInArrow(_answers(bits), _ANSWERS))
+    sums = answers.filter((F.col("chunk") < 0) & (F.col("kind") == TOKEN)).agg(F.sum("total"), F.sum("distinct")).first()
+    total, distinct = int(sums[0] or 0), int(sums[1] or 0)
+    texts = placed.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("segment"), "doc_id", "held_out", "text")
+    met = texts.unionByName(answers.filter("chunk >= 0").select("chunk", "kind", "segment", "levels", "counts"), allowMissingColumns=True)
+    scored = met.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "segment").mapInArrow(_scores(bits, total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
