@@ -31,6 +31,8 @@ SAMPLES = ROWS * BANDS
 SKETCH_WORDS = 4  # of 64 bits
 #: Differing bits up to which two sketches may belong to similar sets.
 SKETCH_LIMIT = 68
+#: Percent of similarity from which bands and sketch limit lose next to nothing.
+LEAST_PERCENT = 85
 #: Members of a bucket, and of a cluster, that one task compares with as many others.
 BLOCK = 1024
 #: Shingles that one block of a cluster holds, in the mean.
@@ -235,8 +237,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
 
     A null or empty text has no shingles and is linked with nothing. Rows that repeat a doc_id are each judged by
     their own text. A row without doc_id takes no part in links and is kept, with a null component. Other columns
-    are ignored; an empty table gives an empty result. Texts are read whole.
+    are ignored; an empty table gives an empty result. Texts are read whole. Below LEAST_PERCENT it raises, as links would
+    be lost.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"bands and sketches are made for {LEAST_PERCENT} percent or more, not {percent}")
     parts = partitions(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiles = keep(docs.mapInArrow(_profiles(shingle), _PROFILE))
