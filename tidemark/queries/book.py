@@ -82,3 +82,10 @@ def book_clear_audit(spark, sf_dir):
 def depth_continuity(spark, sf_dir):
     touch = view(spark, sf_dir, "v_touch")
     return op.depth_continuity(touch.filter("id % 2 = 0"), touch)
+
+
+@query("depth_continuity_whole", """WITH a AS (SELECT *, (SELECT arg_max((b.yes_bid, b.yes_size), (b.us, b.id)) FROM v_touch b WHERE b.ticker = t.ticker AND b.us < t.us) AS x FROM v_touch t)
+  SELECT yes_bid > 0 AS present, count(*) AS n, count(*) FILTER (yes_bid = x[1]) AS price_agree, count(*) FILTER (yes_size = x[2]) AS size_agree, count(*) FILTER (abs(yes_size - x[2]) <= 100) AS within_one, quantile_disc(abs(yes_size - x[2]), 0.5) AS p50_difference FROM a WHERE x IS NOT NULL GROUP BY 1""")
+def depth_continuity_whole(spark, sf_dir):
+    touch = view(spark, sf_dir, "v_touch")
+    return op.depth_continuity(touch, touch)
