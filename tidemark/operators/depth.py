@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import weighted_quantile
+from tidemark.functions import UNITS, fee_cents, weighted_quantile
 from tidemark.plans.asof import asof_join
 from tidemark.plans.intervals import interval_join, islands
 
@@ -134,6 +134,28 @@ def arb_episodes(matrix: DataFrame, magnitude: Column, depth: Column) -> DataFra
     ).select("grp", "start_us", "end_us", "states", "w.*")
 
 
+def worst_states(matrix: DataFrame, magnitude: Column, depth: Column, prices: list[str], persist_us: int, least_depth: int) -> DataFrame:
+    """In each episode, as of arb_episodes, the state with the least excess in cents, the first if tied.
+
+    The excess is the magnitude less the taker fees of all legs at the state's depth and a tick of a cent a leg. An
+    episode is tradeable if it lasts persist_us, its excess is positive and its depth there is least_depth; one that is
+    censored is not.
+    """
+    order = Window.partitionBy("grp").orderBy("us", "id")
+    rows = matrix.withColumns({"magnitude": magnitude, "depth": depth}).withColumn("on", (F.col("magnitude") > 0) & (F.col("depth") > 0)).withColumn("next_us", F.lead("us").over(order))
+    rows = rows.withColumn("was", F.lag("on").over(order))
+    runs = islands(rows, ["grp"], ["us", "id"], F.col("on") & ~F.coalesce("was", F.lit(False))).filter("on")
+    runs = runs.withColumn("fees", sum((fee_cents("depth", p) for p in prices), F.lit(0).cast("long")))
+    # one division of exact integers, so equal excesses tie
+    excess = (F.col("magnitude") * F.col("depth") - UNITS * 100 * F.col("fees") - 100 * len(prices) * F.col("depth")).cast("double") / (100 * F.col("depth")).cast("double")
+    found = runs.withColumn("excess", excess).groupBy("grp", "island").agg(
+        F.min("us").alias("start_us"), F.max_by("next_us", F.struct("us", "id")).alias("end_us"),
+        F.min_by(F.struct("magnitude", "depth", "fees", "excess", F.col("id").alias("state_id")), F.struct("excess", "us", "id")).alias("w"),
+    ).select("grp", "start_us", "end_us", "w.*")
+    held = F.coalesce(F.col("end_us") - F.col("start_us") >= persist_us, F.lit(False))
+    return found.withColumn("tradeable", held & (F.col("excess") > 0) & (F.col("depth") >= least_depth))
+
+
 def episode_summary(episodes: DataFrame, persist_us: int) -> DataFrame:
     """Episodes found, those that lasted long enough, those censored, and nearest-rank quantiles of the largest magnitude."""
     pick = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY magnitude)").cast("long")

@@ -128,6 +128,15 @@ def arb_episodes_whole(spark, sf_dir):
 def episode_summary_whole(spark, sf_dir):
     return op.episode_summary(_whole_episodes(spark, sf_dir), HOUR)
 
+_FEES = " + ".join(f"(7 * depth * bid_{i} * (10000 - bid_{i}) + 9999999999) {{div}} 10000000000" for i in range(3))
+
+@query("worst_state", _whole_sql(f"WITH {_EPISODES}") + f""", fe AS (SELECT *, {_FEES} AS fees FROM on4 WHERE is_on), ex AS (SELECT *, CAST(magnitude * depth - 10000 * fees - 300 * depth AS DOUBLE) / CAST(100 * depth AS DOUBLE) AS excess FROM fe),
+  wo AS (SELECT grp, min(us) AS start_us, (arg_max((next_us, 1), (us, id)))[1] AS end_us, arg_min((magnitude, depth, fees, id), (excess, us, id)) AS s, min(excess) AS excess FROM ex GROUP BY grp, island)
+  SELECT grp, start_us, end_us, s[1] AS magnitude, s[2] AS depth, s[3] AS fees, excess, s[4] AS state_id, coalesce(end_us - start_us >= 3600000000, false) AND excess > 0 AND s[2] >= 1000 AS tradeable FROM wo""")
+def worst_state(spark, sf_dir):
+    sums = F.col("bid_0") + F.col("bid_1") + F.col("bid_2") - 10_000
+    return op.worst_states(_whole_matrix(spark, sf_dir), sums, F.least("size_0", "size_1", "size_2"), ["bid_0", "bid_1", "bid_2"], HOUR, 1_000)
+
 _CROSSINGS = """rk AS (SELECT ticker, id, us, mid2, row_number() OVER (PARTITION BY ticker ORDER BY us, id) AS n FROM v_mid WHERE mid2 IS NOT NULL),
   pr AS (SELECT a.ticker, a.n AS i, b.n AS j, a.id AS anchor_id, b.id AS crossing_id, b.us, CASE WHEN b.mid2 > a.mid2 THEN 1 ELSE -1 END AS direction FROM rk a JOIN rk b ON a.ticker = b.ticker AND b.n > a.n AND b.us - a.us <= 86400000000 AND abs(b.mid2 - a.mid2) >= 2000),
   cr AS (SELECT DISTINCT ticker, 0::BIGINT AS upto, NULL::BIGINT AS anchor_id, NULL::BIGINT AS crossing_id, NULL::BIGINT AS us, NULL::INT AS direction FROM rk UNION ALL
