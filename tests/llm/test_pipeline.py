@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from tests.llm.test_near_dedup import brute
+from tests.llm.test_unique_documents import brute_kept
 from tidemark.llm import mixing, quality, secrets
 
 DATA = "/root/testdata/sf0.001"
@@ -17,8 +17,7 @@ def test_stages_take_effect(spark, tmp_path):
     assert all(x.columns == docs.columns for x in (first, unique, clean, mixed))
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
     assert ids(first) == sorted(r.doc_id for r in quality.judge_quality(docs).filter("kept").collect())
-    groups = brute([(r.doc_id, r.text) for r in first.collect()])
-    assert ids(unique) == sorted(d for d, (_, c) in groups.items() if d == c)
+    assert ids(unique) == brute_kept([(r.doc_id, r.text) for r in first.collect()])
     assert ids(clean) == ids(unique)
     assert secrets.find_secrets(clean).filter("n_assign + n_access + n_hex > 0").count() == 0
     copies = {r.doc_id: r.copies for r in mixing.mix_sources(clean).collect()}
