@@ -15,11 +15,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """A checkpoint of df in the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests, is one made.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a local session, as in tests, gets a
+    temporary one, and a cluster's raises, as its machines share no such folder.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 

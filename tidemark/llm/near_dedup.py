@@ -8,17 +8,18 @@
    spanning forest of the pairs that may be similar, never all pairs. Connected buckets make candidate clusters.
 4. In each cluster the full sets are compared exactly, in blocks of bounded size, again reporting a forest.
 
-A pair at the threshold is missed by the bands with probability (1 - 0.85^4)^26 < 1e-8 and by the sketch filter
-(six standard deviations) with about as little; both shrink quickly above it. What is confirmed is exact.
+A pair at the threshold s is missed by the bands with probability (1 - s^4)^bands, at most MISSED, and by the sketch
+filter (six standard deviations) with about as little; both shrink quickly above it. What is confirmed is exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._components import components
@@ -26,19 +27,30 @@ from tidemark.llm._groups import runs
 from tidemark.llm._spark import keep, partitions
 from tidemark.llm._words import MULTIPLIERS, Words, mix, pieces, signed, windows, words
 
+#: Samples of a band, and bands: 26 are enough from 85 percent, 35 from 80.
 ROWS, BANDS = 4, 26
-SAMPLES = ROWS * BANDS
 SKETCH_WORDS = 4  # of 64 bits
-#: Differing bits up to which two sketches may belong to similar sets.
-SKETCH_LIMIT = 68
-#: Percent of similarity from which bands and sketch limit lose next to nothing.
-LEAST_PERCENT = 85
+#: Highest probability with which the bands may miss a pair at the threshold.
+MISSED = 1e-8
 #: Members of a bucket, and of a cluster, that one task compares with as many others.
 BLOCK = 1024
 #: Shingles that one block of a cluster holds, in the mean.
 BLOCK_SHINGLES = 1_000_000
 
-_PROFILE = "doc_id long, n_shingles long, fp1 long, fp2 long, sketch binary, bands array<long>"
+_PROFILE = "doc_id long, hash long, n_shingles long, fp1 long, fp2 long, sketch binary, bands array<long>"
+
+
+def sketch_limit(percent: int, bands: int) -> int:
+    """Differing bits up to which two sketches may belong to sets of that similarity: six standard deviations.
+
+    Each sample differs with probability 1 - percent / 100, and one that does flips two of the bits.
+    """
+    bits, samples, apart = 64 * SKETCH_WORDS, ROWS * bands, 1 - percent / 100
+    flips = 2 * samples * apart
+    left = math.exp(-2 * flips / bits)  # share of bits whose parity is still known
+    samples_vary = 2 * left * math.sqrt(samples * apart * (1 - apart))
+    parities_vary = bits / 4 * (1 - left**2) - flips * left**2
+    return math.ceil(bits / 2 * (1 - left) + 6 * math.sqrt(samples_vary**2 + max(parities_vary, 0.0))) + 3
 
 
 def shingle_sets(w: Words, size: int) -> list[np.ndarray]:
@@ -58,23 +70,23 @@ def _fingerprints(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
     return tuple(mix(np.add.reduceat(mix(flat ^ MULTIPLIERS[i]), first)) for i in (300, 301))
 
 
-def _samples(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
-    out = np.empty((SAMPLES, len(first)), dtype=np.uint64)
-    for i in range(SAMPLES):
-        out[i] = np.minimum.reduceat(flat * MULTIPLIERS[i] + MULTIPLIERS[i + SAMPLES], first)
+def _samples(flat: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    out = np.empty((n, len(first)), dtype=np.uint64)
+    for i in range(n):
+        out[i] = np.minimum.reduceat(flat * MULTIPLIERS[i] + MULTIPLIERS[i + n], first)
     return out
 
 
 def _sketches(samples: np.ndarray) -> np.ndarray:
     n = samples.shape[1]
     out, rows = np.zeros((n, SKETCH_WORDS), dtype=np.uint64), np.arange(n)
-    for i in range(SAMPLES):
+    for i in range(len(samples)):
         bit = mix(samples[i] + MULTIPLIERS[i]) & np.uint64(64 * SKETCH_WORDS - 1)
         out[rows, (bit >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit & np.uint64(63))
     return out
 
 
-def _profiles(size: int):
+def _profiles(size: int, n_bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in pieces(batches):
             sets = shingle_sets(words(data, offsets, lower=True), size)
@@ -86,16 +98,16 @@ def _profiles(size: int):
                 flat = np.concatenate([sets[i] for i in full])
                 first = np.concatenate([[0], np.cumsum(n[full])[:-1]])
                 fp1[full], fp2[full] = _fingerprints(flat, first)
-                samples = _samples(flat, first)
-                keys = np.stack([mix(sum(samples[b * ROWS + r] * MULTIPLIERS[400 + r] for r in range(ROWS)) + MULTIPLIERS[b]) for b in range(BANDS)], axis=1).view(np.int64)
+                samples = _samples(flat, first, ROWS * n_bands)
+                keys = np.stack([mix(sum(samples[b * ROWS + r] * MULTIPLIERS[400 + r] for r in range(ROWS)) + MULTIPLIERS[b]) for b in range(n_bands)], axis=1).view(np.int64)
                 for i, s, k in zip(full.tolist(), _sketches(samples), keys, strict=True):
                     sketch[i], bands[i] = s.tobytes(), k
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n), signed(fp1), signed(fp2), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp1", "fp2", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), pa.array(n), signed(fp1), signed(fp2), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "hash", "n_shingles", "fp1", "fp2", "sketch", "bands"])
 
     return run
 
 
-def _bucket_links(ids: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+def _bucket_links(ids: np.ndarray, sketches: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """A spanning forest of the members whose sketches are near."""
     n = len(ids)
     label = np.arange(n)
@@ -104,7 +116,7 @@ def _bucket_links(ids: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]
         gap = np.zeros((len(block), n), dtype=np.uint16)
         for k in range(sketches.shape[1]):
             gap += np.bitwise_count(block[:, k, None] ^ sketches[None, :, k])
-        near = gap <= SKETCH_LIMIT
+        near = gap <= limit
         for i in range(len(block)):
             own = np.unique(label[near[i]])
             if len(own) > 1:
@@ -121,18 +133,21 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
 
 
-def _candidate_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pairs: list[tuple[int, int]] = []
-    for group in runs(batches, ["bucket", "tile"]):
-        if group.num_rows > 1:
-            ids = group.column("doc_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            pairs += _bucket_links(ids[order], _matrix(group.column("sketch"), SKETCH_WORDS)[order])
-        if len(pairs) >= 10_000:
+def _candidate_links(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: list[tuple[int, int]] = []
+        for group in runs(batches, ["bucket", "tile"]):
+            if group.num_rows > 1:
+                ids = group.column("node").to_numpy()
+                order = np.argsort(ids, kind="stable")
+                pairs += _bucket_links(ids[order], _matrix(group.column("sketch"), SKETCH_WORDS)[order], limit)
+            if len(pairs) >= 10_000:
+                yield _edges(sorted(set(pairs)))
+                pairs = []
+        if pairs:
             yield _edges(sorted(set(pairs)))
-            pairs = []
-    if pairs:
-        yield _edges(sorted(set(pairs)))
+
+    return run
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -182,11 +197,11 @@ def _confirmed(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tu
 def _confirmed_links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["cluster", "tile"]):
-            ids, (data, offsets) = group.column("doc_id").to_numpy(), _binary(group.column("shingles"))
+            ids, at = np.unique(group.column("node").to_numpy(), return_index=True)  # repeated rows may send a set from several tasks
             if len(ids) < 2:
                 continue
-            order = np.argsort(ids, kind="stable")
-            pairs = _confirmed(ids[order], [data[offsets[i] : offsets[i + 1]] for i in order], percent)
+            data, offsets = _binary(group.column("shingles"))
+            pairs = _confirmed(ids, [data[offsets[i] : offsets[i + 1]] for i in at], percent)
             if pairs:
                 yield _edges(pairs)
 
@@ -199,7 +214,10 @@ def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _own_sets(size: int):
+    """The sets of representatives, of rows that repeat one wholly once for each task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part, data, offsets in pieces(batches):
             sets = shingle_sets(words(data, offsets, lower=True), size)
             n = np.array([len(s) for s in sets])
@@ -209,8 +227,13 @@ def _own_sets(size: int):
             flat = np.concatenate([sets[i] for i in full])
             fp1, _ = _fingerprints(flat, np.concatenate([[0], np.cumsum(n[full])[:-1]]))
             same = full[fp1.view(np.int64) == part.column("fp1").to_numpy()[full]]
-            part = part.take(pa.array(same))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("cluster"), part.column("blocks"), pa.array([sets[i].tobytes() for i in same], pa.binary())], ["doc_id", "cluster", "blocks", "shingles"])
+            nodes, new = part.column("node").to_numpy(), []
+            for i in same.tolist():
+                if nodes[i] not in seen:
+                    seen.add(int(nodes[i]))
+                    new.append(i)
+            part = part.take(pa.array(new, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("cluster"), part.column("blocks"), pa.array([sets[i].tobytes() for i in new], pa.binary())], ["node", "cluster", "blocks", "shingles"])
 
     return run
 
@@ -220,7 +243,7 @@ def _tiles(df: DataFrame) -> DataFrame:
 
     Every two rows of a group meet in some tile, no tile holds more than two blocks, and with one block there is one tile.
     """
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     other = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     tiles = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
         F.filter(F.transform(other, lambda j: F.when((j == block) & (F.col("blocks") > 1), F.lit(-1).cast("long")).otherwise(F.least(j, block) * F.col("blocks") + F.greatest(j, block))), lambda t: t >= 0)
@@ -228,39 +251,83 @@ def _tiles(df: DataFrame) -> DataFrame:
     return df.withColumn("tile", F.explode(tiles)).drop("blocks")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
-    """Components of documents linked by the Jaccard similarity of their word shingles.
+def _judged(docs: DataFrame, shingle: int, percent: int, bands: int) -> DataFrame:
+    """For each row of docs (doc_id long, text): doc_id, hash (of the text), n_shingles, component, component_id, class_id.
 
-    docs: doc_id, text. Returns a row for each row of docs: doc_id, n_shingles, component_id (smallest doc_id that
-    is reachable over links of at least percent / 100), kept (doc_id = component_id) and class_id (smallest doc_id
-    with the same shingle set).
-
-    A null or empty text has no shingles and is linked with nothing. Rows that repeat a doc_id are each judged by
-    their own text. A row without doc_id takes no part in links and is kept, with a null component. Other columns
-    are ignored; an empty table gives an empty result. Texts are read whole. Below LEAST_PERCENT it raises, as links would
-    be lost.
+    The nodes of the graph are classes of equal sets, numbered when they are written, so rows that share a doc_id are
+    each judged by their own text. component is a number that no two components share, as they may a doc_id.
     """
-    if percent < LEAST_PERCENT:
-        raise ValueError(f"bands and sketches are made for {LEAST_PERCENT} percent or more, not {percent}")
+    if (1 - (percent / 100) ** ROWS) ** bands > MISSED:
+        raise ValueError(f"{bands} bands would lose links of {percent} percent")
     parts = partitions(docs)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profiles = keep(docs.mapInArrow(_profiles(shingle), _PROFILE))
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    profiles = keep(docs.mapInArrow(_profiles(shingle, bands), _PROFILE))
     classes = keep(
         profiles.filter("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles")
-        .agg(F.min_by(F.struct("doc_id", "sketch", "bands"), "doc_id").alias("first")).select("fp1", "fp2", "n_shingles", "first.*")
-    )
-    banded = classes.select("doc_id", "sketch", F.explode("bands").alias("bucket"))
+        .agg(F.min_by(F.struct("doc_id", "hash", "sketch", "bands"), F.struct("doc_id", "hash")).alias("first")).select("fp1", "fp2", "n_shingles", "first.*")
+    ).withColumn("node", F.monotonically_increasing_id())
+    banded = classes.select("node", "sketch", F.explode("bands").alias("bucket"))
     sizes = keep(banded.groupBy("bucket").agg(F.count("*").alias("rows")).filter("rows > 1"))
     met = banded.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("long")).drop("rows")
-    candidates = _tiles(met).repartition(parts, "bucket", "tile").sortWithinPartitions("bucket", "tile").mapInArrow(_candidate_links, "a long, b long")
-    clusters = keep(components(candidates).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "cluster"))
-    members = classes.select("doc_id", "fp1", "n_shingles").join(clusters, "doc_id")
+    near = _candidate_links(sketch_limit(percent, bands))
+    candidates = _tiles(met).repartition(parts, "bucket", "tile").sortWithinPartitions("bucket", "tile").mapInArrow(near, "a long, b long")
+    clusters = keep(components(candidates).withColumnRenamed("id", "node").withColumnRenamed("component", "cluster"))
+    members = classes.select("node", "doc_id", "hash", "fp1", "n_shingles").join(clusters, "node")
     weight = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    members = keep(members.join(keep(weight), "cluster").select("doc_id", "fp1", "cluster", "blocks"))
-    sets = docs.join(members, "doc_id").mapInArrow(_own_sets(shingle), "doc_id long, cluster long, blocks long, shingles binary").dropDuplicates(["doc_id", "cluster"])
+    members = keep(members.join(keep(weight), "cluster").select("node", "doc_id", "hash", "fp1", "cluster", "blocks"))
+    sets = docs.join(members, ["doc_id", "hash"]).mapInArrow(_own_sets(shingle), "node long, cluster long, blocks long, shingles binary")
     links = _tiles(sets).repartition(parts, "cluster", "tile").sortWithinPartitions("cluster", "tile").mapInArrow(_confirmed_links(percent), "a long, b long")
-    linked = keep(components(links))
-    found = keep(classes.select("fp1", "fp2", "n_shingles", F.col("doc_id").alias("class_id")).join(linked, F.col("class_id") == F.col("id"), "left").select("fp1", "fp2", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id")))
-    rows = profiles.select("doc_id", "n_shingles", "fp1", "fp2").join(found, ["fp1", "fp2", "n_shingles"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    linked = components(links).withColumnRenamed("id", "node")
+    linked = keep(classes.select("node", "doc_id").join(linked, "node"))
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = keep(linked.join(least, "component").select("node", "component", "component_id"))
+    found = classes.select("fp1", "fp2", "n_shingles", "node", F.col("doc_id").alias("class_id")).join(linked, "node", "left")
+    found = keep(found.select("fp1", "fp2", "n_shingles", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("component", "node").alias("component")))
+    rows = profiles.select("doc_id", "hash", "n_shingles", "fp1", "fp2").join(found, ["fp1", "fp2", "n_shingles"], "left")
+    own = [F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias(c) for c in ("component_id", "class_id")]
+    return rows.select("doc_id", "hash", "n_shingles", "component", *own)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands: int = BANDS) -> DataFrame:
+    """Components of documents linked by the Jaccard similarity of their word shingles.
+
+    docs: doc_id, text. Returns a row for each row of docs: doc_id, n_shingles, component_id (smallest doc_id that
+    is reachable over links of at least percent / 100), kept (doc_id = component_id) and class_id (smallest doc_id
+    with the same shingle set).
+
+    A null or empty text has no shingles and is linked with nothing. Rows that repeat a doc_id are each judged by
+    their own text. A row without doc_id takes no part in links and is kept, with a null component. Other columns
+    are ignored; an empty table gives an empty result. Texts are read whole. Where the bands would lose more than
+    MISSED of the links at the threshold, it raises.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return _judged(rows, shingle, percent, bands).select("doc_id", "n_shingles", "component_id", kept, "class_id")
+
+
+def unique_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 35) -> DataFrame:
+    """docs without near copies: of each component one row, that of the smallest doc_id, stays.
+
+    Rows are judged by their own texts, so a repeated doc_id loses no text that occurs nowhere else: of a component's
+    smallest doc_id with several texts, that of the smallest hash stays. Rows that agree in doc_id and text are copies
+    as well, empty ones included, and the one whose other columns hash lowest stays; other rows without words stay
+    each. A null doc_id comes after all others. Columns of any name and type are kept; no rows give no rows.
+    """
+    # a row without id is known by its text, with other bits than those of hash
+    unnamed = F.lit(1 << 62) + F.shiftright(F.conv(F.substring(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long"), 1)
+    key, digest = F.coalesce(F.col("doc_id").cast("long"), unnamed), F.xxhash64(F.col("text").cast("string"))
+    judged = keep(_judged(docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text")), shingle, percent, bands))
+    texts = keep(judged.groupBy("doc_id", "hash").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n_shingles"), F.min("component").alias("component"), F.min("component_id").alias("component_id")))
+    first = texts.filter("n_shingles > 0 and doc_id = component_id").groupBy("component").agg(F.min("hash").alias("first"))
+    stays = ((F.col("doc_id") == F.col("component_id")) & (F.col("hash") == F.col("first"))).alias("stays")
+    worded = texts.filter("n_shingles > 0").join(first, "component").select("doc_id", "hash", "rows", stays)
+    decided = keep(worded.unionByName(texts.filter("n_shingles = 0").select("doc_id", "hash", "rows", F.lit(True).alias("stays"))).withColumnsRenamed({"doc_id": "_key", "hash": "_hash"}))
+    names = docs.columns
+    rows = docs.select(F.struct(*names).alias("_row"), key.alias("_key"), digest.alias("_hash"))
+    gone, repeated = decided.filter("not stays or rows > 1").select("_key", "_hash"), keep(decided.filter("stays and rows > 1").select("_key", "_hash"))
+    unique = rows.join(gone, ["_key", "_hash"], "left_anti").select("_row.*")
+    if repeated.isEmpty():
+        return unique
+    order = Window.partitionBy("_key", "_hash").orderBy(F.xxhash64(F.to_json("_row")))
+    once = rows.join(repeated, ["_key", "_hash"], "left_semi").withColumn("_place", F.row_number().over(order)).filter("_place = 1")
+    return unique.unionByName(once.select("_row.*"))

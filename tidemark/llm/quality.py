@@ -89,13 +89,14 @@ def judge_quality(docs: DataFrame, host: str = "source", limit: float = HOST_LIM
 def quality_filter(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The documents that pass the rules and come from hosts that pass, with the columns of docs.
 
-    Texts are judged twice, once for their hosts and once here, so that they need not be shuffled.
+    Texts are judged once: rows that pass by themselves are written with their hosts before the hosts are judged. Null
+    and empty texts fail; a document without a host is judged by itself alone; repeated rows stay or go together; no
+    rows give no rows.
     """
     names = docs.columns
     whole = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    rates = host_rates(_features(whole.drop("row")).select("host", "base_failed"))
-    judged = _features(whole).select("row", "doc_id", "host", "base_failed").filter(~F.col("base_failed"))
-    return _with_verdict(judged, rates, limit).filter("kept").select("row.*")
+    judged = keep(_features(whole).select(F.when(~F.col("base_failed"), F.col("row")).alias("row"), "doc_id", "host", "base_failed"))
+    return _with_verdict(judged.filter(~F.col("base_failed")), host_rates(judged), limit).filter("kept").select("row.*")
 
 
 ORACLE_SQL = rf"""
