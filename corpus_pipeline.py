@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm._spark import documents, keep
 from tidemark.llm.mixing import mixed_documents
-from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.near_dedup import unique_documents
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality_filter
 from tidemark.llm.secrets import redact_secrets
@@ -23,8 +23,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return docs.join(near_duplicates(docs).filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays, and no other goes.
+
+    Rows are judged by their own texts, whatever they share of ids; of rows that repeat wholly one stays.
+    """
+    return unique_documents(docs, shingle=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
