@@ -151,7 +151,8 @@ def test_distrust_spreads_against_links(spark):
     out = {(r.page_id, r.rule): r.verdict for r in url_filter.judge_urls(spark.createDataFrame(PAGES, "page_id long, url string, html string")).collect()}
     assert out[3, "example.com/en/7"] == "allow" and out[4, "net/de/"] == "block"
     assert out[7, None] == "block" and out[11, None] == "block"
-    assert out[5, None] == out[2, None] == out[8, "com/en/"].replace("block", "allow") == "allow"
+    assert out[2, None] == out[8, "com/en/"].replace("block", "allow") == "allow"
+    assert out[5, None] == "block"  # its host is a seed of distrust and keeps what it starts with
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
