@@ -1,16 +1,21 @@
 """Main text of web pages by a minimum cut between content and boilerplate.
 
-A page is cut into blocks of text. A linear classifier over a block's place in the page, length and links gives the
+A page is cut into blocks of text. A linear classifier over what encloses a block, its length and its links gives the
 cost of calling it boilerplate or content, which become the capacities of its edges from the source and to the sink.
 Edges between neighbouring blocks, and between neighbours with the same parent, cost their capacity when the labels
 differ. The minimum cut is the cheapest labelling of the whole page; blocks on the source's side are its main text.
+
+All costs are finite. Names of elements are evidence by their head noun (``post-sidebar`` is a sidebar, ``has-sidebar``
+and ``page-with-sidebar`` are not, ``search-results`` hardly a search box), ``article`` and ``main`` outweigh names and
+forms around them, and a name or form around most of the page's prose is taken for a wrapper.
 """
 
 from __future__ import annotations
 
+import functools
 import html as html_lib
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,51 +26,105 @@ from pyspark.sql import functions as F
 RAW = "script style noscript template textarea select svg math iframe object canvas audio video title"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-PARTS_OUT = frozenset("nav footer aside form button menu dialog head fieldset".split())
+PARTS_OUT = frozenset("nav footer aside button menu dialog head".split())
 PARTS_IN = frozenset("article main".split())
+FORMS = frozenset("form fieldset".split())
 NAMES_OUT = frozenset(
-    "ad ads adv advert adverts advertisement banner billboard breadcrumb breadcrumbs comment comments commentlist complementary contentinfo consent cookie cookies copyright disclaimer "
-    "disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related replies respond search share sharing "
-    "sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split()
+    "ad ads adv advert adverts advertisement advertising alert banner billboard breadcrumb breadcrumbs complementary contentinfo consent cookie cookies copyright dialog disclaimer "
+    "footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo promoted promotion recommended related search share sharing "
+    "sidebar signup skip skiplink social sponsor sponsored subscribe subscription tags toolbar trending widget".split()
 )
+NAMES_COMMENTS = frozenset("comment comments commentlist commenter discussion disqus reader readers reactions replies reply respond responses".split())
 NAMES_IN = frozenset("article body content entry main post story text".split())
+#: Words that follow the noun that a name is about.
+GENERIC = frozenset(
+    "area bar block body bottom box card col column container content group holder inner item items left link links list main note notes outer panel right row section slot text title top unit wrap wrapper".split()
+)
+#: Words after which a name says what an element has, not what it is.
+HAVING = frozenset("has no with without not is hide show under before after".split())
 
-#: Weights of the classifier, for content; capacities of the edges between blocks.
-BIAS, INSIDE, NAMED, PARAGRAPH, HEADING, LIST, WORD, MOST_WORDS, LINKS, SENTENCE = -1.5, 4.0, 2.0, 1.0, 0.5, -0.5, 0.04, 40, -4.5, 0.5
+#: Weights of the classifier, for content. What encloses a block outweighs what it looks like: a long paragraph with a
+#: full stop has 1.6 by itself, a block of links -6; a name alone (WEAK) does not outweigh a paragraph.
+BIAS, PARAGRAPH, HEADING, LIST, WORD, MOST_WORDS, LINKS, SENTENCE, PLAIN = -1.5, 1.0, 0.5, -0.5, 0.04, 40, -4.5, 0.5, 1.5
+INSIDE, NAMED, WEAK, FORM, OUT, PART, OUTSIDE = 4.0, 2.0, -1.5, -3.0, -6.0, -9.0, -3.0
+#: Share of a page's prose within an element from which its name is taken for a wrapper's, what is then left of its
+#: weight, share within article or main from which the rest is OUTSIDE, and words of prose.
+WRAPS, LEFT, MAIN, PROSE = 0.6, 0.1, 0.3, 8
+#: Weight of links in a paragraph or heading that is placed as content.
+LINKED = 0.45
 NEXT, SIBLING = 0.5, 0.7
-CERTAIN = 1e6
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?",
+    rf"<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})(?=[\s/>])((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*)|[^>=])*+)>?(?:(?<=/>)|.*?(?:</\1(?=[\s/>])[^>]*>|\Z))"
+    r"|<[!?][^>]*>?|<(/?)([a-z][a-z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*)|[^>=])*+)>?",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_SPLIT = re.compile(r"[^a-z]+")
+_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Block:
-    """A run of text between block elements: text, characters inside links, and the costs' inputs."""
+    """A run of text between block elements: text, share inside links, words, and what encloses it."""
+
+    __slots__ = ("cues", "element", "link", "parent", "text", "words")
+
+    @property
+    def inside(self) -> bool:
+        """Whether an article or main encloses it."""
+        return any(k == "in" for k, _ in self.cues)
 
-    __slots__ = ("element", "inside", "link", "named", "out", "parent", "text")
+    @property
+    def out(self) -> bool:
+        """Whether a part of the page that isn't content, or one named so, encloses it."""
+        return any(k in ("part", "comments", "out", "form") or (k == "header" and not self.inside) for k, _ in self.cues)
 
 
-def _cues(tag: str, rest: str, up: tuple) -> tuple:
-    """(out, inside, named) of an element within one that has up."""
-    out, inside, named = up
-    names = set()
-    if "=" in rest:
-        for m in _NAMES.finditer(rest):
-            names.update(x for x in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if x)
-    if tag in PARTS_IN:
-        return False if not out else out, True, named
-    out = out or tag in PARTS_OUT or (tag == "header" and not inside) or (bool(names & NAMES_OUT) and tag not in ("html", "body"))
-    return out, inside, named or bool(names & NAMES_IN)
+@functools.lru_cache(maxsize=4096)
+def name_cue(name: str) -> str:
+    """What one word of class, id or role says: out, comments, header, weak, named or nothing."""
+    words = []
+    for w in map(str.lower, _WORDS.findall(name)):
+        if w in HAVING:
+            break
+        words.append(w)
+    head = next((w for w in reversed(words) if w not in GENERIC), None)
+    if head in NAMES_COMMENTS:
+        return "comments"
+    if head in NAMES_OUT:
+        return "out"
+    if head == "header":
+        return "header"
+    if any(w in NAMES_OUT or w in NAMES_COMMENTS for w in words):
+        return "weak"
+    return "named" if any(w in NAMES_IN for w in words) else ""
+
+
+def _cues(tag: str, rest: str) -> list[str]:
+    """Kinds of evidence that an element gives on what it encloses."""
+    if tag in ("html", "body"):
+        return []
+    found = []
+    names = [x for m in _NAMES.finditer(rest) for x in (m[1] or m[2] or m[3] or "").split()] if "=" in rest else []
+    kinds = {name_cue(x) for x in names}
+    if tag in PARTS_OUT:
+        return ["part"]
+    if tag in PARTS_IN or names and ("main" in names or "article" in names) and "role" in rest.lower():
+        found.append("in")
+    for kind in ("comments", "out", "header"):
+        if kind in kinds:
+            return [*found, kind]
+    if tag in FORMS:
+        found.append("form")
+    if tag == "header":
+        found.append("header")
+    return found + [k for k in ("named", "weak") if k in kinds]
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks with text, in page order. Elements left open end with the page, or where an outer one ends."""
     found: list[Block] = []
-    stack: list[tuple] = [("", (False, False, False), 0)]  # tag, cues, number
+    stack: list[tuple] = [("", (), 0)]  # tag, cues of it and those around it, number
+    opened: Counter[str] = Counter()
     text, link, links, number, at = [], 0, 0, 0, 0
 
     def flush() -> None:
@@ -76,36 +135,43 @@ def blocks(page: str) -> list[Block]:
                 block, i = Block(), len(stack) - 1
                 while i and stack[i][0] in INLINE:
                     i -= 1
-                block.text, block.link, block.element = joined, min(1.0, link / len(joined)), stack[i][0]
-                block.out, block.inside, block.named = stack[-1][1]
-                block.parent = stack[max(0, i - 1)][2]
+                block.text, block.link, block.element, block.words = joined, min(1.0, link / len(joined)), stack[i][0], joined.count(" ") + 1
+                block.cues, block.parent = stack[-1][1], stack[max(0, i - 1)][2]
                 found.append(block)
         text, link = [], 0
 
+    def close() -> str:
+        nonlocal links
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        links -= tag == "a"
+        return tag
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             text.append(page[at : m.start()])
             link += (m.start() - at) * bool(links)
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag = (m[4] or "").lower()
         if not tag:
             continue
         if tag not in INLINE:
             flush()
         elif tag == "br":
             text.append(" ")
-        if m[2]:
-            if any(s[0] == tag for s in stack):
-                while stack[-1][0] != tag:
-                    links -= stack.pop()[0] == "a"
-                links -= stack.pop()[0] == "a"
+        if m[3]:
+            if opened[tag] > 0:
+                while close() != tag:
+                    pass
         elif tag not in VOID:
             if tag not in INLINE:  # these end an open paragraph, and an item the one before
                 while stack[-1][0] in INLINE or stack[-1][0] == "p" or (stack[-1][0] == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th")):
-                    links -= stack.pop()[0] == "a"
+                    close()
             number += 1
-            if not m[4].rstrip().endswith("/"):
-                stack.append((tag, _cues(tag, m[4], stack[-1][1]), number))
+            if not m[5].rstrip().endswith("/"):
+                cues = _cues(tag, m[5])
+                stack.append((tag, (*stack[-1][1], *((k, number) for k in cues)) if cues else stack[-1][1], number))
+                opened[tag] += 1
                 links += tag == "a"
     if at < len(page):
         text.append(page[at:])
@@ -113,13 +179,43 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def cost(block: Block) -> float:
-    """How much likelier content is than boilerplate, as a log odds."""
-    if block.out:
-        return -CERTAIN
-    z = BIAS + INSIDE * block.inside + NAMED * block.named + LINKS * block.link + WORD * min(block.text.count(" ") + 1, MOST_WORDS)
-    z += PARAGRAPH * (block.element in ("p", "blockquote", "pre")) + HEADING * (block.element in ("h1", "h2", "h3", "h4", "h5", "h6")) + LIST * (block.element in ("li", "td", "th", "dt", "dd"))
-    return z + SENTENCE * (block.text[-1] in ".!?…\"'»”")
+def costs(found: list[Block]) -> list[float]:
+    """How much likelier each block is content than boilerplate, as a log odds."""
+    prose: Counter[int] = Counter()  # words by element with cues, -1 within article or main, -2 in all
+    inside: Counter[int] = Counter()
+    for b in found:
+        if b.words >= PROSE and b.link < 0.5:
+            own = any(k == "in" for k, _ in b.cues) and not any(k in ("part", "comments") for k, _ in b.cues)
+            for n in {n for _, n in b.cues} | {-2} | ({-1} if own else set()):
+                prose[n] += b.words
+                inside[n] += b.words * own
+    has_main = prose[-1] > 0 and prose[-1] >= MAIN * prose[-2]
+    plain = all(b.element in ("", "html", "body") for b in found)
+    out = []
+    for b in found:
+        cue, own = 0.0, False
+        for kind, n in b.cues:
+            wraps = prose[-2] and prose[n] > WRAPS * prose[-2] and (inside[n] or not has_main)
+            if kind == "part":
+                cue = PART
+            elif kind == "comments":
+                cue = min(cue, PART)
+            elif kind == "in":
+                own = True
+                cue = INSIDE if cue > PART else cue
+            elif kind == "weak":
+                cue += WEAK
+            elif kind == "named":
+                cue = max(cue, NAMED) if cue >= 0 else cue
+            elif kind != "header" or not own:
+                weight = FORM if kind == "form" else OUT
+                cue = cue + LEFT * weight if wraps else min(cue, weight)
+        upright = b.element in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6")
+        z = BIAS + cue + OUTSIDE * (has_main and not own) + PLAIN * plain + WORD * min(b.words, MOST_WORDS) + SENTENCE * (b.text[-1] in ".!?…\"'»”")
+        z += LINKS * b.link * (LINKED if upright and cue > 0 else 1)
+        z += PARAGRAPH * (b.element in ("p", "blockquote", "pre")) + HEADING * (b.element[:1] == "h" and b.element[1:].isdigit()) + LIST * (b.element in ("li", "td", "th", "dt", "dd"))
+        out.append(z)
+    return out
 
 
 def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -205,7 +301,7 @@ def main_text(page: str | None) -> str:
         if b.parent in last:
             edges.append((last[b.parent], i, SIBLING))
         last[b.parent] = i
-    return "\n".join(b.text for b, content in zip(found, minimum_cut([cost(b) for b in found], edges), strict=True) if content)
+    return "\n".join(b.text for b, content in zip(found, minimum_cut(costs(found), edges), strict=True) if content)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
