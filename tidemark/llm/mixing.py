@@ -55,7 +55,7 @@ def _plan(base: DataFrame, weights: tuple[int, ...], limit: int) -> DataFrame:
     targets = source_targets(first.groupBy("key", "source").agg(F.sum("words").alias("source_size")), weights, limit)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = keep(targets.withColumn("rounds", F.least(whole, F.lit(limit)).cast("long")).withColumn("left", F.col("target") - F.col("rounds") * F.col("source_size")))
-    bound, cells = plan.select("key", "left"), first.select("key", "cell", "words")
+    bound, cells = plan.filter("left > 0").select("key", "left"), first.select("key", "cell", "words")
     for level in range(1, LEVELS + 1):
         if level > 1:
             cells = base.join(small_side(bound).withColumnRenamed("cell", "within"), "key").filter(F.shiftright("hash", BITS - STEP * (level - 1)) == F.col("within"))
@@ -77,8 +77,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: in
     """How often each document enters the mixture.
 
     docs: doc_id, source, text. Returns for each row doc_id, size (words), source_size, target (its source's), copies
-    and taken (= copies * size, at most limit times its size). Sources weigh by their place in code point order, null
-    last. Every document enters floor(target / source_size) times, and those below the source's hash threshold once more.
+    and taken (= copies * size). copies is at most limit, for documents without words as well. Sources weigh by their
+    place in code point order, null last. Every document enters floor(target / source_size) times, and, where that
+    leaves some of the target, those below the source's hash threshold once more. Sources should be few, as their sums
+    are ranked in one task.
 
     Null text has size 0 and takes nothing; a null source is a source. Fully repeated rows share a hash and so their
     fate. Other columns are ignored; an empty table gives an empty result; reruns agree.
@@ -126,7 +128,7 @@ WITH base AS (
   SELECT *, sum(words) OVER (PARTITION BY source ORDER BY cell) AS upto FROM cells
 ), bounds AS (
   SELECT source, arg_min(cell + CASE WHEN upto - budget <= budget - (upto - words) THEN 1 ELSE 0 END, cell) AS below
-  FROM upto WHERE upto > budget GROUP BY source
+  FROM upto WHERE budget > 0 AND upto > budget GROUP BY source
 )
 SELECT b.doc_id, b.size::BIGINT AS size, p.source_size, p.target,
        (p.rounds + CASE WHEN (b.hash >> 24) < coalesce(t.below, 0) THEN 1 ELSE 0 END)::BIGINT AS copies,
