@@ -1,0 +1,26 @@
+import numpy as np
+
+from tidemark.llm import packing
+
+
+def test_pieces_that_never_fill_a_window_are_cut_when_too_many_wait():
+    packer = packing._Packer(64, 0, False)
+    for i in range(50):
+        packer.add(i, np.arange(40, dtype="<u4"))
+    packer.pack()
+    assert packer.waits() == 50 * 40 and not packer.rows
+    packer.finish(last=False)
+    assert packer.waits() < 80 and len({r[5] for r in packer.rows}) == 50 * 40 // 64
+    packer.add(99, np.arange(3, dtype="<u4"))
+    packer.finish()
+    pieces = sorted((doc, start, length) for doc, start, length, *_ in packer.rows)
+    for doc in [*range(50), 99]:
+        at = 0
+        for _, start, length in (p for p in pieces if p[0] == doc):
+            assert start == at
+            at += length
+        assert at == (3 if doc == 99 else 40)
+    sizes = {}
+    for _, _, length, _, _, sequence, offset, _ in packer.rows:
+        sizes[sequence] = max(sizes.get(sequence, 0), offset + length)
+    assert all(s == 64 or s & (s - 1) == 0 for s in sizes.values())

@@ -4,7 +4,7 @@ Each Spark partition packs its own documents, a pool at a time, with no shuffle.
 length; every window takes the longest one left and the multiset of others that fills it best. Which fills can be
 reached is a bitset that is shifted and merged once per length and power of two of its count (the subset-sum dynamic
 program), and the counts used are found by going back through its stages. When no exact fill is left, what remains
-waits for the next pool; at the end of a partition it is cut to size.
+waits for the next pool; at the end of a partition, and where too much waits, it is cut to size.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +24,8 @@ from tidemark.llm._words import Words, pieces, words
 
 #: Tokens and documents of a pool, and words whose ids a worker remembers.
 POOL_TOKENS, POOL_DOCUMENTS, REMEMBERED = 2_000_000, 16_384, 600_000
+#: Tokens that may wait from pool to pool.
+MOST_WAITING = 8_000_000
 
 # Letters, digits and other ASCII signs; 0 is what may join with its neighbours: apostrophes and most of what isn't ASCII.
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -152,22 +154,30 @@ class _Packer:
                 self._emit(own)
         self.waiting = defaultdict(list, {k: v for k, v in self.waiting.items() if v})
 
-    def finish(self) -> None:
-        """Cuts what still waits into full windows, and the rest into sequences of powers of two, which need no padding."""
-        left = [x for k in sorted(self.waiting, reverse=True) for x in self.waiting[k]]
+    def finish(self, last: bool = True) -> None:
+        """Cuts what still waits into full windows, and at last the rest into sequences of powers of two, which need no padding."""
+        left = deque(x for k in sorted(self.waiting, reverse=True) for x in self.waiting[k])
         rest = sum(b - a for _, _, a, b in left)
-        sizes = [self.window] * (rest // self.window) + [1 << i for i in reversed(range(rest.bit_length())) if rest % self.window >> i & 1]
+        sizes = [self.window] * (rest // self.window)
+        if last:
+            sizes += [1 << i for i in reversed(range(rest.bit_length())) if rest % self.window >> i & 1]
         for size in sizes:
             own = []
             while size:
-                doc, ids, a, b = left.pop(0) if left else None
+                doc, ids, a, b = left.popleft()
                 take = min(size, b - a)
                 own.append((doc, ids, a, a + take))
                 size -= take
                 if a + take < b:
-                    left.insert(0, (doc, ids, a + take, b))
+                    left.appendleft((doc, ids, a + take, b))
             self._emit(own)
-        self.waiting.clear()
+        self.waiting = defaultdict(list)
+        for doc, ids, a, b in left:
+            self.waiting[b - a].append((doc, ids.copy(), a, b))
+
+    def waits(self) -> int:
+        """Tokens that wait, with those of their documents that are held for them."""
+        return sum(len(ids) for own in self.waiting.values() for _, ids, _, _ in own)
 
     def batch(self) -> pa.RecordBatch:
         kinds = [pa.int64()] * 7 + [pa.binary()] * self.want_ids
@@ -199,6 +209,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end
                 tokens, documents = tokens + b - a + 1, documents + 1
             if tokens >= POOL_TOKENS or documents >= POOL_DOCUMENTS:
                 packer.pack()
+                if packer.waits() > MOST_WAITING:
+                    packer.finish(last=False)
                 tokens = documents = 0
             if len(packer.rows) >= 4096:
                 yield packer.batch()
