@@ -25,6 +25,7 @@ from tidemark.llm._spark import keep
 #: Vectors of a block and of a range, queries of a group, and one of how many candidates is met first.
 BLOCK, RANGE, GROUP, PART = 64, 32_768, 4096, 64
 _LONG = (1 << 63) - 1
+_LEAST = -(1 << 200)
 
 
 def scaled_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
@@ -81,7 +82,8 @@ def search(
 ) -> list[list[tuple[int, int]]]:
     """The k best (score, id) of each query over one range, ties to the smaller id; a query's own id is left out.
 
-    Scores below a query's floor may be left out as well. scored gets the number of blocks that each turn scores.
+    Scores below a query's floor may be left out as well. Each query meets its blocks in turns of 1, 2, 4, ... of the
+    highest bounds left, so that queries can share the product with a block. scored gets the blocks that each turn scores.
     """
     width = max(matrix.shape[1], queries.shape[1])
     matrix, queries = _padded(matrix, width), _padded(queries, width)
@@ -92,35 +94,32 @@ def search(
     bounds = _products(np.maximum(queries, 0), most) + _products(np.minimum(queries, 0), least)
     order = np.argsort(-bounds, axis=1, kind="stable")
     best: list[list[tuple[int, int]]] = [[] for _ in query_ids]
-    least_of = [None if f is None else int(f) for f in floors] if floors is not None else [None] * len(query_ids)
-    active = np.arange(len(query_ids))
-
-    def under(q: int) -> int | None:
-        """What a score must reach to count."""
-        if len(best[q]) < k:
-            return least_of[q]
-        return best[q][-1][0] if least_of[q] is None else max(best[q][-1][0], least_of[q])
-
-    for turn in range(len(cuts)):
-        at = order[active, turn]
-        go = np.array([(u := under(q)) is None or bounds[q, b] >= u for q, b in zip(active.tolist(), at.tolist(), strict=True)], dtype=bool)
-        active, at = active[go], at[go]
-        if not len(active):
-            break
+    given = [None] * len(query_ids) if floors is None else list(floors)
+    # what a score of each query must reach
+    under = np.array([_LEAST if f is None else int(f) for f in given], dtype=object if bounds.dtype == object else np.float64)
+    active, turn, turns = np.arange(len(query_ids)), 0, 1
+    while turn < len(cuts):
+        at = order[active, turn : turn + turns]
+        go = bounds[active[:, None], at] >= under[active][:, None]
+        who, which = np.nonzero(go)
+        who, where = active[who], at[who, which]
+        active = active[go[:, -1].astype(bool)]  # bounds fall from block to block
+        turn, turns = turn + turns, 2 * turns
         if scored is not None:
-            scored.append(len(active))
-        for b in np.unique(at).tolist():
-            own, rows = active[at == b], slice(cuts[b], cuts[b] + block)
+            scored.append(len(who))
+        by_block = np.argsort(where, kind="stable")
+        who, where = who[by_block], where[by_block]
+        for own, b in zip(np.split(who, np.flatnonzero(np.diff(where)) + 1), where[np.flatnonzero(np.diff(where, prepend=-1))].tolist(), strict=True) if len(who) else ():
+            rows = slice(cuts[b], cuts[b] + block)
             scores, names = _products(queries[own], matrix[rows]), ids[rows]
-            for q, s in zip(own.tolist(), scores, strict=True):
-                fit = names != query_ids[q]
-                if (u := under(q)) is not None:
-                    fit &= np.asarray(s >= u, dtype=bool)
-                fit = np.flatnonzero(fit)
+            fits = (scores >= under[own][:, None]).astype(bool) & (names[None, :] != query_ids[own][:, None])
+            for i in np.flatnonzero(fits.any(axis=1)).tolist():
+                q, s, fit = int(own[i]), scores[i], np.flatnonzero(fits[i])
                 if len(fit) > 4 * k and s.dtype != object:
                     fit = fit[s[fit] >= np.partition(s[fit], len(fit) - k)[len(fit) - k]]
-                if len(fit):
-                    best[q] = sorted(best[q] + [(int(s[i]), int(names[i])) for i in fit.tolist()], key=lambda x: (-x[0], x[1]))[:k]
+                best[q] = sorted(best[q] + [(int(s[j]), int(names[j])) for j in fit.tolist()], key=lambda x: (-x[0], x[1]))[:k]
+                if len(best[q]) == k:
+                    under[q] = max(under[q], best[q][-1][0])
     return best
 
 
