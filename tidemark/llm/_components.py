@@ -11,9 +11,13 @@ from tidemark.llm._spark import keep
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(id, component) of every end of edges (a, b); component is the smallest id reachable.
 
-    Each round takes the smallest label among neighbours, then the label of that label, so the distance covered
-    doubles. Rounds stop when no label changes. Only sums reach the driver.
+    Edges come from forests, several of which may hold the same nodes: first every node keeps its edge to the smallest
+    of its smaller neighbours alone, to which the others of them are tied instead. A node's smaller neighbours are the
+    roots of the forests it is in. Each round takes the smallest label among neighbours, then the label of that label,
+    so the distance covered doubles. Rounds stop when no label changes. Only sums reach the driver.
     """
+    roots = edges.filter("a <> b").groupBy(F.greatest("a", "b").alias("a")).agg(F.collect_set(F.least("a", "b")).alias("roots"), F.min(F.least("a", "b")).alias("b"))
+    edges = roots.select(F.explode(F.concat(F.array("a"), "roots")).alias("a"), "b").distinct()
     both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     for _ in range(most):
