@@ -145,6 +145,16 @@ def freeze(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.json(f"{path}.digest")
 
 
+def freeze_json(df: DataFrame, path: str) -> DataFrame:
+    """Writes a table once as JSON lines, refuses to overwrite it, and returns its row count and digest, kept beside it.
+
+    The digest is that of the rows as they are read again with df's schema; nulls are left out of the lines.
+    """
+    df.write.mode("errorifexists").json(path)
+    digest(df.sparkSession.read.schema(df.schema).json(path)).write.mode("errorifexists").json(f"{path}.digest")
+    return df.sparkSession.read.json(f"{path}.digest")
+
+
 def partitioned_sink(df: DataFrame, path: str, by: list[str], order: str) -> None:
     """Writes by partition columns with rows in order within files; rows of a partition meet in one task first."""
     df.repartition(*by).sortWithinPartitions(*by, order).write.partitionBy(*by).mode("errorifexists").parquet(path)

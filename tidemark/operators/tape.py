@@ -121,6 +121,23 @@ def classify_exclusions(windows: DataFrame, scope_start: int, scope_end: int, pa
     return out.filter("start_us <= end_us").withColumn("duration_us", F.col("end_us") - F.col("start_us"))
 
 
+def blind_exclusions(windows: DataFrame, gaps: DataFrame, incidents: DataFrame, wide: tuple[str, ...], scope_start: int, scope_end: int, pad: int = 5 * MINUTE_US, width: int = DAY_US) -> DataFrame:
+    """Exclusions of blind windows, classed by the gap attached to them and clipped to the scope.
+
+    A window without a gap is resubscribe_blind, one whose gap has a reason in wide subscription_wide, others are
+    recorded_gap. Windows whose gap was detected in the second of an incident (incidents: second) are padded on both
+    sides. Windows that don't touch the scope go; a gap without a reason is a recorded one; no windows give no rows.
+    """
+    found = windows.select("boundary_id", "start_us", "end_us").join(attach_gaps(windows, gaps, width), "boundary_id", "left")
+    hit = incidents.select(F.col("second").alias("_second"), F.lit(True).alias("_padded")).distinct()
+    found = found.withColumn("_second", F.expr("detected_us div 1000000")).join(hit, "_second", "left").withColumn("padded", F.coalesce("_padded", F.lit(False)))
+    shift = F.when(F.col("padded"), pad).otherwise(0)
+    kind = F.when(F.col("gap_id").isNull(), "resubscribe_blind").when(F.col("reason").isin(*wide), "subscription_wide").otherwise("recorded_gap")
+    out = found.select("boundary_id", "gap_id", "reason", kind.alias("class"), "padded", (F.col("start_us") - shift).alias("start_us"), (F.col("end_us") + shift).alias("end_us")).filter((F.col("end_us") >= scope_start) & (F.col("start_us") <= scope_end))
+    out = out.withColumn("start_us", F.greatest("start_us", F.lit(scope_start))).withColumn("end_us", F.least("end_us", F.lit(scope_end)))
+    return out.withColumn("duration_us", F.col("end_us") - F.col("start_us"))
+
+
 def quiet_bands(days: DataFrame, start_hour: int = 7, end_hour: int = 9) -> DataFrame:
     """One exclusion of the same hours on every day of the scope."""
     hour = 60 * MINUTE_US

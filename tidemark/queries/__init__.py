@@ -24,4 +24,4 @@ def query(name: str, check: str | None = None):
     return add
 
 
-from tidemark.queries import book, depth, events, forecast, inference, ingest, samples, streams, tape, trades  # noqa: E402, F401
+from tidemark.queries import book, decisions, depth, events, forecast, inference, ingest, resampling, samples, streams, tape, trades  # noqa: E402, F401

@@ -128,3 +128,9 @@ def partitioned_sink(spark, sf_dir):
 def freeze_parquet(spark, sf_dir):
     rows = view(spark, sf_dir, "v_obs").select("id", "station", "valid_us", "tenths")
     return op.freeze(rows, f"{shared_folder(spark)}/frozen").select("n_rows", "digest")
+
+
+@query("freeze_jsonl", "SELECT count(*) AS n_rows, bit_xor(('0x' || substr(md5(concat_ws('|', id, station, tenths, valid_us)), 1, 15))::BIGINT) AS digest FROM v_obs")
+def freeze_jsonl(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_obs").select("id", "station", "valid_us", "tenths")
+    return op.freeze_json(rows, f"{shared_folder(spark)}/frozen_lines").select("n_rows", "digest")

@@ -76,6 +76,18 @@ def classify_exclusions(spark, sf_dir):
     return op.classify_exclusions(view(spark, sf_dir, "v_excl"), START, END)
 
 
+@query("blind_exclusions", f"""WITH {_BLIND}, n AS (SELECT boundary_id, start_us, coalesce(lead(start_us) OVER (ORDER BY start_us), start_us + 86400000000) AS next_us FROM b),
+  g AS (SELECT boundary_id, v_gaps.id AS gap_id, detected_us, reason, row_number() OVER (PARTITION BY boundary_id ORDER BY detected_us, v_gaps.id) AS rn FROM v_gaps JOIN n ON detected_us >= start_us AND detected_us < next_us),
+  x AS (SELECT b.boundary_id, gap_id, reason, CASE WHEN gap_id IS NULL THEN 'resubscribe_blind' WHEN reason = 'reconnect' THEN 'subscription_wide' ELSE 'recorded_gap' END AS class,
+    coalesce(detected_us {{div}} 1000000 IN (SELECT detected_us {{div}} 1000000 FROM v_gaps WHERE ticker = ''), false) AS padded, start_us, end_us FROM b LEFT JOIN (SELECT * FROM g WHERE rn = 1) g ON g.boundary_id = b.boundary_id),
+  p AS (SELECT * REPLACE (CASE WHEN padded THEN start_us - 300000000 ELSE start_us END AS start_us, CASE WHEN padded THEN end_us + 300000000 ELSE end_us END AS end_us) FROM x)
+  SELECT boundary_id, gap_id, reason, class, padded, greatest(start_us, {START}) AS start_us, least(end_us, {END}) AS end_us, least(end_us, {END}) - greatest(start_us, {START}) AS duration_us FROM p WHERE end_us >= {START} AND start_us <= {END}""")
+def blind_exclusions(spark, sf_dir):
+    gaps = view(spark, sf_dir, "v_gaps")
+    incidents = gaps.filter("ticker = ''").select(F.expr("detected_us div 1000000").alias("second"))
+    return op.blind_exclusions(op.blind_windows(view(spark, sf_dir, "v_tape"), width=2000), gaps, incidents, ("reconnect",), START, END)
+
+
 @query("quiet_bands", "SELECT DISTINCT us {div} 86400000000 AS day, us {div} 86400000000 * 86400000000 + 25200000000 AS start_us, us {div} 86400000000 * 86400000000 + 32400000000 AS end_us FROM v_tape")
 def quiet_bands(spark, sf_dir):
     return op.quiet_bands(view(spark, sf_dir, "v_tape").select(F.floor(F.col("us") / op.DAY_US).alias("day")))

@@ -31,6 +31,10 @@ VIEWS = {
     "v_obs": "SELECT event_id AS id, concat('S', user_id % 20) AS station, us AS valid_us, us + (k % 9) * 60000000 AS seen_us, 400 + c % 600 AS tenths FROM ev",
     "v_days": "SELECT station, valid_us {div} 86400000000 AS day, max(tenths) {div} 10 + (valid_us {div} 86400000000) % 3 - 1 AS official FROM v_obs GROUP BY station, valid_us {div} 86400000000",
     "v_strikes": "SELECT station, day, 300 + 50 * n AS strike, concat('KX', station, '-', day, '-T', 300 + 50 * n) AS ticker FROM v_days CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 6 UNION ALL SELECT 12 UNION ALL SELECT 13) x",
+    "v_decisions": """SELECT l_orderkey * 10 + l_linenumber AS leg_id, concat('S', l_suppkey % 20) AS series, l_orderkey AS event, CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(round(l_discount * 100) AS BIGINT) * 950 + l_partkey % 500 END AS fair,
+        100 * (1 + l_suppkey % 90) AS yes_bid, 100 * (1 + l_suppkey % 90) + 100 * (1 + l_partkey % 6) AS yes_ask, CAST(l_quantity AS BIGINT) - 5 AS depth, 500 + l_orderkey * 7 % 4000 AS spread, 2000 AS spread_median,
+        CAST(round(l_tax * 100) AS BIGINT) AS age_hours, l_partkey % 200 AS minutes_to_close, l_linenumber = 6 AS same_day, l_suppkey % 37 = 0 AS blacklisted, CASE WHEN l_linenumber = 5 THEN NULL ELSE l_partkey % 8 END AS divergence,
+        CASE l_linestatus WHEN 'O' THEN 'active' ELSE 'closed' END AS status, l_suppkey % 50 <> 0 AS armed, CAST(round(l_extendedprice) AS BIGINT) AS exposure, 2000 + l_orderkey % 30000 AS event_budget, 1000 + l_partkey % 20000 AS market_budget FROM {lineitem}""",
     "v_scored": "SELECT l_orderkey, l_linenumber, l_discount * 10 AS p, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS o, l_linestatus AS grp, l_quantity AS lead, l_extendedprice AS net, CAST(l_shipdate AS DATE) AS ship FROM {lineitem}",
 }
 
