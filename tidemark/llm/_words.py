@@ -7,6 +7,7 @@ task, so hashes made in different tasks can be joined.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,14 @@ MULTIPLIERS = _RNG.integers(1, 1 << 63, 512, dtype=np.uint64) | np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
 
+def give_back() -> None:
+    """Returns memory that a finished task no longer uses to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> np.uint64(30))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._components import components
 from tidemark.llm._groups import runs
 from tidemark.llm._spark import keep, partitions
-from tidemark.llm._words import MULTIPLIERS, Words, mix, pieces, signed, windows, words
+from tidemark.llm._words import MULTIPLIERS, Words, give_back, mix, pieces, signed, windows, words
 
 #: Samples of a band, and bands: 26 are enough from 85 percent, 35 from 80.
 ROWS, BANDS = 4, 26
@@ -36,6 +36,8 @@ MISSED = 1e-8
 BLOCK = 1024
 #: Shingles that one block of a cluster holds, in the mean.
 BLOCK_SHINGLES = 1_000_000
+#: Pairs of sets that are counted at once.
+PAIRS_AT_ONCE = 1_000_000
 
 _PROFILE = "doc_id long, hash long, n_shingles long, fp1 long, fp2 long, sketch binary, bands array<long>"
 
@@ -103,6 +105,7 @@ def _profiles(size: int, n_bands: int):
                 for i, s, k in zip(full.tolist(), _sketches(samples), keys, strict=True):
                     sketch[i], bands[i] = s.tobytes(), k
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), pa.array(n), signed(fp1), signed(fp2), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "hash", "n_shingles", "fp1", "fp2", "sketch", "bands"])
+        give_back()
 
     return run
 
@@ -146,6 +149,7 @@ def _candidate_links(limit: int):
                 pairs = []
         if pairs:
             yield _edges(sorted(set(pairs)))
+        give_back()
 
     return run
 
@@ -167,8 +171,8 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     many = df > max(2, 0.14 * m)
     for size in np.unique(df[(df > 1) & ~many]).tolist():
         rows = first[(df == size) & ~many]
-        for a in range(0, len(rows), max(1, 4_000_000 // size**2)):
-            own = owner[rows[a : a + max(1, 4_000_000 // size**2), None] + np.arange(size)]
+        for a in range(0, len(rows), max(1, PAIRS_AT_ONCE // size**2)):
+            own = owner[rows[a : a + max(1, PAIRS_AT_ONCE // size**2), None] + np.arange(size)]
             out += np.bincount((own[:, :, None] * m + own[:, None, :]).ravel(), minlength=m * m)
     out = out.reshape(m, m)
     common = np.flatnonzero(many)
@@ -204,6 +208,7 @@ def _confirmed_links(percent: int):
             pairs = _confirmed(ids, [data[offsets[i] : offsets[i + 1]] for i in at], percent)
             if pairs:
                 yield _edges(pairs)
+        give_back()
 
     return run
 
@@ -266,9 +271,9 @@ def _judged(docs: DataFrame, shingle: int, percent: int, bands: int) -> DataFram
         profiles.filter("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles")
         .agg(F.min_by(F.struct("doc_id", "hash", "sketch", "bands"), F.struct("doc_id", "hash")).alias("first")).select("fp1", "fp2", "n_shingles", "first.*")
     ).withColumn("node", F.monotonically_increasing_id())
-    banded = classes.select("node", "sketch", F.explode("bands").alias("bucket"))
+    banded = classes.select("node", F.explode("bands").alias("bucket"))
     sizes = keep(banded.groupBy("bucket").agg(F.count("*").alias("rows")).filter("rows > 1"))
-    met = banded.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("long")).drop("rows")
+    met = banded.join(sizes, "bucket").join(classes.select("node", "sketch"), "node").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("long")).drop("rows")
     near = _candidate_links(sketch_limit(percent, bands))
     candidates = _tiles(met).repartition(parts, "bucket", "tile").sortWithinPartitions("bucket", "tile").mapInArrow(near, "a long, b long")
     clusters = keep(components(candidates).withColumnRenamed("id", "node").withColumnRenamed("component", "cluster"))

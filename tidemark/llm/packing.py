@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._words import Words, pieces, words
+from tidemark.llm._words import Words, give_back, pieces, words
 
 #: Tokens and documents of a pool, and words whose ids a worker remembers.
 POOL_TOKENS, POOL_DOCUMENTS, REMEMBERED = 2_000_000, 16_384, 600_000
+#: Words whose ids are remembered where they are forgotten at the end of a task.
+REMEMBERED_IN_TASK = 200_000
 #: Tokens that may wait from pool to pool.
 MOST_WAITING = 8_000_000
 
@@ -61,13 +63,13 @@ class WordTokenizer:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray, remember: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's begin."""
         w = parts(data, offsets)
         unique, at, which = np.unique(w.hashes, return_index=True, return_inverse=True)
         keys, known = unique.tolist(), self.known
         new = [i for i, k in enumerate(keys) if k not in known]
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) + len(new) > remember:
             known.clear()
             new = list(range(len(keys)))
         for a in range(0, len(new), 20_000):
@@ -203,7 +205,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end
         encode, packer = tokenizer(tokenizer_path).encode, _Packer(window, TaskContext.get().partitionId(), want_ids)
         tokens = documents = 0
         for part, data, offsets in pieces(batches, size=3 << 20):
-            ids, first = encode(data, offsets)
+            ids, first = encode(data, offsets, REMEMBERED_IN_TASK if forget else REMEMBERED)
             for doc, a, b in zip(part.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
                 packer.add(doc, np.append(ids[a:b], np.uint32(end_id)).astype("<u4"))
                 tokens, documents = tokens + b - a + 1, documents + 1
@@ -218,6 +220,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end
         packer.finish()
         if forget:
             tokenizer(tokenizer_path).known.clear()
+            give_back()
         if packer.rows:
             yield packer.batch()
 
