@@ -26,6 +26,8 @@ from tidemark.llm._words import Words, give_back, pieces, words
 POOL_TOKENS, POOL_DOCUMENTS, REMEMBERED = 2_000_000, 16_384, 600_000
 #: Words whose ids are remembered where they are forgotten at the end of a task.
 REMEMBERED_IN_TASK = 200_000
+#: Bytes of text and distinct words that are encoded at once; the first is less where memory is to be given back.
+PIECE, PIECE_IN_TASK, ENCODED = 3 << 20, 1 << 20, 4_000
 #: Tokens that may wait from pool to pool.
 MOST_WAITING = 8_000_000
 
@@ -72,8 +74,8 @@ class WordTokenizer:
         if len(known) + len(new) > remember:
             known.clear()
             new = list(range(len(keys)))
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
+        for a in range(0, len(new), ENCODED):
+            part = new[a : a + ENCODED]
             for i, e in zip(part, self.tokenizer.encode_batch_fast([w.text(at[i]) for i in part], add_special_tokens=False), strict=True):
                 known[keys[i]] = pack_ids(e.ids)
         own = [known[k] for k in keys]
@@ -204,7 +206,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end
 
         encode, packer = tokenizer(tokenizer_path).encode, _Packer(window, TaskContext.get().partitionId(), want_ids)
         tokens = documents = 0
-        for part, data, offsets in pieces(batches, size=3 << 20):
+        for part, data, offsets in pieces(batches, size=PIECE_IN_TASK if forget else PIECE):
             ids, first = encode(data, offsets, REMEMBERED_IN_TASK if forget else REMEMBERED)
             for doc, a, b in zip(part.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
                 packer.add(doc, np.append(ids[a:b], np.uint32(end_id)).astype("<u4"))
