@@ -9,12 +9,12 @@ from tidemark.sources.adapters import stream_view
 
 @query("stream_book", f"WITH {_MET} SELECT * FROM touch")
 def stream_book(spark, sf_dir) -> DataFrame:
-    return op.run_append(op.stream_book(stream_view(spark, sf_dir, "v_tape")))
+    return op.stream_book(stream_view(spark, sf_dir, "v_tape"))
 
 
 @query("stream_gaps", """WITH s AS (SELECT id, ticker AS stream, lag(seq) OVER (PARTITION BY ticker ORDER BY id) AS prev_seq, seq FROM v_tape) SELECT *, CASE WHEN seq > prev_seq THEN 'skip' ELSE 'resubscribe' END AS kind FROM s WHERE seq <> prev_seq + 1""")
 def stream_gaps(spark, sf_dir) -> DataFrame:
-    return op.run_append(op.stream_gaps(stream_view(spark, sf_dir, "v_tape").select(F.col("ticker").alias("stream"), "id", "seq")))
+    return op.stream_gaps(stream_view(spark, sf_dir, "v_tape").select(F.col("ticker").alias("stream"), "id", "seq"))
 
 
 @query("stream_dedupe_obs", "SELECT DISTINCT station, valid_us {div} 3600000000 AS hour FROM v_obs")
@@ -36,11 +36,11 @@ def stream_gate_log(spark, sf_dir) -> DataFrame:
 
 @query("late_rows", "WITH d AS (SELECT ticker, ts_ms < max(ts_ms) OVER (PARTITION BY ticker ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM v_tape WHERE ts_ms IS NOT NULL) SELECT ticker, count(*) AS n_rows, count(*) FILTER (late) AS late FROM d GROUP BY ticker")
 def late_rows(spark, sf_dir) -> DataFrame:
-    return op.run_update(op.late_rows(stream_view(spark, sf_dir, "v_tape").filter("ts_ms is not null").select("ticker", "id", "ts_ms")), "ticker", "n_rows")
+    return op.late_rows(stream_view(spark, sf_dir, "v_tape").filter("ts_ms is not null").select("ticker", "id", "ts_ms"))
 
 
 @query("stream_stale_alarm", """WITH b AS (SELECT ticker AS stream, us, seq % 7 AS gaps FROM v_tape), s AS (SELECT *, us - lag(us) OVER w > 43200000000 AS late, gaps - coalesce(lag(gaps) OVER w, 0) > 2 AS many FROM b WINDOW w AS (PARTITION BY stream ORDER BY us))
   SELECT stream, us, CASE WHEN late AND many THEN 'both' WHEN late THEN 'stale' ELSE 'gaps' END AS alarm FROM s WHERE late OR many""")
 def stream_stale_alarm(spark, sf_dir) -> DataFrame:
     beats = stream_view(spark, sf_dir, "v_tape").select(F.col("ticker").alias("stream"), "us", (F.col("seq") % 7).alias("gaps"))
-    return op.run_append(op.stream_stale_alarm(beats, 43_200_000_000, 2))
+    return op.stream_stale_alarm(beats, 43_200_000_000, 2)

@@ -1,22 +1,37 @@
-"""Structured Streaming twins of the batch operators: the same rows whether a tape is read at once or as it grows."""
+"""Structured Streaming twins of the batch operators: the same rows whether a tape is read at once or as it grows.
+
+Twins that need the rows of a key in order run batch by batch: what a key carries from one batch to the next is a
+table, put before the batch's rows in windows that sort with spill. So a batch may hold any number of rows of one key,
+and nothing of it is gathered in memory.
+"""
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
+
+from tidemark.operators.book import book_levels, touch_series
+
+#: What is carried for each key: (rows of a batch, carried table) to (rows found, carried table after it).
+Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where none is set."""
+    """A new path in the folder that driver and executors share.
+
+    Where none is set, a local session gets a temporary one, and a cluster's raises, as its machines share no such folder.
+    """
     context = spark.sparkContext
-    base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
@@ -35,45 +50,78 @@ def run_complete(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def _replay(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    batch, books = state.get if state.exists else (None, "[{}, {}]")
-    yes, no = ({int(p): n for p, n in b.items()} for b in json.loads(books))
-    batch = tuple(json.loads(batch)) if batch else None
-    sides, out = {"yes": yes, "no": no}, []
-    for r in pd.concat(list(parts)).sort_values("id").itertuples():
-        if r.is_snapshot and (r.us, r.seq) != batch:
-            batch = (int(r.us), int(r.seq))
-            sides["yes"].clear()
-            sides["no"].clear()
-        levels = sides[r.side]
-        levels[r.price] = int(r.size if r.is_snapshot else levels.get(r.price, 0) + r.size)
-        if levels[r.price] == 0:
-            del levels[r.price]
-        best = [max((p for p, n in sides[s].items() if n > 0), default=None) for s in ("yes", "no")]
-        out.append((r.id, key[0], r.us, *(x for s, b in zip(("yes", "no"), best, strict=True) for x in (b, sides[s].get(b)))))
-    state.update((json.dumps(batch) if batch else None, json.dumps([yes, no])))
-    yield pd.DataFrame(out, columns=["id", "ticker", "us", "yes_bid", "yes_size", "no_bid", "no_size"]).astype({c: "Int64" for c in ("yes_bid", "yes_size", "no_bid", "no_size")})
+def carry(stream: DataFrame, step: Step, carried: str, path: str) -> tuple[DataStreamWriter, Callable[[], DataFrame]]:
+    """A writer that takes step batch by batch, to be given a trigger and started, and a reader of what it found so far.
+
+    carried is the schema of the carried table. Batch n writes its rows under its own number and its carried table
+    beside that of batch n - 1, which it reads; so a batch that is taken again replaces what it wrote.
+    """
+    spark = stream.sparkSession
+
+    def take(batch: DataFrame, number: int, before: DataFrame | None = None) -> None:
+        held = spark.read.schema(carried).parquet(f"{path}/carried-{(number - 1) % 2}") if before is None else before
+        found, after = step(batch, held)
+        found.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        after.write.mode("overwrite").parquet(f"{path}/carried-{number % 2}")
+
+    none = spark.createDataFrame([], stream.schema), spark.createDataFrame([], carried)
+    shape = step(*none)[0].schema
+
+    def start(batch: DataFrame, number: int) -> None:
+        take(batch, number, none[1] if number == 0 else None)
+
+    def read() -> DataFrame:
+        spark.createDataFrame([], shape).write.mode("overwrite").parquet(f"{path}/out/batch=-1")  # a table even before the first batch
+        return spark.read.schema(shape).parquet(f"{path}/out").drop("batch")
+
+    return stream.writeStream.foreachBatch(start).option("checkpointLocation", f"{path}/offsets"), read
+
+
+def run_carried(stream: DataFrame, step: Step, carried: str) -> DataFrame:
+    """Takes step over what is there now: all rows found, of every batch."""
+    writer, read = carry(stream, step, carried, shared_folder(stream.sparkSession))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return read()
+
+
+#: The id of carried levels: before that of every row.
+_CARRIED = -(2**62)
+
+
+def _book(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
+    tape = ["id", "ticker", "us", "seq", "side", "price", "size", "is_snapshot"]
+    held = carried.withColumn("id", F.lit(_CARRIED)).withColumn("is_snapshot", F.col("us").isNotNull())
+    rows = held.select(*tape).unionByName(batch.select(*tape))
+    found = touch_series(rows).filter(F.col("id") > _CARRIED)
+    newest = Window.partitionBy("ticker")
+    levels = book_levels(rows).withColumn("_epoch", F.max("epoch").over(newest)).filter("epoch = _epoch")
+    levels = levels.groupBy("ticker", "side", "price").agg(F.max_by("level_size", "id").alias("size"), F.max("id").alias("_id"))
+    # an empty level is forgotten, but the last touched one of a ticker stays, with the snapshot that its book began with
+    levels = levels.withColumn("_last", F.max("_id").over(newest)).filter("size <> 0 or _id = _last")
+    batches = rows.filter("is_snapshot").groupBy("ticker").agg(F.max_by(F.struct("us", "seq"), "id").alias("b"))
+    return found, levels.join(batches, "ticker", "left").select("ticker", F.col("b.us").alias("us"), F.col("b.seq").alias("seq"), "side", "price", "size")
 
 
 def stream_book(tape: DataFrame) -> DataFrame:
-    """Best prices and sizes after every row of a live tape; the state is one book a ticker and its snapshot's batch key."""
-    schema = "id long, ticker string, us long, yes_bid long, yes_size long, no_bid long, no_size long"
-    return tape.groupBy("ticker").applyInPandasWithState(_replay, schema, "batch string, books string", "append", GroupStateTimeout.NoTimeout)
+    """Best prices and sizes after every row of a live tape, as of touch_series, over what is there now.
+
+    Carried are the levels of each ticker and the snapshot that they began with; the rows of a batch follow those of
+    the batches before, whatever their ids.
+    """
+    return run_carried(tape, _book, "ticker string, us long, seq long, side string, price long, size long")
 
 
-def _skips(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, out = (state.get[0] if state.exists else None), []
-    for r in pd.concat(list(parts)).sort_values("id").itertuples():
-        if last is not None and r.seq != last + 1:
-            out.append((r.id, key[0], last, r.seq, "skip" if r.seq > last else "resubscribe"))
-        last = int(r.seq)
-    state.update((last,))
-    yield pd.DataFrame(out, columns=["id", "stream", "prev_seq", "seq", "kind"])
+def _skips(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = carried.withColumn("_new", F.lit(False)).unionByName(batch.select("stream", "id", "seq", F.lit(True).alias("_new")))
+    seen = rows.withColumn("prev_seq", F.lag("seq").over(Window.partitionBy("stream").orderBy("_new", "id"))).filter("_new and seq <> prev_seq + 1")
+    kind = F.when(F.col("seq") > F.col("prev_seq"), "skip").otherwise("resubscribe")
+    last = rows.groupBy("stream").agg(F.max_by(F.struct("id", "seq"), F.struct("_new", "id")).alias("r")).select("stream", "r.*")
+    return seen.select("id", "stream", "prev_seq", "seq", kind.alias("kind")), last
 
 
 def stream_gaps(messages: DataFrame) -> DataFrame:
-    """Sequence breaks of every stream (stream, id, seq); the state is the last number seen."""
-    return messages.groupBy("stream").applyInPandasWithState(_skips, "id long, stream string, prev_seq long, seq long, kind string", "last long", "append", GroupStateTimeout.NoTimeout)
+    """Sequence breaks of every stream (stream, id, seq), over what is there now; the last number seen is carried."""
+    return run_carried(messages, _skips, "stream string, id long, seq long")
 
 
 def stream_dedupe_obs(readings: DataFrame, keys: list[str], clock: str, delay: str) -> DataFrame:
@@ -91,43 +139,35 @@ def stream_gate_log(failures: DataFrame, keys: list[str]) -> DataFrame:
     return failures.groupBy(*keys).agg(F.count("*").alias("n"), F.max("us").alias("last_us"))
 
 
-def _late(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    most, rows, late = state.get if state.exists else (-(2**62), 0, 0)
-    for r in pd.concat(list(parts)).sort_values("id").itertuples():
-        rows, late, most = rows + 1, late + (r.ts_ms < most), max(most, int(r.ts_ms))
-    state.update((most, rows, late))
-    yield pd.DataFrame([(key[0], rows, late)], columns=["ticker", "n_rows", "late"])
+def _late(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
+    held = carried.select("ticker", F.lit(None).cast("long").alias("id"), F.col("most").alias("ts_ms"), "n_rows", "late")
+    none = F.lit(0).cast("long")
+    rows = held.unionByName(batch.select("ticker", "id", "ts_ms", none.alias("n_rows"), none.alias("late"))).withColumn("_new", F.col("id").isNotNull())
+    before = Window.partitionBy("ticker").orderBy("_new", "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_behind", F.col("_new") & F.coalesce(F.col("ts_ms") < F.max("ts_ms").over(before), F.lit(False)))
+    after = rows.groupBy("ticker").agg(
+        F.max("ts_ms").alias("most"), (F.sum("n_rows") + F.count_if("_new")).alias("n_rows"), (F.sum("late") + F.count_if("_behind")).alias("late"), F.bool_or("_new").alias("_met")
+    )
+    return after.filter("_met").select("ticker", "n_rows", "late"), after.drop("_met")
 
 
 def late_rows(deltas: DataFrame) -> DataFrame:
-    """Per ticker, rows so far and those stamped before one that had come already; in update mode the last row counts."""
-    return deltas.groupBy("ticker").applyInPandasWithState(_late, "ticker string, n_rows long, late long", "most long, n_rows long, late long", "update", GroupStateTimeout.NoTimeout)
-
-
-def _stale(stale_us: int, most_gaps: int):
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, gaps = state.get if state.exists else (None, 0)
-        out = []
-        for r in pd.concat(list(parts)).sort_values("us").itertuples():
-            late, many = last is not None and r.us - last > stale_us, r.gaps - gaps > most_gaps
-            if late or many:
-                out.append((key[0], r.us, "both" if late and many else "stale" if late else "gaps"))
-            last, gaps = int(r.us), int(r.gaps)
-        state.update((last, gaps))
-        yield pd.DataFrame(out, columns=["stream", "us", "alarm"])
-
-    return run
+    """Per ticker, rows (ticker, id, ts_ms) so far and those stamped before one that had come already, over what is there now."""
+    found = run_carried(deltas, _late, "ticker string, most long, n_rows long, late long")
+    return found.groupBy("ticker").agg(F.max("n_rows").alias("n_rows"), F.max("late").alias("late"))  # both only grow
 
 
 def stream_stale_alarm(beats: DataFrame, stale_us: int, most_gaps: int) -> DataFrame:
-    """Beats (stream, us, gaps) that come late after the one before, or with too many new gaps."""
-    return beats.groupBy("stream").applyInPandasWithState(_stale(stale_us, most_gaps), "stream string, us long, alarm string", "last long, gaps long", "append", GroupStateTimeout.NoTimeout)
-
-
-def run_update(stream: DataFrame, key: str, newest: str) -> DataFrame:
-    """Runs an update stream over what is there now and keeps each key's last row, by the column that only grows."""
-    spark, path = stream.sparkSession, shared_folder(stream.sparkSession)
-    write = lambda batch, _: batch.write.mode("append").parquet(f"{path}/out")
-    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(stream.schema).parquet(f"{path}/out")
-    return rows.groupBy(key).agg(F.max_by(F.struct(*(c for c in rows.columns if c != key)), newest).alias("r")).select(key, "r.*")
+    """Beats (stream, us, gaps) that come late after the one before, or with too many new gaps, over what is there now."""
+
+    def step(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = carried.withColumn("_new", F.lit(False)).unionByName(batch.select("stream", "us", "gaps", F.lit(True).alias("_new")))
+        own = Window.partitionBy("stream").orderBy("_new", "us")
+        late = F.coalesce(F.col("us") - F.lag("us").over(own) > stale_us, F.lit(False))
+        many = F.col("gaps") - F.coalesce(F.lag("gaps").over(own), F.lit(0)) > most_gaps
+        seen = rows.withColumns({"_late": late, "_many": many}).filter("_new and (_late or _many)")
+        alarm = F.when(F.col("_late") & F.col("_many"), "both").when(F.col("_late"), "stale").otherwise("gaps")
+        last = rows.groupBy("stream").agg(F.max_by(F.struct("us", "gaps"), F.struct("_new", "us")).alias("r")).select("stream", "r.*")
+        return seen.select("stream", "us", alarm.alias("alarm")), last
+
+    return run_carried(beats, step, "stream string, us long, gaps long")
