@@ -48,16 +48,18 @@ def quantile(df: DataFrame, by: list[str], value: str, q: float, rule: str, name
     """One quantile of value by key, at a position in its sorted values that rule names.
 
     nearest: ceil(q n); even: q (n - 1) rounded half to even, from 0; up: the same rounded half up; floor: rounded down.
+    Rows are counted by value first, so what is sorted are a key's distinct values. Null values don't count.
     """
+    bins = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
     own = Window.partitionBy(*by)
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(own.orderBy(value)) - 1).withColumn("_n", F.count("*").over(own))
+    ranked = bins.withColumn("_upto", F.sum("_c").over(own.orderBy(value))).withColumn("_n", F.sum("_c").over(own))
     place = {
         "nearest": F.greatest(F.ceil(F.col("_n") * q) - 1, F.lit(0)),
         "even": F.bround((F.col("_n") - 1) * q),
         "up": F.floor((F.col("_n") - 1) * q + 0.5),
         "floor": F.floor((F.col("_n") - 1) * q),
     }[rule]
-    return ranked.filter(F.col("_i") == place).select(*by, F.col(value).alias(name))
+    return ranked.filter(F.col("_upto") > place).groupBy(*by).agg(F.min(value).alias(name))
 
 
 def weighted_quantile(df: DataFrame, by: list[str], value: str, weight: str, q: float, name: str) -> DataFrame:

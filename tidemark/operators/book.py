@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.asof import asof_join
+from tidemark.plans.asof import asof_join, last_before
 
 
 def with_epoch(tape: DataFrame) -> DataFrame:
@@ -88,24 +88,61 @@ def touch_series(tape: DataFrame) -> DataFrame:
     return ladder.select("id", "ticker", "us", *(F.get(f"{s}_{a}", F.lit(0)).alias(f"{s}_{b}") for s in ("yes", "no") for a, b in (("prices", "bid"), ("sizes", "size"))))
 
 
-def book_state_at(points: DataFrame, tape: DataFrame, gaps: DataFrame) -> DataFrame:
-    """The book of (point_id, ticker, at_us): sizes by side and price, from the last snapshot and the deltas after it.
+def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best levels at each point of a stream sorted by ticker, snapshot and time; only the sums of one book are held."""
+    key, book = None, {"yes": {}, "no": {}}
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("ticker", "snap_us", "is_point", "side", "price", "size")]
+        points, out = [], ([], [], [], [])
+        for i, (ticker, snap_us, is_point, side, price, size) in enumerate(zip(*columns, strict=True)):
+            if (ticker, snap_us) != key:
+                key, book = (ticker, snap_us), {"yes": {}, "no": {}}
+            if not is_point:
+                book[side][price] = book[side].get(price, 0) + size
+                continue
+            points.append(i)
+            for s, levels in enumerate(book.values()):
+                best = max((p for p, n in levels.items() if n > 0), default=None)
+                out[2 * s].append(best)
+                out[2 * s + 1].append(levels.get(best))
+        kept = batch.column("point").take(pa.array(points, pa.int64()))
+        yield pa.RecordBatch.from_arrays([kept, *(pa.array(c, pa.int64()) for c in out)], ["point", "yes_bid", "yes_size", "no_bid", "no_size"])
+
+
+def book_state_at(points: DataFrame, tape: DataFrame, gaps: DataFrame, width: int = 3_600_000_000) -> DataFrame:
+    """The best levels of the book at (point_id, ticker, at_us), from the last snapshot and the deltas after it.
 
     status is no_anchor without a snapshot before, gap if one of the ticker or of the whole connection (ticker '') lies
-    after it, else ok. Deltas at the very stamp of the snapshot don't count.
+    after it, else ok. Deltas at the very stamp of the snapshot don't count, nor do rows without a side yes or no, a
+    price or a size. Each point is judged by itself, also if its id repeats; a null ticker or time has no anchor.
+
+    Points are put among the rows of their ticker and snapshot in order of time, and the stream is folded: no point is
+    paired with rows, and a busy ticker is spread over its snapshots. Gaps of the connection meet points in ranges of
+    width of the time.
     """
-    snapshots = tape.filter("is_snapshot").select("ticker", "us", "id", F.col("us").alias("snap_us"), F.col("seq").alias("snap_seq"))
-    anchored = asof_join(points, snapshots, ["ticker"], "at_us", "us", ["snap_us", "snap_seq"], tie="id")
+    points = points.select("point_id", "ticker", "at_us")
+    snapshots = tape.filter("is_snapshot").select("ticker", "us", "id", F.col("us").alias("snap_us"))
+    anchored = asof_join(points, snapshots, ["ticker"], "at_us", "us", ["snap_us"], tie="id")
     own = asof_join(anchored, gaps.filter("ticker <> ''").select("ticker", F.col("detected_us").alias("gap_us")), ["ticker"], "at_us", "gap_us", ["gap_us"])
-    wide = asof_join(own.withColumn("_all", F.lit(0)), gaps.filter("ticker = ''").select(F.lit(0).alias("_all"), F.col("detected_us").alias("wide_us")), ["_all"], "at_us", "wide_us", ["wide_us"]).drop("_all")
+    wide = last_before(own, gaps.filter("ticker = ''"), "at_us", "detected_us", "wide_us", width)
     gap = F.coalesce(F.greatest("gap_us", "wide_us") >= F.col("snap_us"), F.lit(False))
-    state = wide.withColumn("status", F.when(F.col("snap_us").isNull(), "no_anchor").when(gap, "gap").otherwise("ok"))
-    rows = state.filter("status = 'ok'").select("point_id", "ticker", "at_us", "snap_us", "snap_seq").join(tape, "ticker")
-    base = F.col("is_snapshot") & (F.col("us") == F.col("snap_us")) & (F.col("seq") == F.col("snap_seq"))
-    delta = ~F.col("is_snapshot") & (F.col("us") > F.col("snap_us")) & (F.col("us") <= F.col("at_us"))
-    book = rows.filter(base | delta).groupBy("point_id", "side", "price").agg(F.sum("size").alias("size")).filter("size > 0")
-    best = book.groupBy("point_id").agg(*(F.max(F.when(F.col("side") == s, F.struct("price", "size"))).alias(s) for s in ("yes", "no")))
-    return state.join(best, "point_id", "left").select("point_id", "ticker", "at_us", "status", *(F.col(f"{s}.{a}").alias(f"{s}_{b}") for s in ("yes", "no") for a, b in (("price", "bid"), ("size", "size"))))
+    none = F.col("snap_us").isNull() | F.col("ticker").isNull()
+    state = wide.select("point_id", "ticker", "at_us", "snap_us", F.when(none, "no_anchor").when(gap, "gap").otherwise("ok").alias("status"))
+
+    upto = Window.partitionBy("ticker").orderBy("us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = tape.filter("side in ('yes', 'no') and price is not null and size is not null").select("ticker", "us", "id", "seq", "side", "price", "size", "is_snapshot")
+    # a snapshot's stamp comes from all of its rows, readable levels or not
+    marks = tape.filter("is_snapshot").groupBy("ticker", "us").agg(F.max_by("seq", "id").alias("snap_seq"))
+    stamped = rows.withColumn("is_mark", F.lit(False)).unionByName(marks.withColumn("is_mark", F.lit(True)), allowMissingColumns=True)
+    stamped = stamped.withColumn("a", F.max(F.when(F.col("is_mark"), F.struct("us", "snap_seq"))).over(upto)).filter("not is_mark")
+    held = F.when(F.col("is_snapshot"), (F.col("us") == F.col("a.us")) & (F.col("seq") == F.col("a.snap_seq"))).otherwise(F.col("us") > F.col("a.us"))
+    book = stamped.filter(held).select("ticker", F.col("a.us").alias("snap_us"), "us", F.lit(False).alias("is_point"), "side", "price", "size")
+
+    asked = state.filter("status = 'ok'").select("ticker", "snap_us", F.col("at_us").alias("us"), F.lit(True).alias("is_point"), F.struct("point_id", "ticker", "at_us", "status").alias("point"))
+    kind = asked.schema["point"].dataType
+    both = book.unionByName(asked, allowMissingColumns=True).repartition("ticker", "snap_us").sortWithinPartitions("ticker", "snap_us", "us", "is_point")
+    found = both.mapInArrow(_tops, f"point {kind.simpleString()}, yes_bid long, yes_size long, no_bid long, no_size long").select("point.*", "yes_bid", "yes_size", "no_bid", "no_size")
+    return found.unionByName(state.filter("status <> 'ok'").select("point_id", "ticker", "at_us", "status"), allowMissingColumns=True)
 
 
 def rest_agreement(rest: DataFrame, state: DataFrame) -> DataFrame:

@@ -175,11 +175,12 @@ def decision_snapshot(snapshots: DataFrame, closes: DataFrame, lead_us: int, sta
 
 def depth_screen(rows: DataFrame, value: str, least: int) -> DataFrame:
     """Legs kept and below size, those at zero, and quantiles at floored ranks."""
-    out = rows.agg(F.count("*").alias("n"), F.count_if(F.col(value) >= least).alias("kept"), F.count_if(F.col(value) == 0).alias("zeros"), F.max(value).alias("most"))
-    one = rows.withColumn("_all", F.lit(1))
-    for q in (10, 50, 90):
-        out = out.join(F.broadcast(quantile(one, ["_all"], value, q / 100, "floor", f"p{q}").drop("_all")))
-    return out
+    own, held = Window.orderBy(value), F.when(F.col(value).isNotNull(), F.col("_c"))
+    bins = rows.groupBy(value).agg(F.count("*").alias("_c"))  # what is put in one order is a row a distinct value
+    bins = bins.withColumn("_upto", F.sum(held).over(own)).withColumn("_n", F.sum(held).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    every = lambda test: F.coalesce(F.sum(F.when(test, F.col("_c"))), F.lit(0))
+    at = lambda q: F.min(F.when(F.col("_upto") > F.floor((F.col("_n") - 1) * (q / 100)), F.col(value))).alias(f"p{q}")
+    return bins.agg(every(F.lit(True)).alias("n"), every(F.col(value) >= least).alias("kept"), every(F.col(value) == 0).alias("zeros"), F.max(value).alias("most"), at(10), at(50), at(90))
 
 
 def entry_pnl(rows: DataFrame) -> DataFrame:

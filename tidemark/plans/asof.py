@@ -1,4 +1,4 @@
-"""As-of joins: for every left row the nearest right row in time, by key."""
+"""As-of joins: for every left row the nearest right row in time, by key or of all."""
 
 from __future__ import annotations
 
@@ -32,3 +32,18 @@ def asof_join(
     if tolerance is not None:
         value = F.when(F.abs(F.col("_left")[left_t] - F.col("_seen")[right_t]) <= tolerance, F.col("_seen"))
     return found.withColumn("_seen", value).select("_left.*", *(F.col("_seen")[c].alias(c) for c in take))
+
+
+def last_before(left: DataFrame, right: DataFrame, left_t: str, right_t: str, name: str, width: int) -> DataFrame:
+    """left with the last right_t of all right rows at or before left_t as name, without a key to join by; null if none.
+
+    Rows meet in ranges of width of the time; what ranges before held comes from a table with one row a range. Null
+    times meet nothing. Left rows of one range are one task's sort, so width is to be short against the whole time.
+    """
+    left = left.withColumn("_range", F.floor(F.col(left_t) / width))
+    right = right.select(F.col(right_t).alias(f"_{name}"), F.floor(F.col(right_t) / width).alias("_range")).filter(F.col("_range").isNotNull())
+    ranges = left.select("_range", F.lit(None).cast("long").alias("_most")).unionByName(right.select("_range", F.col(f"_{name}").cast("long").alias("_most")))
+    ranges = ranges.filter(F.col("_range").isNotNull()).groupBy("_range").agg(F.max("_most").alias("_most"))
+    carried = ranges.select("_range", F.max("_most").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    met = asof_join(left, right, ["_range"], left_t, f"_{name}", [f"_{name}"]).join(carried, "_range", "left")
+    return met.withColumn(name, F.coalesce(f"_{name}", "_carried")).drop("_range", "_carried", f"_{name}")

@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import depth as op
@@ -25,7 +26,8 @@ _LADDER = "lad AS (SELECT user_id, list(k ORDER BY k DESC)[1:6] AS ps, list(c OR
 
 def _ladders(spark, sf_dir):
     levels = view(spark, sf_dir, "ev").groupBy("user_id", "k").agg(F.min("c").alias("c"))
-    rows = levels.groupBy("user_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "c")), False), 1, 6).alias("x"))
+    top = levels.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("k")))).filter("n <= 6")  # six are collected, whatever a user has
+    rows = top.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("k", "c")), False).alias("x"))
     return rows.select("user_id", F.col("x.k").alias("prices"), F.col("x.c").alias("sizes"))
 
 @query("cumulative_depth", f"WITH {_LADDER} SELECT user_id, list_sum(list_transform(list_filter(range(1, len(ps) + 1), lambda i: ps[i] >= ps[1] - 5), lambda i: ss[i]))::BIGINT AS depth FROM lad")

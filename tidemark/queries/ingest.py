@@ -24,7 +24,8 @@ def ingest_settled_json(spark, sf_dir):
         F.concat(F.lit("M"), "event_id").alias("ticker"), F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("close_time"), F.when(F.col("k") % 5 == 0, "").otherwise(F.col("k").cast("string")).alias("floor_strike"),
         F.when(F.col("k") % 3 == 0, "").otherwise("yes").alias("result"), F.when(F.col("k") % 7 == 0, "n/a").otherwise((F.col("c") / 100).cast("string")).alias("last_price_dollars"),
     )
-    pages = ev.groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(one).alias("markets"))).alias("page"))
+    page = F.expr("event_id div 1000")  # a page holds at most 1,000 markets, as ids don't repeat
+    pages = ev.groupBy("user_id", page.alias("n")).agg(F.to_json(F.struct(F.collect_list(one).alias("markets"))).alias("page"))
     rows = op.ingest_settled_json(pages, "page")
     return rows.withColumns({c: F.col(c).cast("double") for c in ("floor_strike", "last_price")})
 
