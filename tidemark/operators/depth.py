@@ -96,17 +96,17 @@ def replenishment(prints: DataFrame, quotes: DataFrame, within_us: int) -> DataF
     return rows.join(back, rows["id"] == back["print_id"], "left").select("id", "ticker", "before", "after", (F.col("refilled_us") - F.col("us")).alias("refill_us"))
 
 
-def ladder_state_matrix(quotes: DataFrame, legs: DataFrame, seats: int) -> DataFrame:
-    """Bids of a group's legs, one column a seat, carried forward at every instant of any; complete once all are known.
+def ladder_state_matrix(quotes: DataFrame, legs: DataFrame, seats: int, values: dict[str, str] | None = None, complete: bool = True) -> DataFrame:
+    """Values of a group's legs, one column a seat, carried forward at every instant of any; complete: once all are known.
 
-    legs: grp, ticker, seat from 0.
+    legs: grp, ticker, seat from 0. values names the columns to carry: yes_bid as bid and yes_size as size, unless given.
     """
+    values = values or {"bid": "yes_bid", "size": "yes_size"}
     rows = quotes.join(legs, "ticker")
     order = Window.partitionBy("grp").orderBy("us", "id").rowsBetween(Window.unboundedPreceding, 0)
-    carried = [F.last(F.when(F.col("seat") == i, F.col("yes_bid")), ignorenulls=True).over(order).alias(f"bid_{i}") for i in range(seats)]
-    sizes = [F.last(F.when(F.col("seat") == i, F.col("yes_size")), ignorenulls=True).over(order).alias(f"size_{i}") for i in range(seats)]
-    known = rows.select("grp", "us", "id", *carried, *sizes)
-    return known.filter(" and ".join(f"bid_{i} is not null" for i in range(seats)))
+    carried = [F.last(F.when(F.col("seat") == i, F.col(c)), ignorenulls=True).over(order).alias(f"{n}_{i}") for n, c in values.items() for i in range(seats)]
+    known = rows.select("grp", "us", "id", *carried)
+    return known.filter(" and ".join(f"{next(iter(values))}_{i} is not null" for i in range(seats))) if complete else known
 
 
 def ladder_build(tickers: DataFrame, group: Column, seats: int, exact: bool = False) -> DataFrame:
@@ -124,16 +124,35 @@ def arb_episodes(matrix: DataFrame, magnitude: Column, depth: Column) -> DataFra
 
     Returns grp, start_us, end_us (null if censored), states, and the state with the largest magnitude, the first if tied.
     """
-    order = Window.partitionBy("grp").orderBy("us", "id")
-    rows = matrix.withColumns({"magnitude": magnitude, "depth": depth}).withColumn("on", (F.col("magnitude") > 0) & (F.col("depth") > 0)).withColumn("next_us", F.lead("us").over(order))
-    rows = rows.withColumn("was", F.lag("on").over(order))
-    runs = islands(rows, ["grp"], ["us", "id"], F.col("on") & ~F.coalesce("was", F.lit(False))).filter("on")
+    runs = _runs(matrix.withColumns({"magnitude": magnitude, "depth": depth}), ["grp"])
     return runs.groupBy("grp", "island").agg(
         F.min("us").alias("start_us"), F.max_by("next_us", F.struct("us", "id")).alias("end_us"), F.count("*").alias("states"),
         F.min_by(F.struct("magnitude", "depth", F.col("id").alias("state_id")), F.struct(-F.col("magnitude"), "us", "id")).alias("w"),
     ).select("grp", "start_us", "end_us", "states", "w.*")
 
 
+def _runs(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by, us, id, magnitude, depth) of positive magnitude and depth, with the run they belong to and when the next state came."""
+    order = Window.partitionBy(*by).orderBy("us", "id")
+    rows = rows.withColumn("on", (F.col("magnitude") > 0) & (F.col("depth") > 0)).withColumn("next_us", F.lead("us").over(order))
+    rows = rows.withColumn("was", F.lag("on").over(order))
+    return islands(rows, by, ["us", "id"], F.col("on") & ~F.coalesce("was", F.lit(False))).filter("on")
+
+
+def _worst(rows: DataFrame, by: list[str], seats: int, persist_us: int, least_depth: int) -> DataFrame:
+    """In each run the state of least excess; rows: by, us, id, magnitude, depth, and the array prices, one a leg, of at most seats."""
+    legs = F.size("prices").cast("long")
+    fees = sum((F.coalesce(fee_cents("depth", f"get(prices, {i})"), F.lit(0)) for i in range(seats)), F.lit(0).cast("long"))
+    # one division of exact integers, so equal excesses tie
+    excess = (F.col("magnitude") * F.col("depth") - UNITS * 100 * F.col("fees") - 100 * legs * F.col("depth")).cast("double") / (100 * F.col("depth")).cast("double")
+    found = _runs(rows, by).withColumn("fees", fees).withColumn("excess", excess).groupBy(*by, "island").agg(
+        F.min("us").alias("start_us"), F.max_by("next_us", F.struct("us", "id")).alias("end_us"),
+        F.min_by(F.struct("magnitude", "depth", "fees", "excess", F.col("id").alias("state_id")), F.struct("excess", "us", "id")).alias("w"),
+    ).select(*by, "start_us", "end_us", "w.*")
+    held = F.coalesce(F.col("end_us") - F.col("start_us") >= persist_us, F.lit(False))
+    return found.withColumn("tradeable", held & (F.col("excess") > 0) & (F.col("depth") >= least_depth))
+
+
 def worst_states(matrix: DataFrame, magnitude: Column, depth: Column, prices: list[str], persist_us: int, least_depth: int) -> DataFrame:
     """In each episode, as of arb_episodes, the state with the least excess in cents, the first if tied.
 
@@ -141,19 +160,58 @@ def worst_states(matrix: DataFrame, magnitude: Column, depth: Column, prices: li
     episode is tradeable if it lasts persist_us, its excess is positive and its depth there is least_depth; one that is
     censored is not.
     """
-    order = Window.partitionBy("grp").orderBy("us", "id")
-    rows = matrix.withColumns({"magnitude": magnitude, "depth": depth}).withColumn("on", (F.col("magnitude") > 0) & (F.col("depth") > 0)).withColumn("next_us", F.lead("us").over(order))
-    rows = rows.withColumn("was", F.lag("on").over(order))
-    runs = islands(rows, ["grp"], ["us", "id"], F.col("on") & ~F.coalesce("was", F.lit(False))).filter("on")
-    runs = runs.withColumn("fees", sum((fee_cents("depth", p) for p in prices), F.lit(0).cast("long")))
-    # one division of exact integers, so equal excesses tie
-    excess = (F.col("magnitude") * F.col("depth") - UNITS * 100 * F.col("fees") - 100 * len(prices) * F.col("depth")).cast("double") / (100 * F.col("depth")).cast("double")
-    found = runs.withColumn("excess", excess).groupBy("grp", "island").agg(
-        F.min("us").alias("start_us"), F.max_by("next_us", F.struct("us", "id")).alias("end_us"),
-        F.min_by(F.struct("magnitude", "depth", "fees", "excess", F.col("id").alias("state_id")), F.struct("excess", "us", "id")).alias("w"),
-    ).select("grp", "start_us", "end_us", "w.*")
-    held = F.coalesce(F.col("end_us") - F.col("start_us") >= persist_us, F.lit(False))
-    return found.withColumn("tradeable", held & (F.col("excess") > 0) & (F.col("depth") >= least_depth))
+    rows = matrix.select("grp", "us", "id", magnitude.alias("magnitude"), depth.alias("depth"), F.array(*prices).alias("prices"))
+    return _worst(rows, ["grp"], len(prices), persist_us, least_depth)
+
+
+#: What is carried for every leg of a ladder so that all three streams can be told.
+LEG_VALUES = {"bid": "yes_bid", "size": "yes_size", "no": "no_bid", "no_size": "no_size"}
+
+
+def arb_streams(matrix: DataFrame, seats: int) -> DataFrame:
+    """The three ways in which a ladder's prices disagree, stacked: grp, us, id, stream, live, magnitude, depth, prices.
+
+    matrix: states of LEG_VALUES, complete or not; seats are in order of strike, the first leg below and the last above.
+    sum_buy: a whole less all asks, an ask being a whole less the bid for no; sum_sell: all bids less a whole;
+    monotonicity: the bids of the two outer legs less a whole. A stream is live where all of its legs are known; where
+    it is not, its magnitude and depth are null.
+    """
+    every = range(seats)
+    total = lambda columns: sum(columns[1:], columns[0])
+    asks = [10_000 - F.col(f"no_{i}") for i in every]
+    bids, sizes = [F.col(f"bid_{i}") for i in every], [F.col(f"size_{i}") for i in every]
+    ends = (0, seats - 1)
+    kinds = {
+        "sum_buy": (10_000 - total(asks), F.least(*(F.col(f"no_size_{i}") for i in every)), asks, every),
+        "sum_sell": (total(bids) - 10_000, F.least(*sizes), bids, every),
+        "monotonicity": (bids[0] + bids[-1] - 10_000, F.least(sizes[0], sizes[-1]), [bids[0], bids[-1]], ends),
+    }
+    states = []
+    for name, (magnitude, depth, prices, legs) in kinds.items():
+        live = F.expr(" and ".join(f"bid_{i} is not null and no_{i} is not null" for i in legs))
+        states.append(F.struct(F.lit(name).alias("stream"), live.alias("live"), F.when(live, magnitude).alias("magnitude"), F.when(live, depth).alias("depth"), F.array(*prices).alias("prices")))
+    return matrix.select("grp", "us", "id", F.explode(F.array(*states)).alias("s")).select("grp", "us", "id", "s.*")
+
+
+def stream_episodes(streams: DataFrame, seats: int, persist_us: int, least_depth: int) -> DataFrame:
+    """Episodes of every stream of every ladder with their worst states, as of worst_states; states that aren't live are passed over."""
+    return _worst(streams.filter("live"), ["stream", "grp"], seats, persist_us, least_depth)
+
+
+def stream_summary(streams: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Per stream: episodes found, kept (those that ended), censored and tradeable, states that aren't live, and nearest ranks of the kept ones' excess and time.
+
+    A stream without episodes has counts of 0 and null ranks.
+    """
+    dead = streams.groupBy("stream").agg(F.count_if(~F.col("live")).alias("incomplete"))
+    kept = F.col("end_us").isNotNull()
+    ended = episodes.withColumn("x", F.when(kept, F.col("excess"))).withColumn("held", F.col("end_us") - F.col("start_us"))
+    rank = lambda column, q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
+    found = ended.groupBy("stream").agg(
+        F.count("*").alias("found"), F.count_if(kept).alias("kept"), F.count_if(~kept).alias("censored"), F.count_if("tradeable").alias("tradeable"), F.min("x").alias("least"),
+        *(rank("x", q / 100).alias(f"p{q}") for q in (25, 50, 75, 90)), F.max("x").alias("most"), *(rank("held", q / 100).cast("long").alias(f"p{q}_us") for q in (50, 90)),
+    )
+    return dead.join(found, "stream", "left").fillna(0, ["found", "kept", "censored", "tradeable"])
 
 
 def episode_summary(episodes: DataFrame, persist_us: int) -> DataFrame:

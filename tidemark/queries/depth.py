@@ -139,6 +139,38 @@ def worst_state(spark, sf_dir):
     sums = F.col("bid_0") + F.col("bid_1") + F.col("bid_2") - 10_000
     return op.worst_states(_whole_matrix(spark, sf_dir), sums, F.least("size_0", "size_1", "size_2"), ["bid_0", "bid_1", "bid_2"], HOUR, 1_000)
 
+_COLUMNS = (("bid", "yes_bid"), ("size", "yes_size"), ("no", "no_bid"), ("no_size", "no_size"))
+_STREAMS = f"""lg AS (SELECT ticker, CAST(substr(ticker, 2) AS BIGINT) {{div}} 3 AS grp, row_number() OVER (PARTITION BY CAST(substr(ticker, 2) AS BIGINT) {{div}} 3 ORDER BY ticker) - 1 AS seat, count(*) OVER (PARTITION BY CAST(substr(ticker, 2) AS BIGINT) {{div}} 3) AS n FROM (SELECT DISTINCT ticker FROM v_touch)),
+  ma AS (SELECT grp, us, id, {", ".join(f"last_value(CASE WHEN seat = {i} THEN {c} END IGNORE NULLS) OVER w AS {n}_{i}" for n, c in _COLUMNS for i in range(3))} FROM v_touch JOIN lg USING (ticker) WHERE n = 3 WINDOW w AS (PARTITION BY grp ORDER BY us, id ROWS UNBOUNDED PRECEDING)),
+  sr AS (SELECT grp, us, id, 'sum_buy' AS stream, bid_0 + bid_1 + bid_2 + no_0 + no_1 + no_2 IS NOT NULL AS live, no_0 + no_1 + no_2 - 20000 AS magnitude, least(no_size_0, no_size_1, no_size_2) AS depth, [10000 - no_0, 10000 - no_1, 10000 - no_2] AS prices FROM ma
+    UNION ALL SELECT grp, us, id, 'sum_sell', bid_0 + bid_1 + bid_2 + no_0 + no_1 + no_2 IS NOT NULL, bid_0 + bid_1 + bid_2 - 10000, least(size_0, size_1, size_2), [bid_0, bid_1, bid_2] FROM ma
+    UNION ALL SELECT grp, us, id, 'monotonicity', bid_0 + bid_2 + no_0 + no_2 IS NOT NULL, bid_0 + bid_2 - 10000, least(size_0, size_2), [bid_0, bid_2] FROM ma),
+  s1 AS (SELECT *, magnitude > 0 AND depth > 0 AS is_on, lead(us) OVER (PARTITION BY stream, grp ORDER BY us, id) AS next_us FROM sr WHERE live), s2 AS (SELECT *, lag(is_on) OVER (PARTITION BY stream, grp ORDER BY us, id) AS was FROM s1),
+  s3 AS (SELECT *, sum(CASE WHEN is_on AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY stream, grp ORDER BY us, id ROWS UNBOUNDED PRECEDING) AS island FROM s2),
+  s4 AS (SELECT *, list_sum(list_transform(prices, lambda p: (7 * depth * p * (10000 - p) + 9999999999) {{div}} 10000000000))::BIGINT AS fees FROM s3 WHERE is_on),
+  s5 AS (SELECT *, CAST(magnitude * depth - 10000 * fees - 100 * len(prices) * depth AS DOUBLE) / CAST(100 * depth AS DOUBLE) AS excess FROM s4),
+  s6 AS (SELECT stream, grp, min(us) AS start_us, (arg_max((next_us, 1), (us, id)))[1] AS end_us, arg_min((magnitude, depth, fees, id), (excess, us, id)) AS s, min(excess) AS excess FROM s5 GROUP BY stream, grp, island),
+  eps AS (SELECT stream, grp, start_us, end_us, s[1] AS magnitude, s[2] AS depth, s[3] AS fees, excess, s[4] AS state_id, coalesce(end_us - start_us >= 3600000000, false) AND excess > 0 AND s[2] >= 1000 AS tradeable FROM s6)"""
+
+
+def _arb_streams(spark, sf_dir):
+    matrix = op.ladder_state_matrix(view(spark, sf_dir, "v_touch"), _whole_legs(spark, sf_dir), 3, op.LEG_VALUES, complete=False)
+    return op.arb_streams(matrix, 3)
+
+
+@query("arb_stream_episodes", f"WITH {_STREAMS} SELECT * FROM eps")
+def arb_stream_episodes(spark, sf_dir):
+    return op.stream_episodes(_arb_streams(spark, sf_dir), 3, HOUR, 1_000)
+
+
+@query("arb_stream_summary", f"""WITH {_STREAMS}, de AS (SELECT stream, count(*) FILTER (NOT live) AS incomplete FROM sr GROUP BY stream), kx AS (SELECT *, CASE WHEN end_us IS NOT NULL THEN excess END AS x, end_us - start_us AS held FROM eps),
+  fo AS (SELECT stream, count(*) AS found, count(end_us) AS kept, count(*) - count(end_us) AS censored, count(*) FILTER (tradeable) AS tradeable, min(x) AS least, {", ".join(f"quantile_disc(x, 0.{q}) AS p{q}" for q in (25, 50, 75, 90))}, max(x) AS most, quantile_disc(held, 0.5) AS p50_us, quantile_disc(held, 0.9) AS p90_us FROM kx GROUP BY stream)
+  SELECT stream, incomplete, coalesce(found, 0) AS found, coalesce(kept, 0) AS kept, coalesce(censored, 0) AS censored, coalesce(tradeable, 0) AS tradeable, least, p25, p50, p75, p90, most, p50_us, p90_us FROM de LEFT JOIN fo USING (stream)""")
+def arb_stream_summary(spark, sf_dir):
+    streams = _arb_streams(spark, sf_dir)
+    return op.stream_summary(streams, op.stream_episodes(streams, 3, HOUR, 1_000))
+
+
 _CROSSINGS = """rk AS (SELECT ticker, id, us, mid2, row_number() OVER (PARTITION BY ticker ORDER BY us, id) AS n FROM v_mid WHERE mid2 IS NOT NULL),
   pr AS (SELECT a.ticker, a.n AS i, b.n AS j, a.id AS anchor_id, b.id AS crossing_id, b.us, CASE WHEN b.mid2 > a.mid2 THEN 1 ELSE -1 END AS direction FROM rk a JOIN rk b ON a.ticker = b.ticker AND b.n > a.n AND b.us - a.us <= 86400000000 AND abs(b.mid2 - a.mid2) >= 2000),
   cr AS (SELECT DISTINCT ticker, 0::BIGINT AS upto, NULL::BIGINT AS anchor_id, NULL::BIGINT AS crossing_id, NULL::BIGINT AS us, NULL::INT AS direction FROM rk UNION ALL
