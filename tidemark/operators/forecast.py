@@ -118,7 +118,11 @@ def isotonic_calibration(scored: DataFrame, by: str) -> DataFrame:
 
     Sums by distinct p come first, so a group has as many rows as distinct predictions (round them before, if need be).
     """
-    sums = scored.groupBy(by, "p").agg(F.sum("o").cast("double").alias("total"), F.count("*").cast("double").alias("weight"))
+    return _isotonic(scored.groupBy(by, "p").agg(F.sum("o").cast("double").alias("total"), F.count("*").cast("double").alias("weight")), by)
+
+
+def _isotonic(sums: DataFrame, by: str) -> DataFrame:
+    """The fit of each group from its sums by distinct p: by, p, total and weight."""
 
     def fit(group: pa.Table) -> pa.Table:
         group = group.sort_by("p")
@@ -140,6 +144,41 @@ def calibrated(rows: DataFrame, knots: DataFrame, by: str) -> DataFrame:
     return out.withColumn("q", F.round(value, 9)).drop("low_p", "low_c", "high_p", "high_c")
 
 
+def calibration_job(scored: DataFrame, by: str, days: int = 90, holdout: int = 7, least: int = 300, least_positive: int = 30) -> DataFrame:
+    """Walks forward through scored (by, day, p, o): every period of holdout days is judged by a fit on the days before it.
+
+    day counts from 1970; the training days are the days - holdout before the period starts. A fit is made where they
+    hold least rows and least_positive of them with o = 1; without one, and outside of its range, p stays as it is.
+    Returns by, period (day div holdout), train_n, positives, fitted, n, brier_new with that fit, brier_previous with
+    the fit of the period before, improved (new below previous), and skill, that of the new one over the period's own
+    rate (null where all outcomes are alike). Rows with a null by, day, p or o don't count; no rows give none.
+
+    Rows are summed by day and distinct p first; those sums, not rows, are listed under the periods that they train.
+    """
+    daily = scored.dropna(subset=[by, "day", "p", "o"]).groupBy(by, "day", "p").agg(F.sum("o").cast("double").alias("total"), F.count("*").cast("double").alias("weight"))
+    first, last = F.floor(F.col("day") / holdout) + 1, F.floor((F.col("day") + days - holdout) / holdout)
+    train = daily.withColumn("period", F.explode(F.sequence(first, last))).groupBy(by, "period", "p").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+    own = Window.partitionBy(by, "period")
+    train = train.withColumns({"train_n": F.sum("weight").over(own).cast("long"), "positives": F.sum("total").over(own).cast("long")})
+    fitted = (F.col("train_n") >= least) & (F.col("positives") >= least_positive)
+    key = lambda back: F.concat_ws("|", F.col("period") - back, F.col(by).cast("string"))
+    knots = _isotonic(train.filter(fitted).select(key(0).alias("key"), "p", "total", "weight"), "key")
+    gates = train.groupBy(by, "period").agg(F.max("train_n").alias("train_n"), F.max("positives").alias("positives"))
+
+    held = daily.groupBy(by, F.floor(F.col("day") / holdout).alias("period"), "p").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+    asked = held.withColumn("back", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("key", key(F.col("back")))
+    loss = F.col("weight") * F.col("q") * F.col("q") - 2 * F.col("q") * F.col("total") + F.col("total")  # of (q - o) squared, as o is 0 or 1
+    score = lambda back: F.round(F.sum(F.when(F.col("back") == back, loss)) / F.sum(F.when(F.col("back") == back, F.col("weight"))), 9)
+    mine = F.col("back") == 0
+    out = calibrated(asked, knots, "key").groupBy(by, "period").agg(
+        F.sum(F.when(mine, F.col("weight"))).cast("long").alias("n"), F.sum(F.when(mine, F.col("total"))).alias("hits"), score(0).alias("brier_new"), score(1).alias("brier_previous")
+    )
+    rate = F.col("hits") / F.col("n")
+    base = rate * (1 - rate)
+    out = out.join(gates, [by, "period"], "left").fillna(0, ["train_n", "positives"])
+    return out.select(by, "period", "train_n", "positives", fitted.alias("fitted"), "n", "brier_new", "brier_previous", (F.col("brier_new") < F.col("brier_previous")).alias("improved"), F.round(F.when(base > 0, 1 - F.col("brier_new") / base), 6).alias("skill"))
+
+
 def gram(rows: DataFrame, columns: list[str], target: str) -> DataFrame:
     """X'X and X'y as one row: the whole of what a least-squares fit needs."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in [*columns[i:], target]]

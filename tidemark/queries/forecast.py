@@ -129,6 +129,22 @@ def apply_calibration(spark, sf_dir):
     return op.calibrated(rows, isotonic_calibration(spark, sf_dir), "grp")
 
 
+_JOB = """da AS (SELECT grp, ship - DATE '1970-01-01' AS day, p, sum(o)::DOUBLE AS t, count(*)::DOUBLE AS w FROM v_scored GROUP BY ALL),
+  ho AS (SELECT grp, day {div} 7 AS period, p, sum(t) AS t, sum(w) AS w FROM da GROUP BY ALL), tx AS (SELECT *, unnest(range(day {div} 7 + 1, (day + 83) {div} 7 + 1)) AS period FROM da),
+  tr AS (SELECT grp, period, p, sum(t) AS t, sum(w) AS w FROM tx GROUP BY ALL), ga AS (SELECT grp, period, sum(w)::BIGINT AS train_n, sum(t)::BIGINT AS positives FROM tr GROUP BY ALL),
+  su AS (SELECT concat(period, '|', grp) AS grp, p, t, w, row_number() OVER (PARTITION BY grp, period ORDER BY p) AS i FROM tr JOIN ga USING (grp, period) WHERE train_n >= 300 AND positives >= 30), """ + _KNOTS[_KNOTS.index("cu AS"):] + """,
+  ak AS (SELECT ho.*, back, concat(period - back, '|', grp) AS key FROM ho, (SELECT 0 AS back UNION ALL SELECT 1) x),
+  jn AS (SELECT ak.*, (SELECT arg_max((k.p, calibrated), k.p) FROM knots k WHERE k.grp = key AND k.p <= ak.p) AS a, (SELECT arg_min((k.p, calibrated), k.p) FROM knots k WHERE k.grp = key AND k.p >= ak.p) AS b FROM ak),
+  qs AS (SELECT *, round(CASE WHEN a IS NULL OR b IS NULL THEN p ELSE a[2] + CASE WHEN b[1] > a[1] THEN (p - a[1]) / (b[1] - a[1]) ELSE 0 END * (b[2] - a[2]) END, 9) AS q FROM jn),
+  sr AS (SELECT grp, period, back, sum(w) AS n, sum(t) AS hits, round(sum(w * q * q - 2 * q * t + t) / sum(w), 9) AS score FROM qs GROUP BY grp, period, back)"""
+
+
+@query("calibration_job", f"""WITH {_JOB} SELECT x.grp, x.period, coalesce(train_n, 0) AS train_n, coalesce(positives, 0) AS positives, coalesce(train_n >= 300 AND positives >= 30, false) AS fitted, x.n::BIGINT AS n, x.score AS brier_new, y.score AS brier_previous, x.score < y.score AS improved,
+  round(CASE WHEN x.hits > 0 AND x.hits < x.n THEN 1 - x.score / (x.hits / x.n * (1 - x.hits / x.n)) END, 6) AS skill FROM sr x JOIN sr y ON x.grp = y.grp AND x.period = y.period AND x.back = 0 AND y.back = 1 LEFT JOIN ga ON ga.grp = x.grp AND ga.period = x.period""")
+def calibration_job(spark, sf_dir):
+    return op.calibration_job(view(spark, sf_dir, "v_scored").select("grp", F.unix_date("ship").cast("long").alias("day"), "p", "o"), "grp")
+
+
 _X = ["a", "b", "c"]
 
 
