@@ -7,7 +7,7 @@ import pytest
 from tidemark.functions import quantile
 from tidemark.operators.book import book_state_at
 from tidemark.operators.forecast import depth_screen
-from tidemark.plans.asof import last_before
+from tidemark.plans.asof import asof_join, last_before
 from tidemark.plans.intervals import merge_intervals
 
 TAPE = "id long, ticker string, us long, seq long, side string, price long, size long, is_snapshot boolean"
@@ -83,3 +83,12 @@ def test_quantiles_of_repeated_values(spark):
     assert (got.n, got.kept, got.zeros, got.most, got.p10, got.p50, got.p90) == (10, 5, 0, 9, 1, 2, 5)
     empty = depth_screen(df.limit(0), "v", 2).first()
     assert (empty.n, empty.kept, empty.most, empty.p50) == (0, 0, None, None)
+
+
+def test_null_times_and_keys_meet_nothing(spark):
+    left = spark.createDataFrame([("a", 5, "x"), ("a", None, "x"), (None, 5, "x")], "k string, t long, v string")  # v is on both sides
+    right = spark.createDataFrame([("a", None, 1, "p"), (None, 1, 2, "p"), ("a", 9, 3, "p")], "k string, u long, w long, v string")
+    for forward in (False, True):
+        got = asof_join(left, right, ["k"], "t", "u", ["w"], forward=forward)
+        assert sorted(((r.k, r.t, r.w) for r in got.collect()), key=str) == sorted([("a", 5, 3 if forward else None), ("a", None, None), (None, 5, None)], key=str)
+        assert got.columns == ["k", "t", "v", "w"] and asof_join(left.limit(0), right, ["k"], "t", "u", ["w"], forward=forward).collect() == []

@@ -34,12 +34,20 @@ def running_extreme(readings: DataFrame, clock: str = "valid_us", low: bool = Fa
     return rows.withColumn("extreme", (F.min if low else F.max)("tenths").over(order))
 
 
+def records(rows: DataFrame, clock: str) -> DataFrame:
+    """Of rows with station and day those, in order of the clock, that raise the maximum so far: all that a threshold can meet first."""
+    order = Window.partitionBy("station", "day").orderBy(clock, "id").rowsBetween(Window.unboundedPreceding, -1)
+    best = F.max("tenths").over(order)
+    return rows.withColumn("_best", best).filter("tenths > _best or (_best is null and tenths is not null)").drop("_best")
+
+
 def detect_locks(readings: DataFrame, strikes: DataFrame, margin: int, clock: str = "valid_us") -> DataFrame:
     """Per strike the first reading whose running maximum clears it with a margin; clean, or ambiguous if only without.
 
-    t0 is when that reading was seen; strikes that no reading reaches are none.
+    t0 is when that reading was seen; strikes that no reading reaches are none. Readings without tenths don't count.
+    Strikes meet only the readings that raise their day's maximum, not all of the day's.
     """
-    rows = running_extreme(readings, clock)
+    rows = records(readings.withColumn("day", F.expr(f"{clock} div {DAY_US}")), clock).withColumn("extreme", F.col("tenths"))
     met = strikes.join(rows, ["station", "day"], "left").withColumn("cleared", F.col("extreme") >= F.col("strike") + margin).withColumn("reached", F.col("extreme") >= F.col("strike"))
     at = F.struct("seen_us", "tenths", "id")
     order = F.struct(clock, "id")
@@ -97,31 +105,39 @@ def convergence_time(locks: DataFrame, quotes: DataFrame, low2: int, hold_us: in
     rows = quotes.withColumn("on", F.coalesce(F.col("mid2") >= low2, F.lit(False))).withColumn("was", F.lag("on").over(order)).withColumn("next_us", F.lead("us").over(order))
     runs = islands(rows, ["ticker"], ["us", "id"], F.col("on") & ~F.coalesce("was", F.lit(False))).filter("on")
     runs = runs.groupBy("ticker", "island").agg(F.min("us").alias("from_us"), F.max_by("next_us", F.struct("us", "id")).alias("to_us"))
-    met = locks.join(runs, "ticker", "left").withColumn("at_us", F.greatest("from_us", "lock_us"))
-    lasts = F.col("from_us").isNotNull() & (F.col("to_us").isNull() | (F.col("at_us") + hold_us <= F.col("to_us"))) & (F.col("at_us") + hold_us <= F.col("lock_us") + window_us)
-    found = met.groupBy("ticker", "lock_us").agg(F.min(F.when(lasts, F.col("at_us"))).alias("at_us"))
-    return found.select("ticker", "lock_us", (F.col("at_us") - F.col("lock_us")).alias("converged_us"))
+    long = runs.filter(F.col("to_us").isNull() | (F.col("to_us") - F.col("from_us") >= hold_us)).withColumn("end_us", F.coalesce("to_us", F.lit(2**62)))
+    # runs don't overlap, so the last that begins by the lock is the only one it can lie in; else the first after it counts
+    met = asof_join(locks.select("ticker", "lock_us").distinct(), long.withColumn("now_us", F.col("end_us")), ["ticker"], "lock_us", "from_us", ["now_us"], tie="end_us")
+    met = asof_join(met, long.withColumn("then_us", F.col("from_us")), ["ticker"], "lock_us", "from_us", ["then_us"], forward=True, strict=True)
+    at = F.when(F.col("lock_us") + hold_us <= F.col("now_us"), F.col("lock_us")).otherwise(F.col("then_us"))
+    return met.withColumn("_at", at).select("ticker", "lock_us", F.when(F.col("_at") + hold_us <= F.col("lock_us") + window_us, F.col("_at") - F.col("lock_us")).alias("converged_us"))
 
 
 def arrival_delay(readings: DataFrame, strikes: DataFrame) -> DataFrame:
     """Per strike, the time from when the station's maximum reached it to when a reading that shows it was first seen.
 
     The first runs on the clock of the readings, the second on that of their arrival; never where none reaches it.
+    Strikes meet only the readings that raise the maximum, in order of either clock.
     """
     valid = detect_locks(readings, strikes, 0).select("station", "day", "strike", "reading_id")
     at = readings.select(F.col("id").alias("reading_id"), F.col("valid_us").alias("reached_us"))
     rows = readings.withColumn("day", F.expr(f"valid_us div {DAY_US}"))
-    arrivals = strikes.join(rows, ["station", "day"]).filter(F.col("tenths") >= F.col("strike")).groupBy("station", "day", "strike").agg(F.min("seen_us").alias("seen_us"))
+    arrivals = strikes.join(records(rows, "seen_us"), ["station", "day"]).filter(F.col("tenths") >= F.col("strike")).groupBy("station", "day", "strike").agg(F.min("seen_us").alias("seen_us"))
     out = valid.join(at, "reading_id", "left").join(arrivals, ["station", "day", "strike"], "left")
     kind = F.when(F.col("reached_us").isNull(), "never").when(F.col("seen_us") > F.col("reached_us"), "delayed").otherwise("at_once")
     return out.select("station", "day", "strike", kind.alias("kind"), (F.col("seen_us") - F.col("reached_us")).alias("delay_us"))
 
 
 def post_lock_flow(prints: DataFrame, locks: DataFrame) -> DataFrame:
-    """Prints after their ticker's lock by the taker's side: fills, contracts, notional in cents and mean price in ticks."""
-    rows = prints.join(locks, "ticker").filter("us > lock_us and taker_side <> ''")
+    """Prints after their ticker's lock by the taker's side: fills, contracts and notional.
+
+    A print after several locks of its ticker counts for each; it takes their number along instead of meeting them.
+    """
+    counted = locks.filter("lock_us is not null").groupBy("ticker", "lock_us").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("locks", F.sum("n").over(Window.partitionBy("ticker").orderBy("lock_us")))
+    rows = asof_join(prints.filter("taker_side <> ''"), counted, ["ticker"], "us", "lock_us", ["locks"], strict=True).filter("locks > 0")
     price = F.when(F.col("taker_side") == "yes", F.col("yes_price")).otherwise(10_000 - F.col("yes_price"))
-    return rows.groupBy("taker_side").agg(F.count("*").alias("fills"), F.sum("units").alias("units"), F.sum(F.col("units") * price).alias("notional"))
+    return rows.groupBy("taker_side").agg(F.sum("locks").alias("fills"), F.sum(F.col("units") * F.col("locks")).alias("units"), F.sum(F.col("units") * price * F.col("locks")).alias("notional"))
 
 
 def qc_plausible_rate(readings: DataFrame, low: int = -400, high: int = 1400, per_minute: int = 15) -> DataFrame:

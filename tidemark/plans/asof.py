@@ -13,12 +13,14 @@ def asof_join(
     """left with the columns take of the last right row at or before left_t (forward: the first at or after).
 
     strict leaves out rows at the same instant; beyond tolerance nothing is joined; of rows at one instant the one
-    with the largest tie (forward: the smallest) counts. Left rows without a partner get nulls.
+    with the largest tie (forward: the smallest) counts. Left rows without a partner get nulls. A null time or key
+    has no partner, on either side.
 
     Both sides are put into one stream per key and the last right row is carried along, so there is one shuffle and
     no pairing of rows. Partitions are by key and sorted by time with spill, so a hot key costs a sort, not memory.
     """
     sign = -1 if forward else 1
+    right = right.dropna(subset=[*by, right_t])
     none = F.lit(None)
     carried = [F.col(c) for c in dict.fromkeys([*take, right_t])]
     fields = right.select(F.struct(*carried).alias("_right")).schema["_right"].dataType
