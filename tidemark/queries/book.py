@@ -13,7 +13,7 @@ _VALID = f"{_LEVELS}, va AS (SELECT *, lead(id) OVER (PARTITION BY ticker, epoch
 _MET = f"""{_VALID}, mt AS (SELECT r.id, v.side, v.price, v.level_size AS size FROM lv r JOIN va v ON r.ticker = v.ticker AND r.epoch = v.epoch AND v.id <= r.id AND (v.to_id IS NULL OR v.to_id > r.id) WHERE v.level_size > 0),
   touch AS (SELECT lv.id, lv.ticker, lv.us, max(CASE WHEN m.side = 'yes' THEN m.price END) AS yes_bid, arg_max(m.size, m.price) FILTER (m.side = 'yes') AS yes_size, max(CASE WHEN m.side = 'no' THEN m.price END) AS no_bid, arg_max(m.size, m.price) FILTER (m.side = 'no') AS no_size
     FROM lv LEFT JOIN mt m ON lv.id = m.id GROUP BY ALL)"""
-_STATE = """pt AS (SELECT event_id AS point_id, concat('M', user_id) AS ticker, us AS at_us FROM ev WHERE event_type IN ('view', 'click') AND event_id % 97 <> 0),
+_STATE = """pt AS (SELECT event_id AS point_id, concat('M', user_id) AS ticker, us AS at_us FROM ev),
   an AS (SELECT pt.*, (SELECT arg_max((t.us, t.seq), (t.us, t.id)) FROM v_tape t WHERE t.ticker = pt.ticker AND is_snapshot AND t.us <= at_us) AS snap,
     greatest((SELECT max(detected_us) FROM v_gaps g WHERE g.ticker = pt.ticker AND detected_us <= at_us), (SELECT max(detected_us) FROM v_gaps g WHERE g.ticker = '' AND detected_us <= at_us)) AS gap_us FROM pt),
   st AS (SELECT point_id, ticker, at_us, snap[1] AS snap_us, snap[2] AS snap_seq, CASE WHEN snap IS NULL THEN 'no_anchor' WHEN coalesce(gap_us >= snap[1], false) THEN 'gap' ELSE 'ok' END AS status FROM an),
@@ -23,7 +23,7 @@ _STATE = """pt AS (SELECT event_id AS point_id, concat('M', user_id) AS ticker,
 
 
 def _state(spark, sf_dir):
-    points = view(spark, sf_dir, "ev").filter("event_type in ('view', 'click') and event_id % 97 <> 0").select(F.col("event_id").alias("point_id"), F.concat(F.lit("M"), "user_id").alias("ticker"), F.col("us").alias("at_us"))
+    points = view(spark, sf_dir, "ev").select(F.col("event_id").alias("point_id"), F.concat(F.lit("M"), "user_id").alias("ticker"), F.col("us").alias("at_us"))
     return op.book_state_at(points, view(spark, sf_dir, "v_tape"), view(spark, sf_dir, "v_gaps"))
 
 
@@ -77,15 +77,8 @@ def book_clear_audit(spark, sf_dir):
     return op.book_clear_audit(clears, view(spark, sf_dir, "v_tape"))
 
 
-@query("depth_continuity", """WITH a AS (SELECT *, (SELECT arg_max((b.yes_bid, b.yes_size), (b.us, b.id)) FROM v_touch b WHERE b.ticker = t.ticker AND b.us < t.us) AS x FROM v_touch t WHERE id % 2 = 0)
+@query("depth_continuity", """WITH a AS (SELECT *, (SELECT arg_max((b.yes_bid, b.yes_size), (b.us, b.id)) FROM v_touch b WHERE b.ticker = t.ticker AND b.us < t.us) AS x FROM v_touch t)
   SELECT yes_bid > 0 AS present, count(*) AS n, count(*) FILTER (yes_bid = x[1]) AS price_agree, count(*) FILTER (yes_size = x[2]) AS size_agree, count(*) FILTER (abs(yes_size - x[2]) <= 100) AS within_one, quantile_disc(abs(yes_size - x[2]), 0.5) AS p50_difference FROM a WHERE x IS NOT NULL GROUP BY 1""")
 def depth_continuity(spark, sf_dir):
-    touch = view(spark, sf_dir, "v_touch")
-    return op.depth_continuity(touch.filter("id % 2 = 0"), touch)
-
-
-@query("depth_continuity_whole", """WITH a AS (SELECT *, (SELECT arg_max((b.yes_bid, b.yes_size), (b.us, b.id)) FROM v_touch b WHERE b.ticker = t.ticker AND b.us < t.us) AS x FROM v_touch t)
-  SELECT yes_bid > 0 AS present, count(*) AS n, count(*) FILTER (yes_bid = x[1]) AS price_agree, count(*) FILTER (yes_size = x[2]) AS size_agree, count(*) FILTER (abs(yes_size - x[2]) <= 100) AS within_one, quantile_disc(abs(yes_size - x[2]), 0.5) AS p50_difference FROM a WHERE x IS NOT NULL GROUP BY 1""")
-def depth_continuity_whole(spark, sf_dir):
     touch = view(spark, sf_dir, "v_touch")
     return op.depth_continuity(touch, touch)

@@ -63,18 +63,21 @@ def classify_print(spark, sf_dir):
 def replenishment(spark, sf_dir):
     return op.replenishment(view(spark, sf_dir, "v_prints"), view(spark, sf_dir, "v_touch"), 24 * HOUR)
 
-_MATRIX = f"""lg AS (SELECT ticker, grp, row_number() OVER (PARTITION BY grp ORDER BY ticker) - 1 AS seat, count(*) OVER (PARTITION BY grp) AS n FROM {_GROUPS}),
-  lt AS (SELECT grp, us, id, seat, yes_bid, yes_size FROM v_touch JOIN lg USING (ticker) WHERE n >= 3 AND seat < 3),
+#: Ladders of three tickers each, in groups whose number grows with the tickers.
+_MATRIX = f"""lg AS (SELECT ticker, grp, row_number() OVER (PARTITION BY grp ORDER BY ticker) - 1 AS seat, count(*) OVER (PARTITION BY grp) AS n FROM {_GROUPS.replace("% 20", "{div} 3")}),
+  lt AS (SELECT grp, us, id, seat, yes_bid, yes_size FROM v_touch JOIN lg USING (ticker) WHERE n = 3),
   ma AS (SELECT grp, us, id, {", ".join(f"last_value(CASE WHEN seat = {i} THEN {c} END IGNORE NULLS) OVER w AS {n}_{i}" for n, c in (("bid", "yes_bid"), ("size", "yes_size")) for i in range(3))} FROM lt WINDOW w AS (PARTITION BY grp ORDER BY us, id ROWS UNBOUNDED PRECEDING)),
   mx AS (SELECT * FROM ma WHERE bid_0 IS NOT NULL AND bid_1 IS NOT NULL AND bid_2 IS NOT NULL)"""
 
+def _legs(spark, sf_dir):
+    return op.ladder_build(view(spark, sf_dir, "v_touch"), F.expr("CAST(substr(ticker, 2) AS BIGINT) div 3"), 3, exact=True)
+
 def _matrix(spark, sf_dir):
-    quotes = view(spark, sf_dir, "v_touch")
-    return op.ladder_state_matrix(quotes, op.ladder_build(quotes, F.substring("ticker", 2, 20).cast("long") % 20, 3), 3)
+    return op.ladder_state_matrix(view(spark, sf_dir, "v_touch"), _legs(spark, sf_dir), 3)
 
-@query("ladder_build", f"WITH {_MATRIX} SELECT grp, ticker, seat FROM lg WHERE n >= 3 AND seat < 3")
+@query("ladder_build", f"WITH {_MATRIX} SELECT grp, ticker, seat FROM lg WHERE n = 3")
 def ladder_build(spark, sf_dir):
-    return op.ladder_build(view(spark, sf_dir, "v_touch"), F.substring("ticker", 2, 20).cast("long") % 20, 3)
+    return _legs(spark, sf_dir)
 
 @query("ladder_state_matrix", f"WITH {_MATRIX} SELECT * FROM mx")
 def ladder_state_matrix(spark, sf_dir):
@@ -97,47 +100,14 @@ def arb_episodes(spark, sf_dir):
 def episode_summary(spark, sf_dir):
     return op.episode_summary(_episodes(spark, sf_dir), HOUR)
 
-#: The ladder queries above seat three tickers of each of 20 groups; these seat every ticker, three to a group.
-_WHOLE = (_GROUPS, _GROUPS.replace("% 20", "{div} 3")), ("n >= 3 AND seat < 3", "n = 3")
-
-def _whole_sql(text):
-    for old, new in _WHOLE:
-        text = text.replace(old, new)
-    return text
-
-def _whole_legs(spark, sf_dir):
-    return op.ladder_build(view(spark, sf_dir, "v_touch"), F.expr("CAST(substr(ticker, 2) AS BIGINT) div 3"), 3, exact=True)
-
-def _whole_matrix(spark, sf_dir):
-    return op.ladder_state_matrix(view(spark, sf_dir, "v_touch"), _whole_legs(spark, sf_dir), 3)
-
-def _whole_episodes(spark, sf_dir):
-    return op.arb_episodes(_whole_matrix(spark, sf_dir), F.col("bid_0") + F.col("bid_1") + F.col("bid_2") - 10_000, F.least("size_0", "size_1", "size_2"))
-
-@query("ladder_build_whole", _whole_sql(f"WITH {_MATRIX} SELECT grp, ticker, seat FROM lg WHERE n >= 3 AND seat < 3"))
-def ladder_build_whole(spark, sf_dir):
-    return _whole_legs(spark, sf_dir)
-
-@query("ladder_state_matrix_whole", _whole_sql(f"WITH {_MATRIX} SELECT * FROM mx"))
-def ladder_state_matrix_whole(spark, sf_dir):
-    return _whole_matrix(spark, sf_dir)
-
-@query("arb_episodes_whole", _whole_sql(f"WITH {_EPISODES} SELECT * FROM epi"))
-def arb_episodes_whole(spark, sf_dir):
-    return _whole_episodes(spark, sf_dir)
-
-@query("episode_summary_whole", _whole_sql(f"WITH {_EPISODES} SELECT count(*) AS found, count(*) FILTER (end_us - start_us >= 3600000000) AS tradeable, count(*) FILTER (end_us IS NULL) AS censored, min(magnitude) AS least, quantile_disc(magnitude, 0.5) AS p50, quantile_disc(magnitude, 0.9) AS p90, max(magnitude) AS most FROM epi"))
-def episode_summary_whole(spark, sf_dir):
-    return op.episode_summary(_whole_episodes(spark, sf_dir), HOUR)
-
 _FEES = " + ".join(f"(7 * depth * bid_{i} * (10000 - bid_{i}) + 9999999999) {{div}} 10000000000" for i in range(3))
 
-@query("worst_state", _whole_sql(f"WITH {_EPISODES}") + f""", fe AS (SELECT *, {_FEES} AS fees FROM on4 WHERE is_on), ex AS (SELECT *, CAST(magnitude * depth - 10000 * fees - 300 * depth AS DOUBLE) / CAST(100 * depth AS DOUBLE) AS excess FROM fe),
+@query("worst_state", f"""WITH {_EPISODES}, fe AS (SELECT *, {_FEES} AS fees FROM on4 WHERE is_on), ex AS (SELECT *, CAST(magnitude * depth - 10000 * fees - 300 * depth AS DOUBLE) / CAST(100 * depth AS DOUBLE) AS excess FROM fe),
   wo AS (SELECT grp, min(us) AS start_us, (arg_max((next_us, 1), (us, id)))[1] AS end_us, arg_min((magnitude, depth, fees, id), (excess, us, id)) AS s, min(excess) AS excess FROM ex GROUP BY grp, island)
   SELECT grp, start_us, end_us, s[1] AS magnitude, s[2] AS depth, s[3] AS fees, excess, s[4] AS state_id, coalesce(end_us - start_us >= 3600000000, false) AND excess > 0 AND s[2] >= 1000 AS tradeable FROM wo""")
 def worst_state(spark, sf_dir):
     sums = F.col("bid_0") + F.col("bid_1") + F.col("bid_2") - 10_000
-    return op.worst_states(_whole_matrix(spark, sf_dir), sums, F.least("size_0", "size_1", "size_2"), ["bid_0", "bid_1", "bid_2"], HOUR, 1_000)
+    return op.worst_states(_matrix(spark, sf_dir), sums, F.least("size_0", "size_1", "size_2"), ["bid_0", "bid_1", "bid_2"], HOUR, 1_000)
 
 _COLUMNS = (("bid", "yes_bid"), ("size", "yes_size"), ("no", "no_bid"), ("no_size", "no_size"))
 _STREAMS = f"""lg AS (SELECT ticker, CAST(substr(ticker, 2) AS BIGINT) {{div}} 3 AS grp, row_number() OVER (PARTITION BY CAST(substr(ticker, 2) AS BIGINT) {{div}} 3 ORDER BY ticker) - 1 AS seat, count(*) OVER (PARTITION BY CAST(substr(ticker, 2) AS BIGINT) {{div}} 3) AS n FROM (SELECT DISTINCT ticker FROM v_touch)),
@@ -154,7 +124,7 @@ _STREAMS = f"""lg AS (SELECT ticker, CAST(substr(ticker, 2) AS BIGINT) {{div}} 3
 
 
 def _arb_streams(spark, sf_dir):
-    matrix = op.ladder_state_matrix(view(spark, sf_dir, "v_touch"), _whole_legs(spark, sf_dir), 3, op.LEG_VALUES, complete=False)
+    matrix = op.ladder_state_matrix(view(spark, sf_dir, "v_touch"), _legs(spark, sf_dir), 3, op.LEG_VALUES, complete=False)
     return op.arb_streams(matrix, 3)
 
 

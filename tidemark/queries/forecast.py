@@ -31,17 +31,9 @@ def daily_max_members(spark, sf_dir):
     return op.daily_max_members(rows, 12)
 
 
-@query("latest_forecast_asof", """WITH r AS (SELECT id AS run_id, station, valid_us AS run_us FROM v_obs WHERE id % 10 = 0), p AS (SELECT id, station, valid_us AS as_of FROM v_obs WHERE id % 10 = 5),
+@query("latest_forecast_asof", """WITH r AS (SELECT id AS run_id, station, valid_us AS run_us FROM v_obs WHERE valid_us {div} 3600000000 % 24 IN (0, 6, 12, 18)), p AS (SELECT id, station, valid_us AS as_of FROM v_obs),
   x AS (SELECT p.*, (SELECT arg_max((run_id, run_us), (run_us, run_id)) FROM r WHERE r.station = p.station AND run_us <= as_of AND as_of - run_us <= 86400000000) AS f FROM p) SELECT id, station, as_of, f[1] AS run_id, f[2] AS found_us FROM x""")
 def latest_forecast_asof(spark, sf_dir):
-    obs = view(spark, sf_dir, "v_obs")
-    runs = obs.filter("id % 10 = 0").select(F.col("id").alias("run_id"), "station", F.col("valid_us").alias("run_us"))
-    return op.latest_forecast_asof(obs.filter("id % 10 = 5").select("id", "station", F.col("valid_us").alias("as_of")), runs, ["station"], 24 * HOUR)
-
-
-@query("latest_forecast_asof_whole", """WITH r AS (SELECT id AS run_id, station, valid_us AS run_us FROM v_obs WHERE valid_us {div} 3600000000 % 24 IN (0, 6, 12, 18)), p AS (SELECT id, station, valid_us AS as_of FROM v_obs),
-  x AS (SELECT p.*, (SELECT arg_max((run_id, run_us), (run_us, run_id)) FROM r WHERE r.station = p.station AND run_us <= as_of AND as_of - run_us <= 86400000000) AS f FROM p) SELECT id, station, as_of, f[1] AS run_id, f[2] AS found_us FROM x""")
-def latest_forecast_asof_whole(spark, sf_dir):
     obs = view(spark, sf_dir, "v_obs")
     runs = obs.filter("valid_us div 3600000000 % 24 IN (0, 6, 12, 18)").select(F.col("id").alias("run_id"), "station", F.col("valid_us").alias("run_us"))
     return op.latest_forecast_asof(obs.select("id", "station", F.col("valid_us").alias("as_of")), runs, ["station"], 24 * HOUR)

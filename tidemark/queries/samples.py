@@ -51,12 +51,12 @@ def tick_baseline(spark, sf_dir):
     return op.tick_baseline(decisions, view(spark, sf_dir, "v_mid"))
 
 
-@query("settle_orders", """WITH o AS (SELECT o_orderkey AS order_id, o_custkey AS key, CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END AS side, o_orderkey % 50 AS units, 1 + o_orderkey % 98 AS price, o_orderkey % 4 AS fee FROM orders), r AS (SELECT c_custkey AS key, c_acctbal > 0 AS yes FROM customer WHERE c_custkey % 5 <> 0),
+@query("settle_orders", """WITH o AS (SELECT o_orderkey AS order_id, o_custkey AS key, CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END AS side, o_orderkey % 50 AS units, 1 + o_orderkey % 98 AS price, o_orderkey % 4 AS fee FROM orders), r AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal > 0 END AS yes FROM customer),
   g AS (SELECT order_id, fee, CASE WHEN yes IS NULL THEN NULL WHEN yes = (side = 'yes') THEN units * (100 - price) ELSE -units * price END AS gross FROM o LEFT JOIN r USING (key)) SELECT order_id, gross, gross - fee AS net FROM g""")
 def settle_orders(spark, sf_dir):
     key = F.col("o_orderkey")
     orders = table(spark, sf_dir, "orders").select(key.alias("order_id"), F.col("o_custkey").alias("key"), F.when(key % 2 == 0, "yes").otherwise("no").alias("side"), (key % 50).alias("units"), (1 + key % 98).alias("price"), (key % 4).alias("fee"))
-    results = table(spark, sf_dir, "customer").filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("key"), (F.col("c_acctbal") > 0).alias("yes"))
+    results = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal") > 0).alias("yes"))
     return op.settle_orders(orders, results)
 
 

@@ -16,18 +16,19 @@ DIALECTS = {
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels")
 
-#: In order: a view may read those before it.
+#: In order: a view may read those before it. Every row of a table, or of an event type, enters the views made of it: sequence
+#: numbers break because they skip, not because rows are left out.
 VIEWS = {
     "ev": "SELECT event_id, {us} AS us, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS c, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM {events}",
-    "v_tape": """SELECT event_id AS id, concat('M', user_id) AS ticker, us, event_id % 500 AS seq, CASE WHEN event_type IN ('view', 'signup') THEN 'yes' ELSE 'no' END AS side, 100 * (1 + k % 50) AS price,
-        CASE WHEN event_type <> 'signup' AND k % 3 = 0 THEN -c ELSE c END AS size, event_type = 'signup' AS is_snapshot, CASE WHEN event_type <> 'signup' THEN us {div} 1000 - (k % 7) * 60000 END AS ts_ms FROM ev WHERE event_id % 97 <> 0""",
+    "v_tape": """SELECT event_id AS id, concat('M', user_id) AS ticker, us, (event_id + event_id {div} 97) % 500 AS seq, CASE WHEN event_type IN ('view', 'signup') THEN 'yes' ELSE 'no' END AS side, 100 * (1 + k % 50) AS price,
+        CASE WHEN event_type <> 'signup' AND k % 3 = 0 THEN -c ELSE c END AS size, event_type = 'signup' AS is_snapshot, CASE WHEN event_type <> 'signup' THEN us {div} 1000 - (k % 7) * 60000 END AS ts_ms FROM ev""",
     "v_touch": """SELECT event_id AS id, concat('M', user_id) AS ticker, us, CASE WHEN event_id % 11 = 0 THEN 0 ELSE 100 * (1 + k % 60) END AS yes_bid, CASE WHEN event_id % 11 = 0 THEN 0 ELSE c END AS yes_size,
         100 * (1 + c % 39) AS no_bid, c + k AS no_size FROM ev""",
     "v_mid": "SELECT id, ticker, us, yes_bid, no_bid, yes_size, no_size, CASE WHEN yes_bid > 0 AND no_bid > 0 THEN yes_bid + 10000 - no_bid END AS mid2 FROM v_touch",
     "v_prints": """SELECT event_id AS id, concat('M', user_id) AS ticker, us, CASE WHEN event_id % 10 < 4 THEN event_id - event_id % 4 ELSE event_id END AS trade_id,
         CASE WHEN k % 10 = 0 THEN '' WHEN k % 2 = 0 THEN 'yes' ELSE 'no' END AS taker_side, c AS units, 100 * (1 + k % 98) AS yes_price FROM ev WHERE event_type IN ('purchase', 'click')""",
-    "v_gaps": "SELECT event_id AS id, CASE WHEN k % 4 = 0 THEN '' ELSE concat('M', user_id) END AS ticker, us AS detected_us, CASE WHEN k % 3 = 0 THEN 'sequence' ELSE 'reconnect' END AS reason FROM ev WHERE event_type = 'error' AND k % 5 < 2",
-    "v_excl": "SELECT event_id AS id, CASE k % 3 WHEN 0 THEN 'recorded_gap' WHEN 1 THEN 'subscription_wide' ELSE 'resubscribe_blind' END AS class, us AS start_us, us + (1 + k % 20) * 60000000 AS end_us FROM ev WHERE event_type = 'error' AND k % 10 < 3",
+    "v_gaps": "SELECT event_id AS id, CASE WHEN k % 50 = 0 THEN '' ELSE concat('M', user_id) END AS ticker, us AS detected_us, CASE WHEN k % 3 = 0 THEN 'sequence' ELSE 'reconnect' END AS reason FROM ev WHERE event_type = 'error'",
+    "v_excl": "SELECT event_id AS id, CASE k % 3 WHEN 0 THEN 'recorded_gap' WHEN 1 THEN 'subscription_wide' ELSE 'resubscribe_blind' END AS class, us AS start_us, us + (1 + k % 20) * 6000000 AS end_us FROM ev WHERE event_type = 'error'",
     "v_obs": "SELECT event_id AS id, concat('S', user_id % 20) AS station, us AS valid_us, us + (k % 9) * 60000000 AS seen_us, 400 + c % 600 AS tenths FROM ev",
     "v_days": "SELECT station, valid_us {div} 86400000000 AS day, max(tenths) {div} 10 + (valid_us {div} 86400000000) % 3 - 1 AS official FROM v_obs GROUP BY station, valid_us {div} 86400000000",
     "v_strikes": "SELECT station, day, 300 + 50 * n AS strike, concat('KX', station, '-', day, '-T', 300 + 50 * n) AS ticker FROM v_days CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 6 UNION ALL SELECT 12 UNION ALL SELECT 13) x",
