@@ -69,8 +69,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: Exact top-k is brute force in SQL; the others are the operators' own definitions written anew.
+#: Repeats, near copies and exact top-k are brute force in SQL; the others are the operators' own definitions written anew.
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_array_dedup": r"""
+        WITH texts AS (SELECT DISTINCT doc_id, text FROM documents),
+        docs AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM texts),
+        starts AS (SELECT d, doc_id, ws, unnest(range(0, len(ws) - 49)) AS s FROM docs WHERE len(ws) >= 50),
+        hashed AS (SELECT d, doc_id, s, md5(array_to_string(ws[s + 1 : s + 50], ' ')) AS h FROM starts),
+        seen AS (
+          SELECT d, doc_id, s, count(*) OVER (PARTITION BY h) AS times, row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS FIRST, d, s) AS nth FROM hashed
+        ), marked AS (
+          SELECT 'repeated' AS kind, d, doc_id, s FROM seen WHERE times > 1 UNION ALL SELECT 'later', d, doc_id, s FROM seen WHERE nth > 1
+        ), breaks AS (
+          SELECT *, coalesce(s - lag(s) OVER (PARTITION BY kind, d ORDER BY s) > 50, true)::INT AS opens FROM marked
+        ), islands AS (
+          SELECT *, sum(opens) OVER (PARTITION BY kind, d ORDER BY s) AS island FROM breaks
+        ), spans AS (
+          SELECT kind, d, doc_id, min(s) AS a, max(s) + 50 AS b FROM islands GROUP BY kind, d, doc_id, island
+        )
+        SELECT doc_id, coalesce(sum(b - a) FILTER (kind = 'repeated'), 0)::BIGINT AS n_repeated, coalesce(sum(b - a) FILTER (kind = 'later'), 0)::BIGINT AS n_later,
+          coalesce(string_agg(concat(a, '-', b), ',' ORDER BY a) FILTER (kind = 'repeated'), '') AS repeated,
+          coalesce(string_agg(concat(a, '-', b), ',' ORDER BY a) FILTER (kind = 'later'), '') AS later
+        FROM spans GROUP BY d, doc_id
+    """,
+    "op2_minhash_near_dedup": r"""
+        WITH RECURSIVE docs AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), sets AS (
+          SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_sort(list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' '))))
+            WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS shingles FROM docs
+        ), keyed AS (
+          SELECT doc_id, shingles, len(shingles) AS n, md5(array_to_string(shingles, chr(10))) AS same FROM sets
+        ), class AS (
+          SELECT min(doc_id) AS class_id, same, any_value(shingles) AS shingles, any_value(n) AS n FROM keyed WHERE n > 0 AND doc_id IS NOT NULL GROUP BY same
+        ), members AS (
+          SELECT class_id, n, unnest(shingles) AS shingle FROM class
+        ), links AS (
+          SELECT a.class_id AS a, b.class_id AS b FROM members a JOIN members b ON a.shingle = b.shingle AND a.class_id <> b.class_id
+          GROUP BY a.class_id, b.class_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reach AS (
+          SELECT class_id AS a, class_id AS b FROM class UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+        ), least AS (
+          SELECT a, min(b) AS component_id FROM reach GROUP BY a
+        )
+        SELECT k.doc_id, k.n AS n_shingles, CASE WHEN k.n = 0 THEN k.doc_id ELSE l.component_id END AS component_id,
+          coalesce(k.doc_id = CASE WHEN k.n = 0 THEN k.doc_id ELSE l.component_id END, true) AS kept,
+          CASE WHEN k.n = 0 THEN k.doc_id ELSE c.class_id END AS class_id
+        FROM keyed k LEFT JOIN class c ON c.same = k.same AND k.n > 0 AND k.doc_id IS NOT NULL LEFT JOIN least l ON l.a = c.class_id
+    """,
     "op3_exact_topk": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
