@@ -46,10 +46,12 @@ def cumulative_depth(prices: str, sizes: str, ticks: int) -> Column:
     return F.aggregate(near, F.lit(0).cast("long"), lambda a, x: a + x["s"])
 
 
-def walk_capacity(prices: str, sizes: str, slippage: int) -> Column:
+def walk_capacity(prices: str, sizes: str, slippage: int, levels: str) -> Column:
     """The most that can be sold into the levels at no more than some ticks of average slippage from the best.
 
     Down the levels it keeps what was taken and its total slippage; a level that would go beyond is taken in part.
+    Returns a struct: capacity; censored, where all listed levels are taken and the book has more of them; and
+    exhausted, where it has none. levels is the number of levels of the whole book. An empty book is exhausted at 0.
     """
 
     def step(a: Column, x: Column) -> Column:
@@ -58,8 +60,9 @@ def walk_capacity(prices: str, sizes: str, slippage: int) -> Column:
         room = F.when(a["open"], room).otherwise(F.lit(0).cast("long"))
         return F.struct((a["n"] + room).alias("n"), (a["spare"] - room * gap).alias("spare"), (a["open"] & (room == x["s"])).alias("open"))
 
+    more = F.col(levels) > F.size(prices)
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("spare"), F.lit(True).alias("open"))
-    return F.aggregate(F.arrays_zip(F.col(prices).alias("p"), F.col(sizes).alias("s")), start, step, lambda a: a["n"])
+    return F.aggregate(F.arrays_zip(F.col(prices).alias("p"), F.col(sizes).alias("s")), start, step, lambda a: F.struct(a["n"].alias("capacity"), (a["open"] & more).alias("censored"), (a["open"] & ~more).alias("exhausted")))
 
 
 def depth_at_price(prices: str, sizes: str, price: Column) -> Column:

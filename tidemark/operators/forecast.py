@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -38,9 +40,10 @@ def bracket_probability(members: str, kind: str, low: float, high: float, sigma:
     return ensemble_cdf(members, high + continuity, sigma) - ensemble_cdf(members, low - continuity, sigma)
 
 
-def ladder_sum(probabilities: DataFrame, key: str, tolerance: float = 1e-9) -> DataFrame:
-    """Sum of a key's rung probabilities and whether it is 1."""
-    return probabilities.groupBy(key).agg(F.sum("p").alias("total"), F.count("*").alias("rungs")).withColumn("sound", F.abs(F.col("total") - 1) <= tolerance)
+def ladder_sum(probabilities: DataFrame, key: str, tolerance: float = 1e-9, price_tolerance: int = 500) -> DataFrame:
+    """Sums of a key's rung probabilities p and prices in ticks; sound if the first is 1, priced if the other is near 1."""
+    sums = probabilities.groupBy(key).agg(F.sum("p").alias("total"), F.count("*").alias("rungs"), F.sum("price").alias("price_total"))
+    return sums.withColumns({"sound": F.abs(F.col("total") - 1) <= tolerance, "priced": F.abs(F.col("price_total") - 10_000) <= price_tolerance})
 
 
 def member_spread(members: str) -> Column:
@@ -49,28 +52,31 @@ def member_spread(members: str) -> Column:
     return F.sqrt(F.expr(f"aggregate(transform({members}, m -> (m - {mean}) * (m - {mean})), 0D, (a, x) -> a + x) / size({members})"))
 
 
-def brier(scored: DataFrame, by: list[str]) -> DataFrame:
-    """Per group: rows, Brier score, that of the group's own rate, and the skill over it; six decimals."""
-    rows = scored.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("p") - F.col("o")) * (F.col("p") - F.col("o"))).alias("score"), F.avg("o").alias("rate"))
+def brier(scored: DataFrame, by: list[str], market: str) -> DataFrame:
+    """Per group: rows, Brier score, that of the group's own rate, the skill over it, that of the market's column, and
+    delta, the market's less the own; six decimals. No rows give none.
+    """
+    rows = scored.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("p") - F.col("o")) * (F.col("p") - F.col("o"))).alias("score"), F.avg("o").alias("rate"), F.round(F.avg((F.col(market) - F.col("o")) * (F.col(market) - F.col("o"))), 6).alias("market"))
     base = F.col("rate") * (1 - F.col("rate"))
-    return rows.select(*by, "n", F.round("score", 6).alias("brier"), F.round(base, 6).alias("baseline"), F.round(F.when(base > 0, 1 - F.col("score") / base), 6).alias("skill"))
+    return rows.select(*by, "n", F.round("score", 6).alias("brier"), F.round(base, 6).alias("baseline"), F.round(F.when(base > 0, 1 - F.col("score") / base), 6).alias("skill"), "market", F.round(F.col("market") - F.round("score", 6), 6).alias("delta"))
 
 
 def reliability(scored: DataFrame, bins: int) -> DataFrame:
-    """Rows, mean prediction and observed rate in equal bins of p; the last holds 1, empty bins have nulls."""
+    """Rows, mean prediction and observed rate in equal bins of p; the last holds 1, empty bins have zeros."""
     slot = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")
     rows = scored.groupBy(slot.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("predicted"), F.avg("o").alias("observed"))
     every = scored.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return every.join(rows, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.round("predicted", 9).alias("predicted"), F.round("observed", 9).alias("observed"))
+    return every.join(rows, "bin", "left").select("bin", *(F.coalesce(F.round(c, 9), F.lit(0)).alias(c) for c in ("n", "predicted", "observed")))
 
 
 def log_loss_hit_rate(scored: DataFrame) -> DataFrame:
-    """Brier, log loss, hit rate and net by (group, lead bucket, month) and by group."""
+    """Brier, log loss, hit rate, net, the Brier of the mid and whether p beats it, by (grp, bucket, month) and by grp."""
     p = F.least(F.greatest("p", F.lit(EPS)), F.lit(1 - EPS))
     rows = scored.withColumn("ll", -F.when(F.col("o") == 1, F.ln(p)).otherwise(F.ln(1 - p))).withColumn("hit", ((F.col("p") >= 0.5) == (F.col("o") == 1)).cast("long"))
     return rows.groupingSets([["grp", "bucket", "month"], ["grp"]], "grp", "bucket", "month").agg(
-        F.count("*").alias("n"), F.round(F.avg((F.col("p") - F.col("o")) * (F.col("p") - F.col("o"))), 9).alias("brier"), F.round(F.avg("ll"), 9).alias("log_loss"), F.round(F.avg("hit"), 9).alias("hit_rate")
-    )
+        F.count("*").alias("n"), F.round(F.avg((F.col("p") - F.col("o")) * (F.col("p") - F.col("o"))), 9).alias("brier"), F.round(F.avg("ll"), 9).alias("log_loss"), F.round(F.avg("hit"), 9).alias("hit_rate"),
+        F.round(F.sum("net"), 2).alias("net"), F.round(F.avg((F.col("mid") - F.col("o")) * (F.col("mid") - F.col("o"))), 9).alias("baseline"),
+    ).withColumn("beats_baseline", F.col("brier") < F.col("baseline"))
 
 
 def lead_bucket(hours: Column) -> Column:
@@ -188,12 +194,16 @@ def gram(rows: DataFrame, columns: list[str], target: str) -> DataFrame:
 def nnls_blend(rows: DataFrame, columns: list[str], target: str) -> DataFrame:
     """Weights of the columns, none negative, that fit the target best, scaled to sum 1: member, weight.
 
-    Spark sums the Gram matrix; its few numbers are solved here over every set of active columns.
+    Spark sums the Gram matrix; its few numbers are solved here over every set of active columns, of six at most.
+    Weights have twelve decimals, and the largest takes what rounding leaves; no rows, or no fit, give zeros.
     """
+    if len(columns) > 6:
+        raise ValueError("at most six columns can be blended")
     g = gram(rows, columns, target).first()
     n = len(columns)
     a = np.array([[g[f"{columns[min(i, j)]}_{columns[max(i, j)]}"] for j in range(n)] for i in range(n)], dtype=float)
     b = np.array([g[f"{c}_{target}"] for c in columns], dtype=float)
+    a, b = np.nan_to_num(a), np.nan_to_num(b)  # sums over no rows are null
     best, weights = 0.0, np.zeros(n)
     for mask in range(1, 1 << n):
         own = [i for i in range(n) if mask >> i & 1]
@@ -201,7 +211,9 @@ def nnls_blend(rows: DataFrame, columns: list[str], target: str) -> DataFrame:
         if (w >= 0).all() and (loss := float(w @ a[np.ix_(own, own)] @ w - 2 * w @ b[own])) < best:
             best, weights = loss, np.zeros(n)
             weights[own] = w
-    weights = np.round(weights / weights.sum(), 9) if weights.sum() else weights
+    if weights.sum():
+        weights = np.round(weights / weights.sum(), 12)
+        weights[weights.argmax()] += round(1 - weights.sum(), 12)
     return rows.sparkSession.createDataFrame([(c, float(w)) for c, w in zip(columns, weights, strict=True)], "member string, weight double")
 
 
@@ -223,19 +235,23 @@ def depth_screen(rows: DataFrame, value: str, least: int) -> DataFrame:
 
 
 def entry_pnl(rows: DataFrame) -> DataFrame:
-    """Side by probability against price, price paid, fee and net cents of a leg (leg_id, p, price in ticks, units, won); a tie is untraded."""
+    """Side, price executed and net of a leg (leg_id, p, price in ticks, units, won), and its net if filled a cent worse.
+
+    The side is that which p makes cheap; a tie is untraded, with nulls. Nets pay the fee of their price and one cent.
+    """
     fair = F.round(F.col("p") * 10_000).cast("long")
     side = F.when(fair > F.col("price"), "yes").when(fair < F.col("price"), "no").otherwise("none")
-    rows = rows.withColumn("side", side).withColumn("paid", F.when(F.col("side") == "yes", F.col("price") + 100).otherwise(10_000 - F.col("price") + 100))
-    rows = rows.withColumn("fee", fee_cents("units", "least(paid, 10000)"))
-    gain = F.when((F.col("side") == "yes") == (F.col("won") == 1), 10_000).otherwise(0) - F.col("paid")
-    return rows.select("leg_id", "side", F.when(F.col("side") != "none", F.col("units") * gain - 10_000 * F.col("fee")).alias("net"))
+    rows = rows.withColumn("side", side).withColumn("executed", F.when(F.col("side") == "yes", F.col("price")).when(F.col("side") == "no", 10_000 - F.col("price")))
+    settled = F.when((F.col("side") == "yes") == (F.col("won") == 1), 10_000).otherwise(0)
+    net = lambda worse: F.col("units") * (settled - F.col("executed") - worse - 100) - 10_000 * fee_cents("units", f"executed + {worse}")
+    return rows.select("leg_id", "side", "executed", net(0).alias("net"), net(100).alias("walked_net"))
 
 
 def sigma_band(rows: DataFrame, members: str, at: float, sigma: float, multipliers: list[float]) -> DataFrame:
-    """The probability below a bound at several multiples of sigma."""
-    probabilities = F.array(*(F.struct(F.lit(m).alias("multiplier"), ensemble_cdf(members, at, sigma * m).alias("p")) for m in multipliers))
-    return rows.select("vec_id", F.explode(probabilities).alias("x")).select("vec_id", "x.multiplier", F.round("x.p", 9).alias("p"))
+    """The probability below a bound at several multiples of sigma, each widened by a reading's own error of 1: effective."""
+    wide = {m: math.sqrt((sigma * m) ** 2 + 1) for m in multipliers}
+    probabilities = F.array(*(F.struct(F.lit(m).alias("multiplier"), F.lit(s).alias("effective"), ensemble_cdf(members, at, s).alias("p")) for m, s in wide.items()))
+    return rows.select("vec_id", F.explode(probabilities).alias("x")).select("vec_id", "x.multiplier", F.round("x.effective", 9).alias("effective"), F.round("x.p", 9).alias("p"))
 
 
 def pseudo_members(centre: str, sigma: float, z: list[float]) -> Column:

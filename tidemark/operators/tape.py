@@ -68,16 +68,27 @@ def attach_gaps(windows: DataFrame, gaps: DataFrame, width: int = DAY_US) -> Dat
     return found.withColumn("_n", rank).filter("_n = 1").select("boundary_id", F.col("id").alias("gap_id"), "detected_us", "reason")
 
 
+def unmatched_gaps(attached: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Gap rows that no window got: those in none, and those after the first of one."""
+    return gaps.join(attached.select(F.col("gap_id").alias("id")), "id", "left_anti").select(F.col("id").alias("gap_id"), "detected_us", "reason")
+
+
 def stream_lead(df: DataFrame, order: str, width: int) -> DataFrame:
     """Adds next_us, the order key of the next row in a global order; the last row's is a day later."""
     turned = stream_lag(df.withColumn("_back", -F.col(order)), "_back", [order], width)
     return turned.withColumn("next_us", F.coalesce(f"prev_{order}", F.col(order) + DAY_US)).drop("_back", f"prev_{order}")
 
 
-def blind_summary(windows: DataFrame) -> DataFrame:
-    """Windows, their total, nearest-rank median and 90th percentile, and the longest."""
+def blind_summary(windows: DataFrame, attached: DataFrame, start_us: int, end_us: int) -> DataFrame:
+    """Windows, those with a gap row and without, their total, nearest-rank median and 90th percentile, and the longest.
+
+    A row for all windows and one for those that start in the frozen span from start_us to before end_us; none of them, no row.
+    """
+    named = attached.select("boundary_id", F.lit(True).alias("named"))
+    frozen = F.when((F.col("start_us") >= start_us) & (F.col("start_us") < end_us), F.lit("frozen"))
+    windows = windows.join(named, "boundary_id", "left").withColumn("scope", F.explode(F.array_compact(F.array(F.lit("all"), frozen))))
     pick = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY blind_us)").cast("long")
-    return windows.agg(F.count("*").alias("windows"), F.sum("blind_us").alias("total_us"), pick(0.5).alias("p50_us"), pick(0.9).alias("p90_us"), F.max("blind_us").alias("max_us"), F.sum("burst_messages").alias("burst_messages"))
+    return windows.groupBy("scope").agg(F.count("*").alias("windows"), F.count("named").alias("with_gap"), (F.count("*") - F.count("named")).alias("without_gap"), F.sum("blind_us").alias("total_us"), pick(0.5).alias("p50_us"), pick(0.9).alias("p90_us"), F.max("blind_us").alias("max_us"), F.sum("burst_messages").alias("burst_messages"))
 
 
 def gap_exclusion_windows(gaps: DataFrame, tape: DataFrame) -> DataFrame:

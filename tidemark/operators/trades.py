@@ -9,6 +9,8 @@ from tidemark.functions import fee_cents
 from tidemark.plans.asof import asof_join
 from tidemark.plans.intervals import interval_join, merge_intervals
 
+DAY_US = 86_400_000_000
+
 
 def first_prints(prints: DataFrame) -> DataFrame:
     """Prints with a side, one for each trade_id: the one with the lowest id."""
@@ -80,6 +82,13 @@ def print_net_cents(windows: DataFrame) -> DataFrame:
     return windows.filter("status = 'ok'").withColumn("price", price).withColumn("fee", fee).withColumn("net", (gross - 2 * 20_000 * F.col("fee")).cast("long"))
 
 
+def flow_means(nets: DataFrame, splits: DataFrame) -> DataFrame:
+    """Contract-weighted mean net of a print in cents, by split and horizon; splits: day, split. Days without a split go."""
+    rows = nets.withColumn("day", F.floor(F.col("us") / DAY_US)).join(splits, "day")
+    sums = rows.groupBy("split", "horizon_us").agg(F.count("*").alias("prints"), F.sum("units").alias("weight"), F.sum("net").alias("total"))
+    return sums.filter("weight > 0").withColumn("mean_cents", F.round(F.col("total") / (200 * F.col("weight")), 9))
+
+
 def flow_clusters(nets: DataFrame) -> DataFrame:
     """Net and weight of every ticker and horizon; those without weight go."""
     return nets.groupBy("ticker", "horizon_us").agg(F.sum("net").alias("total"), F.sum("units").alias("weight")).filter("weight > 0")
@@ -124,12 +133,17 @@ def queue_clear(orders: DataFrame, quotes: DataFrame, prints: DataFrame, rest_us
 
 
 def maker_edge(fills: DataFrame, quotes: DataFrame, horizons: list[int]) -> DataFrame:
-    """Per horizon: fills, those without a mid, and the sums of mark-out and maker fee of one contract."""
+    """Per horizon: fills, those without a mid, and the sums of mark-out and maker fee of one contract.
+
+    edge is the mean over fills with mids of half a cent and the mark-out less the maker fee, in cents; edge_taker pays
+    the taker fee instead. Both are null where no fill has mids.
+    """
     rows = fills.filter("fill_us is not null").withColumn("taker_side", F.lit("yes"))
     marked = horizon_windows(rows, quotes, "fill_us", horizons)
     fee = fee_cents("100", "price", maker=True)
-    marked = marked.withColumn("fee", fee).withColumn("move2", F.when(F.col("status") == "ok", F.col("mid2_end") - F.col("mid2_start")))
-    return marked.groupBy("horizon_us").agg(F.count("*").alias("fills"), F.count_if(F.col("status") != "ok").alias("no_mid"), F.sum("move2").alias("move2"), F.sum("fee").alias("fees"))
+    marked = marked.withColumn("fee", fee).withColumn("taker", fee_cents("100", "price")).withColumn("move2", F.when(F.col("status") == "ok", F.col("mid2_end") - F.col("mid2_start")))
+    edge = lambda c: F.round(0.5 + F.sum("move2") / (200 * F.count("move2")) - F.sum(F.when(F.col("move2").isNotNull(), F.col(c))) / F.count("move2"), 9)
+    return marked.groupBy("horizon_us").agg(edge("fee").alias("edge"), edge("taker").alias("edge_taker"), F.count("*").alias("fills"), F.count_if(F.col("status") != "ok").alias("no_mid"), F.sum("move2").alias("move2"), F.sum("fee").alias("fees"))
 
 
 def exposure_rollup(trades: DataFrame, settled: DataFrame, key: str, levels: list[str], loss: str) -> DataFrame:
@@ -163,6 +177,14 @@ def fills_vs_prints(orders: DataFrame, prints: DataFrame, width: int = 3_600_000
     return rows.select("order_id", fill("better").alias("filled_strict"), fill("at_least").alias("filled_inclusive"))
 
 
+def execution_bound(filled: DataFrame, most: float = 0.6) -> DataFrame:
+    """Orders that prints would not have filled at all, by either rule, their rate, and whether it is above most; no orders: 0."""
+    rates = filled.agg(F.count("*").alias("orders"), F.count_if(F.col("filled_strict") == 0).alias("zero_strict"), F.count_if(F.col("filled_inclusive") == 0).alias("zero_inclusive"))
+    rate = lambda c: F.round(F.coalesce(F.try_divide(F.col(c), F.col("orders")), F.lit(0.0)), 9)
+    rates = rates.withColumns({"rate_strict": rate("zero_strict"), "rate_inclusive": rate("zero_inclusive")})
+    return rates.withColumns({"bound_strict": F.col("rate_strict") > most, "bound_inclusive": F.col("rate_inclusive") > most})
+
+
 def tick_decision(decisions: DataFrame, prints: DataFrame, stale_us: int, depth_us: int) -> DataFrame:
     """The last print within stale_us before each decision, and the prints and contracts of the depth_us before it."""
     last = asof_join(decisions, prints.select("ticker", "us", "id", F.col("yes_price").alias("last_price"), F.col("us").alias("last_us")), ["ticker"], "as_of", "us", ["last_price", "last_us"], tolerance=stale_us, tie="id")

@@ -22,27 +22,28 @@ def depth_cells(spark, sf_dir):
 def depth_readout(spark, sf_dir):
     return op.depth_readout(op.depth_cells(view(spark, sf_dir, "v_touch")))
 
-_LADDER = "lad AS (SELECT user_id, list(k ORDER BY k DESC)[1:6] AS ps, list(c ORDER BY k DESC)[1:6] AS ss FROM (SELECT user_id, k, min(c) AS c FROM ev GROUP BY user_id, k) GROUP BY user_id)"
+_LADDER = "lad AS (SELECT user_id, list(k ORDER BY k DESC)[1:6] AS ps, list(c ORDER BY k DESC)[1:6] AS ss, count(*) AS levels FROM (SELECT user_id, k, min(c) AS c FROM ev GROUP BY user_id, k) GROUP BY user_id)"
 
 def _ladders(spark, sf_dir):
     levels = view(spark, sf_dir, "ev").groupBy("user_id", "k").agg(F.min("c").alias("c"))
-    top = levels.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("k")))).filter("n <= 6")  # six are collected, whatever a user has
-    rows = top.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("k", "c")), False).alias("x"))
-    return rows.select("user_id", F.col("x.k").alias("prices"), F.col("x.c").alias("sizes"))
+    own = Window.partitionBy("user_id")
+    top = levels.withColumn("n", F.row_number().over(own.orderBy(F.desc("k")))).withColumn("levels", F.count("*").over(own)).filter("n <= 6")  # six are collected, whatever a user has
+    rows = top.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("k", "c")), False).alias("x"), F.max("levels").alias("levels"))
+    return rows.select("user_id", "levels", F.col("x.k").alias("prices"), F.col("x.c").alias("sizes"))
 
 @query("cumulative_depth", f"WITH {_LADDER} SELECT user_id, list_sum(list_transform(list_filter(range(1, len(ps) + 1), lambda i: ps[i] >= ps[1] - 5), lambda i: ss[i]))::BIGINT AS depth FROM lad")
 def cumulative_depth(spark, sf_dir):
     return _ladders(spark, sf_dir).select("user_id", op.cumulative_depth("prices", "sizes", 5).alias("depth"))
 
-@query("walk_capacity", f"""WITH RECURSIVE {_LADDER}, wk AS (SELECT user_id, ps, ss, 1 AS i, 0::BIGINT AS n, 0::BIGINT AS spare, true AS is_open FROM lad UNION ALL
-  SELECT user_id, ps, ss, i + 1, n + room, spare - room * gap, is_open AND room = ss[i] FROM (SELECT *, CASE WHEN NOT is_open THEN 0 WHEN gap <= 0 THEN ss[i] ELSE least(ss[i], spare {{div}} gap) END AS room FROM (SELECT *, ps[1] - ps[i] - 1 AS gap FROM wk WHERE i <= len(ps))))
-  SELECT user_id, n AS capacity FROM wk WHERE i = len(ps) + 1""")
+@query("walk_capacity", f"""WITH RECURSIVE {_LADDER}, wk AS (SELECT user_id, levels, ps, ss, 1 AS i, 0::BIGINT AS n, 0::BIGINT AS spare, true AS is_open FROM lad UNION ALL
+  SELECT user_id, levels, ps, ss, i + 1, n + room, spare - room * gap, is_open AND room = ss[i] FROM (SELECT *, CASE WHEN NOT is_open THEN 0 WHEN gap <= 0 THEN ss[i] ELSE least(ss[i], spare {{div}} gap) END AS room FROM (SELECT *, ps[1] - ps[i] - 1 AS gap FROM wk WHERE i <= len(ps))))
+  SELECT user_id, n AS capacity, is_open AND levels > 6 AS censored, is_open AND levels <= 6 AS exhausted FROM wk WHERE i = len(ps) + 1""")
 def walk_capacity(spark, sf_dir):
-    return _ladders(spark, sf_dir).select("user_id", op.walk_capacity("prices", "sizes", 1).alias("capacity"))
+    return _ladders(spark, sf_dir).select("user_id", op.walk_capacity("prices", "sizes", 1, "levels").alias("x")).select("user_id", "x.*")
 
-@query("depth_at_price", f"WITH {_LADDER} SELECT user_id, coalesce(ss[list_position(ps, 97)], 0) AS size FROM lad")
+@query("depth_at_price", f"WITH {_LADDER} SELECT user_id, coalesce(ss[list_position(ps, 97)], 0) AS size, levels > 6 AS censored FROM lad")
 def depth_at_price(spark, sf_dir):
-    return _ladders(spark, sf_dir).select("user_id", op.depth_at_price("prices", "sizes", F.lit(97).cast("long")).alias("size"))
+    return _ladders(spark, sf_dir).select("user_id", op.depth_at_price("prices", "sizes", F.lit(97).cast("long")).alias("size"), (F.col("levels") > 6).alias("censored"))
 
 _GROUPS = "(SELECT DISTINCT ticker, CAST(substr(ticker, 2) AS BIGINT) % 20 AS grp FROM v_touch)"
 

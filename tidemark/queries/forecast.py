@@ -53,27 +53,29 @@ def bracket_probability(spark, sf_dir):
     return _members(spark, sf_dir).select("vec_id", *(F.round(op.bracket_probability("members", k, a, b, 0.1), 9).alias(f"rung_{i}") for i, (k, a, b) in enumerate(_RUNGS)))
 
 
-@query("ladder_sum", "SELECT vec_id, 1.0::DOUBLE AS total, 4::BIGINT AS rungs, true AS sound FROM embeddings")
+@query("ladder_sum", "SELECT vec_id, 1.0::DOUBLE AS total, 4::BIGINT AS rungs, 10000 + 400 * (vec_id % 5 - 2) AS price_total, true AS sound, abs(vec_id % 5 - 2) <= 1 AS priced FROM embeddings")
 def ladder_sum(spark, sf_dir):
-    rows = _members(spark, sf_dir).select("vec_id", F.explode(F.array(*(op.bracket_probability("members", k, a, b, 0.1) for k, a, b in _RUNGS))).alias("p"))
+    rows = _members(spark, sf_dir).select("vec_id", F.explode(F.array(*(op.bracket_probability("members", k, a, b, 0.1) for k, a, b in _RUNGS))).alias("p"), (2500 + 100 * (F.col("vec_id") % 5 - 2)).alias("price"))
     return op.ladder_sum(rows, "vec_id").withColumn("total", F.round("total", 9))
 
 
-@query("brier", """SELECT grp, count(*) AS n, round(avg((p - o) * (p - o)), 6) AS brier, round(avg(o) * (1 - avg(o)), 6) AS baseline, round(CASE WHEN avg(o) * (1 - avg(o)) > 0 THEN 1 - avg((p - o) * (p - o)) / (avg(o) * (1 - avg(o))) END, 6) AS skill FROM v_scored GROUP BY grp""")
+@query("brier", """SELECT grp, count(*) AS n, round(avg((p - o) * (p - o)), 6) AS brier, round(avg(o) * (1 - avg(o)), 6) AS baseline, round(CASE WHEN avg(o) * (1 - avg(o)) > 0 THEN 1 - avg((p - o) * (p - o)) / (avg(o) * (1 - avg(o))) END, 6) AS skill,
+  round(avg((lead / 50 - o) * (lead / 50 - o)), 6) AS market, round(round(avg((lead / 50 - o) * (lead / 50 - o)), 6) - round(avg((p - o) * (p - o)), 6), 6) AS delta FROM v_scored GROUP BY grp""")
 def brier(spark, sf_dir):
-    return op.brier(view(spark, sf_dir, "v_scored"), ["grp"])
+    return op.brier(view(spark, sf_dir, "v_scored").withColumn("q", F.col("lead") / 50), ["grp"], "q")
 
 
 @query("reliability", """WITH b AS (SELECT least(floor(p * 20), 19)::INT AS bin, count(*) AS n, avg(p) AS predicted, avg(o) AS observed FROM v_scored GROUP BY 1)
-  SELECT r.bin::INT AS bin, coalesce(n, 0) AS n, round(predicted, 9) AS predicted, round(observed, 9) AS observed FROM (SELECT unnest(range(0, 20)) AS bin) r LEFT JOIN b ON b.bin = r.bin""")
+  SELECT r.bin::INT AS bin, coalesce(n, 0) AS n, coalesce(round(predicted, 9), 0) AS predicted, coalesce(round(observed, 9), 0) AS observed FROM (SELECT unnest(range(0, 20)) AS bin) r LEFT JOIN b ON b.bin = r.bin""")
 def reliability(spark, sf_dir):
     return op.reliability(view(spark, sf_dir, "v_scored"), 20)
 
 
 @query("log_loss_hit_rate", f"""WITH {_SCORED}, l AS (SELECT *, -CASE WHEN o = 1 THEN ln(least(greatest(p, 1e-6), 1 - 1e-6)) ELSE ln(1 - least(greatest(p, 1e-6), 1 - 1e-6)) END AS ll, CASE WHEN (p >= 0.5) = (o = 1) THEN 1 ELSE 0 END AS hit FROM sc)
-  SELECT grp, bucket, month, count(*) AS n, round(avg((p - o) * (p - o)), 9) AS brier, round(avg(ll), 9) AS log_loss, round(avg(hit), 9) AS hit_rate FROM l GROUP BY GROUPING SETS ((grp, bucket, month), (grp))""")
+  SELECT grp, bucket, month, count(*) AS n, round(avg((p - o) * (p - o)), 9) AS brier, round(avg(ll), 9) AS log_loss, round(avg(hit), 9) AS hit_rate,
+  round(sum(net), 2) AS net, round(avg((lead / 50 - o) * (lead / 50 - o)), 9) AS baseline, round(avg((p - o) * (p - o)), 9) < round(avg((lead / 50 - o) * (lead / 50 - o)), 9) AS beats_baseline FROM l GROUP BY GROUPING SETS ((grp, bucket, month), (grp))""")
 def log_loss_hit_rate(spark, sf_dir):
-    return op.log_loss_hit_rate(_scored(spark, sf_dir))
+    return op.log_loss_hit_rate(_scored(spark, sf_dir).withColumn("mid", F.col("lead") / 50))
 
 
 @query("lead_bucket", f"WITH {_SCORED} SELECT bucket, count(*) AS n FROM sc GROUP BY bucket")
@@ -153,9 +155,20 @@ def nnls_gram(spark, sf_dir):
     return op.gram(_panel(spark, sf_dir), _X, "y")
 
 
-@query("nnls_blend")
+#: The best of the seven sets of columns by Cramer's rule.
+_BLEND = "gr AS (SELECT " + ", ".join(f"sum({p} * {q})::DOUBLE AS {p}{'f' if q == 'y' else q}" for i, p in enumerate(_X) for q in [*_X[i:], "y"]) + """ FROM pn),
+  so AS (SELECT gr.*, af / aa AS wa, 0.0::DOUBLE AS wb, 0.0::DOUBLE AS wc FROM gr UNION ALL SELECT gr.*, 0, bf / bb, 0 FROM gr UNION ALL SELECT gr.*, 0, 0, cf / cc FROM gr
+    UNION ALL SELECT gr.*, (af * bb - bf * ab) / (aa * bb - ab * ab), (aa * bf - ab * af) / (aa * bb - ab * ab), 0 FROM gr
+    UNION ALL SELECT gr.*, (af * cc - cf * ac) / (aa * cc - ac * ac), 0, (aa * cf - ac * af) / (aa * cc - ac * ac) FROM gr
+    UNION ALL SELECT gr.*, 0, (bf * cc - cf * bc) / (bb * cc - bc * bc), (bb * cf - bc * bf) / (bb * cc - bc * bc) FROM gr
+    UNION ALL SELECT gr.* EXCLUDE d, (af * (bb * cc - bc * bc) - ab * (bf * cc - bc * cf) + ac * (bf * bc - bb * cf)) / d, (aa * (bf * cc - bc * cf) - af * (ab * cc - bc * ac) + ac * (ab * cf - bf * ac)) / d,
+      (aa * (bb * cf - bf * bc) - ab * (ab * cf - bf * ac) + af * (ab * bc - bb * ac)) / d FROM (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS d FROM gr) gr),
+  be AS (SELECT wa, wb, wc, wa + wb + wc AS w FROM so WHERE wa >= 0 AND wb >= 0 AND wc >= 0 ORDER BY wa * af + wb * bf + wc * cf DESC LIMIT 1)"""
+
+
+@query("nnls_blend", f"WITH {_PANEL}, {_BLEND} SELECT 'a' AS member, round(wa / w, 9) AS weight FROM be UNION ALL SELECT 'b', round(wb / w, 9) FROM be UNION ALL SELECT 'c', round(wc / w, 9) FROM be")
 def nnls_blend(spark, sf_dir):
-    return op.nnls_blend(_panel(spark, sf_dir), _X, "y")
+    return op.nnls_blend(_panel(spark, sf_dir), _X, "y").withColumn("weight", F.round("weight", 9))
 
 
 @query("decision_snapshot", """WITH c AS (SELECT ticker, max(us) AS close_us FROM v_mid GROUP BY ticker), x AS (SELECT c.*, close_us - 43200000000 AS as_of, (SELECT arg_max((mid2, us), (us, id)) FROM v_mid m WHERE m.ticker = c.ticker AND us <= close_us - 43200000000) AS s FROM c)
@@ -179,8 +192,9 @@ def _legs(spark, sf_dir):
     return view(spark, sf_dir, "v_scored").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("leg_id"), "p", (100 * (1 + lead * 2 % 97)).alias("price"), (100 * lead).alias("units"), F.col("o").alias("won"), lead.alias("lead"), (F.col("l_linenumber") * 5 - 5).cast("long").alias("depth"))
 
 
-@query("entry_pnl", f"""WITH {_LEGS}, s AS (SELECT *, CASE WHEN round(p * 10000) > price THEN 'yes' WHEN round(p * 10000) < price THEN 'no' ELSE 'none' END AS side FROM lg), t AS (SELECT *, CASE side WHEN 'yes' THEN price + 100 ELSE 10100 - price END AS paid FROM s)
-  SELECT leg_id, side, CASE WHEN side <> 'none' THEN units * (CASE WHEN (side = 'yes') = (won = 1) THEN 10000 ELSE 0 END - paid) - 10000 * ((7 * units * least(paid, 10000) * (10000 - least(paid, 10000)) + 9999999999) {{div}} 10000000000) END AS net FROM t""")
+@query("entry_pnl", f"""WITH {_LEGS}, s AS (SELECT *, CASE WHEN round(p * 10000) > price THEN 'yes' WHEN round(p * 10000) < price THEN 'no' ELSE 'none' END AS side FROM lg), t AS (SELECT *, CASE side WHEN 'yes' THEN price WHEN 'no' THEN 10000 - price END AS x, CASE WHEN (side = 'yes') = (won = 1) THEN 10000 ELSE 0 END AS settled FROM s)
+  SELECT leg_id, side, x AS executed, units * (settled - x - 100) - 10000 * ((7 * units * x * (10000 - x) + 9999999999) {{div}} 10000000000) AS net,
+    units * (settled - x - 200) - 10000 * ((7 * units * (x + 100) * (9900 - x) + 9999999999) {{div}} 10000000000) AS walked_net FROM t""")
 def entry_pnl(spark, sf_dir):
     return op.entry_pnl(_legs(spark, sf_dir))
 
@@ -202,7 +216,7 @@ def gate_columns(spark, sf_dir):
     return op.gate_columns(_legs(spark, sf_dir)).select("leg_id", "failed", "passed")
 
 
-@query("sigma_band", f"WITH {_EMB}, m AS (SELECT unnest([0.5, 1.0, 2.0]) AS multiplier) " + " UNION ALL ".join(f"SELECT vec_id, {m}::DOUBLE AS multiplier, round({_sql_cdf('members', 0.05, 0.1 * m)}, 9) AS p FROM em" for m in (0.5, 1.0, 2.0)))
+@query("sigma_band", f"WITH {_EMB}, m AS (SELECT unnest([0.5, 1.0, 2.0]) AS multiplier) " + " UNION ALL ".join(f"SELECT vec_id, {m}::DOUBLE AS multiplier, round(sqrt({m} * {m} * 0.01 + 1), 9) AS effective, round({_sql_cdf('members', 0.05, f'sqrt({m} * {m} * 0.01 + 1)')}, 9) AS p FROM em" for m in (0.5, 1.0, 2.0)))
 def sigma_band(spark, sf_dir):
     return op.sigma_band(_members(spark, sf_dir), "members", 0.05, 0.1, [0.5, 1.0, 2.0])
 

@@ -29,16 +29,29 @@ def blind_windows(spark, sf_dir):
     return op.blind_windows(view(spark, sf_dir, "v_tape"), width=2000)
 
 
-@query("attach_gaps", f"""WITH {_BLIND}, n AS (SELECT boundary_id, start_us, coalesce(lead(start_us) OVER (ORDER BY start_us), start_us + 86400000000) AS next_us FROM b),
-  g AS (SELECT boundary_id, v_gaps.id AS gap_id, detected_us, reason, row_number() OVER (PARTITION BY boundary_id ORDER BY detected_us, v_gaps.id) AS rn FROM v_gaps JOIN n ON detected_us >= start_us AND detected_us < next_us)
-  SELECT boundary_id, gap_id, detected_us, reason FROM g WHERE rn = 1""")
+_ATTACHED = _BLIND + """, n AS (SELECT boundary_id, start_us, coalesce(lead(start_us) OVER (ORDER BY start_us), start_us + 86400000000) AS next_us FROM b),
+  g AS (SELECT boundary_id, v_gaps.id AS gap_id, detected_us, reason, row_number() OVER (PARTITION BY boundary_id ORDER BY detected_us, v_gaps.id) AS rn FROM v_gaps JOIN n ON detected_us >= start_us AND detected_us < next_us)"""
+
+
+def _blind(spark, sf_dir):
+    return op.blind_windows(view(spark, sf_dir, "v_tape"), width=2000)
+
+
+@query("attach_gaps", f"WITH {_ATTACHED} SELECT boundary_id, gap_id, detected_us, reason FROM g WHERE rn = 1")
 def attach_gaps(spark, sf_dir):
-    return op.attach_gaps(op.blind_windows(view(spark, sf_dir, "v_tape"), width=2000), view(spark, sf_dir, "v_gaps"))
+    return op.attach_gaps(_blind(spark, sf_dir), view(spark, sf_dir, "v_gaps"))
+
+
+@query("unmatched_gaps", f"WITH {_ATTACHED} SELECT id AS gap_id, detected_us, reason FROM v_gaps WHERE id NOT IN (SELECT gap_id FROM g WHERE rn = 1)")
+def unmatched_gaps(spark, sf_dir):
+    return op.unmatched_gaps(attach_gaps(spark, sf_dir), view(spark, sf_dir, "v_gaps"))
 
 
-@query("blind_summary", f"WITH {_BLIND} SELECT count(*) AS windows, sum(blind_us)::BIGINT AS total_us, quantile_disc(blind_us, 0.5) AS p50_us, quantile_disc(blind_us, 0.9) AS p90_us, max(blind_us) AS max_us, sum(burst_messages)::BIGINT AS burst_messages FROM b")
+@query("blind_summary", f"""WITH {_ATTACHED}, bg AS (SELECT b.*, rn IS NOT NULL AS named FROM b LEFT JOIN (SELECT * FROM g WHERE rn = 1) USING (boundary_id)),
+  sc AS (SELECT 'all' AS scope, * FROM bg UNION ALL SELECT 'frozen', * FROM bg WHERE start_us >= {START} AND start_us < {END})
+  SELECT scope, count(*) AS windows, count(*) FILTER (named) AS with_gap, count(*) FILTER (NOT named) AS without_gap, sum(blind_us)::BIGINT AS total_us, quantile_disc(blind_us, 0.5) AS p50_us, quantile_disc(blind_us, 0.9) AS p90_us, max(blind_us) AS max_us, sum(burst_messages)::BIGINT AS burst_messages FROM sc GROUP BY scope""")
 def blind_summary(spark, sf_dir):
-    return op.blind_summary(op.blind_windows(view(spark, sf_dir, "v_tape"), width=2000))
+    return op.blind_summary(_blind(spark, sf_dir), attach_gaps(spark, sf_dir), START, END)
 
 
 @query("gap_exclusion_windows", """SELECT id, ticker, detected_us, (SELECT max(t.us) FROM v_tape t WHERE t.ticker = g.ticker AND t.us < g.detected_us) AS start_us,

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tidemark.operators import tape
 from tidemark.operators import trades as op
 from tidemark.queries import query
 from tidemark.sources.adapters import table, view
@@ -70,6 +71,14 @@ def flow_clusters(spark, sf_dir):
     return op.flow_clusters(op.print_net_cents(_windows(spark, sf_dir)))
 
 
+@query("flow_means", f"""WITH {_HORIZONS}, dy AS (SELECT DISTINCT us {{div}} 86400000000 AS day FROM v_tape), sp AS (SELECT day, CASE WHEN (row_number() OVER (ORDER BY day) - 1) * 3 < count(*) OVER () * 2 THEN 'discovery' ELSE 'holdout' END AS split FROM dy),
+  mn AS (SELECT split, horizon_us, count(*) AS prints, sum(units)::BIGINT AS weight, sum(net)::BIGINT AS total FROM net JOIN sp ON us {{div}} 86400000000 = day GROUP BY ALL HAVING sum(units) > 0)
+  SELECT *, round(total::DOUBLE / (200 * weight), 9) AS mean_cents FROM mn""")
+def flow_means(spark, sf_dir):
+    splits = tape.freeze_split(view(spark, sf_dir, "v_tape").select(F.floor(F.col("us") / tape.DAY_US).alias("day"))).select("day", "split")
+    return op.flow_means(op.print_net_cents(_windows(spark, sf_dir)), splits)
+
+
 @query("ts_violations", "WITH d AS (SELECT ticker, ts_ms < lag(ts_ms) OVER (PARTITION BY ticker ORDER BY id) AS back FROM v_tape WHERE NOT is_snapshot) SELECT ticker, count(*) FILTER (back) AS violations, count(*) AS deltas FROM d GROUP BY ticker")
 def ts_violations(spark, sf_dir):
     return op.ts_violations(view(spark, sf_dir, "v_tape"))
@@ -116,8 +125,9 @@ def queue_clear(spark, sf_dir):
 
 @query("maker_edge", f"""WITH {_QUEUE}, h AS (SELECT fl.*, x.h AS horizon_us, fill_us + x.h AS b FROM fl, (SELECT unnest([{", ".join(map(str, HORIZONS))}]) AS h) x WHERE fill_us IS NOT NULL),
   v AS (SELECT h.*, (SELECT arg_max((m.mid2, 1), (m.us, m.id)) FROM v_mid m WHERE m.ticker = h.ticker AND m.us <= h.fill_us)[1] AS m0, (SELECT arg_max((m.mid2, 1), (m.us, m.id)) FROM v_mid m WHERE m.ticker = h.ticker AND m.us <= h.b)[1] AS m1, (SELECT max(m.us) FROM v_mid m WHERE m.ticker = h.ticker) AS last_us FROM h),
-  k AS (SELECT *, b <= last_us AND m0 IS NOT NULL AND m1 IS NOT NULL AS ok, (17500 * price * (10000 - price) + 999999999999) {{div}} 1000000000000 AS fee FROM v)
-  SELECT horizon_us, count(*) AS fills, count(*) FILTER (NOT ok) AS no_mid, sum(CASE WHEN ok THEN m1 - m0 END)::BIGINT AS move2, sum(fee)::BIGINT AS fees FROM k GROUP BY horizon_us""")
+  k AS (SELECT *, b <= last_us AND m0 IS NOT NULL AND m1 IS NOT NULL AS ok, (17500 * price * (10000 - price) + 999999999999) {{div}} 1000000000000 AS fee, (700 * price * (10000 - price) + 9999999999) {{div}} 10000000000 AS taker FROM v)
+  SELECT horizon_us, count(*) AS fills, count(*) FILTER (NOT ok) AS no_mid, sum(CASE WHEN ok THEN m1 - m0 END)::BIGINT AS move2, sum(fee)::BIGINT AS fees,
+    round(0.5 + sum(CASE WHEN ok THEN m1 - m0 END) / (200 * count(*) FILTER (ok)) - sum(fee) FILTER (ok) / count(*) FILTER (ok), 9) AS edge, round(0.5 + sum(CASE WHEN ok THEN m1 - m0 END) / (200 * count(*) FILTER (ok)) - sum(taker) FILTER (ok) / count(*) FILTER (ok), 9) AS edge_taker FROM k GROUP BY horizon_us""")
 def maker_edge(spark, sf_dir):
     return op.maker_edge(_queue(spark, sf_dir), view(spark, sf_dir, "v_mid"), HORIZONS)
 
@@ -157,14 +167,23 @@ def portfolio_aggregate(spark, sf_dir):
     return op.portfolio_aggregate(rows, ["l_linestatus"])
 
 
-@query("fills_vs_prints", """WITH o AS (SELECT event_id AS order_id, concat('M', user_id) AS ticker, us AS as_of, us + 172800000000 AS close_us, 100 * (1 + k % 98) AS limit_price, c AS wanted FROM ev WHERE event_type = 'view'),
-  m AS (SELECT order_id, sum(CASE WHEN yes_price < limit_price THEN units ELSE 0 END)::BIGINT AS better, sum(units)::BIGINT AS at_least FROM o JOIN v_prints p ON p.ticker = o.ticker AND us > as_of AND us <= close_us AND yes_price <= limit_price GROUP BY order_id)
-  SELECT order_id, least(coalesce(better, 0), wanted) AS filled_strict, least(coalesce(at_least, 0), wanted) AS filled_inclusive FROM o LEFT JOIN m USING (order_id)""")
+_FILLED = """WITH o AS (SELECT event_id AS order_id, concat('M', user_id) AS ticker, us AS as_of, us + 172800000000 AS close_us, 100 * (1 + k % 98) AS limit_price, c AS wanted FROM ev WHERE event_type = 'view'),
+  m AS (SELECT order_id, sum(CASE WHEN yes_price < limit_price THEN units ELSE 0 END)::BIGINT AS better, sum(units)::BIGINT AS at_least FROM o JOIN v_prints p ON p.ticker = o.ticker AND us > as_of AND us <= close_us AND yes_price <= limit_price GROUP BY order_id),
+  fi AS (SELECT order_id, least(coalesce(better, 0), wanted) AS filled_strict, least(coalesce(at_least, 0), wanted) AS filled_inclusive FROM o LEFT JOIN m USING (order_id))"""
+
+
+@query("fills_vs_prints", f"{_FILLED} SELECT * FROM fi")
 def fills_vs_prints(spark, sf_dir):
     orders = view(spark, sf_dir, "ev").filter("event_type = 'view'").select(F.col("event_id").alias("order_id"), F.concat(F.lit("M"), "user_id").alias("ticker"), F.col("us").alias("as_of"), (F.col("us") + 48 * HOUR).alias("close_us"), (100 * (1 + F.col("k") % 98)).alias("limit_price"), F.col("c").alias("units_wanted"))
     return op.fills_vs_prints(orders, view(spark, sf_dir, "v_prints"))
 
 
+@query("execution_bound", f"""{_FILLED}, rt AS (SELECT count(*) AS orders, count(*) FILTER (filled_strict = 0) AS zero_strict, count(*) FILTER (filled_inclusive = 0) AS zero_inclusive FROM fi)
+  SELECT *, round(zero_strict / orders, 9) AS rate_strict, round(zero_inclusive / orders, 9) AS rate_inclusive, zero_strict / orders > 0.6 AS bound_strict, zero_inclusive / orders > 0.6 AS bound_inclusive FROM rt""")
+def execution_bound(spark, sf_dir):
+    return op.execution_bound(fills_vs_prints(spark, sf_dir))
+
+
 @query("tick_decision", """WITH d AS (SELECT event_id AS decision_id, concat('M', user_id) AS ticker, us AS as_of FROM ev WHERE event_type = 'view'),
   l AS (SELECT d.*, (SELECT arg_max((yes_price, us), (us, id)) FROM v_prints p WHERE p.ticker = d.ticker AND p.us <= as_of AND as_of - p.us <= 43200000000) AS x FROM d),
   m AS (SELECT decision_id, count(*) AS prints, sum(units)::BIGINT AS contracts FROM d JOIN v_prints p ON p.ticker = d.ticker AND us > as_of - 86400000000 AND us <= as_of GROUP BY decision_id)
