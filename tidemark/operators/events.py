@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import quantile
+from tidemark.functions import fee_cents, quantile
 from tidemark.plans.asof import asof_join
 from tidemark.plans.intervals import interval_join, islands
 
@@ -61,29 +61,53 @@ def lock_supply(locks: DataFrame) -> DataFrame:
     return locks.rollup("station").agg(F.count("*").alias("strikes"), F.count_if(F.col("kind") == "clean").alias("clean"), F.count_if(F.col("kind") == "ambiguous").alias("ambiguous"))
 
 
-def reprice_lag(events: DataFrame, quotes: DataFrame, low2: int, high2: int, within_us: int) -> DataFrame:
-    """Time from each event (event_id, ticker, t0_us) to the first state with its doubled mid in the band; null if none within."""
-    spans = events.select("event_id", "ticker", (F.col("t0_us") + 1).alias("a"), (F.col("t0_us") + within_us).alias("b"))
-    inside = quotes.filter((F.col("mid2") >= low2) & (F.col("mid2") <= high2))
-    first = interval_join(inside, spans, "us", "a", "b", within_us, by=["ticker"]).groupBy("event_id").agg(F.min("us").alias("hit_us"))
-    return events.join(first, "event_id", "left").select("event_id", "ticker", "t0_us", (F.col("hit_us") - F.col("t0_us")).alias("lag_us"))
+def reprice_lag(events: DataFrame, quotes: DataFrame, low2: int, high2: int, within_us: int, cadence_us: int = 600_000_000) -> DataFrame:
+    """Time from each event (event_id, ticker, t0_us) to the first state after it with its doubled mid in the band.
 
-
-def lag_report(lags: DataFrame, series: Column) -> DataFrame:
-    """Per series and pooled: events, those never repriced, and the median and 90th percentile of the rest at half-even ranks."""
-    rows = lags.withColumn("series", series)
-    rows = rows.unionByName(rows.withColumn("series", F.lit("POOLED")))
-    out = rows.groupBy("series").agg(F.count("*").alias("n"), F.count_if(F.col("lag_us").isNull()).alias("never"))
-    for q, name in ((0.5, "median_us"), (0.9, "p90_us")):
-        out = out.join(quantile(rows, ["series"], "lag_us", q, "even", name), "series", "left")
-    return out
+    Returns the events with lag_us, null if there is none within within_us; no_mid, the states without a mid until then;
+    and cadence_us, the median gap of the states in the cadence_us from the event on, null where there are fewer than
+    three. Events without a ticker or time have no states: nulls and 0.
+    """
+    ends = lambda first, last: events.select("event_id", "ticker", (F.col("t0_us") + first).alias("a"), (F.col("t0_us") + last).alias("b")).filter("a is not null and ticker is not null")
+    states = quotes.select("ticker", "us", "id", "mid2")
+    spans = ends(1, within_us)
+    inside = states.filter((F.col("mid2") >= low2) & (F.col("mid2") <= high2))
+    first = interval_join(inside, spans, "us", "a", "b", within_us, by=["ticker"]).groupBy("event_id").agg(F.min(F.struct("us", "id")).alias("_hit"))
+    until = spans.join(first, "event_id", "left").select("event_id", "ticker", "a", F.coalesce("_hit.us", "b").alias("b"), "_hit")
+    before = F.col("_hit").isNull() | (F.struct("us", "id") < F.col("_hit"))
+    without = interval_join(states.filter("mid2 is null"), until, "us", "a", "b", within_us, by=["ticker"]).filter(before).groupBy("event_id").agg(F.count("*").alias("no_mid"))
+    own = Window.partitionBy("event_id")  # the states of a few minutes
+    near = interval_join(states, ends(0, cadence_us), "us", "a", "b", cadence_us, by=["ticker"])
+    gaps = near.withColumn("cadence_us", F.col("us") - F.lag("us").over(own.orderBy("us", "id"))).withColumn("n", F.count("*").over(own)).filter("n >= 3")
+    out = events.join(first, "event_id", "left").join(without, "event_id", "left").join(quantile(gaps, ["event_id"], "cadence_us", 0.5, "even", "cadence_us"), "event_id", "left")
+    return out.select(*events.columns, (F.col("_hit.us") - F.col("t0_us")).alias("lag_us"), F.coalesce("no_mid", F.lit(0)).alias("no_mid"), "cadence_us")
+
+
+def lag_report(lags: DataFrame, series: Column, mislocked: Column, floored: Column) -> DataFrame:
+    """Per series and pooled, of all events (scope raw) and of those not floored (scope net).
+
+    Events, those never repriced, states without a mid, mislocked events and their rate, half-even quartile, median and
+    90th percentile of the lags, the median cadence, and unreliable: a median of no more than 1.5 cadences. A null flag
+    counts as false; without events there are no rows.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    rows = lags.select("lag_us", "no_mid", "cadence_us", yes(mislocked).alias("mislocked"), F.explode(F.array(series, F.lit("POOLED"))).alias("series"), yes(floored).alias("floored"))
+    rows = rows.withColumn("scope", F.explode(F.when(F.col("floored"), F.array(F.lit("raw"))).otherwise(F.array(F.lit("raw"), F.lit("net")))))
+    by = ["scope", "series"]
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("lag_us").isNull()).alias("never"), F.sum("no_mid").alias("no_mid"), F.count_if("mislocked").alias("mislocked"))
+    for value, q, name in (("lag_us", 0.25, "p25_us"), ("lag_us", 0.5, "median_us"), ("lag_us", 0.9, "p90_us"), ("cadence_us", 0.5, "cadence_us")):
+        out = out.join(quantile(rows, by, value, q, "even", name), by, "left")
+    unreliable = F.coalesce(2 * F.col("median_us") <= 3 * F.col("cadence_us"), F.lit(False))
+    return out.withColumns({"mislock_rate": F.round(F.col("mislocked") / F.col("n"), 9), "unreliable": unreliable})
 
 
 def fillable_depth(events: DataFrame, quotes: DataFrame, latencies: list[int], cap_cents: int) -> DataFrame:
     """For each latency, contracts still to be had at the price that stood at the event.
 
     The stale quote is the last at or before t0; it is fillable if the first at or after t0 + latency has the same
-    price; contracts are the lesser size, and no more than cap_cents buy.
+    price; contracts are the lesser size, and no more than cap_cents buy. events: event_id, ticker, t0_us, won. Also
+    the price, and what the contracts cost, their fee in cents, what they pay and the result, all but the fee in
+    units times ticks; zeros where nothing is bought, a null price where none stood.
     """
     rows = events.withColumn("latency_us", F.explode(F.array(*(F.lit(x).cast("long") for x in latencies)))).withColumn("at_us", F.col("t0_us") + F.col("latency_us"))
     stale = quotes.select("ticker", "us", "id", F.col("yes_bid").alias("price"), F.col("yes_size").alias("size"))
@@ -92,7 +116,15 @@ def fillable_depth(events: DataFrame, quotes: DataFrame, latencies: list[int], c
     rows = asof_join(rows, fresh, ["ticker"], "at_us", "us", ["price_then", "size_then"], forward=True, tie="id")
     same = (F.col("price") > 0) & (F.col("price") == F.col("price_then"))
     most = F.expr(f"{cap_cents * 100}L * 100 div nullif(price, 0)")
-    return rows.select("event_id", "latency_us", F.when(same, F.least("size", "size_then", most)).otherwise(F.lit(0)).cast("long").alias("units"))
+    rows = rows.withColumn("units", F.when(same, F.least("size", "size_then", most)).otherwise(F.lit(0)).cast("long"))
+    rows = rows.withColumns({"spent": F.col("units") * F.coalesce("price", F.lit(0)), "fee": fee_cents("units", "coalesce(price, 0)"), "payoff": F.col("units") * F.when(F.col("won"), 10_000).otherwise(0)})
+    return rows.select("event_id", "ticker", "latency_us", "price", "units", "spent", "fee", "payoff", (F.col("payoff") - F.col("spent") - 10_000 * F.col("fee")).alias("pnl"))
+
+
+def capture_report(captures: DataFrame, series: Column) -> DataFrame:
+    """Sums of fillable_depth by series and latency: events, those with contracts, units, cost, fees, payoff and result."""
+    sums = (F.sum(c).alias(c) for c in ("units", "spent", "fee", "payoff", "pnl"))
+    return captures.groupBy(series.alias("series"), "latency_us").agg(F.count("*").alias("events"), F.count_if(F.col("units") > 0).alias("filled"), *sums)
 
 
 def convergence_time(locks: DataFrame, quotes: DataFrame, low2: int, hold_us: int, window_us: int) -> DataFrame:
@@ -128,16 +160,28 @@ def arrival_delay(readings: DataFrame, strikes: DataFrame) -> DataFrame:
     return out.select("station", "day", "strike", kind.alias("kind"), (F.col("seen_us") - F.col("reached_us")).alias("delay_us"))
 
 
-def post_lock_flow(prints: DataFrame, locks: DataFrame) -> DataFrame:
-    """Prints after their ticker's lock by the taker's side: fills, contracts and notional.
+def _after_locks(prints: DataFrame, locks: DataFrame) -> DataFrame:
+    """Prints with a side after a lock of their ticker, with the number of such locks and the price that the taker paid.
 
-    A print after several locks of its ticker counts for each; it takes their number along instead of meeting them.
+    A print after several locks counts for each; it takes their number along instead of meeting them.
     """
     counted = locks.filter("lock_us is not null").groupBy("ticker", "lock_us").agg(F.count("*").alias("n"))
     counted = counted.withColumn("locks", F.sum("n").over(Window.partitionBy("ticker").orderBy("lock_us")))
     rows = asof_join(prints.filter("taker_side <> ''"), counted, ["ticker"], "us", "lock_us", ["locks"], strict=True).filter("locks > 0")
-    price = F.when(F.col("taker_side") == "yes", F.col("yes_price")).otherwise(10_000 - F.col("yes_price"))
-    return rows.groupBy("taker_side").agg(F.sum("locks").alias("fills"), F.sum(F.col("units") * F.col("locks")).alias("units"), F.sum(F.col("units") * price * F.col("locks")).alias("notional"))
+    return rows.withColumn("paid", F.when(F.col("taker_side") == "yes", F.col("yes_price")).otherwise(10_000 - F.col("yes_price")))
+
+
+def post_lock_flow(prints: DataFrame, locks: DataFrame) -> DataFrame:
+    """Prints after their ticker's lock by the taker's side: fills, contracts and notional; once for each lock before."""
+    rows = _after_locks(prints, locks)
+    return rows.groupBy("taker_side").agg(F.sum("locks").alias("fills"), F.sum(F.col("units") * F.col("locks")).alias("units"), F.sum(F.col("units") * F.col("paid") * F.col("locks")).alias("notional"))
+
+
+def post_lock_prices(prints: DataFrame, locks: DataFrame) -> DataFrame:
+    """The same by the cent that the taker paid as well, rounded down, with the fees in cents."""
+    rows = _after_locks(prints, locks).withColumn("fee", fee_cents("units", "paid"))
+    sums = F.sum("locks").alias("fills"), F.sum(F.col("units") * F.col("locks")).alias("units"), F.sum(F.col("units") * F.col("paid") * F.col("locks")).alias("notional"), F.sum(F.col("fee") * F.col("locks")).alias("fees")
+    return rows.groupBy("taker_side", F.floor(F.col("paid") / 100).alias("cent")).agg(*sums)
 
 
 def qc_plausible_rate(readings: DataFrame, low: int = -400, high: int = 1400, per_minute: int = 15) -> DataFrame:

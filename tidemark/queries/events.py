@@ -39,16 +39,28 @@ def lock_supply(spark, sf_dir):
     return op.lock_supply(_locks(spark, sf_dir))
 
 
-_EVENTS = "et AS (SELECT event_id, concat('M', user_id) AS ticker, us AS t0_us FROM ev WHERE event_type = 'error')"
-_LAGS = f"{_EVENTS}, lags AS (SELECT event_id, ticker, t0_us, (SELECT min(us) FROM v_mid m WHERE m.ticker = et.ticker AND us > t0_us AND us <= t0_us + 172800000000 AND mid2 >= 9000 AND mid2 <= 11000) - t0_us AS lag_us FROM et)"
+_EVENTS = "et AS (SELECT event_id, concat('M', user_id) AS ticker, us AS t0_us, k % 2 = 0 AS won, k FROM ev WHERE event_type = 'error')"
+_LAGS = f"""{_EVENTS}, hi AS (SELECT et.*, (SELECT arg_min((us, id), (us, id)) FROM v_mid m WHERE m.ticker = et.ticker AND us > t0_us AND us <= t0_us + 172800000000 AND mid2 >= 9000 AND mid2 <= 11000) AS hit FROM et),
+  nm AS (SELECT event_id, count(*) AS no_mid FROM hi JOIN v_mid m ON m.ticker = hi.ticker AND us > t0_us AND us <= t0_us + 172800000000 AND mid2 IS NULL WHERE hit IS NULL OR us < hit[1] OR (us = hit[1] AND id < hit[2]) GROUP BY event_id),
+  cd AS (SELECT event_id, us - lag(us) OVER (PARTITION BY event_id ORDER BY us, id) AS gap, count(*) OVER (PARTITION BY event_id) AS m FROM et JOIN v_mid USING (ticker) WHERE us >= t0_us AND us <= t0_us + 86400000000),
+  ce AS (SELECT event_id, gap, row_number() OVER (PARTITION BY event_id ORDER BY gap) - 1 AS i, count(*) OVER (PARTITION BY event_id) AS m FROM cd WHERE m >= 3 AND gap IS NOT NULL),
+  lags AS (SELECT event_id, hi.ticker, t0_us, won, k, hit[1] - t0_us AS lag_us, coalesce(no_mid, 0) AS no_mid, gap AS cadence_us FROM hi LEFT JOIN nm USING (event_id) LEFT JOIN (SELECT * FROM ce WHERE i = round_even((m - 1) * 0.5, 0)) ce USING (event_id))"""
 
 
 def _events(spark, sf_dir):
-    return view(spark, sf_dir, "ev").filter("event_type = 'error'").select("event_id", F.concat(F.lit("M"), "user_id").alias("ticker"), F.col("us").alias("t0_us"))
+    events = view(spark, sf_dir, "ev").filter("event_type = 'error'")
+    return events.select("event_id", F.concat(F.lit("M"), "user_id").alias("ticker"), F.col("us").alias("t0_us"), (F.col("k") % 2 == 0).alias("won"), "k")
 
 
 def _lags(spark, sf_dir):
-    return op.reprice_lag(_events(spark, sf_dir), view(spark, sf_dir, "v_mid"), 9000, 11_000, 48 * HOUR)
+    return op.reprice_lag(_events(spark, sf_dir), view(spark, sf_dir, "v_mid"), 9000, 11_000, 48 * HOUR, 24 * HOUR)
+
+
+def _series():
+    return F.concat(F.lit("G"), F.substring("ticker", 2, 20).cast("long") % 5)
+
+
+_SERIES_SQL = "concat('G', CAST(substr(ticker, 2) AS BIGINT) % 5)"
 
 
 @query("reprice_lag", f"WITH {_LAGS} SELECT * FROM lags")
@@ -56,20 +68,38 @@ def reprice_lag(spark, sf_dir):
     return _lags(spark, sf_dir)
 
 
-@query("lag_report", f"""WITH {_LAGS}, s AS (SELECT concat('G', CAST(substr(ticker, 2) AS BIGINT) % 5) AS series, lag_us FROM lags UNION ALL SELECT 'POOLED', lag_us FROM lags),
-  k AS (SELECT series, lag_us, row_number() OVER (PARTITION BY series ORDER BY lag_us) - 1 AS i, count(*) OVER (PARTITION BY series) AS m FROM s WHERE lag_us IS NOT NULL)
-  SELECT series, count(*) AS n, count(*) FILTER (lag_us IS NULL) AS never, (SELECT min(lag_us) FROM k WHERE k.series = s.series AND i = round_even((m - 1) * 0.5, 0)) AS median_us, (SELECT min(lag_us) FROM k WHERE k.series = s.series AND i = round_even((m - 1) * 0.9, 0)) AS p90_us FROM s GROUP BY series""")
+def _ranked(value, q):
+    return f"(SELECT min({value}) FROM (SELECT {value}, row_number() OVER (ORDER BY {value}) - 1 AS i, count(*) OVER () AS m FROM s x WHERE x.scope = s.scope AND x.series = s.series AND {value} IS NOT NULL) WHERE i = round_even((m - 1) * {q}, 0))"
+
+
+_RANKS = ", ".join(f"{_ranked(v, q)} AS {n}" for v, q, n in (("lag_us", 0.25, "p25_us"), ("lag_us", 0.5, "median_us"), ("lag_us", 0.9, "p90_us"), ("cadence_us", 0.5, "cadence_us")))
+
+
+@query("lag_report", f"""WITH {_LAGS}, rw AS (SELECT lag_us, no_mid, cadence_us, k % 10 = 0 AS mis, k % 7 = 0 AS floored, unnest([{_SERIES_SQL}, 'POOLED']) AS series FROM lags),
+  s AS (SELECT 'raw' AS scope, * FROM rw UNION ALL SELECT 'net', * FROM rw WHERE NOT floored),
+  rp AS (SELECT scope, series, count(*) AS n, count(*) FILTER (lag_us IS NULL) AS never, sum(no_mid)::BIGINT AS no_mid, count(*) FILTER (mis) AS mislocked, {_RANKS} FROM s GROUP BY scope, series)
+  SELECT *, round(mislocked / n, 9) AS mislock_rate, coalesce(2 * median_us <= 3 * cadence_us, false) AS unreliable FROM rp""")
 def lag_report(spark, sf_dir):
-    return op.lag_report(_lags(spark, sf_dir), F.concat(F.lit("G"), F.substring("ticker", 2, 20).cast("long") % 5))
+    return op.lag_report(_lags(spark, sf_dir), _series(), F.col("k") % 10 == 0, F.col("k") % 7 == 0)
 
 
-@query("fillable_depth", f"""WITH {_EVENTS}, l AS (SELECT et.*, x.l AS latency_us FROM et, (SELECT unnest([0, 3600000000, 43200000000]) AS l) x),
-  q AS (SELECT l.*, (SELECT arg_max((yes_bid, yes_size), (us, id)) FROM v_touch t WHERE t.ticker = l.ticker AND us <= t0_us) AS a, (SELECT arg_min((yes_bid, yes_size), (us, id)) FROM v_touch t WHERE t.ticker = l.ticker AND us >= t0_us + latency_us) AS b FROM l)
-  SELECT event_id, latency_us, CASE WHEN a[1] > 0 AND a[1] = b[1] THEN least(a[2], b[2], 50000000 {{div}} nullif(a[1], 0)) ELSE 0 END AS units FROM q""")
+_CAPTURES = f"""{_EVENTS}, l AS (SELECT et.*, x.l AS latency_us FROM et, (SELECT unnest([0, 3600000000, 43200000000]) AS l) x),
+  q AS (SELECT l.*, (SELECT arg_max((yes_bid, yes_size), (us, id)) FROM v_touch t WHERE t.ticker = l.ticker AND us <= t0_us) AS a, (SELECT arg_min((yes_bid, yes_size), (us, id)) FROM v_touch t WHERE t.ticker = l.ticker AND us >= t0_us + latency_us) AS b FROM l),
+  u AS (SELECT event_id, ticker, latency_us, won, a[1] AS price, CASE WHEN a[1] > 0 AND a[1] = b[1] THEN least(a[2], b[2], 50000000 {{div}} nullif(a[1], 0)) ELSE 0 END AS units FROM q),
+  ca AS (SELECT event_id, ticker, latency_us, price, units, units * coalesce(price, 0) AS spent, (7 * units * coalesce(price, 0) * (10000 - coalesce(price, 0)) + 9999999999) {{div}} 10000000000 AS fee, units * CASE WHEN won THEN 10000 ELSE 0 END AS payoff FROM u),
+  cp AS (SELECT *, payoff - spent - 10000 * fee AS pnl FROM ca)"""
+
+
+@query("fillable_depth", f"WITH {_CAPTURES} SELECT * FROM cp")
 def fillable_depth(spark, sf_dir):
     return op.fillable_depth(_events(spark, sf_dir), view(spark, sf_dir, "v_touch"), [0, HOUR, 12 * HOUR], 5000)
 
 
+@query("capture_report", f"""WITH {_CAPTURES} SELECT {_SERIES_SQL} AS series, latency_us, count(*) AS events, count(*) FILTER (units > 0) AS filled, {", ".join(f"sum({c})::BIGINT AS {c}" for c in ("units", "spent", "fee", "payoff", "pnl"))} FROM cp GROUP BY ALL""")
+def capture_report(spark, sf_dir):
+    return op.capture_report(fillable_depth(spark, sf_dir), _series())
+
+
 _TICKER_LOCKS = "tl AS (SELECT ticker, min(us) + 43200000000 AS lock_us FROM v_touch GROUP BY ticker)"
 
 
@@ -85,11 +115,20 @@ def convergence_time(spark, sf_dir):
     return op.convergence_time(_ticker_locks(spark, sf_dir), view(spark, sf_dir, "v_mid"), 9000, 6 * HOUR, 240 * HOUR)
 
 
-@query("post_lock_flow", f"WITH {_TICKER_LOCKS} SELECT taker_side, count(*) AS fills, sum(units)::BIGINT AS units, sum(units * CASE taker_side WHEN 'yes' THEN yes_price ELSE 10000 - yes_price END)::BIGINT AS notional FROM v_prints JOIN tl USING (ticker) WHERE us > lock_us AND taker_side <> '' GROUP BY taker_side")
+_FLOW = f"""{_TICKER_LOCKS}, fw AS (SELECT taker_side, units, CASE taker_side WHEN 'yes' THEN yes_price ELSE 10000 - yes_price END AS price FROM v_prints JOIN tl USING (ticker) WHERE us > lock_us AND taker_side <> ''),
+  fl AS (SELECT taker_side, price {{div}} 100 AS cent, count(*) AS fills, sum(units)::BIGINT AS units, sum(units * price)::BIGINT AS notional, sum((7 * units * price * (10000 - price) + 9999999999) {{div}} 10000000000)::BIGINT AS fees FROM fw GROUP BY ALL)"""
+
+
+@query("post_lock_flow", f"WITH {_FLOW} SELECT taker_side, sum(fills)::BIGINT AS fills, sum(units)::BIGINT AS units, sum(notional)::BIGINT AS notional FROM fl GROUP BY taker_side")
 def post_lock_flow(spark, sf_dir):
     return op.post_lock_flow(view(spark, sf_dir, "v_prints"), _ticker_locks(spark, sf_dir))
 
 
+@query("post_lock_prices", f"WITH {_FLOW} SELECT * FROM fl")
+def post_lock_prices(spark, sf_dir):
+    return op.post_lock_prices(view(spark, sf_dir, "v_prints"), _ticker_locks(spark, sf_dir))
+
+
 _QC = """q1 AS (SELECT *, lag(tenths) OVER w AS t, lag(valid_us) OVER w AS u, lead(tenths) OVER w AS t2, lead(valid_us) OVER w AS u2 FROM v_obs WINDOW w AS (PARTITION BY station ORDER BY valid_us, id)),
   q2 AS (SELECT *, CASE WHEN tenths < 420 OR tenths > 980 THEN 'implausible' WHEN abs(tenths - t) * 60000000 > 2 * (valid_us - u) THEN 'needs_confirmation' ELSE 'ok' END AS status FROM q1)"""
 
