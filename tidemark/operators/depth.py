@@ -40,6 +40,35 @@ def depth_readout(cells: DataFrame) -> DataFrame:
     return sums.join(weighted_quantile(every, ["hour"], "yes_size", "held_us", 0.5, "p50_size"), "hour")
 
 
+def depth_cube(quotes: DataFrame, cities: DataFrame, most_us: int = 24 * HOUR_US) -> DataFrame:
+    """Time-weighted depth of every city, time to close and hour of day, and of each of the three alone.
+
+    quotes: ticker, us, id, yes_bid, no_bid, yes_size, no_size; cities: ticker, city. A ticker closes with its last state;
+    buckets of the hours left end at 24 and 168. Returns scope (cell, city, bucket or hour), the three with '*' or -1 where
+    they are summed over, kept_us, two_sided_us, the least and the median spread of two-sided states, and the quartiles of
+    the size at the best bid. Quantiles come from time at each value. Tickers without a city don't count.
+    """
+    own = Window.partitionBy("ticker").orderBy("us", "id")
+    rows = quotes.withColumn("end_us", F.least(F.lead("us").over(own), F.col("us") + most_us)).filter("end_us > us")
+    rows = rows.join(quotes.groupBy("ticker").agg(F.max("us").alias("close_us")), "ticker").join(cities, "ticker")
+    rows = rows.withColumn("slot", F.explode(F.sequence(F.floor(F.col("us") / HOUR_US), F.floor((F.col("end_us") - 1) / HOUR_US))))
+    held = F.least("end_us", (F.col("slot") + 1) * HOUR_US) - F.greatest("us", F.col("slot") * HOUR_US)
+    left = F.floor(F.col("close_us") / HOUR_US) - F.col("slot")
+    bucket = F.when(left <= 24, "<=24h").when(left <= 168, "24-168h").otherwise(">168h")
+    two = (F.col("yes_bid") > 0) & (F.col("no_bid") > 0)
+    spread = F.when(two, 10_000 - F.col("yes_bid") - F.col("no_bid"))
+    bins = rows.groupBy("city", bucket.alias("bucket"), (F.col("slot") % 24).alias("hour"), spread.alias("spread"), "yes_size").agg(F.sum(held).alias("held_us"))
+    no, none = F.lit("*"), F.lit(-1).cast("long")
+    scopes = ("cell", F.col("city"), F.col("bucket"), F.col("hour")), ("city", F.col("city"), no, none), ("bucket", no, F.col("bucket"), none), ("hour", no, no, F.col("hour"))
+    listed = F.array(*(F.struct(F.lit(n).alias("scope"), c.alias("city"), b.alias("bucket"), h.alias("hour")) for n, c, b, h in scopes))
+    every = bins.select(F.explode(listed).alias("x"), "spread", "yes_size", "held_us").select("x.*", "spread", "yes_size", "held_us")
+    by = ["scope", "city", "bucket", "hour"]
+    out = every.groupBy(*by).agg(F.sum("held_us").alias("kept_us"), F.sum(F.when(F.col("spread").isNotNull(), F.col("held_us")).otherwise(0)).alias("two_sided_us"), F.min("spread").alias("least_spread"))
+    for rows, value, q, name in ((every.filter("spread is not null"), "spread", 0.5, "p50_spread"), *((every, "yes_size", q, f"p{round(100 * q)}_size") for q in (0.25, 0.5, 0.75))):
+        out = out.join(weighted_quantile(rows, by, value, "held_us", q, name), by, "left")
+    return out
+
+
 def cumulative_depth(prices: str, sizes: str, ticks: int) -> Column:
     """Size within some ticks of the best, from arrays of prices, best first, and sizes."""
     near = F.filter(F.arrays_zip(F.col(prices).alias("p"), F.col(sizes).alias("s")), lambda x: x["p"] >= F.get(prices, F.lit(0)) - ticks)

@@ -22,6 +22,25 @@ def depth_cells(spark, sf_dir):
 def depth_readout(spark, sf_dir):
     return op.depth_readout(op.depth_cells(view(spark, sf_dir, "v_touch")))
 
+_CUBE = """tc AS (SELECT *, max(us) OVER (PARTITION BY ticker) AS close_us, least(lead(us) OVER (PARTITION BY ticker ORDER BY us, id), us + 86400000000) AS end_us FROM v_touch),
+  ts AS (SELECT *, unnest(range(us {div} 3600000000, (end_us - 1) {div} 3600000000 + 1)) AS slot FROM tc WHERE end_us > us),
+  tl AS (SELECT concat('G', CAST(substr(ticker, 2) AS BIGINT) % 5) AS city, CASE WHEN close_us {div} 3600000000 - slot <= 24 THEN '<=24h' WHEN close_us {div} 3600000000 - slot <= 168 THEN '24-168h' ELSE '>168h' END AS bucket, slot % 24 AS hour,
+    CASE WHEN yes_bid > 0 AND no_bid > 0 THEN 10000 - yes_bid - no_bid END AS spread, yes_size, least(end_us, (slot + 1) * 3600000000) - greatest(us, slot * 3600000000) AS held_us FROM ts),
+  te AS (SELECT 'cell' AS scope, * FROM tl UNION ALL SELECT 'city', city, '*', -1, spread, yes_size, held_us FROM tl UNION ALL SELECT 'bucket', '*', bucket, -1, spread, yes_size, held_us FROM tl UNION ALL SELECT 'hour', '*', '*', hour, spread, yes_size, held_us FROM tl),
+  sz AS (SELECT scope, city, bucket, hour, yes_size, sum(sum(held_us)) OVER (PARTITION BY scope, city, bucket, hour ORDER BY yes_size) AS upto, sum(sum(held_us)) OVER (PARTITION BY scope, city, bucket, hour) AS tot FROM te GROUP BY scope, city, bucket, hour, yes_size),
+  sq AS (SELECT scope, city, bucket, hour, min(CASE WHEN upto >= tot * 0.25 THEN yes_size END) AS p25_size, min(CASE WHEN upto >= tot * 0.5 THEN yes_size END) AS p50_size, min(CASE WHEN upto >= tot * 0.75 THEN yes_size END) AS p75_size FROM sz GROUP BY ALL),
+  sp AS (SELECT scope, city, bucket, hour, spread, sum(sum(held_us)) OVER (PARTITION BY scope, city, bucket, hour ORDER BY spread) AS upto, sum(sum(held_us)) OVER (PARTITION BY scope, city, bucket, hour) AS tot FROM te WHERE spread IS NOT NULL GROUP BY scope, city, bucket, hour, spread),
+  sr AS (SELECT scope, city, bucket, hour, min(CASE WHEN upto >= tot * 0.5 THEN spread END) AS p50_spread FROM sp GROUP BY ALL),
+  su AS (SELECT scope, city, bucket, hour, sum(held_us)::BIGINT AS kept_us, sum(CASE WHEN spread IS NOT NULL THEN held_us ELSE 0 END)::BIGINT AS two_sided_us, min(spread) AS least_spread FROM te GROUP BY ALL)"""
+
+
+@query("depth_cube", f"WITH {_CUBE} SELECT * FROM su LEFT JOIN sr USING (scope, city, bucket, hour) LEFT JOIN sq USING (scope, city, bucket, hour)")
+def depth_cube(spark, sf_dir):
+    quotes = view(spark, sf_dir, "v_touch")
+    cities = quotes.select("ticker", F.concat(F.lit("G"), F.substring("ticker", 2, 20).cast("long") % 5).alias("city")).distinct()
+    return op.depth_cube(quotes, cities)
+
+
 _LADDER = "lad AS (SELECT user_id, list(k ORDER BY k DESC)[1:6] AS ps, list(c ORDER BY k DESC)[1:6] AS ss, count(*) AS levels FROM (SELECT user_id, k, min(c) AS c FROM ev GROUP BY user_id, k) GROUP BY user_id)"
 
 def _ladders(spark, sf_dir):
