@@ -92,3 +92,26 @@ def test_null_times_and_keys_meet_nothing(spark):
         got = asof_join(left, right, ["k"], "t", "u", ["w"], forward=forward)
         assert sorted(((r.k, r.t, r.w) for r in got.collect()), key=str) == sorted([("a", 5, 3 if forward else None), ("a", None, None), (None, 5, None)], key=str)
         assert got.columns == ["k", "t", "v", "w"] and asof_join(left.limit(0), right, ["k"], "t", "u", ["w"], forward=forward).collect() == []
+
+
+def test_unions_by_key_across_ranges_and_null_keys(spark):
+    import random
+
+    from tidemark.plans.intervals import merge_intervals
+
+    draw = random.Random(5)
+    rows = [(draw.choice(["a", "b", None]), a, a + draw.choice([0, 1, 3, 40])) for a in (draw.randrange(300) for _ in range(150))]
+    rows += [("a", None, 3), ("a", 4, None), ("c", -25, -5), ("c", -5, 5)]
+    want = []
+    for key in {r[0] for r in rows}:
+        union = []
+        for a, b in sorted(r[1:] for r in rows if r[0] == key and None not in r[1:]):
+            if union and a <= union[-1][1]:
+                union[-1][1] = max(b, union[-1][1])
+            else:
+                union.append([a, b])
+        want += [(str(key), a, b) for a, b in union]
+    df = spark.createDataFrame(rows, "key string, a long, b long")
+    for width in (10, 1000):
+        assert sorted((str(r.key), r.a, r.b) for r in merge_intervals(df, "a", "b", ["key"], width).collect()) == sorted(want)
+    assert merge_intervals(df.limit(0), "a", "b", ["key"]).collect() == []

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import weighted_quantile
 from tidemark.plans.asof import asof_join, last_before
 
 
@@ -194,3 +195,34 @@ def depth_continuity(a: DataFrame, b: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if(F.col("yes_bid") == F.col("b_bid")).alias("price_agree"), F.count_if(F.col("yes_size") == F.col("b_size")).alias("size_agree"),
         F.count_if(F.abs(F.col("yes_size") - F.col("b_size")) <= 100).alias("within_one"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY abs(yes_size - b_size))").cast("long").alias("p50_difference"),
     )
+
+
+def _compared_sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Each quote of a with the state of b in force before it, a row for each side; quotes without one go."""
+    named = {"yes_bid": "b_yes_bid", "no_bid": "b_no_bid", "yes_size": "b_yes_size", "no_size": "b_no_size"}
+    joined = asof_join(a, b.select("ticker", "us", "id", *(F.col(c).alias(n) for c, n in named.items())), ["ticker"], "us", "us", list(named.values()), strict=True, tie="id").filter("b_yes_bid is not null")
+    side = lambda s: F.struct(F.lit(s).alias("side"), *(F.col(f"{x}{s}_{y}").alias(f"{x}{z}") for x in ("", "b_") for y, z in (("bid", "price"), ("size", "size"))))
+    return joined.select("id", "ticker", "us", F.explode(F.array(side("yes"), side("no"))).alias("x")).select("id", "ticker", "us", "x.*")
+
+
+def continuity_readout(a: DataFrame, b: DataFrame) -> DataFrame:
+    """By side, how quotes of a agree with the states of b in force: prices, sizes, whole contracts, and within one.
+
+    fractional counts states whose size isn't whole contracts; p25, p50 and p75 are of size differences, summed by value
+    first. Quotes before a ticker's first state don't count; none at all give no rows.
+    """
+    rows = _compared_sides(a, b).withColumn("difference", F.col("size") - F.col("b_size"))
+    priced = F.col("price") == F.col("b_price")
+    out = rows.groupBy("side").agg(
+        F.count("*").alias("n"), F.count_if(priced).alias("price_agree"), F.count_if(priced & (F.col("size") == F.col("b_size"))).alias("depth_agree"),
+        F.count_if(priced & F.expr("size div 100 = b_size div 100")).alias("depth_truncated"), F.count_if(F.col("b_size") % 100 != 0).alias("fractional"), F.count_if(F.abs("difference") <= 100).alias("within_one"),
+    )
+    for q in (25, 50, 75):
+        out = out.join(weighted_quantile(rows.withColumn("_one", F.lit(1)), ["side"], "difference", "_one", q / 100, f"p{q}"), "side", "left")
+    return out
+
+
+def continuity_sample(a: DataFrame, b: DataFrame, most: int = 20) -> DataFrame:
+    """The first disagreements in price or whole contracts, most of them, in order of ticker, time, id and side."""
+    apart = (F.col("price") != F.col("b_price")) | F.expr("size div 100 <> b_size div 100")
+    return _compared_sides(a, b).filter(apart).orderBy("ticker", "us", "id", "side").limit(most)

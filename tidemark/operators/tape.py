@@ -189,6 +189,20 @@ def screen_windows(windows: DataFrame, exclusions: DataFrame, scope_start: int,
     return windows.join(hit, "id", "left").withColumn("status", tag).drop("_hit")
 
 
+def screen_tally(screened: DataFrame, exclusions: DataFrame, width: int = 60 * MINUTE_US) -> DataFrame:
+    """Screened windows by status, and those excluded by each class of exclusions that meets them: kind, name, n.
+
+    Classes overlap, so their counts may sum to more than the excluded; a class that meets none has 0.
+    """
+    out = screened.filter("status = 'excluded'").select("id", F.col("a_us"), F.col("b_us"))
+    merged = merge_intervals(exclusions, "start_us", "end_us", ["class"])
+    listed = out.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("a_us") / width), F.floor(F.col("b_us") / width))))
+    spans = merged.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start_us") / width), F.floor(F.col("end_us") / width))))
+    met = listed.join(spans, "_bin").filter("a_us <= end_us and b_us >= start_us").select("id", "class").distinct().groupBy("class").agg(F.count("*").alias("n"))
+    classes = exclusions.select("class").distinct().join(met, "class", "left").select(F.lit("class").alias("kind"), F.col("class").alias("name"), F.coalesce("n", F.lit(0)).alias("n"))
+    return screened.groupBy(F.lit("status").alias("kind"), F.col("status").alias("name")).agg(F.count("*").alias("n")).unionByName(classes)
+
+
 def frames_in_windows(frames: DataFrame, windows: DataFrame, width: int = 60 * MINUTE_US) -> DataFrame:
     """Frames in (start, end] of each blind window, against the size of its burst."""
     inside = interval_join(frames.select("us"), windows.select("boundary_id", (F.col("start_us") + 1).alias("a"), F.col("end_us").alias("b")), "us", "a", "b", width)

@@ -14,24 +14,21 @@ def islands(df: DataFrame, by: list[str], order: list, starts: Column, name: str
 def merge_intervals(df: DataFrame, start: str, end: str, by: list[str] | None = None, width: int = 86_400_000_000) -> DataFrame:
     """The union of closed intervals by key: disjoint [start, end], touching ones joined. Rows with a null bound go.
 
-    Without a key, intervals are windowed within ranges of width of their starts, and a table with one row a range
-    carries the furthest end, and then the last start of a union, into the ranges after.
+    Intervals of a key, null ones included, are windowed within ranges of width of their starts, so that a busy key is
+    spread; a table with one row for each key and range carries the furthest end, and then the last start of a union,
+    into the ranges after.
     """
-    rows = df.select(*(by or []), start, end).filter(F.col(start).isNotNull() & F.col(end).isNotNull())
-    if by:
-        upto = F.max(end).over(Window.partitionBy(*by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
-        marked = rows.withColumn("_upto", upto)
-        runs = islands(marked, by, [start, end], F.col("_upto").isNull() | (F.col(start) > F.col("_upto")), "_island")
-        return runs.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
-    rows = rows.withColumn("_range", F.floor(F.col(start) / width))
-    own, before = Window.partitionBy("_range").orderBy(start, end), Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy("_range").agg(F.max(end).alias("_end")).select("_range", F.max("_end").over(before).alias("_far"))
+    by = by or []
+    rows = df.select(*by, start, end).filter(F.col(start).isNotNull() & F.col(end).isNotNull())
+    rows = rows.withColumn("_at", F.struct(*by, F.floor(F.col(start) / width).alias("_range")))  # as structs, keys with nulls are equal
+    own = Window.partitionBy("_at").orderBy(start, end)
+    before = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lambda df, c, name: df.groupBy("_at").agg(F.max(c).alias(name)).select("_at", *(F.col(f"_at.{b}").alias(b) for b in by), name).select("_at", F.max(name).over(before).alias(name))
     upto = F.greatest(F.max(end).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("_far"))
-    marked = rows.join(ends, "_range").withColumn("_upto", upto).withColumn("_first", F.when(F.col("_upto").isNull() | (F.col(start) > F.col("_upto")), F.col(start)))
-    firsts = marked.groupBy("_range").agg(F.max("_first").alias("_last")).select("_range", F.max("_last").over(before).alias("_open"))
+    marked = rows.join(carried(rows, end, "_far"), "_at").withColumn("_upto", upto).withColumn("_first", F.when(F.col("_upto").isNull() | (F.col(start) > F.col("_upto")), F.col(start)))
     island = F.coalesce(F.max("_first").over(own.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open"))
-    runs = marked.join(firsts, "_range").select(island.alias("_island"), F.col(end).alias("_end"))
-    return runs.groupBy("_island").agg(F.max("_end").alias(end)).select(F.col("_island").alias(start), end)
+    runs = marked.join(carried(marked, "_first", "_open"), "_at").select(*by, island.alias("_island"), F.col(end).alias("_end"))
+    return runs.groupBy(*by, "_island").agg(F.max("_end").alias(end)).select(*by, F.col("_island").alias(start), end)
 
 
 def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: int, by: list[str] | None = None, closed: bool = True, how: str = "inner") -> DataFrame:

@@ -82,3 +82,20 @@ def book_clear_audit(spark, sf_dir):
 def depth_continuity(spark, sf_dir):
     touch = view(spark, sf_dir, "v_touch")
     return op.depth_continuity(touch, touch)
+
+
+_SIDES = """cx AS (SELECT t.*, (SELECT arg_max((yes_bid, yes_size, no_bid, no_size), (b.us, b.id)) FROM v_touch b WHERE b.ticker = t.ticker AND b.us < t.us) AS x FROM v_touch t),
+  cs AS (SELECT id, ticker, us, 'yes' AS side, yes_bid AS price, yes_size AS size, x[1] AS b_price, x[2] AS b_size FROM cx WHERE x IS NOT NULL UNION ALL SELECT id, ticker, us, 'no', no_bid, no_size, x[3], x[4] FROM cx WHERE x IS NOT NULL)"""
+
+
+@query("continuity_readout", f"""WITH {_SIDES} SELECT side, count(*) AS n, count(*) FILTER (price = b_price) AS price_agree, count(*) FILTER (price = b_price AND size = b_size) AS depth_agree, count(*) FILTER (price = b_price AND size {{div}} 100 = b_size {{div}} 100) AS depth_truncated,
+  count(*) FILTER (b_size % 100 <> 0) AS fractional, count(*) FILTER (abs(size - b_size) <= 100) AS within_one, {", ".join(f"quantile_disc(size - b_size, 0.{q}) AS p{q}" for q in (25, 50, 75))} FROM cs GROUP BY side""")
+def continuity_readout(spark, sf_dir):
+    touch = view(spark, sf_dir, "v_touch")
+    return op.continuity_readout(touch, touch)
+
+
+@query("continuity_sample", f"WITH {_SIDES} SELECT * FROM cs WHERE price <> b_price OR size {{div}} 100 <> b_size {{div}} 100 ORDER BY ticker, us, id, side LIMIT 20")
+def continuity_sample(spark, sf_dir):
+    touch = view(spark, sf_dir, "v_touch")
+    return op.continuity_sample(touch, touch)

@@ -129,13 +129,22 @@ def freeze_split(spark, sf_dir):
     return op.freeze_split(view(spark, sf_dir, "v_tape").select(F.floor(F.col("us") / op.DAY_US).alias("day")))
 
 
-@query("screen_windows", f"""WITH {_MERGED}, w AS (SELECT id, us AS a_us, us + 1800000000 AS b_us FROM v_prints)
-  SELECT *, CASE WHEN a_us < {START} OR b_us > {END} THEN 'out_of_scope' WHEN EXISTS (SELECT 1 FROM merged WHERE a_us <= end_us AND b_us >= start_us) THEN 'excluded' ELSE 'kept' END AS status FROM w""")
+_SCREENED = f"""{_MERGED}, w AS (SELECT id, us AS a_us, us + 1800000000 AS b_us FROM v_prints),
+  sw AS (SELECT *, CASE WHEN a_us < {START} OR b_us > {END} THEN 'out_of_scope' WHEN EXISTS (SELECT 1 FROM merged WHERE a_us <= end_us AND b_us >= start_us) THEN 'excluded' ELSE 'kept' END AS status FROM w)"""
+
+
+@query("screen_windows", f"WITH {_SCREENED} SELECT * FROM sw")
 def screen_windows(spark, sf_dir):
     windows = view(spark, sf_dir, "v_prints").select("id", F.col("us").alias("a_us"), (F.col("us") + 1_800_000_000).alias("b_us"))
     return op.screen_windows(windows, view(spark, sf_dir, "v_excl"), START, END)
 
 
+@query("screen_tally", f"""WITH {_SCREENED}, ct AS (SELECT class, count(DISTINCT sw.id) AS n FROM sw JOIN v_excl e ON a_us <= e.end_us AND b_us >= e.start_us WHERE status = 'excluded' GROUP BY class)
+  SELECT 'status' AS kind, status AS name, count(*) AS n FROM sw GROUP BY status UNION ALL SELECT 'class', class, coalesce(n, 0) FROM (SELECT DISTINCT class FROM v_excl) LEFT JOIN ct USING (class)""")
+def screen_tally(spark, sf_dir):
+    return op.screen_tally(screen_windows(spark, sf_dir), view(spark, sf_dir, "v_excl"))
+
+
 @query("frames_in_windows", f"""WITH {_BLIND}, f AS (SELECT boundary_id, burst_messages, (SELECT count(*) FROM v_tape t WHERE t.us > start_us AND t.us <= end_us) AS frames FROM b)
   SELECT *, CASE WHEN frames = burst_messages THEN 'agreed' WHEN frames > burst_messages THEN 'wider' ELSE 'falsified' END AS verdict FROM f""")
 def frames_in_windows(spark, sf_dir):
