@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, quality, secrets, url_filter
+from tidemark.llm import mixing, quality, secrets, spelling, url_filter
 from tidemark.llm._spark import documents
 from tidemark.llm.extraction import extract_pages
 from tidemark.llm.near_dedup import near_duplicates
@@ -61,11 +61,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_minhash_near_dedup, op3_exact_topk, op4_html_extraction, op5_mix_sources,
         op6_packing, op7_lm_scoring, op8_quality_rules, op9_url_filter, op10_secret_scan,
+        op13_spelling_variants,
     )
 }
 
@@ -133,4 +138,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_quality_rules": quality.ORACLE_SQL,
     "op9_url_filter": url_filter.ORACLE_SQL,
     "op10_secret_scan": secrets.ORACLE_SQL,
+    "op13_spelling_variants": spelling.ORACLE_SQL,
 }
