@@ -168,6 +168,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not visits.as_py():
                 own, near, best = words, np.zeros(len(words), np.int64), [None] * len(words)
                 continue
+            if not own:  # no word of this block fell into the chunk
+                continue
             length = len(words[0])
             have = waiting.setdefault(length, ([], []))
             have[0].extend(words)
