@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, quality, secrets, spelling, url_filter
+from tidemark.llm import licenses, mixing, quality, secrets, spelling, url_filter
 from tidemark.llm._spark import documents
 from tidemark.llm.extraction import extract_pages
 from tidemark.llm.near_dedup import near_duplicates
@@ -61,6 +61,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(licenses.scan_licenses(documents(spark, sf_dir)))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
 
