@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import licenses, mixing, quality, secrets, spelling, url_filter
+from tidemark.llm import licenses, mixing, negatives, quality, secrets, spelling, url_filter
 from tidemark.llm._spark import documents
 from tidemark.llm.extraction import extract_pages
 from tidemark.llm.near_dedup import near_duplicates
@@ -65,6 +65,10 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(licenses.scan_licenses(documents(spark, sf_dir)))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
 
@@ -74,7 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_suffix_array_dedup, op2_minhash_near_dedup, op3_exact_topk, op4_html_extraction, op5_mix_sources,
         op6_packing, op7_lm_scoring, op8_quality_rules, op9_url_filter, op10_secret_scan,
-        op13_spelling_variants,
+        op11_license_scan, op12_hard_negatives, op13_spelling_variants,
     )
 }
 
@@ -142,5 +146,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_quality_rules": quality.ORACLE_SQL,
     "op9_url_filter": url_filter.ORACLE_SQL,
     "op10_secret_scan": secrets.ORACLE_SQL,
+    "op12_hard_negatives": negatives.ORACLE_SQL,
     "op13_spelling_variants": spelling.ORACLE_SQL,
 }
