@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.asof import asof_join
+from tidemark.plans.asof import asof_join, last_row_before
 from tidemark.plans.intervals import interval_join, islands, merge_intervals
+from tidemark.plans.scan import running, total
 
 DAY_US = 86_400_000_000
 MINUTE_US = 60_000_000
@@ -109,20 +110,25 @@ def universe_reconcile(expected: DataFrame, recorded: DataFrame, key: str) -> Da
     return left.join(right, key, "full").filter("e is null or r is null").select(key, F.when(F.col("e").isNull(), "unexpected").otherwise("missing").alias("status"))
 
 
-def overlap_us(spans: DataFrame, intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Time of each span [start, end] that the union of intervals (start_us, end_us) covers.
+def covered_before(intervals: DataFrame, width: int = DAY_US) -> DataFrame:
+    """The union of intervals (start_us, end_us) with the time that the earlier ones cover: start_us, end_us, before_us."""
+    merged = merge_intervals(intervals, "start_us", "end_us", width=width)
+    return running(merged, [], ["start_us"], width, {"before_us": total(F.col("end_us") - F.col("start_us"), through=False)})
 
-    Both are cut at day bounds, so they meet on equal days.
-    """
 
-    def cut(df: DataFrame, a: str, b: str, more: list[str]) -> DataFrame:
-        days = df.withColumn("_day", F.explode(F.sequence(F.floor(F.col(a) / DAY_US), F.floor(F.col(b) / DAY_US))))
-        return days.select(*more, "_day", F.greatest(F.col(a), F.col("_day") * DAY_US).alias(f"_{a}"), F.least(F.col(b), (F.col("_day") + 1) * DAY_US).alias(f"_{b}"))
+def overlap_us(spans: DataFrame, intervals: DataFrame, key: str, start: str, end: str, width: int = DAY_US) -> DataFrame:
+    """Time of each span [start, end] that the union of intervals (start_us, end_us) covers: key, overlap_us, one row for each key.
 
-    pieces = cut(merge_intervals(intervals, "start_us", "end_us").withColumnsRenamed({"start_us": "x", "end_us": "y"}), "x", "y", [])
-    own = cut(spans, start, end, [key]).join(pieces, "_day", "left")
-    common = F.greatest(F.least(f"_{end}", "_y") - F.greatest(f"_{start}", "_x"), F.lit(0))
-    return own.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("_y").isNotNull(), common)), F.lit(0)).alias("overlap_us"))
+    The time covered up to an instant is what the intervals before the last one begun cover, and what is over of that one.
+    A span's is the difference between its ends, so two lookups for each span, and no pairs. A key's spans add up; a span
+    with a null bound, or one that ends before it starts, covers nothing.
+    """
+    whole = (F.col(start) <= F.col(end)) & F.col(start).isNotNull() & F.col(end).isNotNull()
+    ends = F.array(F.struct(F.col(start).alias("_at"), F.lit(-1).alias("_sign")), F.struct(F.col(end).alias("_at"), F.lit(1).alias("_sign")))
+    points = spans.select(key, F.explode(F.when(whole, ends).otherwise(F.array(F.struct(F.lit(None).cast("long").alias("_at"), F.lit(1).alias("_sign"))))).alias("_p")).select(key, "_p.*")
+    met = last_row_before(points, covered_before(intervals, width), "_at", "start_us", ["start_us", "end_us", "before_us"], width)
+    covered = F.col("before_us") + F.least("_at", "end_us") - F.col("start_us")
+    return met.groupBy(key).agg(F.coalesce(F.sum(F.col("_sign") * covered), F.lit(0)).cast("long").alias("overlap_us"))
 
 
 def classify_exclusions(windows: DataFrame, scope_start: int, scope_end: int, pad: int = 5 * MINUTE_US) -> DataFrame:
@@ -214,7 +220,7 @@ def frames_in_windows(frames: DataFrame, windows: DataFrame, width: int = 60 * M
 
 def heartbeat_alarms(beats: DataFrame, stale_us: int = 300_000_000, most_gaps: int = 2) -> DataFrame:
     """Beats after which the next comes late, or with too many new gaps."""
-    order = Window.partitionBy("stream").orderBy("us")
+    order = Window.partitionBy("stream").orderBy("us", "gaps")
     seen = beats.withColumn("next_us", F.lead("us").over(order)).withColumn("new_gaps", F.col("gaps") - F.coalesce(F.lag("gaps").over(order), F.lit(0)))
     late, many = F.col("next_us") - F.col("us") > stale_us, F.col("new_gaps") > most_gaps
     return seen.filter(late | many).select("stream", "us", F.when(late & many, "both").when(late, "stale").otherwise("gaps").alias("alarm"))

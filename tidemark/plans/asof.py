@@ -36,16 +36,24 @@ def asof_join(
     return found.withColumn("_seen", value).select("_left.*", *(F.col("_seen")[c].alias(c) for c in take))
 
 
-def last_before(left: DataFrame, right: DataFrame, left_t: str, right_t: str, name: str, width: int) -> DataFrame:
-    """left with the last right_t of all right rows at or before left_t as name, without a key to join by; null if none.
+def last_row_before(left: DataFrame, right: DataFrame, left_t: str, right_t: str, take: list[str], width: int) -> DataFrame:
+    """left with the columns take of the last of all right rows at or before left_t, without a key to join by; nulls if there is none.
 
     Rows meet in ranges of width of the time; what ranges before held comes from a table with one row a range. Null
-    times meet nothing. Left rows of one range are one task's sort, so width is to be short against the whole time.
+    times meet nothing; of right rows at one time any may be taken. Rows of one range are one task's sort, so width is to
+    be short against the whole time.
     """
     left = left.withColumn("_range", F.floor(F.col(left_t) / width))
-    right = right.select(F.col(right_t).alias(f"_{name}"), F.floor(F.col(right_t) / width).alias("_range")).filter(F.col("_range").isNotNull())
-    ranges = left.select("_range", F.lit(None).cast("long").alias("_most")).unionByName(right.select("_range", F.col(f"_{name}").cast("long").alias("_most")))
-    ranges = ranges.filter(F.col("_range").isNotNull()).groupBy("_range").agg(F.max("_most").alias("_most"))
-    carried = ranges.select("_range", F.max("_most").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    met = asof_join(left, right, ["_range"], left_t, f"_{name}", [f"_{name}"]).join(carried, "_range", "left")
-    return met.withColumn(name, F.coalesce(f"_{name}", "_carried")).drop("_range", "_carried", f"_{name}")
+    right = right.select(F.col(right_t).alias("_time"), F.struct(*take).alias("_taken"), F.floor(F.col(right_t) / width).alias("_range")).filter(F.col("_range").isNotNull())
+    held = right.groupBy("_range").agg(F.max_by("_taken", "_time").alias("_last"))
+    ranges = left.select("_range", F.lit(None).cast(held.schema["_last"].dataType).alias("_last")).unionByName(held)
+    ranges = ranges.filter(F.col("_range").isNotNull()).groupBy("_range").agg(F.first("_last", ignorenulls=True).alias("_last"))
+    carried = ranges.select("_range", F.last("_last", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    met = asof_join(left, right, ["_range"], left_t, "_time", ["_taken"]).join(carried, "_range", "left")
+    met = met.withColumn("_taken", F.coalesce("_taken", "_carried"))
+    return met.select("*", *(F.col("_taken")[c].alias(c) for c in take)).drop("_range", "_carried", "_taken")
+
+
+def last_before(left: DataFrame, right: DataFrame, left_t: str, right_t: str, name: str, width: int) -> DataFrame:
+    """left with the last right_t of all right rows at or before left_t as name, as in last_row_before."""
+    return last_row_before(left, right.select(F.col(right_t).alias(name)), left_t, name, [name], width)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.scan import most, running
+
 
 def islands(df: DataFrame, by: list[str], order: list, starts: Column, name: str = "island") -> DataFrame:
     """Numbers maximal runs: a row where starts holds begins the next run of its key."""
@@ -12,26 +14,18 @@ def islands(df: DataFrame, by: list[str], order: list, starts: Column, name: str
 
 
 def merge_intervals(df: DataFrame, start: str, end: str, by: list[str] | None = None, width: int = 86_400_000_000) -> DataFrame:
-    """The union of closed intervals by key: disjoint [start, end], touching ones joined. Rows with a null bound go.
+    """The union of closed intervals by key: disjoint [start, end], touching ones joined. Rows with a null bound go, a null key is a key.
 
-    Without a key, intervals are windowed within ranges of width of their starts, and a table with one row a range
-    carries the furthest end, and then the last start of a union, into the ranges after.
+    Of the intervals of one start only the longest counts, so no rows tie in what follows: how far the intervals before
+    reach, and from what reaches less far than a row the start of its union. Both run along a key's rows in ranges of
+    width of their starts, so that a busy key is many tasks. No rows give no rows.
     """
-    rows = df.select(*(by or []), start, end).filter(F.col(start).isNotNull() & F.col(end).isNotNull())
-    if by:
-        upto = F.max(end).over(Window.partitionBy(*by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
-        marked = rows.withColumn("_upto", upto)
-        runs = islands(marked, by, [start, end], F.col("_upto").isNull() | (F.col(start) > F.col("_upto")), "_island")
-        return runs.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
-    rows = rows.withColumn("_range", F.floor(F.col(start) / width))
-    own, before = Window.partitionBy("_range").orderBy(start, end), Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy("_range").agg(F.max(end).alias("_end")).select("_range", F.max("_end").over(before).alias("_far"))
-    upto = F.greatest(F.max(end).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("_far"))
-    marked = rows.join(ends, "_range").withColumn("_upto", upto).withColumn("_first", F.when(F.col("_upto").isNull() | (F.col(start) > F.col("_upto")), F.col(start)))
-    firsts = marked.groupBy("_range").agg(F.max("_first").alias("_last")).select("_range", F.max("_last").over(before).alias("_open"))
-    island = F.coalesce(F.max("_first").over(own.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open"))
-    runs = marked.join(firsts, "_range").select(island.alias("_island"), F.col(end).alias("_end"))
-    return runs.groupBy("_island").agg(F.max("_end").alias(end)).select(F.col("_island").alias(start), end)
+    by = by or []
+    rows = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).groupBy(*by, start).agg(F.max(end).alias(end))
+    marked = running(rows, by, [start], width, {"_upto": most(F.col(end), through=False)})
+    first = F.when(F.col("_upto").isNull() | (F.col(start) > F.col("_upto")), F.col(start))
+    runs = running(marked, by, [start], width, {"_island": most(first)})
+    return runs.groupBy(*by, "_island").agg(F.max(end).alias(end)).select(*by, F.col("_island").alias(start), end)
 
 
 def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: int, by: list[str] | None = None, closed: bool = True, how: str = "inner") -> DataFrame:

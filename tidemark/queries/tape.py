@@ -152,7 +152,7 @@ def frames_in_windows(spark, sf_dir):
     return op.frames_in_windows(tape, op.blind_windows(tape, width=2000))
 
 
-@query("heartbeat_alarms", """WITH b AS (SELECT ticker AS stream, us, seq % 7 AS gaps FROM v_tape), s AS (SELECT *, lead(us) OVER w - us > 43200000000 AS late, gaps - coalesce(lag(gaps) OVER w, 0) > 2 AS many FROM b WINDOW w AS (PARTITION BY stream ORDER BY us))
+@query("heartbeat_alarms", """WITH b AS (SELECT ticker AS stream, us, seq % 7 AS gaps FROM v_tape), s AS (SELECT *, lead(us) OVER w - us > 43200000000 AS late, gaps - coalesce(lag(gaps) OVER w, 0) > 2 AS many FROM b WINDOW w AS (PARTITION BY stream ORDER BY us, gaps))
   SELECT stream, us, CASE WHEN late AND many THEN 'both' WHEN late THEN 'stale' ELSE 'gaps' END AS alarm FROM s WHERE late OR many""")
 def heartbeat_alarms(spark, sf_dir):
     beats = view(spark, sf_dir, "v_tape").select(F.col("ticker").alias("stream"), "us", (F.col("seq") % 7).alias("gaps"))
