@@ -15,15 +15,18 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import weighted_quantile
 from tidemark.plans.asof import asof_join, last_before
+from tidemark.plans.scan import latest, running, total
 
 
-def with_epoch(tape: DataFrame) -> DataFrame:
-    """Adds epoch, the number of snapshots of the ticker so far: a snapshot row whose batch differs from that of the snapshot row before starts one."""
-    own = Window.partitionBy("ticker").orderBy("id")
+def with_epoch(tape: DataFrame, width: int = 1_000_000) -> DataFrame:
+    """Adds epoch, the number of snapshots of the ticker so far: a snapshot row whose batch differs from that of the snapshot row before starts one.
+
+    Runs along a ticker's rows in ranges of width of their ids. Rows without an id come first.
+    """
     batch = F.when(F.col("is_snapshot"), F.struct("us", "seq"))
-    before = F.last(batch, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.col("is_snapshot") & (before.isNull() | (before != F.struct("us", "seq")))
-    return tape.withColumn("_starts", starts).withColumn("epoch", F.sum(F.col("_starts").cast("long")).over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("_starts")
+    rows = running(tape, ["ticker"], ["id"], width, {"_batch": latest(batch, through=False)})
+    starts = F.coalesce(F.col("is_snapshot") & (F.col("_batch").isNull() | (F.col("_batch") != F.struct("us", "seq"))), F.lit(False))
+    return running(rows, ["ticker"], ["id"], width, {"epoch": total(starts.cast("long"))}).drop("_batch")
 
 
 def book_levels(tape: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import fee_cents, quantile
 from tidemark.plans.asof import asof_join
 from tidemark.plans.intervals import interval_join, islands
+from tidemark.plans.scan import before, following, running, total
+from tidemark.plans.survival import censored_median
 
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
@@ -145,6 +147,17 @@ def convergence_time(locks: DataFrame, quotes: DataFrame, low2: int, hold_us: in
     return met.withColumn("_at", at).select("ticker", "lock_us", F.when(F.col("_at") + hold_us <= F.col("lock_us") + window_us, F.col("_at") - F.col("lock_us")).alias("converged_us"))
 
 
+def half_lives(converged: DataFrame, window_us: int) -> DataFrame:
+    """Locks with how long each took, half_life_us: up to window_us where it did not converge, and then censored."""
+    return converged.select("*", F.coalesce("converged_us", F.lit(window_us).cast("long")).alias("half_life_us"), F.col("converged_us").isNull().alias("censored"))
+
+
+def convergence_readout(converged: DataFrame, window_us: int, series: Column) -> DataFrame:
+    """Per series and POOLED: locks, those censored, and the product-limit median of their half-lives, null where half or more are."""
+    rows = half_lives(converged, window_us).withColumn("series", F.explode(F.array(series, F.lit("POOLED")))).withColumn("_seen", ~F.col("censored"))
+    return censored_median(rows, ["series"], "half_life_us", "_seen", "median_us")
+
+
 def arrival_delay(readings: DataFrame, strikes: DataFrame) -> DataFrame:
     """Per strike, the time from when the station's maximum reached it to when a reading that shows it was first seen.
 
@@ -184,28 +197,27 @@ def post_lock_prices(prints: DataFrame, locks: DataFrame) -> DataFrame:
     return rows.groupBy("taker_side", F.floor(F.col("paid") / 100).alias("cent")).agg(*sums)
 
 
-def qc_plausible_rate(readings: DataFrame, low: int = -400, high: int = 1400, per_minute: int = 15) -> DataFrame:
+def qc_plausible_rate(readings: DataFrame, low: int = -400, high: int = 1400, per_minute: int = 15, width: int = 30 * DAY_US) -> DataFrame:
     """Readings as ok, implausible, or needs_confirmation where they changed faster than per_minute tenths since the one before."""
-    order = Window.partitionBy("station").orderBy("valid_us", "id")
-    rows = readings.withColumn("_t", F.lag("tenths").over(order)).withColumn("_us", F.lag("valid_us").over(order))
+    rows = running(readings, ["station"], ["valid_us", "id"], width, {"_t": before(F.col("tenths")), "_us": before(F.col("valid_us"))})
     fast = F.abs(F.col("tenths") - F.col("_t")) * 60_000_000 > per_minute * (F.col("valid_us") - F.col("_us"))
     status = F.when((F.col("tenths") < low) | (F.col("tenths") > high), "implausible").when(fast, "needs_confirmation").otherwise("ok")
     return rows.select("id", "station", "valid_us", "tenths", status.alias("status"))
 
 
-def qc_confirm(checked: DataFrame, within_us: int, apart: int = 10) -> DataFrame:
+def qc_confirm(checked: DataFrame, within_us: int, apart: int = 10, width: int = 30 * DAY_US) -> DataFrame:
     """Readings that need it, confirmed if the station's next comes soon enough and close enough."""
-    order = Window.partitionBy("station").orderBy("valid_us", "id")
-    rows = checked.withColumn("_t", F.lead("tenths").over(order)).withColumn("_us", F.lead("valid_us").over(order))
+    rows = following(checked, ["station"], ["valid_us", "id"], width, {"_t": F.col("tenths"), "_us": F.col("valid_us")})
     sure = F.coalesce((F.col("_us") - F.col("valid_us") <= within_us) & (F.abs(F.col("_t") - F.col("tenths")) <= apart), F.lit(False))
     return rows.filter("status = 'needs_confirmation'").select("id", "station", sure.alias("confirmed"))
 
 
-def qc_stuck(readings: DataFrame, value: Column, least_us: int) -> DataFrame:
+def qc_stuck(readings: DataFrame, value: Column, least_us: int, width: int = 30 * DAY_US) -> DataFrame:
     """Runs of one value that span least_us or more."""
-    order = Window.partitionBy("station").orderBy("valid_us", "id")
-    rows = readings.withColumn("value", value).withColumn("_was", F.lag("value").over(order))
-    runs = islands(rows, ["station"], ["valid_us", "id"], F.col("_was").isNull() | (F.col("_was") != F.col("value")))
+    order = ["valid_us", "id"]
+    rows = running(readings.withColumn("value", value), ["station"], order, width, {"_was": before(F.col("value"))})
+    starts = F.col("_was").isNull() | (F.col("_was") != F.col("value"))
+    runs = running(rows, ["station"], order, width, {"island": total(F.when(starts, 1).otherwise(0))})
     return runs.groupBy("station", "island", "value").agg(F.min("valid_us").alias("first_us"), F.max("valid_us").alias("last_us"), F.count("*").alias("n")).filter(F.col("last_us") - F.col("first_us") >= least_us).drop("island")
 
 

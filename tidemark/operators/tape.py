@@ -184,15 +184,20 @@ def freeze_split(days: DataFrame) -> DataFrame:
     return numbered.select("day", "day_index", F.when(F.col("day_index") * 3 < F.col("n") * 2, "discovery").otherwise("holdout").alias("split"))
 
 
+def touched(rows: DataFrame, intervals: DataFrame, start: str, end: str, name: str, width: int = DAY_US) -> DataFrame:
+    """rows with whether [start, end] touches the union of intervals (start_us, end_us), bounds included; false where either is null.
+
+    Of disjoint intervals only the last that begins by a row's end can reach its start, so each row looks up one.
+    """
+    merged = merge_intervals(intervals, "start_us", "end_us", width=width).select(F.col("start_us").alias("_x"), F.col("end_us").alias("_y"))
+    met = last_row_before(rows, merged, end, "_x", ["_y"], width)
+    return met.withColumn(name, F.coalesce(F.col("_y") >= F.col(start), F.lit(False))).drop("_y")
+
+
 def screen_windows(windows: DataFrame, exclusions: DataFrame, scope_start: int, scope_end: int) -> DataFrame:
-    """Evidence windows tagged out_of_scope, excluded or kept; exclusion bounds count as excluded."""
-    width = 60 * MINUTE_US
-    merged = merge_intervals(exclusions, "start_us", "end_us")
-    listed = windows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("a_us") / width), F.floor(F.col("b_us") / width))))
-    spans = merged.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start_us") / width), F.floor(F.col("end_us") / width))))
-    hit = listed.join(spans, (listed["_bin"] == spans["_bin"]) & (F.col("a_us") <= F.col("end_us")) & (F.col("b_us") >= F.col("start_us")), "left_semi").select("id").distinct().withColumn("_hit", F.lit(True))
+    """Evidence windows tagged out_of_scope, excluded or kept; exclusion bounds count as excluded. A window with a null bound is kept."""
     tag = F.when((F.col("a_us") < scope_start) | (F.col("b_us") > scope_end), "out_of_scope").when(F.col("_hit"), "excluded").otherwise("kept")
-    return windows.join(hit, "id", "left").withColumn("status", tag).drop("_hit")
+    return touched(windows, exclusions, "a_us", "b_us", "_hit").withColumn("status", tag).drop("_hit")
 
 
 def screen_tally(screened: DataFrame, exclusions: DataFrame, width: int = 60 * MINUTE_US) -> DataFrame:

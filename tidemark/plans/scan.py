@@ -75,3 +75,9 @@ def running(df: DataFrame, by: list[str], order: list[str], width: int, columns:
         return F.coalesce(F.last(v, ignorenulls=True).over(frame), old["v"])
 
     return rows.join(carried, same, "left").select(*df.columns, *(value(n, c).alias(n) for n, c in columns.items()))
+
+
+def following(df: DataFrame, by: list[str], order: list[str], width: int, columns: dict[str, Column]) -> DataFrame:
+    """df with columns of the row after each of a key's rows, null for the last; order is of numbers, which leave no ties."""
+    back = {f"_b{i}": -F.col(c) for i, c in enumerate(order)}
+    return running(df.withColumns(back), by, list(back), width, {n: before(v) for n, v in columns.items()}).drop(*back)
