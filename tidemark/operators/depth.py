@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,22 +10,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import UNITS, fee_cents, weighted_quantile
+from tidemark.operators.tape import touched
 from tidemark.plans.asof import asof_join
-from tidemark.plans.intervals import interval_join, islands
+from tidemark.plans.crossing import first_crossing
+from tidemark.plans.intervals import islands
+from tidemark.plans.scan import following
+from tidemark.plans.survival import censored_median
 
 HOUR_US = 3_600_000_000
 
 
-def depth_cells(quotes: DataFrame, most_us: int = 24 * HOUR_US) -> DataFrame:
-    """Each state in force until the ticker's next, cut at the hours: ticker, hour of day, value and microseconds.
+def held_pieces(quotes: DataFrame, exclusions: DataFrame | None = None, width: int = 24 * HOUR_US) -> DataFrame:
+    """Each state in force until the ticker's next, however long that is, cut at the hours: its columns, slot (the hour) and held_us.
 
-    A state is in force most_us at the longest; a ticker's last state isn't counted.
+    A ticker's last state has no end and isn't counted. Pieces that touch exclusions (start_us, end_us) go, bounds included.
     """
-    own = Window.partitionBy("ticker").orderBy("us", "id")
-    cells = quotes.withColumn("end_us", F.least(F.lead("us").over(own), F.col("us") + most_us)).filter("end_us > us")
+    cells = following(quotes, ["ticker"], ["us", "id"], width, {"end_us": F.col("us")}).filter("end_us > us")
     cells = cells.withColumn("slot", F.explode(F.sequence(F.floor(F.col("us") / HOUR_US), F.floor((F.col("end_us") - 1) / HOUR_US))))
-    inside = F.least("end_us", (F.col("slot") + 1) * HOUR_US) - F.greatest("us", F.col("slot") * HOUR_US)
-    return cells.select("ticker", (F.col("slot") % 24).alias("hour"), "yes_bid", "no_bid", "yes_size", inside.alias("held_us"))
+    cells = cells.withColumns({"_a": F.greatest("us", F.col("slot") * HOUR_US), "_b": F.least("end_us", (F.col("slot") + 1) * HOUR_US)})
+    if exclusions is not None:
+        cells = touched(cells, exclusions, "_a", "_b", "_out", width).filter("not _out").drop("_out")
+    return cells.withColumn("held_us", F.col("_b") - F.col("_a")).drop("_a", "_b", "end_us")
+
+
+def depth_cells(quotes: DataFrame, exclusions: DataFrame | None = None) -> DataFrame:
+    """held_pieces by hour of day: ticker, hour, the quote and microseconds."""
+    return held_pieces(quotes, exclusions).select("ticker", (F.col("slot") % 24).alias("hour"), "yes_bid", "no_bid", "yes_size", "held_us")
 
 
 def depth_bins(cells: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -40,31 +51,35 @@ def depth_readout(cells: DataFrame) -> DataFrame:
     return sums.join(weighted_quantile(every, ["hour"], "yes_size", "held_us", 0.5, "p50_size"), "hour")
 
 
-def depth_cube(quotes: DataFrame, cities: DataFrame, most_us: int = 24 * HOUR_US) -> DataFrame:
-    """Time-weighted depth of every city, time to close and hour of day, and of each of the three alone.
+def depth_cube(quotes: DataFrame, cities: DataFrame, exclusions: DataFrame, sides: tuple[str, ...] = ("yes", "no")) -> DataFrame:
+    """Time-weighted depth of every city, time to close and hour of day, and of each of the three alone, by side.
 
-    quotes: ticker, us, id, yes_bid, no_bid, yes_size, no_size; cities: ticker, city. A ticker closes with its last state;
-    buckets of the hours left end at 24 and 168. Returns scope (cell, city, bucket or hour), the three with '*' or -1 where
-    they are summed over, kept_us, two_sided_us, the least and the median spread of two-sided states, and the quartiles of
-    the size at the best bid. Quantiles come from time at each value. Tickers without a city don't count.
+    quotes: ticker, us, id, yes_bid, no_bid, and for each side its size, cum5, capacity and censored, with the side's name
+    before them; cities: ticker, city. A ticker closes with its last state; buckets of the hours left end at 24 and 168.
+    Pieces of states that touch an exclusion don't count. Returns scope (cell, city, bucket or hour), the three with '*'
+    or -1 where they are summed over, side, kept_us, two_sided_us, the least and the median spread of two-sided states,
+    the quartiles of the size at the best bid, of cum5 and of the capacity, the time for which the capacity was censored,
+    and its median over that. Quantiles come from time at each value. Tickers without a city don't count.
     """
-    own = Window.partitionBy("ticker").orderBy("us", "id")
-    rows = quotes.withColumn("end_us", F.least(F.lead("us").over(own), F.col("us") + most_us)).filter("end_us > us")
+    rows = held_pieces(quotes, exclusions)
     rows = rows.join(quotes.groupBy("ticker").agg(F.max("us").alias("close_us")), "ticker").join(cities, "ticker")
-    rows = rows.withColumn("slot", F.explode(F.sequence(F.floor(F.col("us") / HOUR_US), F.floor((F.col("end_us") - 1) / HOUR_US))))
-    held = F.least("end_us", (F.col("slot") + 1) * HOUR_US) - F.greatest("us", F.col("slot") * HOUR_US)
     left = F.floor(F.col("close_us") / HOUR_US) - F.col("slot")
     bucket = F.when(left <= 24, "<=24h").when(left <= 168, "24-168h").otherwise(">168h")
     two = (F.col("yes_bid") > 0) & (F.col("no_bid") > 0)
-    spread = F.when(two, 10_000 - F.col("yes_bid") - F.col("no_bid"))
-    bins = rows.groupBy("city", bucket.alias("bucket"), (F.col("slot") % 24).alias("hour"), spread.alias("spread"), "yes_size").agg(F.sum(held).alias("held_us"))
+    values = ("size", "cum5", "capacity", "censored")
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), *(F.col(f"{s}_{v}").alias(v) for v in values)) for s in sides)))
+    rows = rows.select("city", bucket.alias("bucket"), (F.col("slot") % 24).alias("hour"), F.when(two, 10_000 - F.col("yes_bid") - F.col("no_bid")).alias("spread"), "held_us", each.alias("x"))
+    bins = rows.groupBy("city", "bucket", "hour", "spread", "x.side", *(f"x.{v}" for v in values)).agg(F.sum("held_us").alias("held_us"))
     no, none = F.lit("*"), F.lit(-1).cast("long")
     scopes = ("cell", F.col("city"), F.col("bucket"), F.col("hour")), ("city", F.col("city"), no, none), ("bucket", no, F.col("bucket"), none), ("hour", no, no, F.col("hour"))
     listed = F.array(*(F.struct(F.lit(n).alias("scope"), c.alias("city"), b.alias("bucket"), h.alias("hour")) for n, c, b, h in scopes))
-    every = bins.select(F.explode(listed).alias("x"), "spread", "yes_size", "held_us").select("x.*", "spread", "yes_size", "held_us")
-    by = ["scope", "city", "bucket", "hour"]
-    out = every.groupBy(*by).agg(F.sum("held_us").alias("kept_us"), F.sum(F.when(F.col("spread").isNotNull(), F.col("held_us")).otherwise(0)).alias("two_sided_us"), F.min("spread").alias("least_spread"))
-    for rows, value, q, name in ((every.filter("spread is not null"), "spread", 0.5, "p50_spread"), *((every, "yes_size", q, f"p{round(100 * q)}_size") for q in (0.25, 0.5, 0.75))):
+    by = ["scope", "city", "bucket", "hour", "side"]
+    every = bins.select(F.explode(listed).alias("y"), "side", "spread", *values, "held_us").select("y.*", "side", "spread", *values, "held_us")
+    when = lambda c: F.sum(F.when(c, F.col("held_us")).otherwise(0))
+    out = every.groupBy(*by).agg(F.sum("held_us").alias("kept_us"), when(F.col("spread").isNotNull()).alias("two_sided_us"), F.min("spread").alias("least_spread"), when(F.col("censored")).alias("censored_us"))
+    picks = [(every.filter("spread is not null"), "spread", 0.5, "p50_spread"), (every.filter("censored"), "capacity", 0.5, "p50_censored")]
+    picks += [(every, v, q, f"p{round(100 * q)}_{v}") for v in ("size", "cum5", "capacity") for q in (0.25, 0.5, 0.75)]
+    for rows, value, q, name in picks:
         out = out.join(weighted_quantile(rows, by, value, "held_us", q, name), by, "left")
     return out
 
@@ -113,19 +128,66 @@ def classify_print(prints: DataFrame, quotes: DataFrame) -> DataFrame:
     return state.select("id", "ticker", hit.alias("hit"))
 
 
-def replenishment(prints: DataFrame, quotes: DataFrame, within_us: int) -> DataFrame:
-    """Prints after which the depth at the best bid fell below half of what it was, and when it was back at half.
+def replenishment(prints: DataFrame, quotes: DataFrame, closes: DataFrame, exclusions: DataFrame, within_us: int, width: int = 24 * HOUR_US) -> DataFrame:
+    """What the prints that met one state of their ticker did to it, one row for each such state, or for none: status and, where depleted, the refill.
 
-    The print's state before, the first state after, and the first state within within_us of the print with half.
+    prints: id, ticker, us, yes_price. quotes: ticker, us, id, the bids and the sizes at them; of states at one instant
+    the last counts. closes: ticker, close_us. A state is hit on the side of the first of its prints whose price is that of
+    a bid. status is the first that holds of no_pre_state, no_match, no_post_state (no state follows), past_close (the
+    deadline, within_us after the print, is after the close, or there is none), screened (the time from the state to the
+    deadline touches exclusions) and matched. A matched state is depleted if the next one has less than half of its size,
+    and refilled at the first state by the deadline that has half of it again; refill_us counts from the print.
     """
-    state = quotes.select("ticker", "us", "id", F.col("yes_size").alias("before"))
-    after = quotes.select("ticker", "us", "id", F.col("yes_size").alias("after"), F.col("us").alias("after_us"))
-    rows = asof_join(prints, state, ["ticker"], "us", "us", ["before"], strict=True, tie="id").filter("before > 0")
-    rows = asof_join(rows, after, ["ticker"], "us", "us", ["after", "after_us"], forward=True, strict=True, tie="id").filter("2 * after < before")
-    spans = rows.select(F.col("id").alias("print_id"), "ticker", "before", F.col("us").alias("a"), (F.col("us") + within_us).alias("b"))
-    back = interval_join(quotes.select("ticker", "us", "yes_size"), spans, "us", "a", "b", within_us, by=["ticker"]).filter("2 * yes_size >= before and us > a")
-    back = back.groupBy("print_id").agg(F.min("us").alias("refilled_us"))
-    return rows.join(back, rows["id"] == back["print_id"], "left").select("id", "ticker", "before", "after", (F.col("refilled_us") - F.col("us")).alias("refill_us"))
+    rank = F.row_number().over(Window.partitionBy("ticker", "us").orderBy(F.desc("id")))
+    states = quotes.withColumn("_n", rank).filter("_n = 1").select("ticker", "us", "yes_bid", "no_bid", "yes_size", "no_size")
+    later = following(states, ["ticker"], ["us"], width, {"post": F.struct("yes_size", "no_size")})
+    later = later.withColumn("pre", F.struct(F.col("us").alias("at_us"), "yes_bid", "no_bid", "yes_size", "no_size", "post"))
+    met = asof_join(prints.select("id", "ticker", "us", "yes_price"), later, ["ticker"], "us", "us", ["pre"])
+    hit = F.when(F.col("yes_price") == F.col("pre.yes_bid"), "yes").when(10_000 - F.col("yes_price") == F.col("pre.no_bid"), "no")
+    at = F.struct("us", "id")
+    groups = met.withColumn("side", hit).groupBy("ticker", F.col("pre.at_us").alias("state_us")).agg(
+        F.first("pre").alias("pre"), F.count("*").alias("prints"), F.min("us").alias("first_us"), F.min_by(F.when(F.col("side").isNotNull(), F.struct("us", "id", "side")), F.when(F.col("side").isNotNull(), at)).alias("m")
+    )
+    rows = groups.join(closes, "ticker", "left").withColumn("deadline_us", F.col("m.us") + within_us)
+    rows = touched(rows, exclusions, "state_us", "deadline_us", "_out", width)
+    status = F.when(F.col("state_us").isNull(), "no_pre_state").when(F.col("m").isNull(), "no_match").when(F.col("pre.post").isNull(), "no_post_state")
+    status = status.when(F.col("close_us").isNull() | (F.col("deadline_us") > F.col("close_us")), "past_close").when(F.col("_out"), "screened").otherwise("matched")
+    of_side = lambda c: F.when(F.col("m.side") == "yes", F.col(f"{c}.yes_size")).otherwise(F.col(f"{c}.no_size"))
+    matched = F.col("status") == "matched"
+    rows = rows.withColumn("status", status).select(
+        "ticker", "state_us", "status", "prints", F.coalesce("m.us", "first_us").alias("print_us"), "close_us", "deadline_us", F.col("m.id").alias("print_id"), F.col("m.side").alias("side"),
+        F.when(matched, of_side("pre")).alias("before"), F.when(matched, of_side("pre.post")).alias("after"),
+    ).withColumn("depleted", F.coalesce(2 * F.col("after") < F.col("before"), F.lit(False)))
+    sizes = states.select("ticker", "us", F.explode(F.array(*(F.struct(F.lit(x).alias("side"), F.col(f"{x}_size").alias("size")) for x in ("yes", "no")))).alias("x")).select("ticker", "us", "x.*")
+    refills = first_crossing(
+        rows.filter("depleted"), sizes, ["ticker", "side"], name="print_id", at="state_us", until="deadline_us", level=F.col("before"), sign=F.lit(1), state_at="us", value=2 * F.col("size"), width=max(width, within_us)
+    )
+    out = rows.join(refills.withColumnRenamed("id", "print_id"), "print_id", "left")
+    return out.select("ticker", "state_us", "status", "prints", "print_us", "close_us", "print_id", "side", "before", "after", "depleted", (F.col("crossed_us") - F.col("print_us")).alias("refill_us"))
+
+
+def replenishment_readout(found: DataFrame, cities: DataFrame, within_us: int) -> DataFrame:
+    """replenishment summed over each city and bucket of hours to the close, and over all: counters, the share refilled and its median time.
+
+    Buckets end at 24 and 168 hours; without a close it is 'none'. Times are censored at within_us: the median is over all
+    that were depleted, and null where no more than half were refilled in time. Tickers without a city have null as city.
+    """
+    left = F.col("close_us") - F.col("print_us")
+    bucket = F.when(left.isNull(), "none").when(left <= 24 * HOUR_US, "<=24h").when(left <= 168 * HOUR_US, "24-168h").otherwise(">168h")
+    rows = found.join(cities, "ticker", "left").withColumn("bucket", bucket)
+    scopes = F.array(F.struct(F.lit("cell").alias("scope"), F.col("city"), F.col("bucket")), F.struct(F.lit("all").alias("scope"), F.lit("*").alias("city"), F.lit("*").alias("bucket")))
+    rows = rows.select(F.explode(scopes).alias("x"), "status", "depleted", "refill_us").select("x.*", "status", "depleted", "refill_us")
+    by = ["scope", "city", "bucket"]
+    counts = rows.groupBy(*by).agg(
+        F.count("*").alias("groups"), *(F.count_if(F.col("status") == s).alias(s) for s in ("no_pre_state", "no_match", "no_post_state", "past_close", "screened", "matched")),
+        F.count_if("depleted").alias("events"), F.count("refill_us").alias("refilled"),
+    ).withColumn("fraction", F.round(F.try_divide("refilled", "events"), 9))
+    times = rows.filter("depleted").withColumns({"_time": F.coalesce("refill_us", F.lit(within_us).cast("long")), "_seen": F.col("refill_us").isNotNull()})
+    medians = censored_median(times, by, "_time", "_seen", "median_us").select(*(F.col(c).alias(f"_k_{c}") for c in by), "median_us")
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return counts.join(medians, same, "left").drop(*(f"_k_{c}" for c in by))
 
 
 def ladder_state_matrix(quotes: DataFrame, legs: DataFrame, seats: int, values: dict[str, str] | None = None, complete: bool = True) -> DataFrame:
@@ -255,24 +317,35 @@ def episode_summary(episodes: DataFrame, persist_us: int) -> DataFrame:
 
 def _crossings(within_us: int, move2: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ticker, anchor, seen = None, None, []
+        ticker, seen, low, high = None, deque(), deque(), deque()
         for batch in batches:
             out = []
             for t, i, us, mid2 in zip(*(batch.column(c).to_pylist() for c in ("ticker", "id", "us", "mid2")), strict=True):
                 if t != ticker:
-                    ticker, seen = t, []
-                # the oldest anchor still open decides; those it outlived can't cross any more
-                while seen and us - seen[0][1] > within_us:
-                    seen.pop(0)
-                hit = next((a for a in seen if abs(mid2 - a[2]) >= move2), None)
-                if hit:
-                    out.append((t, hit[0], i, us, 1 if mid2 > hit[2] else -1))
-                    seen = []
-                else:
-                    seen.append((i, us, mid2))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["ticker", "anchor_id", "crossing_id", "us", "direction"])
+                    ticker = t
+                    for q in (seen, low, high):
+                        q.clear()
+                for q in (seen, low, high):
+                    while q and us - q[0][1] > within_us:
+                        q.popleft()
+                # of the open anchors the lowest and the highest say whether any is far enough; the oldest that is counts
+                if low and (mid2 - low[0][2] >= move2 or high[0][2] - mid2 >= move2):
+                    hit = next(a for a in seen if abs(mid2 - a[2]) >= move2)
+                    out.append((t, hit[0], hit[1], i, us, 1 if mid2 > hit[2] else -1))
+                    for q in (seen, low, high):
+                        q.clear()
+                    continue
+                anchor = (i, us, mid2)
+                seen.append(anchor)
+                while low and low[-1][2] >= mid2:
+                    low.pop()
+                low.append(anchor)
+                while high and high[-1][2] <= mid2:
+                    high.pop()
+                high.append(anchor)
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["ticker", "anchor_id", "anchor_us", "crossing_id", "us", "direction"])
 
     return run
 
@@ -281,28 +354,48 @@ def leader_crossings(quotes: DataFrame, within_us: int, move2: int) -> DataFrame
     """Moves of a ticker's doubled mid by move2 within within_us of an earlier state, none overlapping another.
 
     Greedy in time, so a fold: rows are sorted by ticker and time in their partition, and only the anchors of the last
-    within_us are held. The next anchor comes strictly after a crossing.
+    within_us are held, with queues of their lowest and highest. The next anchor comes strictly after a crossing.
     """
     rows = quotes.filter("mid2 is not null").select("ticker", "id", "us", "mid2").repartition("ticker").sortWithinPartitions("ticker", "us", "id")
-    return rows.mapInArrow(_crossings(within_us, move2), "ticker string, anchor_id long, crossing_id long, us long, direction int")
+    return rows.mapInArrow(_crossings(within_us, move2), "ticker string, anchor_id long, anchor_us long, crossing_id long, us long, direction int")
 
 
 def follower_response(crossings: DataFrame, quotes: DataFrame, pairs: DataFrame, within_us: int, move2: int) -> DataFrame:
     """For each crossing of a leader, when its follower first moved as far the same way from where it was, in within_us.
 
-    pairs: ticker, follower.
+    pairs: ticker, follower, each once. A follower without a two-sided state by the crossing has no row. Each crossing waits with its
+    own level, and nothing is paired with the states in between.
     """
     two_sided = quotes.filter("mid2 is not null")
     rows = crossings.join(pairs, "ticker")
     base = two_sided.select(F.col("ticker").alias("follower"), "us", "id", F.col("mid2").alias("base2"))
     rows = asof_join(rows, base, ["follower"], "us", "us", ["base2"], tie="id").filter("base2 is not null")
-    spans = rows.select("crossing_id", "follower", "direction", "base2", (F.col("us") + 1).alias("a"), (F.col("us") + within_us).alias("b"))
+    rows = rows.withColumns({"_name": F.concat_ws(":", "crossing_id", "follower"), "_until": F.col("us") + within_us})
     later = two_sided.select(F.col("ticker").alias("follower"), F.col("us").alias("later_us"), "mid2")
-    met = interval_join(later, spans, "later_us", "a", "b", within_us, by=["follower"]).filter("(mid2 - base2) * direction >= " + str(move2))
-    first = met.groupBy("crossing_id", "follower").agg(F.min("later_us").alias("response_us"))
-    return rows.join(first, ["crossing_id", "follower"], "left").select("ticker", "follower", "crossing_id", "us", "direction", (F.col("response_us") - F.col("us")).alias("lead_us"))
+    first = first_crossing(rows, later, ["follower"], name="_name", at="us", until="_until", level=F.col("base2") + move2 * F.col("direction"), sign=F.col("direction"), state_at="later_us", value=F.col("mid2"), width=within_us)
+    out = rows.join(first.withColumnRenamed("id", "_name"), "_name", "left")
+    return out.select("ticker", "follower", "crossing_id", "anchor_us", "us", "direction", (F.col("crossed_us") - F.col("us")).alias("lead_us"))
+
 
+def pair_lead_lag(quotes: DataFrame, pairs: DataFrame, exclusions: DataFrame, within_us: int, move2: int, response_us: int, response2: int) -> DataFrame:
+    """How the tickers of each pair lead each other, forward and reverse, by pair, by corridor and by corridor and day.
 
-def pair_lead_lag(responses: DataFrame) -> DataFrame:
-    """Per pair: crossings, responses, and the median lead of those."""
-    return responses.groupBy("ticker", "follower").agg(F.count("*").alias("crossings"), F.count("lead_us").alias("responses"), F.percentile("lead_us", F.lit(0.5)).alias("median_lead_us"))
+    pairs: corridor, upstream, downstream, each once. Forward the upstream leads. An episode is a crossing of the leader
+    (within_us, move2) with a response (response_us, response2); one whose time from the leader's anchor to the response
+    touches exclusions is screened. Returns scope (pair, corridor, day), reading, corridor, leader and follower ('*' but
+    for pairs), day (-1 but for days), crossings, episodes, screened and the median lead of the episodes that are kept.
+    """
+    ways = F.array(*(F.struct(F.lit(r).alias("reading"), F.col(a).alias("ticker"), F.col(b).alias("follower")) for r, a, b in (("forward", "upstream", "downstream"), ("reverse", "downstream", "upstream"))))
+    ways = pairs.select("corridor", F.explode(ways).alias("x")).select("corridor", "x.*")
+    found = follower_response(leader_crossings(quotes, within_us, move2), quotes, ways.select("ticker", "follower").distinct(), response_us, response2)
+    found = touched(found.withColumn("_end", F.col("us") + F.col("lead_us")), exclusions, "anchor_us", "_end", "_out")
+    rows = found.join(ways, ["ticker", "follower"]).withColumn("_day", F.floor(F.col("us") / (24 * HOUR_US)))
+    any_, none = F.lit("*"), F.lit(-1).cast("long")
+    scopes = ("pair", F.col("ticker"), F.col("follower"), none), ("corridor", any_, any_, none), ("day", any_, any_, F.col("_day"))
+    listed = F.array(*(F.struct(F.lit(n).alias("scope"), a.alias("leader"), b.alias("follower"), d.alias("day")) for n, a, b, d in scopes))
+    rows = rows.select("reading", "corridor", F.explode(listed).alias("y"), "lead_us", "_out").select("reading", "corridor", "y.*", "lead_us", "_out")
+    heard = F.col("lead_us").isNotNull()
+    return rows.groupBy("scope", "reading", "corridor", "leader", "follower", "day").agg(
+        F.count("*").alias("crossings"), F.count_if(heard & ~F.col("_out")).alias("episodes"), F.count_if(heard & F.col("_out")).alias("screened"),
+        F.percentile(F.when(~F.col("_out"), F.col("lead_us")), F.lit(0.5)).alias("median_lead_us"),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import fee_cents
 from tidemark.plans.asof import asof_join
 from tidemark.plans.intervals import interval_join, merge_intervals
+from tidemark.plans.scan import before, running, total
 
 DAY_US = 86_400_000_000
 
@@ -113,37 +114,50 @@ def placement_grid(closes: DataFrame, every: int = 900_000_000, hours: int = 24,
     return closes.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("at_us", (first + F.col("slot")) * every)
 
 
-def queue_clear(orders: DataFrame, quotes: DataFrame, prints: DataFrame, rest_us: int, width: int = 3_600_000_000) -> DataFrame:
-    """When a resting order at the best yes bid fills: once the opposite takers' volume at its price exceeds the queue.
+def queue_clear(orders: DataFrame, quotes: DataFrame, prints: DataFrame, rest_us: int) -> DataFrame:
+    """When an order that rests at the best bid of either side fills: at the print with which takers of the other side have taken more than the queue.
 
-    orders: order_id, ticker, at_us. The order rests until the best bid changes, rest_us at most.
+    orders: order_id, ticker, at_us; each rests once for yes and once for no, at the bid in force then, if both sides are
+    live, behind the size at it, until that bid changes, rest_us at most. Takers count at the order's price alone, from
+    at_us on. Returns order_id, ticker, side, at_us, price, queue, end_us, fill_us (null if it doesn't fill).
+
+    What takers have taken of a (ticker, side, price) so far is an axis of volume: an order is put on it where it begins,
+    and the first print beyond that and its queue is looked up there, so no order meets the prints it waits through.
     """
-    own = Window.partitionBy("ticker").orderBy("us", "id")
-    changes = quotes.withColumn("_was", F.lag("yes_bid").over(own)).filter(F.col("_was").isNull() | (F.col("_was") != F.col("yes_bid"))).select("ticker", F.col("us").alias("change_us"), "id")
-    state = quotes.select("ticker", "us", "id", "yes_bid", F.col("yes_size").alias("queue"))
-    rest = asof_join(orders, state, ["ticker"], "at_us", "us", ["yes_bid", "queue"], tie="id").filter("yes_bid > 0")
-    rest = asof_join(rest, changes, ["ticker"], "at_us", "change_us", ["change_us"], forward=True, strict=True, tie="id")
+    sides = ("yes", "no")
+    live = (F.col("yes_bid") > 0) & (F.col("no_bid") > 0) & (F.col("yes_size") > 0) & (F.col("no_size") > 0)
+    state = quotes.select("ticker", "us", "id", F.when(live, F.struct(*(f"{x}_{v}" for x in sides for v in ("bid", "size")))).alias("state"))
+    rest = asof_join(orders, state, ["ticker"], "at_us", "us", ["state"], tie="id").filter("state is not null")
+    rest = rest.withColumn("x", F.explode(F.array(*(F.struct(F.lit(x).alias("side"), F.col(f"state.{x}_bid").alias("price"), F.col(f"state.{x}_size").alias("queue")) for x in sides)))).select(*orders.columns, "x.*")
+    bids = F.explode(F.array(*(F.struct(F.lit(x).alias("side"), F.col(f"{x}_bid").alias("bid")) for x in sides)))
+    moves = running(quotes.select("ticker", "us", "id", bids.alias("x")).select("ticker", "us", "id", "x.*"), ["ticker", "side"], ["us", "id"], 30 * DAY_US, {"_was": before(F.col("bid"))})
+    changes = moves.filter(F.col("_was").isNull() | (F.col("_was") != F.col("bid"))).select("ticker", "side", F.col("us").alias("change_us"), "id")
+    rest = asof_join(rest, changes, ["ticker", "side"], "at_us", "change_us", ["change_us"], forward=True, strict=True, tie="id")
     rest = rest.withColumn("end_us", F.least(F.col("at_us") + rest_us, F.coalesce("change_us", F.col("at_us") + rest_us)))
-    sells = prints.filter("taker_side = 'no'").select("ticker", F.col("us").alias("print_us"), F.col("id").alias("print_id"), "units", "yes_price")
-    spans = rest.select("order_id", "ticker", F.col("yes_bid").alias("bid"), F.col("queue").alias("ahead"), F.col("at_us").alias("a"), F.col("end_us").alias("b"))
-    met = interval_join(sells, spans, "print_us", "a", "b", width, by=["ticker"]).filter("yes_price <= bid")
-    upto = met.withColumn("upto", F.sum("units").over(Window.partitionBy("order_id").orderBy("print_us", "print_id")))
-    filled = upto.filter("upto > ahead").groupBy("order_id").agg(F.min("print_us").alias("fill_us"))
-    return rest.join(filled, "order_id", "left").select("order_id", "ticker", "at_us", F.col("yes_bid").alias("price"), "queue", "end_us", "fill_us")
+    # who takes no hits resting yes, at its price
+    taken = prints.filter("taker_side in ('yes', 'no')").select(
+        "ticker", "us", "id", "units", F.when(F.col("taker_side") == "no", "yes").otherwise("no").alias("side"), F.when(F.col("taker_side") == "no", F.col("yes_price")).otherwise(10_000 - F.col("yes_price")).alias("price")
+    )
+    level = ["ticker", "side", "price"]
+    axis = running(taken, level, ["us", "id"], 30 * DAY_US, {"volume": total(F.col("units"))})
+    upto = axis.select(*level, "us", "id", F.col("volume").alias("gone"))
+    placed = asof_join(rest, upto, level, "at_us", "us", ["gone"], strict=True, tie="id").withColumn("_goal", F.coalesce("gone", F.lit(0)) + F.col("queue"))
+    met = asof_join(placed, axis.select(*level, "volume", "id", F.col("us").alias("print_us")), level, "_goal", "volume", ["print_us"], forward=True, strict=True, tie="id")
+    return met.select("order_id", "ticker", "side", "at_us", "price", "queue", "end_us", F.when(F.col("print_us") <= F.col("end_us"), F.col("print_us")).alias("fill_us"))
 
 
 def maker_edge(fills: DataFrame, quotes: DataFrame, horizons: list[int]) -> DataFrame:
-    """Per horizon: fills, those without a mid, and the sums of mark-out and maker fee of one contract.
+    """Per side and horizon: fills, those without a mid, and the sums of mark-out, in the side's favour, and maker fee of one contract.
 
     edge is the mean over fills with mids of half a cent and the mark-out less the maker fee, in cents; edge_taker pays
     the taker fee instead. Both are null where no fill has mids.
     """
-    rows = fills.filter("fill_us is not null").withColumn("taker_side", F.lit("yes"))
+    rows = fills.filter("fill_us is not null")
     marked = horizon_windows(rows, quotes, "fill_us", horizons)
     fee = fee_cents("100", "price", maker=True)
-    marked = marked.withColumn("fee", fee).withColumn("taker", fee_cents("100", "price")).withColumn("move2", F.when(F.col("status") == "ok", F.col("mid2_end") - F.col("mid2_start")))
+    marked = marked.withColumn("fee", fee).withColumn("taker", fee_cents("100", "price")).withColumn("move2", F.when(F.col("status") == "ok", (F.col("mid2_end") - F.col("mid2_start")) * F.when(F.col("side") == "yes", 1).otherwise(-1)))
     edge = lambda c: F.round(0.5 + F.sum("move2") / (200 * F.count("move2")) - F.sum(F.when(F.col("move2").isNotNull(), F.col(c))) / F.count("move2"), 9)
-    return marked.groupBy("horizon_us").agg(edge("fee").alias("edge"), edge("taker").alias("edge_taker"), F.count("*").alias("fills"), F.count_if(F.col("status") != "ok").alias("no_mid"), F.sum("move2").alias("move2"), F.sum("fee").alias("fees"))
+    return marked.groupBy("side", "horizon_us").agg(edge("fee").alias("edge"), edge("taker").alias("edge_taker"), F.count("*").alias("fills"), F.count_if(F.col("status") != "ok").alias("no_mid"), F.sum("move2").alias("move2"), F.sum("fee").alias("fees"))
 
 
 def exposure_rollup(trades: DataFrame, settled: DataFrame, key: str, levels: list[str], loss: str) -> DataFrame:

@@ -7,38 +7,64 @@ from tidemark.sources.adapters import view
 
 HOUR = 3_600_000_000
 
-_CELLS = """cs AS (SELECT *, least(lead(us) OVER (PARTITION BY ticker ORDER BY us, id), us + 86400000000) AS end_us FROM v_touch),
+_PIECES = """cs AS (SELECT *, lead(us) OVER (PARTITION BY ticker ORDER BY us, id) AS end_us, max(us) OVER (PARTITION BY ticker) AS close_us FROM v_touch),
   sl AS (SELECT *, unnest(range(us {div} 3600000000, (end_us - 1) {div} 3600000000 + 1)) AS slot FROM cs WHERE end_us > us),
-  cells AS (SELECT ticker, slot % 24 AS hour, yes_bid, no_bid, yes_size, least(end_us, (slot + 1) * 3600000000) - greatest(us, slot * 3600000000) AS held_us FROM sl)"""
+  pa AS (SELECT *, greatest(us, slot * 3600000000) AS a, least(end_us, (slot + 1) * 3600000000) AS b FROM sl),
+  pieces AS (SELECT *, b - a AS held_us FROM pa WHERE NOT EXISTS (SELECT 1 FROM v_excl x WHERE x.start_us <= pa.b AND x.end_us >= pa.a))"""
+_CELLS = f"{_PIECES}, cells AS (SELECT ticker, slot % 24 AS hour, yes_bid, no_bid, yes_size, held_us FROM pieces)"
+
+
+def _cells(spark, sf_dir):
+    return op.depth_cells(view(spark, sf_dir, "v_touch"), view(spark, sf_dir, "v_excl"))
+
 
 @query("depth_cells", f"WITH {_CELLS} SELECT hour, yes_size, sum(held_us)::BIGINT AS held_us FROM cells GROUP BY hour, yes_size")
 def depth_cells(spark, sf_dir):
-    return op.depth_bins(op.depth_cells(view(spark, sf_dir, "v_touch")), ["hour"], "yes_size")
+    return op.depth_bins(_cells(spark, sf_dir), ["hour"], "yes_size")
 
 @query("depth_readout", f"""WITH {_CELLS}, al AS (SELECT hour, yes_bid > 0 AND no_bid > 0 AS two, yes_size, held_us FROM cells UNION ALL SELECT -1, yes_bid > 0 AND no_bid > 0, yes_size, held_us FROM cells),
   bn AS (SELECT hour, yes_size, sum(held_us) AS w FROM al GROUP BY ALL), cm AS (SELECT *, sum(w) OVER (PARTITION BY hour ORDER BY yes_size) AS upto, sum(w) OVER (PARTITION BY hour) AS tot FROM bn),
   qu AS (SELECT hour, min(yes_size) AS p50_size FROM cm WHERE upto >= tot * 0.5 GROUP BY hour)
   SELECT hour, sum(held_us)::BIGINT AS kept_us, sum(CASE WHEN two THEN held_us ELSE 0 END)::BIGINT AS two_sided_us, any_value(p50_size) AS p50_size FROM al JOIN qu USING (hour) GROUP BY hour""")
 def depth_readout(spark, sf_dir):
-    return op.depth_readout(op.depth_cells(view(spark, sf_dir, "v_touch")))
+    return op.depth_readout(_cells(spark, sf_dir))
+
+#: Three levels below each bid, of which books of an odd id have one more than is listed.
+_STEPS, _SLIPPAGE = (0, 300, 800), 450
+
+def _side_sql(side):
+    z = f"{side}_size"
+    spare = f"({_SLIPPAGE} * {z} + {_SLIPPAGE - 300} * ({z} + 100))"
+    room = f"least({z} + 5000, {spare} {{div}} {800 - _SLIPPAGE})"
+    return f"SELECT *, '{side}' AS side, {z} AS size, 2 * {z} + 100 AS cum5, 2 * {z} + 100 + {room} AS capacity, {room} = {z} + 5000 AND id % 2 = 1 AS censored FROM pieces"
+
+
+def _by_scope(value, name, where="true"):
+    q = {"spread": [("p50_spread", 0.5)], "capacity WHERE censored": [("p50_censored", 0.5)]}.get(f"{value} WHERE censored" if where == "censored" else value) or [(f"p{round(100 * x)}_{value}", x) for x in (0.25, 0.5, 0.75)]
+    picks = ", ".join(f"min(CASE WHEN upto >= tot * {x} THEN {value} END) AS {n}" for n, x in q)
+    keys = "scope, city, bucket, hour, side"
+    return f"""{name} AS (SELECT {keys}, {picks} FROM (SELECT {keys}, {value}, sum(sum(held_us)) OVER (PARTITION BY {keys} ORDER BY {value}) AS upto, sum(sum(held_us)) OVER (PARTITION BY {keys}) AS tot FROM te WHERE {where} GROUP BY {keys}, {value}) GROUP BY {keys})"""
+
 
-_CUBE = """tc AS (SELECT *, max(us) OVER (PARTITION BY ticker) AS close_us, least(lead(us) OVER (PARTITION BY ticker ORDER BY us, id), us + 86400000000) AS end_us FROM v_touch),
-  ts AS (SELECT *, unnest(range(us {div} 3600000000, (end_us - 1) {div} 3600000000 + 1)) AS slot FROM tc WHERE end_us > us),
-  tl AS (SELECT concat('G', CAST(substr(ticker, 2) AS BIGINT) % 5) AS city, CASE WHEN close_us {div} 3600000000 - slot <= 24 THEN '<=24h' WHEN close_us {div} 3600000000 - slot <= 168 THEN '24-168h' ELSE '>168h' END AS bucket, slot % 24 AS hour,
-    CASE WHEN yes_bid > 0 AND no_bid > 0 THEN 10000 - yes_bid - no_bid END AS spread, yes_size, least(end_us, (slot + 1) * 3600000000) - greatest(us, slot * 3600000000) AS held_us FROM ts),
-  te AS (SELECT 'cell' AS scope, * FROM tl UNION ALL SELECT 'city', city, '*', -1, spread, yes_size, held_us FROM tl UNION ALL SELECT 'bucket', '*', bucket, -1, spread, yes_size, held_us FROM tl UNION ALL SELECT 'hour', '*', '*', hour, spread, yes_size, held_us FROM tl),
-  sz AS (SELECT scope, city, bucket, hour, yes_size, sum(sum(held_us)) OVER (PARTITION BY scope, city, bucket, hour ORDER BY yes_size) AS upto, sum(sum(held_us)) OVER (PARTITION BY scope, city, bucket, hour) AS tot FROM te GROUP BY scope, city, bucket, hour, yes_size),
-  sq AS (SELECT scope, city, bucket, hour, min(CASE WHEN upto >= tot * 0.25 THEN yes_size END) AS p25_size, min(CASE WHEN upto >= tot * 0.5 THEN yes_size END) AS p50_size, min(CASE WHEN upto >= tot * 0.75 THEN yes_size END) AS p75_size FROM sz GROUP BY ALL),
-  sp AS (SELECT scope, city, bucket, hour, spread, sum(sum(held_us)) OVER (PARTITION BY scope, city, bucket, hour ORDER BY spread) AS upto, sum(sum(held_us)) OVER (PARTITION BY scope, city, bucket, hour) AS tot FROM te WHERE spread IS NOT NULL GROUP BY scope, city, bucket, hour, spread),
-  sr AS (SELECT scope, city, bucket, hour, min(CASE WHEN upto >= tot * 0.5 THEN spread END) AS p50_spread FROM sp GROUP BY ALL),
-  su AS (SELECT scope, city, bucket, hour, sum(held_us)::BIGINT AS kept_us, sum(CASE WHEN spread IS NOT NULL THEN held_us ELSE 0 END)::BIGINT AS two_sided_us, min(spread) AS least_spread FROM te GROUP BY ALL)"""
+_CUBE = f"""{_PIECES}, sd AS ({_side_sql("yes")} UNION ALL {_side_sql("no")}),
+  tl AS (SELECT concat('G', CAST(substr(ticker, 2) AS BIGINT) % 5) AS city, CASE WHEN close_us {{div}} 3600000000 - slot <= 24 THEN '<=24h' WHEN close_us {{div}} 3600000000 - slot <= 168 THEN '24-168h' ELSE '>168h' END AS bucket, slot % 24 AS hour,
+    CASE WHEN yes_bid > 0 AND no_bid > 0 THEN 10000 - yes_bid - no_bid END AS spread, side, size, cum5, capacity, censored, held_us FROM sd),
+  te AS (SELECT 'cell' AS scope, * FROM tl UNION ALL SELECT 'city', * REPLACE ('*' AS bucket, -1 AS hour) FROM tl UNION ALL SELECT 'bucket', * REPLACE ('*' AS city, -1 AS hour) FROM tl UNION ALL SELECT 'hour', * REPLACE ('*' AS city, '*' AS bucket) FROM tl),
+  {_by_scope("size", "q1")}, {_by_scope("cum5", "q2")}, {_by_scope("capacity", "q3")}, {_by_scope("spread", "q4", "spread IS NOT NULL")}, {_by_scope("capacity", "q5", "censored")},
+  su AS (SELECT scope, city, bucket, hour, side, sum(held_us)::BIGINT AS kept_us, sum(CASE WHEN spread IS NOT NULL THEN held_us ELSE 0 END)::BIGINT AS two_sided_us, min(spread) AS least_spread, sum(CASE WHEN censored THEN held_us ELSE 0 END)::BIGINT AS censored_us FROM te GROUP BY ALL)"""
 
 
-@query("depth_cube", f"WITH {_CUBE} SELECT * FROM su LEFT JOIN sr USING (scope, city, bucket, hour) LEFT JOIN sq USING (scope, city, bucket, hour)")
+@query("depth_cube", f"WITH {_CUBE} SELECT * FROM su " + " ".join(f"LEFT JOIN q{i} USING (scope, city, bucket, hour, side)" for i in range(1, 6)))
 def depth_cube(spark, sf_dir):
-    quotes = view(spark, sf_dir, "v_touch")
+    quotes = view(spark, sf_dir, "v_touch").withColumn("_levels", 3 + F.col("id") % 2)
+    for side in ("yes", "no"):
+        size = F.col(f"{side}_size")
+        quotes = quotes.withColumns({"_p": F.array(*(F.col(f"{side}_bid") - d for d in _STEPS)), "_s": F.array(size, size + 100, size + 5000)})
+        walked = op.walk_capacity("_p", "_s", _SLIPPAGE, "_levels")
+        quotes = quotes.withColumns({f"{side}_cum5": op.cumulative_depth("_p", "_s", 500), f"_{side}": walked})
+        quotes = quotes.withColumns({f"{side}_capacity": F.col(f"_{side}.capacity"), f"{side}_censored": F.col(f"_{side}.censored")}).drop("_p", "_s", f"_{side}")
     cities = quotes.select("ticker", F.concat(F.lit("G"), F.substring("ticker", 2, 20).cast("long") % 5).alias("city")).distinct()
-    return op.depth_cube(quotes, cities)
+    return op.depth_cube(quotes.drop("_levels"), cities, view(spark, sf_dir, "v_excl"))
 
 
 _LADDER = "lad AS (SELECT user_id, list(k ORDER BY k DESC)[1:6] AS ps, list(c ORDER BY k DESC)[1:6] AS ss, count(*) AS levels FROM (SELECT user_id, k, min(c) AS c FROM ev GROUP BY user_id, k) GROUP BY user_id)"
@@ -78,10 +104,33 @@ def atm_pick(spark, sf_dir):
 def classify_print(spark, sf_dir):
     return op.classify_print(view(spark, sf_dir, "v_prints"), view(spark, sf_dir, "v_touch"))
 
-@query("replenishment", """WITH x AS (SELECT p.id, p.ticker, p.us, (SELECT arg_max(yes_size, (t.us, t.id)) FROM v_touch t WHERE t.ticker = p.ticker AND t.us < p.us) AS before, (SELECT arg_min(yes_size, (t.us, t.id)) FROM v_touch t WHERE t.ticker = p.ticker AND t.us > p.us) AS after FROM v_prints p)
-  SELECT id, ticker, before, after, (SELECT min(t.us) FROM v_touch t WHERE t.ticker = x.ticker AND t.us > x.us AND t.us <= x.us + 86400000000 AND 2 * yes_size >= before) - us AS refill_us FROM x WHERE before > 0 AND 2 * after < before""")
+_REFILLS = """st AS (SELECT * FROM v_coarse QUALIFY row_number() OVER (PARTITION BY ticker, us ORDER BY id DESC) = 1),
+  se AS (SELECT *, lead(us) OVER w AS post_us, lead(yes_size) OVER w AS post_yes, lead(no_size) OVER w AS post_no FROM st WINDOW w AS (PARTITION BY ticker ORDER BY us)), cl AS (SELECT ticker, max(us) AS close_us FROM v_touch GROUP BY ticker),
+  pm AS (SELECT p.*, (SELECT max(us) FROM st WHERE st.ticker = p.ticker AND st.us <= p.us) AS state_us FROM v_takes p),
+  ph AS (SELECT pm.*, CASE WHEN yes_price = s.yes_bid THEN 'yes' WHEN 10000 - yes_price = s.no_bid THEN 'no' END AS side FROM pm LEFT JOIN se s ON s.ticker = pm.ticker AND s.us = pm.state_us),
+  gr AS (SELECT ticker, state_us, count(*) AS prints, min(us) AS first_us, arg_min((us, id, side), (us, id)) FILTER (side IS NOT NULL) AS m FROM ph GROUP BY ticker, state_us),
+  g2 AS (SELECT gr.*, close_us, post_us, m[1] + 86400000000 AS deadline_us, CASE WHEN m[3] = 'yes' THEN yes_size ELSE no_size END AS pre, CASE WHEN m[3] = 'yes' THEN post_yes ELSE post_no END AS post FROM gr LEFT JOIN se s ON s.ticker = gr.ticker AND s.us = gr.state_us LEFT JOIN cl ON cl.ticker = gr.ticker),
+  g3 AS (SELECT *, CASE WHEN state_us IS NULL THEN 'no_pre_state' WHEN m IS NULL THEN 'no_match' WHEN post_us IS NULL THEN 'no_post_state' WHEN close_us IS NULL OR deadline_us > close_us THEN 'past_close'
+    WHEN EXISTS (SELECT 1 FROM v_excl x WHERE x.start_us <= g2.deadline_us AND x.end_us >= g2.state_us) THEN 'screened' ELSE 'matched' END AS status FROM g2),
+  rf AS (SELECT ticker, state_us, status, prints, coalesce(m[1], first_us) AS print_us, close_us, m[2] AS print_id, m[3] AS side, CASE WHEN status = 'matched' THEN pre END AS before, CASE WHEN status = 'matched' THEN post END AS after,
+    coalesce(status = 'matched' AND 2 * post < pre, false) AS depleted, deadline_us FROM g3),
+  refills AS (SELECT * EXCLUDE (deadline_us), CASE WHEN depleted THEN (SELECT min(t.us) FROM st t WHERE t.ticker = rf.ticker AND t.us > rf.state_us AND t.us <= rf.deadline_us AND 2 * CASE WHEN rf.side = 'yes' THEN t.yes_size ELSE t.no_size END >= rf.before) - print_us END AS refill_us FROM rf)"""
+
+
+@query("replenishment", f"WITH {_REFILLS} SELECT * FROM refills")
 def replenishment(spark, sf_dir):
-    return op.replenishment(view(spark, sf_dir, "v_prints"), view(spark, sf_dir, "v_touch"), 24 * HOUR)
+    closes = view(spark, sf_dir, "v_touch").groupBy("ticker").agg(F.max("us").alias("close_us"))
+    return op.replenishment(view(spark, sf_dir, "v_takes"), view(spark, sf_dir, "v_coarse"), closes, view(spark, sf_dir, "v_excl"), 24 * HOUR)
+
+_STATUSES = ("no_pre_state", "no_match", "no_post_state", "past_close", "screened", "matched")
+
+@query("replenishment_readout", f"""WITH {_REFILLS}, bu AS (SELECT *, CASE WHEN close_us - print_us IS NULL THEN 'none' WHEN close_us - print_us <= 86400000000 THEN '<=24h' WHEN close_us - print_us <= 604800000000 THEN '24-168h' ELSE '>168h' END AS bucket FROM refills),
+  sc AS (SELECT 'cell' AS scope, CASE WHEN ticker IN (SELECT ticker FROM v_touch) THEN concat('G', CAST(substr(ticker, 2) AS BIGINT) % 5) END AS city, bucket, status, depleted, refill_us FROM bu UNION ALL SELECT 'all', '*', '*', status, depleted, refill_us FROM bu),
+  ct AS (SELECT scope, city, bucket, count(*) AS groups, {", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in _STATUSES)}, count(*) FILTER (depleted) AS events, count(refill_us) AS refilled, list_sort(list(refill_us) FILTER (refill_us IS NOT NULL)) AS times FROM sc GROUP BY scope, city, bucket)
+  SELECT * EXCLUDE (times), round(CASE WHEN events > 0 THEN refilled / events END, 9) AS fraction, CASE WHEN 2 * refilled > events THEN times[(events + 1) {{div}} 2] END AS median_us FROM ct""")
+def replenishment_readout(spark, sf_dir):
+    cities = view(spark, sf_dir, "v_touch").select("ticker", F.concat(F.lit("G"), F.substring("ticker", 2, 20).cast("long") % 5).alias("city")).distinct()
+    return op.replenishment_readout(replenishment(spark, sf_dir), cities, 24 * HOUR)
 
 #: Ladders of three tickers each, in groups whose number grows with the tickers.
 _MATRIX = f"""lg AS (SELECT ticker, grp, row_number() OVER (PARTITION BY grp ORDER BY ticker) - 1 AS seat, count(*) OVER (PARTITION BY grp) AS n FROM {_GROUPS.replace("% 20", "{div} 3")}),
@@ -162,13 +211,19 @@ def arb_stream_summary(spark, sf_dir):
 
 
 _CROSSINGS = """rk AS (SELECT ticker, id, us, mid2, row_number() OVER (PARTITION BY ticker ORDER BY us, id) AS n FROM v_mid WHERE mid2 IS NOT NULL),
-  pr AS (SELECT a.ticker, a.n AS i, b.n AS j, a.id AS anchor_id, b.id AS crossing_id, b.us, CASE WHEN b.mid2 > a.mid2 THEN 1 ELSE -1 END AS direction FROM rk a JOIN rk b ON a.ticker = b.ticker AND b.n > a.n AND b.us - a.us <= 86400000000 AND abs(b.mid2 - a.mid2) >= 2000),
-  cr AS (SELECT DISTINCT ticker, 0::BIGINT AS upto, NULL::BIGINT AS anchor_id, NULL::BIGINT AS crossing_id, NULL::BIGINT AS us, NULL::INT AS direction FROM rk UNION ALL
-    SELECT ticker, x[1], x[2], x[3], x[4], x[5] FROM (SELECT cr.ticker, arg_min((pr.j, pr.anchor_id, pr.crossing_id, pr.us, pr.direction), (pr.j, pr.i)) AS x FROM cr JOIN pr ON pr.ticker = cr.ticker AND pr.i > cr.upto GROUP BY cr.ticker)),
-  crossings AS (SELECT ticker, anchor_id, crossing_id, us, direction FROM cr WHERE anchor_id IS NOT NULL)"""
-_RESPONSES = f"""{_CROSSINGS}, ba AS (SELECT c.ticker, concat('M', CAST(substr(c.ticker, 2) AS BIGINT) + 1) AS follower, crossing_id, us, direction FROM crossings c),
+  pr AS (SELECT a.ticker, a.n AS i, b.n AS j, a.id AS anchor_id, a.us AS anchor_us, b.id AS crossing_id, b.us, CASE WHEN b.mid2 > a.mid2 THEN 1 ELSE -1 END AS direction FROM rk a JOIN rk b ON a.ticker = b.ticker AND b.n > a.n AND b.us - a.us <= 86400000000 AND abs(b.mid2 - a.mid2) >= 2000),
+  cr AS (SELECT DISTINCT ticker, 0::BIGINT AS upto, NULL::BIGINT AS anchor_id, NULL::BIGINT AS anchor_us, NULL::BIGINT AS crossing_id, NULL::BIGINT AS us, NULL::INT AS direction FROM rk UNION ALL
+    SELECT ticker, x[1], x[2], x[3], x[4], x[5], x[6] FROM (SELECT cr.ticker, arg_min((pr.j, pr.anchor_id, pr.anchor_us, pr.crossing_id, pr.us, pr.direction), (pr.j, pr.i)) AS x FROM cr JOIN pr ON pr.ticker = cr.ticker AND pr.i > cr.upto GROUP BY cr.ticker)),
+  crossings AS (SELECT ticker, anchor_id, anchor_us, crossing_id, us, direction FROM cr WHERE anchor_id IS NOT NULL)"""
+def _responses_sql(ways):
+    return f"""{_CROSSINGS}, wy AS ({ways}), ba AS (SELECT c.ticker, wy.follower, crossing_id, anchor_us, us, direction FROM crossings c JOIN wy ON wy.ticker = c.ticker),
   bs AS (SELECT ba.*, (SELECT arg_max(mid2, (m.us, m.id)) FROM v_mid m WHERE m.ticker = follower AND mid2 IS NOT NULL AND m.us <= ba.us) AS base2 FROM ba),
-  responses AS (SELECT ticker, follower, crossing_id, us, direction, (SELECT min(m.us) FROM v_mid m WHERE m.ticker = follower AND m.us > bs.us AND m.us <= bs.us + 172800000000 AND (mid2 - base2) * direction >= 1000) - us AS lead_us FROM bs WHERE base2 IS NOT NULL)"""
+  responses AS (SELECT ticker, follower, crossing_id, anchor_us, us, direction, (SELECT min(m.us) FROM v_mid m WHERE m.ticker = follower AND m.us > bs.us AND m.us <= bs.us + 172800000000 AND (mid2 - base2) * direction >= 1000) - us AS lead_us FROM bs WHERE base2 IS NOT NULL)"""
+
+
+_NEXT = "concat('M', CAST(substr(ticker, 2) AS BIGINT) + 1)"
+_RESPONSES = _responses_sql(f"SELECT DISTINCT ticker, {_NEXT} AS follower FROM v_mid")
+_PAIRS = f"SELECT DISTINCT concat('C', CAST(substr(ticker, 2) AS BIGINT) % 4) AS corridor, ticker AS upstream, {_NEXT} AS downstream FROM v_mid"
 
 
 @query("leader_crossings", f"WITH RECURSIVE {_CROSSINGS} SELECT * FROM crossings")
@@ -184,6 +239,13 @@ def follower_response(spark, sf_dir):
     quotes = view(spark, sf_dir, "v_mid")
     return op.follower_response(op.leader_crossings(quotes, 24 * HOUR, 2000), quotes, _pairs(spark, sf_dir), 48 * HOUR, 1000)
 
-@query("pair_lead_lag", f"WITH RECURSIVE {_RESPONSES} SELECT ticker, follower, count(*) AS crossings, count(lead_us) AS responses, quantile_cont(lead_us, 0.5) AS median_lead_us FROM responses GROUP BY ticker, follower")
+_LEADS = f"""{_responses_sql(f"SELECT DISTINCT upstream AS ticker, downstream AS follower FROM ({_PAIRS}) UNION SELECT downstream, upstream FROM ({_PAIRS})")},
+  wa AS (SELECT corridor, 'forward' AS reading, upstream AS ticker, downstream AS follower FROM ({_PAIRS}) UNION ALL SELECT corridor, 'reverse', downstream, upstream FROM ({_PAIRS})),
+  el AS (SELECT r.*, lead_us IS NOT NULL AND EXISTS (SELECT 1 FROM v_excl x WHERE x.start_us <= r.us + r.lead_us AND x.end_us >= r.anchor_us) AS is_out, us {{div}} 86400000000 AS d, corridor, reading FROM responses r JOIN wa ON wa.ticker = r.ticker AND wa.follower = r.follower),
+  es AS (SELECT 'pair' AS scope, reading, corridor, ticker AS leader, follower, -1 AS day, lead_us, is_out FROM el UNION ALL SELECT 'corridor', reading, corridor, '*', '*', -1, lead_us, is_out FROM el UNION ALL SELECT 'day', reading, corridor, '*', '*', d, lead_us, is_out FROM el)"""
+
+
+@query("pair_lead_lag", f"""WITH RECURSIVE {_LEADS} SELECT scope, reading, corridor, leader, follower, day, count(*) AS crossings, count(lead_us) FILTER (NOT is_out) AS episodes, count(lead_us) FILTER (is_out) AS screened, quantile_cont(lead_us, 0.5) FILTER (NOT is_out) AS median_lead_us FROM es GROUP BY scope, reading, corridor, leader, follower, day""")
 def pair_lead_lag(spark, sf_dir):
-    return op.pair_lead_lag(follower_response(spark, sf_dir))
+    pairs = _pairs(spark, sf_dir).select(F.concat(F.lit("C"), F.substring("ticker", 2, 20).cast("long") % 4).alias("corridor"), F.col("ticker").alias("upstream"), F.col("follower").alias("downstream"))
+    return op.pair_lead_lag(view(spark, sf_dir, "v_mid"), pairs, view(spark, sf_dir, "v_excl"), 24 * HOUR, 2000, 48 * HOUR, 1000)

@@ -107,14 +107,27 @@ def _ticker_locks(spark, sf_dir):
     return view(spark, sf_dir, "v_touch").groupBy("ticker").agg((F.min("us") + 12 * HOUR).alias("lock_us"))
 
 
-@query("convergence_time", f"""WITH {_TICKER_LOCKS}, r1 AS (SELECT *, coalesce(mid2 >= 9000, false) AS is_on, lead(us) OVER (PARTITION BY ticker ORDER BY us, id) AS next_us FROM v_mid), r2 AS (SELECT *, lag(is_on) OVER (PARTITION BY ticker ORDER BY us, id) AS was FROM r1),
+_CONVERGED = f"""{_TICKER_LOCKS}, r1 AS (SELECT *, coalesce(mid2 >= 9000, false) AS is_on, lead(us) OVER (PARTITION BY ticker ORDER BY us, id) AS next_us FROM v_mid), r2 AS (SELECT *, lag(is_on) OVER (PARTITION BY ticker ORDER BY us, id) AS was FROM r1),
   r3 AS (SELECT *, sum(CASE WHEN is_on AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY us, id ROWS UNBOUNDED PRECEDING) AS island FROM r2),
-  r4 AS (SELECT ticker, min(us) AS from_us, (arg_max((next_us, 1), (us, id)))[1] AS to_us FROM r3 WHERE is_on GROUP BY ticker, island)
-  SELECT ticker, lock_us, min(CASE WHEN from_us IS NOT NULL AND (to_us IS NULL OR greatest(from_us, lock_us) + 21600000000 <= to_us) AND greatest(from_us, lock_us) + 21600000000 <= lock_us + 864000000000 THEN greatest(from_us, lock_us) END) - lock_us AS converged_us FROM tl LEFT JOIN r4 USING (ticker) GROUP BY ticker, lock_us""")
-def convergence_time(spark, sf_dir):
+  r4 AS (SELECT ticker, min(us) AS from_us, (arg_max((next_us, 1), (us, id)))[1] AS to_us FROM r3 WHERE is_on GROUP BY ticker, island),
+  cg AS (SELECT ticker, lock_us, min(CASE WHEN from_us IS NOT NULL AND (to_us IS NULL OR greatest(from_us, lock_us) + 21600000000 <= to_us) AND greatest(from_us, lock_us) + 21600000000 <= lock_us + 864000000000 THEN greatest(from_us, lock_us) END) - lock_us AS converged_us FROM tl LEFT JOIN r4 USING (ticker) GROUP BY ticker, lock_us)"""
+
+
+def _converged(spark, sf_dir):
     return op.convergence_time(_ticker_locks(spark, sf_dir), view(spark, sf_dir, "v_mid"), 9000, 6 * HOUR, 240 * HOUR)
 
 
+@query("convergence_time", f"WITH {_CONVERGED} SELECT *, coalesce(converged_us, 864000000000) AS half_life_us, converged_us IS NULL AS censored FROM cg")
+def convergence_time(spark, sf_dir):
+    return op.half_lives(_converged(spark, sf_dir), 240 * HOUR)
+
+
+@query("convergence_readout", f"""WITH {_CONVERGED}, cs AS (SELECT unnest([{_SERIES_SQL}, 'POOLED']) AS series, converged_us FROM cg), ct AS (SELECT series, count(*) AS n, count(converged_us) AS seen, list_sort(list(converged_us) FILTER (converged_us IS NOT NULL)) AS times FROM cs GROUP BY series)
+  SELECT series, n, n - seen AS censored, CASE WHEN 2 * seen > n THEN times[(n + 1) {{div}} 2] END AS median_us FROM ct""")
+def convergence_readout(spark, sf_dir):
+    return op.convergence_readout(_converged(spark, sf_dir), 240 * HOUR, _series())
+
+
 _FLOW = f"""{_TICKER_LOCKS}, fw AS (SELECT taker_side, units, CASE taker_side WHEN 'yes' THEN yes_price ELSE 10000 - yes_price END AS price FROM v_prints JOIN tl USING (ticker) WHERE us > lock_us AND taker_side <> ''),
   fl AS (SELECT taker_side, price {{div}} 100 AS cent, count(*) AS fills, sum(units)::BIGINT AS units, sum(units * price)::BIGINT AS notional, sum((7 * units * price * (10000 - price) + 9999999999) {{div}} 10000000000)::BIGINT AS fees FROM fw GROUP BY ALL)"""
 

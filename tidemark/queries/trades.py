@@ -106,16 +106,18 @@ def placement_grid(spark, sf_dir):
 
 
 _QUEUE = """o AS (SELECT event_id AS order_id, concat('M', user_id) AS ticker, us + 60000000 AS at_us FROM ev WHERE event_type = 'view'),
-  c AS (SELECT ticker, us, id FROM (SELECT *, lag(yes_bid) OVER (PARTITION BY ticker ORDER BY us, id) AS was FROM v_touch) WHERE was IS NULL OR was <> yes_bid),
-  r AS (SELECT o.*, (SELECT arg_max((t.yes_bid, t.yes_size), (t.us, t.id)) FROM v_touch t WHERE t.ticker = o.ticker AND t.us <= o.at_us) AS s, (SELECT min(us) FROM c WHERE c.ticker = o.ticker AND c.us > o.at_us) AS change_us FROM o),
-  q AS (SELECT order_id, ticker, at_us, s[1] AS price, s[2] AS queue, least(at_us + 86400000000, coalesce(change_us, at_us + 86400000000)) AS end_us FROM r WHERE s[1] > 0),
-  m AS (SELECT q.order_id, p.us, sum(units) OVER (PARTITION BY q.order_id ORDER BY p.us, p.id) AS upto, queue FROM q JOIN v_prints p ON p.ticker = q.ticker AND p.us >= at_us AND p.us <= end_us AND taker_side = 'no' AND yes_price <= price),
-  fl AS (SELECT q.*, (SELECT min(us) FROM m WHERE m.order_id = q.order_id AND upto > m.queue) AS fill_us FROM q)"""
+  r AS (SELECT o.*, (SELECT arg_max((t.yes_bid, t.yes_size, t.no_bid, t.no_size), (t.us, t.id)) FROM v_coarse t WHERE t.ticker = o.ticker AND t.us <= o.at_us) AS s FROM o),
+  q0 AS (SELECT order_id, ticker, at_us, unnest([('yes', s[1], s[2]), ('no', s[3], s[4])]) AS x FROM r WHERE s[1] > 0 AND s[2] > 0 AND s[3] > 0 AND s[4] > 0),
+  q1 AS (SELECT order_id, ticker, at_us, x[1] AS side, x[2] AS price, x[3] AS queue FROM q0),
+  c AS (SELECT *, lag(yes_bid) OVER w AS was_yes, lag(no_bid) OVER w AS was_no FROM v_coarse WINDOW w AS (PARTITION BY ticker ORDER BY us, id)),
+  q AS (SELECT q1.*, least(at_us + 864000000000, coalesce((SELECT min(us) FROM c WHERE c.ticker = q1.ticker AND c.us > q1.at_us AND CASE WHEN side = 'yes' THEN was_yes IS NULL OR was_yes <> yes_bid ELSE was_no IS NULL OR was_no <> no_bid END), at_us + 864000000000)) AS end_us FROM q1),
+  m AS (SELECT q.order_id, q.side, p.us, sum(units) OVER (PARTITION BY q.order_id, q.side ORDER BY p.us, p.id) AS upto, queue FROM q JOIN v_takes p ON p.ticker = q.ticker AND p.us >= at_us AND p.us <= end_us AND ((side = 'yes' AND taker_side = 'no' AND yes_price = price) OR (side = 'no' AND taker_side = 'yes' AND 10000 - yes_price = price))),
+  fl AS (SELECT q.*, (SELECT min(us) FROM m WHERE m.order_id = q.order_id AND m.side = q.side AND upto > m.queue) AS fill_us FROM q)"""
 
 
 def _queue(spark, sf_dir):
     orders = view(spark, sf_dir, "ev").filter("event_type = 'view'").select(F.col("event_id").alias("order_id"), F.concat(F.lit("M"), "user_id").alias("ticker"), (F.col("us") + 60_000_000).alias("at_us"))
-    return op.queue_clear(orders, view(spark, sf_dir, "v_touch"), view(spark, sf_dir, "v_prints"), 24 * HOUR)
+    return op.queue_clear(orders, view(spark, sf_dir, "v_coarse"), view(spark, sf_dir, "v_takes"), 240 * HOUR)
 
 
 @query("queue_clear", f"WITH {_QUEUE} SELECT * FROM fl")
@@ -125,9 +127,9 @@ def queue_clear(spark, sf_dir):
 
 @query("maker_edge", f"""WITH {_QUEUE}, h AS (SELECT fl.*, x.h AS horizon_us, fill_us + x.h AS b FROM fl, (SELECT unnest([{", ".join(map(str, HORIZONS))}]) AS h) x WHERE fill_us IS NOT NULL),
   v AS (SELECT h.*, (SELECT arg_max((m.mid2, 1), (m.us, m.id)) FROM v_mid m WHERE m.ticker = h.ticker AND m.us <= h.fill_us)[1] AS m0, (SELECT arg_max((m.mid2, 1), (m.us, m.id)) FROM v_mid m WHERE m.ticker = h.ticker AND m.us <= h.b)[1] AS m1, (SELECT max(m.us) FROM v_mid m WHERE m.ticker = h.ticker) AS last_us FROM h),
-  k AS (SELECT *, b <= last_us AND m0 IS NOT NULL AND m1 IS NOT NULL AS ok, (17500 * price * (10000 - price) + 999999999999) {{div}} 1000000000000 AS fee, (700 * price * (10000 - price) + 9999999999) {{div}} 10000000000 AS taker FROM v)
-  SELECT horizon_us, count(*) AS fills, count(*) FILTER (NOT ok) AS no_mid, sum(CASE WHEN ok THEN m1 - m0 END)::BIGINT AS move2, sum(fee)::BIGINT AS fees,
-    round(0.5 + sum(CASE WHEN ok THEN m1 - m0 END) / (200 * count(*) FILTER (ok)) - sum(fee) FILTER (ok) / count(*) FILTER (ok), 9) AS edge, round(0.5 + sum(CASE WHEN ok THEN m1 - m0 END) / (200 * count(*) FILTER (ok)) - sum(taker) FILTER (ok) / count(*) FILTER (ok), 9) AS edge_taker FROM k GROUP BY horizon_us""")
+  k AS (SELECT *, CASE WHEN side = 'yes' THEN 1 ELSE -1 END AS sg, b <= last_us AND m0 IS NOT NULL AND m1 IS NOT NULL AS ok, (17500 * price * (10000 - price) + 999999999999) {{div}} 1000000000000 AS fee, (700 * price * (10000 - price) + 9999999999) {{div}} 10000000000 AS taker FROM v)
+  SELECT side, horizon_us, count(*) AS fills, count(*) FILTER (NOT ok) AS no_mid, sum(CASE WHEN ok THEN sg * (m1 - m0) END)::BIGINT AS move2, sum(fee)::BIGINT AS fees,
+    round(0.5 + sum(CASE WHEN ok THEN sg * (m1 - m0) END) / (200 * count(*) FILTER (ok)) - sum(fee) FILTER (ok) / count(*) FILTER (ok), 9) AS edge, round(0.5 + sum(CASE WHEN ok THEN sg * (m1 - m0) END) / (200 * count(*) FILTER (ok)) - sum(taker) FILTER (ok) / count(*) FILTER (ok), 9) AS edge_taker FROM k GROUP BY side, horizon_us""")
 def maker_edge(spark, sf_dir):
     return op.maker_edge(_queue(spark, sf_dir), view(spark, sf_dir, "v_mid"), HORIZONS)
 

@@ -27,6 +27,8 @@ VIEWS = {
     "v_mid": "SELECT id, ticker, us, yes_bid, no_bid, yes_size, no_size, CASE WHEN yes_bid > 0 AND no_bid > 0 THEN yes_bid + 10000 - no_bid END AS mid2 FROM v_touch",
     "v_prints": """SELECT event_id AS id, concat('M', user_id) AS ticker, us, CASE WHEN event_id % 10 < 4 THEN event_id - event_id % 4 ELSE event_id END AS trade_id,
         CASE WHEN k % 10 = 0 THEN '' WHEN k % 2 = 0 THEN 'yes' ELSE 'no' END AS taker_side, c AS units, 100 * (1 + k % 98) AS yes_price FROM ev WHERE event_type IN ('purchase', 'click')""",
+    "v_coarse": "SELECT id, ticker, us, yes_bid {div} 1000 * 1000 AS yes_bid, no_bid {div} 1000 * 1000 AS no_bid, yes_size, no_size FROM v_touch",
+    "v_takes": "SELECT id, ticker, us, taker_side, units, yes_price {div} 1000 * 1000 AS yes_price FROM v_prints",
     "v_gaps": "SELECT event_id AS id, CASE WHEN k % 50 = 0 THEN '' ELSE concat('M', user_id) END AS ticker, us AS detected_us, CASE WHEN k % 3 = 0 THEN 'sequence' ELSE 'reconnect' END AS reason FROM ev WHERE event_type = 'error'",
     "v_excl": "SELECT event_id AS id, CASE k % 3 WHEN 0 THEN 'recorded_gap' WHEN 1 THEN 'subscription_wide' ELSE 'resubscribe_blind' END AS class, us AS start_us, us + (1 + k % 20) * 6000000 AS end_us FROM ev WHERE event_type = 'error'",
     "v_obs": "SELECT event_id AS id, concat('S', user_id % 20) AS station, us AS valid_us, us + (k % 9) * 60000000 AS seen_us, 400 + c % 600 AS tenths FROM ev",
