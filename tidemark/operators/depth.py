@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import UNITS, fee_cents, weighted_quantile
+from tidemark.functions import UNITS, fee_cents
 from tidemark.operators.tape import touched
 from tidemark.plans.asof import asof_join
 from tidemark.plans.crossing import first_crossing
 from tidemark.plans.intervals import islands
+from tidemark.plans.keep import keep
 from tidemark.plans.scan import following
 from tidemark.plans.survival import censored_median
 
@@ -45,10 +46,13 @@ def depth_bins(cells: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def depth_readout(cells: DataFrame) -> DataFrame:
     """Per hour and in all: time kept, share of it two-sided, and the time-weighted median size at the best bid."""
-    bins = cells.withColumn("two_sided", (F.col("yes_bid") > 0) & (F.col("no_bid") > 0)).groupBy("hour", "two_sided", "yes_size").agg(F.sum("held_us").alias("held_us"))
-    every = bins.withColumn("hour", F.explode(F.array(F.col("hour"), F.lit(-1).cast("long"))))
-    sums = every.groupBy("hour").agg(F.sum("held_us").alias("kept_us"), F.sum(F.when(F.col("two_sided"), F.col("held_us")).otherwise(0)).alias("two_sided_us"))
-    return sums.join(weighted_quantile(every, ["hour"], "yes_size", "held_us", 0.5, "p50_size"), "hour")
+    two = F.when((F.col("yes_bid") > 0) & (F.col("no_bid") > 0), F.col("held_us")).otherwise(0)
+    every = cells.withColumn("hour", F.explode(F.array(F.col("hour"), F.lit(-1).cast("long"))))
+    bins = every.groupBy("hour", "yes_size").agg(F.sum("held_us").alias("held_us"), F.sum(two).alias("two_us"))
+    own = Window.partitionBy("hour")
+    bins = bins.withColumns({"_upto": F.sum("held_us").over(own.orderBy("yes_size")), "_all": F.sum("held_us").over(own)})
+    median = F.min(F.when(F.col("_upto") >= F.col("_all") * 0.5, F.col("yes_size")))
+    return bins.groupBy("hour").agg(F.sum("held_us").alias("kept_us"), F.sum("two_us").alias("two_sided_us"), median.alias("p50_size"))
 
 
 def depth_cube(quotes: DataFrame, cities: DataFrame, exclusions: DataFrame, sides: tuple[str, ...] = ("yes", "no")) -> DataFrame:
@@ -69,19 +73,28 @@ def depth_cube(quotes: DataFrame, cities: DataFrame, exclusions: DataFrame, side
     values = ("size", "cum5", "capacity", "censored")
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), *(F.col(f"{s}_{v}").alias(v) for v in values)) for s in sides)))
     rows = rows.select("city", bucket.alias("bucket"), (F.col("slot") % 24).alias("hour"), F.when(two, 10_000 - F.col("yes_bid") - F.col("no_bid")).alias("spread"), "held_us", each.alias("x"))
-    bins = rows.groupBy("city", "bucket", "hour", "spread", "x.side", *(f"x.{v}" for v in values)).agg(F.sum("held_us").alias("held_us"))
+    # every measure is time at its values, so that all of a cell comes from one table of bins
+    measures = F.array(
+        F.struct(F.lit("spread").alias("measure"), F.col("spread").alias("value")), *(F.struct(F.lit(v).alias("measure"), F.col(f"x.{v}").alias("value")) for v in ("size", "cum5", "capacity")),
+        F.struct(F.lit("censored").alias("measure"), F.when(F.col("x.censored"), F.col("x.capacity")).alias("value")),
+    )
+    bins = rows.select("city", "bucket", "hour", "x.side", F.explode(measures).alias("m"), "held_us").select("city", "bucket", "hour", "side", "m.*", "held_us").filter("value is not null")
+    bins = bins.groupBy("city", "bucket", "hour", "side", "measure", "value").agg(F.sum("held_us").alias("held_us"))
     no, none = F.lit("*"), F.lit(-1).cast("long")
     scopes = ("cell", F.col("city"), F.col("bucket"), F.col("hour")), ("city", F.col("city"), no, none), ("bucket", no, F.col("bucket"), none), ("hour", no, no, F.col("hour"))
     listed = F.array(*(F.struct(F.lit(n).alias("scope"), c.alias("city"), b.alias("bucket"), h.alias("hour")) for n, c, b, h in scopes))
     by = ["scope", "city", "bucket", "hour", "side"]
-    every = bins.select(F.explode(listed).alias("y"), "side", "spread", *values, "held_us").select("y.*", "side", "spread", *values, "held_us")
-    when = lambda c: F.sum(F.when(c, F.col("held_us")).otherwise(0))
-    out = every.groupBy(*by).agg(F.sum("held_us").alias("kept_us"), when(F.col("spread").isNotNull()).alias("two_sided_us"), F.min("spread").alias("least_spread"), when(F.col("censored")).alias("censored_us"))
-    picks = [(every.filter("spread is not null"), "spread", 0.5, "p50_spread"), (every.filter("censored"), "capacity", 0.5, "p50_censored")]
-    picks += [(every, v, q, f"p{round(100 * q)}_{v}") for v in ("size", "cum5", "capacity") for q in (0.25, 0.5, 0.75)]
-    for rows, value, q, name in picks:
-        out = out.join(weighted_quantile(rows, by, value, "held_us", q, name), by, "left")
-    return out
+    every = bins.select(F.explode(listed).alias("y"), "side", "measure", "value", "held_us").select("y.*", "side", "measure", "value", "held_us")
+    every = every.groupBy(*by, "measure", "value").agg(F.sum("held_us").alias("held_us"))
+    own = Window.partitionBy(*by, "measure")
+    every = every.withColumns({"_upto": F.sum("held_us").over(own.orderBy("value")), "_all": F.sum("held_us").over(own)})
+    of = lambda m, c="held_us": F.when(F.col("measure") == m, F.col(c))
+    at = lambda m, q: F.min(F.when((F.col("measure") == m) & (F.col("_upto") >= F.col("_all") * q), F.col("value")))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return every.groupBy(*by).agg(
+        F.sum(of("size")).alias("kept_us"), zero(F.sum(of("spread"))).alias("two_sided_us"), F.min(of("spread", "value")).alias("least_spread"), zero(F.sum(of("censored"))).alias("censored_us"),
+        at("spread", 0.5).alias("p50_spread"), at("censored", 0.5).alias("p50_censored"), *(at(v, q).alias(f"p{round(100 * q)}_{v}") for v in ("size", "cum5", "capacity") for q in (0.25, 0.5, 0.75)),
+    )
 
 
 def cumulative_depth(prices: str, sizes: str, ticks: int) -> Column:
@@ -158,6 +171,7 @@ def replenishment(prints: DataFrame, quotes: DataFrame, closes: DataFrame, exclu
         "ticker", "state_us", "status", "prints", F.coalesce("m.us", "first_us").alias("print_us"), "close_us", "deadline_us", F.col("m.id").alias("print_id"), F.col("m.side").alias("side"),
         F.when(matched, of_side("pre")).alias("before"), F.when(matched, of_side("pre.post")).alias("after"),
     ).withColumn("depleted", F.coalesce(2 * F.col("after") < F.col("before"), F.lit(False)))
+    rows = keep(rows)  # a row for each state that was met, read by the search and by the join with what it finds
     sizes = states.select("ticker", "us", F.explode(F.array(*(F.struct(F.lit(x).alias("side"), F.col(f"{x}_size").alias("size")) for x in ("yes", "no")))).alias("x")).select("ticker", "us", "x.*")
     refills = first_crossing(
         rows.filter("depleted"), sizes, ["ticker", "side"], name="print_id", at="state_us", until="deadline_us", level=F.col("before"), sign=F.lit(1), state_at="us", value=2 * F.col("size"), width=max(width, within_us)
@@ -174,7 +188,7 @@ def replenishment_readout(found: DataFrame, cities: DataFrame, within_us: int) -
     """
     left = F.col("close_us") - F.col("print_us")
     bucket = F.when(left.isNull(), "none").when(left <= 24 * HOUR_US, "<=24h").when(left <= 168 * HOUR_US, "24-168h").otherwise(">168h")
-    rows = found.join(cities, "ticker", "left").withColumn("bucket", bucket)
+    rows = keep(found.join(cities, "ticker", "left").select("city", bucket.alias("bucket"), "status", "depleted", "refill_us"))
     scopes = F.array(F.struct(F.lit("cell").alias("scope"), F.col("city"), F.col("bucket")), F.struct(F.lit("all").alias("scope"), F.lit("*").alias("city"), F.lit("*").alias("bucket")))
     rows = rows.select(F.explode(scopes).alias("x"), "status", "depleted", "refill_us").select("x.*", "status", "depleted", "refill_us")
     by = ["scope", "city", "bucket"]
@@ -367,7 +381,7 @@ def follower_response(crossings: DataFrame, quotes: DataFrame, pairs: DataFrame,
     own level, and nothing is paired with the states in between.
     """
     two_sided = quotes.filter("mid2 is not null")
-    rows = crossings.join(pairs, "ticker")
+    rows = keep(crossings).join(pairs, "ticker")
     base = two_sided.select(F.col("ticker").alias("follower"), "us", "id", F.col("mid2").alias("base2"))
     rows = asof_join(rows, base, ["follower"], "us", "us", ["base2"], tie="id").filter("base2 is not null")
     rows = rows.withColumns({"_name": F.concat_ws(":", "crossing_id", "follower"), "_until": F.col("us") + within_us})

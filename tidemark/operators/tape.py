@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.asof import asof_join, last_row_before
 from tidemark.plans.intervals import interval_join, islands, merge_intervals
+from tidemark.plans.keep import keep
 from tidemark.plans.scan import running, total
 
 DAY_US = 86_400_000_000
@@ -112,7 +113,7 @@ def universe_reconcile(expected: DataFrame, recorded: DataFrame, key: str) -> Da
 
 def covered_before(intervals: DataFrame, width: int = DAY_US) -> DataFrame:
     """The union of intervals (start_us, end_us) with the time that the earlier ones cover: start_us, end_us, before_us."""
-    merged = merge_intervals(intervals, "start_us", "end_us", width=width)
+    merged = keep(merge_intervals(intervals, "start_us", "end_us", width=width))
     return running(merged, [], ["start_us"], width, {"before_us": total(F.col("end_us") - F.col("start_us"), through=False)})
 
 
@@ -126,7 +127,7 @@ def overlap_us(spans: DataFrame, intervals: DataFrame, key: str, start: str, end
     whole = (F.col(start) <= F.col(end)) & F.col(start).isNotNull() & F.col(end).isNotNull()
     ends = F.array(F.struct(F.col(start).alias("_at"), F.lit(-1).alias("_sign")), F.struct(F.col(end).alias("_at"), F.lit(1).alias("_sign")))
     points = spans.select(key, F.explode(F.when(whole, ends).otherwise(F.array(F.struct(F.lit(None).cast("long").alias("_at"), F.lit(1).alias("_sign"))))).alias("_p")).select(key, "_p.*")
-    met = last_row_before(points, covered_before(intervals, width), "_at", "start_us", ["start_us", "end_us", "before_us"], width)
+    met = last_row_before(points, keep(covered_before(intervals, width)), "_at", "start_us", ["start_us", "end_us", "before_us"], width)
     covered = F.col("before_us") + F.least("_at", "end_us") - F.col("start_us")
     return met.groupBy(key).agg(F.coalesce(F.sum(F.col("_sign") * covered), F.lit(0)).cast("long").alias("overlap_us"))
 
@@ -189,7 +190,7 @@ def touched(rows: DataFrame, intervals: DataFrame, start: str, end: str, name: s
 
     Of disjoint intervals only the last that begins by a row's end can reach its start, so each row looks up one.
     """
-    merged = merge_intervals(intervals, "start_us", "end_us", width=width).select(F.col("start_us").alias("_x"), F.col("end_us").alias("_y"))
+    merged = keep(merge_intervals(intervals, "start_us", "end_us", width=width).select(F.col("start_us").alias("_x"), F.col("end_us").alias("_y")))
     met = last_row_before(rows, merged, end, "_x", ["_y"], width)
     return met.withColumn(name, F.coalesce(F.col("_y") >= F.col(start), F.lit(False))).drop("_y")
 

@@ -142,7 +142,7 @@ def queue_clear(orders: DataFrame, quotes: DataFrame, prints: DataFrame, rest_us
     axis = running(taken, level, ["us", "id"], 30 * DAY_US, {"volume": total(F.col("units"))})
     upto = axis.select(*level, "us", "id", F.col("volume").alias("gone"))
     placed = asof_join(rest, upto, level, "at_us", "us", ["gone"], strict=True, tie="id").withColumn("_goal", F.coalesce("gone", F.lit(0)) + F.col("queue"))
-    met = asof_join(placed, axis.select(*level, "volume", "id", F.col("us").alias("print_us")), level, "_goal", "volume", ["print_us"], forward=True, strict=True, tie="id")
+    met = asof_join(placed, axis.select(*level, "volume", F.col("us").alias("print_us")), level, "_goal", "volume", ["print_us"], forward=True, strict=True, tie="print_us")
     return met.select("order_id", "ticker", "side", "at_us", "price", "queue", "end_us", F.when(F.col("print_us") <= F.col("end_us"), F.col("print_us")).alias("fill_us"))
 
 

@@ -39,19 +39,20 @@ def asof_join(
 def last_row_before(left: DataFrame, right: DataFrame, left_t: str, right_t: str, take: list[str], width: int) -> DataFrame:
     """left with the columns take of the last of all right rows at or before left_t, without a key to join by; nulls if there is none.
 
-    Rows meet in ranges of width of the time; what ranges before held comes from a table with one row a range. Null
-    times meet nothing; of right rows at one time any may be taken. Rows of one range are one task's sort, so width is to
-    be short against the whole time.
+    Rows meet in ranges of width of the time; what ranges before held comes from a table with one row a range. left is
+    read once. Null times meet nothing; of right rows at one time any may be taken. Rows of one range are one task's sort,
+    so width is to be short against the whole time.
     """
-    left = left.withColumn("_range", F.floor(F.col(left_t) / width))
     right = right.select(F.col(right_t).alias("_time"), F.struct(*take).alias("_taken"), F.floor(F.col(right_t) / width).alias("_range")).filter(F.col("_range").isNotNull())
-    held = right.groupBy("_range").agg(F.max_by("_taken", "_time").alias("_last"))
-    ranges = left.select("_range", F.lit(None).cast(held.schema["_last"].dataType).alias("_last")).unionByName(held)
-    ranges = ranges.filter(F.col("_range").isNotNull()).groupBy("_range").agg(F.first("_last", ignorenulls=True).alias("_last"))
-    carried = ranges.select("_range", F.last("_last", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    met = asof_join(left, right, ["_range"], left_t, "_time", ["_taken"]).join(carried, "_range", "left")
-    met = met.withColumn("_taken", F.coalesce("_taken", "_carried"))
-    return met.select("*", *(F.col("_taken")[c].alias(c) for c in take)).drop("_range", "_carried", "_taken")
+    held = right.groupBy("_range").agg(F.max_by("_taken", "_time").alias("_held"))
+    # what a range holds is carried into those after it, as far as the next that holds some; after the last one, one row serves all
+    ahead = held.withColumn("_next", F.lead("_range").over(Window.orderBy("_range"))).filter("_next is not null")
+    carried = ahead.select(F.explode(F.sequence(F.col("_range") + 1, F.col("_next"))).alias("_range"), F.col("_held").alias("_carried"))
+    end = held.agg(F.max_by("_held", "_range").alias("_last_held"), F.max("_range").alias("_last_range"))
+    left = left.withColumn("_range", F.floor(F.col(left_t) / width))
+    met = asof_join(left, right, ["_range"], left_t, "_time", ["_taken"]).join(carried, "_range", "left").join(F.broadcast(end))
+    met = met.withColumn("_taken", F.coalesce("_taken", "_carried", F.when(F.col("_range") > F.col("_last_range"), F.col("_last_held"))))
+    return met.select("*", *(F.col("_taken")[c].alias(c) for c in take)).drop("_range", "_carried", "_taken", "_last_held", "_last_range")
 
 
 def last_before(left: DataFrame, right: DataFrame, left_t: str, right_t: str, name: str, width: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.keep import keep
 from tidemark.plans.scan import most, running
 
 
@@ -22,7 +23,7 @@ def merge_intervals(df: DataFrame, start: str, end: str, by: list[str] | None =
     """
     by = by or []
     rows = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).groupBy(*by, start).agg(F.max(end).alias(end))
-    marked = running(rows, by, [start], width, {"_upto": most(F.col(end), through=False)})
+    marked = keep(running(rows, by, [start], width, {"_upto": most(F.col(end), through=False)}))  # a row for each start, read twice
     first = F.when(F.col("_upto").isNull() | (F.col(start) > F.col("_upto")), F.col(start))
     runs = running(marked, by, [start], width, {"_island": most(first)})
     return runs.groupBy(*by, "_island").agg(F.max(end).alias(end)).select(*by, F.col("_island").alias(start), end)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.keep import keep
 from tidemark.plans.scan import running, total
 
 
@@ -35,7 +36,7 @@ def censored_median(df: DataFrame, by: list[str], time: str, observed: str, name
     time at which no more than half last longer, if in the end less than half do. Where all are censored at one time it is
     the rank of the middle among all of them. Distinct times of a key are spread over ranges of width.
     """
-    bins = time_bins(df, by, time, observed)
+    bins = keep(time_bins(df, by, time, observed))
     steps = survival(bins, by, width)
     return steps.groupBy(*by).agg(
         F.sum(F.col("ended") + F.col("censored")).alias("n"), F.sum("censored").alias("censored"),

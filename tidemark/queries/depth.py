@@ -10,12 +10,12 @@ HOUR = 3_600_000_000
 _PIECES = """cs AS (SELECT *, lead(us) OVER (PARTITION BY ticker ORDER BY us, id) AS end_us, max(us) OVER (PARTITION BY ticker) AS close_us FROM v_touch),
   sl AS (SELECT *, unnest(range(us {div} 3600000000, (end_us - 1) {div} 3600000000 + 1)) AS slot FROM cs WHERE end_us > us),
   pa AS (SELECT *, greatest(us, slot * 3600000000) AS a, least(end_us, (slot + 1) * 3600000000) AS b FROM sl),
-  pieces AS (SELECT *, b - a AS held_us FROM pa WHERE NOT EXISTS (SELECT 1 FROM v_excl x WHERE x.start_us <= pa.b AND x.end_us >= pa.a))"""
+  pieces AS (SELECT *, b - a AS held_us FROM pa WHERE NOT EXISTS (SELECT 1 FROM v_quiet x WHERE x.start_us <= pa.b AND x.end_us >= pa.a))"""
 _CELLS = f"{_PIECES}, cells AS (SELECT ticker, slot % 24 AS hour, yes_bid, no_bid, yes_size, held_us FROM pieces)"
 
 
 def _cells(spark, sf_dir):
-    return op.depth_cells(view(spark, sf_dir, "v_touch"), view(spark, sf_dir, "v_excl"))
+    return op.depth_cells(view(spark, sf_dir, "v_touch"), view(spark, sf_dir, "v_quiet"))
 
 
 @query("depth_cells", f"WITH {_CELLS} SELECT hour, yes_size, sum(held_us)::BIGINT AS held_us FROM cells GROUP BY hour, yes_size")
@@ -64,7 +64,7 @@ def depth_cube(spark, sf_dir):
         quotes = quotes.withColumns({f"{side}_cum5": op.cumulative_depth("_p", "_s", 500), f"_{side}": walked})
         quotes = quotes.withColumns({f"{side}_capacity": F.col(f"_{side}.capacity"), f"{side}_censored": F.col(f"_{side}.censored")}).drop("_p", "_s", f"_{side}")
     cities = quotes.select("ticker", F.concat(F.lit("G"), F.substring("ticker", 2, 20).cast("long") % 5).alias("city")).distinct()
-    return op.depth_cube(quotes.drop("_levels"), cities, view(spark, sf_dir, "v_excl"))
+    return op.depth_cube(quotes.drop("_levels"), cities, view(spark, sf_dir, "v_quiet"))
 
 
 _LADDER = "lad AS (SELECT user_id, list(k ORDER BY k DESC)[1:6] AS ps, list(c ORDER BY k DESC)[1:6] AS ss, count(*) AS levels FROM (SELECT user_id, k, min(c) AS c FROM ev GROUP BY user_id, k) GROUP BY user_id)"
@@ -111,7 +111,7 @@ _REFILLS = """st AS (SELECT * FROM v_coarse QUALIFY row_number() OVER (PARTITION
   gr AS (SELECT ticker, state_us, count(*) AS prints, min(us) AS first_us, arg_min((us, id, side), (us, id)) FILTER (side IS NOT NULL) AS m FROM ph GROUP BY ticker, state_us),
   g2 AS (SELECT gr.*, close_us, post_us, m[1] + 86400000000 AS deadline_us, CASE WHEN m[3] = 'yes' THEN yes_size ELSE no_size END AS pre, CASE WHEN m[3] = 'yes' THEN post_yes ELSE post_no END AS post FROM gr LEFT JOIN se s ON s.ticker = gr.ticker AND s.us = gr.state_us LEFT JOIN cl ON cl.ticker = gr.ticker),
   g3 AS (SELECT *, CASE WHEN state_us IS NULL THEN 'no_pre_state' WHEN m IS NULL THEN 'no_match' WHEN post_us IS NULL THEN 'no_post_state' WHEN close_us IS NULL OR deadline_us > close_us THEN 'past_close'
-    WHEN EXISTS (SELECT 1 FROM v_excl x WHERE x.start_us <= g2.deadline_us AND x.end_us >= g2.state_us) THEN 'screened' ELSE 'matched' END AS status FROM g2),
+    WHEN EXISTS (SELECT 1 FROM v_quiet x WHERE x.start_us <= g2.deadline_us AND x.end_us >= g2.state_us) THEN 'screened' ELSE 'matched' END AS status FROM g2),
   rf AS (SELECT ticker, state_us, status, prints, coalesce(m[1], first_us) AS print_us, close_us, m[2] AS print_id, m[3] AS side, CASE WHEN status = 'matched' THEN pre END AS before, CASE WHEN status = 'matched' THEN post END AS after,
     coalesce(status = 'matched' AND 2 * post < pre, false) AS depleted, deadline_us FROM g3),
   refills AS (SELECT * EXCLUDE (deadline_us), CASE WHEN depleted THEN (SELECT min(t.us) FROM st t WHERE t.ticker = rf.ticker AND t.us > rf.state_us AND t.us <= rf.deadline_us AND 2 * CASE WHEN rf.side = 'yes' THEN t.yes_size ELSE t.no_size END >= rf.before) - print_us END AS refill_us FROM rf)"""
@@ -120,7 +120,7 @@ _REFILLS = """st AS (SELECT * FROM v_coarse QUALIFY row_number() OVER (PARTITION
 @query("replenishment", f"WITH {_REFILLS} SELECT * FROM refills")
 def replenishment(spark, sf_dir):
     closes = view(spark, sf_dir, "v_touch").groupBy("ticker").agg(F.max("us").alias("close_us"))
-    return op.replenishment(view(spark, sf_dir, "v_takes"), view(spark, sf_dir, "v_coarse"), closes, view(spark, sf_dir, "v_excl"), 24 * HOUR)
+    return op.replenishment(view(spark, sf_dir, "v_takes"), view(spark, sf_dir, "v_coarse"), closes, view(spark, sf_dir, "v_quiet"), 24 * HOUR)
 
 _STATUSES = ("no_pre_state", "no_match", "no_post_state", "past_close", "screened", "matched")
 
@@ -241,11 +241,11 @@ def follower_response(spark, sf_dir):
 
 _LEADS = f"""{_responses_sql(f"SELECT DISTINCT upstream AS ticker, downstream AS follower FROM ({_PAIRS}) UNION SELECT downstream, upstream FROM ({_PAIRS})")},
   wa AS (SELECT corridor, 'forward' AS reading, upstream AS ticker, downstream AS follower FROM ({_PAIRS}) UNION ALL SELECT corridor, 'reverse', downstream, upstream FROM ({_PAIRS})),
-  el AS (SELECT r.*, lead_us IS NOT NULL AND EXISTS (SELECT 1 FROM v_excl x WHERE x.start_us <= r.us + r.lead_us AND x.end_us >= r.anchor_us) AS is_out, us {{div}} 86400000000 AS d, corridor, reading FROM responses r JOIN wa ON wa.ticker = r.ticker AND wa.follower = r.follower),
+  el AS (SELECT r.*, lead_us IS NOT NULL AND EXISTS (SELECT 1 FROM v_quiet x WHERE x.start_us <= r.us + r.lead_us AND x.end_us >= r.anchor_us) AS is_out, us {{div}} 86400000000 AS d, corridor, reading FROM responses r JOIN wa ON wa.ticker = r.ticker AND wa.follower = r.follower),
   es AS (SELECT 'pair' AS scope, reading, corridor, ticker AS leader, follower, -1 AS day, lead_us, is_out FROM el UNION ALL SELECT 'corridor', reading, corridor, '*', '*', -1, lead_us, is_out FROM el UNION ALL SELECT 'day', reading, corridor, '*', '*', d, lead_us, is_out FROM el)"""
 
 
 @query("pair_lead_lag", f"""WITH RECURSIVE {_LEADS} SELECT scope, reading, corridor, leader, follower, day, count(*) AS crossings, count(lead_us) FILTER (NOT is_out) AS episodes, count(lead_us) FILTER (is_out) AS screened, quantile_cont(lead_us, 0.5) FILTER (NOT is_out) AS median_lead_us FROM es GROUP BY scope, reading, corridor, leader, follower, day""")
 def pair_lead_lag(spark, sf_dir):
     pairs = _pairs(spark, sf_dir).select(F.concat(F.lit("C"), F.substring("ticker", 2, 20).cast("long") % 4).alias("corridor"), F.col("ticker").alias("upstream"), F.col("follower").alias("downstream"))
-    return op.pair_lead_lag(view(spark, sf_dir, "v_mid"), pairs, view(spark, sf_dir, "v_excl"), 24 * HOUR, 2000, 48 * HOUR, 1000)
+    return op.pair_lead_lag(view(spark, sf_dir, "v_mid"), pairs, view(spark, sf_dir, "v_quiet"), 24 * HOUR, 2000, 48 * HOUR, 1000)

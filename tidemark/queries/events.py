@@ -107,14 +107,14 @@ def _ticker_locks(spark, sf_dir):
     return view(spark, sf_dir, "v_touch").groupBy("ticker").agg((F.min("us") + 12 * HOUR).alias("lock_us"))
 
 
-_CONVERGED = f"""{_TICKER_LOCKS}, r1 AS (SELECT *, coalesce(mid2 >= 9000, false) AS is_on, lead(us) OVER (PARTITION BY ticker ORDER BY us, id) AS next_us FROM v_mid), r2 AS (SELECT *, lag(is_on) OVER (PARTITION BY ticker ORDER BY us, id) AS was FROM r1),
+_CONVERGED = f"""{_TICKER_LOCKS}, r1 AS (SELECT *, coalesce(mid2 >= 11000, false) AS is_on, lead(us) OVER (PARTITION BY ticker ORDER BY us, id) AS next_us FROM v_mid), r2 AS (SELECT *, lag(is_on) OVER (PARTITION BY ticker ORDER BY us, id) AS was FROM r1),
   r3 AS (SELECT *, sum(CASE WHEN is_on AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY us, id ROWS UNBOUNDED PRECEDING) AS island FROM r2),
   r4 AS (SELECT ticker, min(us) AS from_us, (arg_max((next_us, 1), (us, id)))[1] AS to_us FROM r3 WHERE is_on GROUP BY ticker, island),
   cg AS (SELECT ticker, lock_us, min(CASE WHEN from_us IS NOT NULL AND (to_us IS NULL OR greatest(from_us, lock_us) + 21600000000 <= to_us) AND greatest(from_us, lock_us) + 21600000000 <= lock_us + 864000000000 THEN greatest(from_us, lock_us) END) - lock_us AS converged_us FROM tl LEFT JOIN r4 USING (ticker) GROUP BY ticker, lock_us)"""
 
 
 def _converged(spark, sf_dir):
-    return op.convergence_time(_ticker_locks(spark, sf_dir), view(spark, sf_dir, "v_mid"), 9000, 6 * HOUR, 240 * HOUR)
+    return op.convergence_time(_ticker_locks(spark, sf_dir), view(spark, sf_dir, "v_mid"), 11_000, 6 * HOUR, 240 * HOUR)
 
 
 @query("convergence_time", f"WITH {_CONVERGED} SELECT *, coalesce(converged_us, 864000000000) AS half_life_us, converged_us IS NULL AS censored FROM cg")

@@ -31,6 +31,7 @@ VIEWS = {
     "v_takes": "SELECT id, ticker, us, taker_side, units, yes_price {div} 1000 * 1000 AS yes_price FROM v_prints",
     "v_gaps": "SELECT event_id AS id, CASE WHEN k % 50 = 0 THEN '' ELSE concat('M', user_id) END AS ticker, us AS detected_us, CASE WHEN k % 3 = 0 THEN 'sequence' ELSE 'reconnect' END AS reason FROM ev WHERE event_type = 'error'",
     "v_excl": "SELECT event_id AS id, CASE k % 3 WHEN 0 THEN 'recorded_gap' WHEN 1 THEN 'subscription_wide' ELSE 'resubscribe_blind' END AS class, us AS start_us, us + (1 + k % 20) * 6000000 AS end_us FROM ev WHERE event_type = 'error'",
+    "v_quiet": "SELECT DISTINCT day * 86400000000 + 25200000000 AS start_us, day * 86400000000 + 32400000000 AS end_us FROM (SELECT us {div} 86400000000 AS day FROM ev) d WHERE day % 7 = 3",
     "v_obs": "SELECT event_id AS id, concat('S', user_id % 20) AS station, us AS valid_us, us + (k % 9) * 60000000 AS seen_us, 400 + c % 600 AS tenths FROM ev",
     "v_days": "SELECT station, valid_us {div} 86400000000 AS day, max(tenths) {div} 10 + (valid_us {div} 86400000000) % 3 - 1 AS official FROM v_obs GROUP BY station, valid_us {div} 86400000000",
     "v_strikes": "SELECT station, day, 300 + 50 * n AS strike, concat('KX', station, '-', day, '-T', 300 + 50 * n) AS ticker FROM v_days CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 6 UNION ALL SELECT 12 UNION ALL SELECT 13) x",
