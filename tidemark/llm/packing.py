@@ -3,8 +3,9 @@
 Each Spark partition packs its own documents, a pool at a time, with no shuffle. A pool's remainders are counted by
 length; every window takes the longest one left and the multiset of others that fills it best. Which fills can be
 reached is a bitset that is shifted and merged once per length and power of two of its count (the subset-sum dynamic
-program), and the counts used are found by going back through its stages. When no exact fill is left, what remains
-waits for the next pool; at the end of a partition, and where too much waits, it is cut to size.
+program), and the counts used are found by going back through its stages. Where the best fill leaves slack, all that is
+left is longer than the slack, and the longest is cut to close the window. Less than a window is left for the next pool;
+at the end of a partition that goes into sequences of powers of two in the same way.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections import defaultdict, deque
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,6 @@ POOL_TOKENS, POOL_DOCUMENTS, REMEMBERED = 2_000_000, 16_384, 600_000
 REMEMBERED_IN_TASK = 200_000
 #: Bytes of text and distinct words that are encoded at once; the first is less where memory is to be given back.
 PIECE, PIECE_IN_TASK, ENCODED = 3 << 20, 1 << 20, 4_000
-#: Tokens that may wait from pool to pool.
-MOST_WAITING = 8_000_000
 
 # Letters, digits and other ASCII signs; 0 is what may join with its neighbours: apostrophes and most of what isn't ASCII.
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -120,68 +119,76 @@ def best_fill(counts: dict[int, int], target: int) -> dict[int, int]:
 
 
 class _Packer:
+    """Pieces that wait, by length: (doc_id, the piece's ids, its start, tokens of its document), and rows of those packed."""
+
     def __init__(self, window: int, partition: int, want_ids: bool):
         self.window, self.next, self.want_ids = window, partition << 32, want_ids
         self.waiting: dict[int, list] = defaultdict(list)
+        self.tokens = 0
         self.rows: list[tuple] = []
 
     def _emit(self, items: list) -> None:
         at = 0
-        for doc, ids, a, b in items:
-            own = ids[a:b].tobytes()
-            self.rows.append((doc, a, b - a, zlib.crc32(own), len(ids), self.next, at, own if self.want_ids else None))
-            at += b - a
+        for doc, ids, start, whole in items:
+            own = ids.tobytes()
+            self.rows.append((doc, start, len(ids), zlib.crc32(own), whole, self.next, at, own if self.want_ids else None))
+            at += len(ids)
         self.next += 1
 
+    def _wait(self, doc: int | None, ids: np.ndarray, start: int, whole: int) -> None:
+        self.waiting[len(ids)].append((doc, ids, start, whole))
+        self.tokens += len(ids)
+
     def add(self, doc: int | None, ids: np.ndarray) -> None:
         whole = len(ids) // self.window * self.window
         for a in range(0, whole, self.window):
-            self._emit([(doc, ids, a, a + self.window)])
+            self._emit([(doc, ids[a : a + self.window], a, len(ids))])
         if whole < len(ids):
-            self.waiting[len(ids) - whole].append((doc, ids, whole, len(ids)))
-
-    def pack(self) -> None:
-        """Fills windows exactly for as long as the waiting pieces allow."""
-        counts = {k: len(v) for k, v in sorted(self.waiting.items(), reverse=True)}
-        for longest in list(counts):
-            while counts.get(longest):
-                counts[longest] -= 1
-                used = best_fill(counts, self.window - longest)
-                if longest + sum(k * n for k, n in used.items()) < self.window:
-                    counts[longest] += 1
-                    break  # shorter pieces may still fit each other
-                own = [self.waiting[longest].pop()]
-                for k, n in used.items():
-                    counts[k] -= n
-                    own += [self.waiting[k].pop() for _ in range(n)]
-                counts = {k: n for k, n in counts.items() if n}
-                self._emit(own)
-        self.waiting = defaultdict(list, {k: v for k, v in self.waiting.items() if v})
-
-    def finish(self, last: bool = True) -> None:
-        """Cuts what still waits into full windows, and at last the rest into sequences of powers of two, which need no padding."""
-        left = deque(x for k in sorted(self.waiting, reverse=True) for x in self.waiting[k])
-        rest = sum(b - a for _, _, a, b in left)
-        sizes = [self.window] * (rest // self.window)
-        if last:
-            sizes += [1 << i for i in reversed(range(rest.bit_length())) if rest % self.window >> i & 1]
-        for size in sizes:
-            own = []
-            while size:
-                doc, ids, a, b = left.popleft()
-                take = min(size, b - a)
-                own.append((doc, ids, a, a + take))
-                size -= take
-                if a + take < b:
-                    left.appendleft((doc, ids, a + take, b))
-            self._emit(own)
-        self.waiting = defaultdict(list)
-        for doc, ids, a, b in left:
-            self.waiting[b - a].append((doc, ids.copy(), a, b))
-
-    def waits(self) -> int:
-        """Tokens that wait, with those of their documents that are held for them."""
-        return sum(len(ids) for own in self.waiting.values() for _, ids, _, _ in own)
+            self._wait(doc, ids[whole:], whole, len(ids))
+
+    def _fill(self, size: int) -> None:
+        """One sequence of size tokens: the longest piece that fits, the best fill of what it leaves, and the longest piece cut to close it."""
+        longest = next((k for k in self.counts if k <= size), 0)
+        used = {longest: 1} if longest else {}
+        if longest < size:
+            left = dict(self.counts)
+            if longest:
+                left[longest] -= 1
+            for k, n in best_fill({k: n for k, n in left.items() if n and k <= size - longest}, size - longest).items():
+                used[k] = used.get(k, 0) + n
+        own = []
+        for k, n in used.items():
+            own += [self.waiting[k].pop() for _ in range(n)]
+            self._count(k, -n)
+        slack = size - sum(k * n for k, n in used.items())
+        if slack:
+            k = next(iter(self.counts))
+            doc, ids, start, whole = self.waiting[k].pop()
+            self._count(k, -1)
+            own.append((doc, ids[:slack], start, whole))
+            self.waiting[k - slack].append((doc, ids[slack:], start + slack, whole))
+            self._count(k - slack, 1)
+        self.tokens -= size
+        self._emit(own)
+
+    def _count(self, length: int, n: int) -> None:
+        """Adds n pieces of a length to the counts, which stay in order from the longest."""
+        if length in self.counts:
+            self.counts[length] += n
+            if not self.counts[length]:
+                del self.counts[length]
+        else:
+            self.counts = dict(sorted([*self.counts.items(), (length, n)], reverse=True))
+
+    def pack(self, last: bool = False) -> None:
+        """Fills windows as long as the pieces that wait suffice, and at last the rest into sequences of powers of two, which need no padding."""
+        self.counts = {k: len(v) for k, v in sorted(self.waiting.items(), reverse=True)}
+        while self.tokens >= self.window:
+            self._fill(self.window)
+        while last and self.tokens:
+            self._fill(1 << self.tokens.bit_length() - 1)
+        # what is left is no view of a document that is held for it
+        self.waiting = defaultdict(list, {k: [(doc, ids.copy(), start, whole) for doc, ids, start, whole in v] for k, v in self.waiting.items() if v})
 
     def batch(self) -> pa.RecordBatch:
         kinds = [pa.int64()] * 7 + [pa.binary()] * self.want_ids
@@ -213,13 +220,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end
                 tokens, documents = tokens + b - a + 1, documents + 1
             if tokens >= POOL_TOKENS or documents >= POOL_DOCUMENTS:
                 packer.pack()
-                if packer.waits() > MOST_WAITING:
-                    packer.finish(last=False)
                 tokens = documents = 0
             if len(packer.rows) >= 4096:
                 yield packer.batch()
-        packer.pack()
-        packer.finish()
+        packer.pack(last=True)
         if forget:
             tokenizer(tokenizer_path).known.clear()
             give_back()
