@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from tidemark.llm.extraction import blocks, main_text, name_cue
+from tidemark.llm.extraction import blocks, labelled, main_text, name_cue
 
 P1 = "The first paragraph of the article tells at some length what happened in the town on that day."
 P2 = "A second paragraph goes on with the story, adds a few details, and ends with a full stop."
@@ -44,6 +44,10 @@ GOLD = {
     "list in article": (f"<article>{TWO}<ul><li>First point of the list.</li><li>Second point of the list.</li></ul><p>{P2}</p></article>", f"{BOTH}\nFirst point of the list.\nSecond point of the list.\n{P2}"),
     "references": ("<article><p>Fish &amp; chips &lt;3 &#x41;&nbsp;&copy; and some more words to make it long.</p></article>", "Fish & chips <3 A © and some more words to make it long."),
     "upper case": (f"<BODY><NAV>menu</NAV><ARTICLE>{TWO.upper()}</ARTICLE><FOOTER>foot</FOOTER></BODY>", BOTH.upper()),
+    "math": ("<article><p>The formula <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds for every case.</p></article>", "The formula x=2 holds for every case."),
+    "button in a paragraph": (f"<article><p>Press <button>Save</button> to keep the file</p>{TWO}<button>Share</button></article>", f"Press Save to keep the file\n{BOTH}"),
+    "noscript in an article": (f"<article><p>{P1}</p><noscript><p>{P2}</p></noscript></article>", BOTH),
+    "noscript notice": (f"<div><p>{P1}</p><noscript><p>Please enable scripts to see this page.</p></noscript></div>", P1),
     "no article at all": (f"{MENU}<div><a href=/a>a</a> | <a href=/b>b</a></div>", ""),
 }
 
@@ -74,3 +78,30 @@ def test_long_deep_page():
     began = time.time()
     assert main_text(page) == "\n".join([BOTH] * 2_000)
     assert time.time() - began < 20
+
+
+#: Pages on which the sign of some block's own cost is wrong, and what is beside it decides.
+CUT = {
+    "short paragraph": (f"<div><p>{P1}</p><p>Why</p><p>{P2}</p></div>", f"{P1}\nWhy\n{P2}"),
+    "line between paragraphs": (f"<div><p>{P1}</p><div>So it went on</div><p>{P2}</p></div>", f"{P1}\nSo it went on\n{P2}"),
+    "item between paragraphs": (f"<div><p>{P1}</p><ul><li>The one point of this list, which is told at more length than others.</li></ul><p>{P2}</p></div>", f"{P1}\nThe one point of this list, which is told at more length than others.\n{P2}"),
+    "text among links": (f"<div>{MENU}</div><div><ul><li><a href=/a>One more story</a></li><li>{'many ' * 42}words.</li><li><a href=/b>Another story</a></li></ul></div><div><p>{P1}</p><p>{P2}</p></div>", BOTH),
+    "text among teasers": (f"<div><p>{P1}</p><p>{P2}</p></div><div><div><a href=/1>First of the stories</a></div><p>Read this too.</p><div><a href=/2>Second of the stories</a></div></div>", BOTH),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CUT))
+def test_the_cut_decides(name):
+    page, text = CUT[name]
+    assert main_text(page) == text
+    found = labelled(page)
+    assert any((cost > 0) != content for _, cost, content in found)
+    assert "\n".join(b.text for b, cost, _ in found if cost > 0) != text
+
+
+def test_deep_pages_of_named_elements():
+    began = time.time()
+    assert main_text("<div class=sidebar>" * 20_000 + "x") == ""
+    assert main_text("<div class=sidebar>x " * 20_000) == ""
+    assert main_text(f"<div class=post-body>{P1}" * 5_000).count("\n") == 4_999
+    assert time.time() - began < 10

@@ -2,8 +2,9 @@
 
 A page is cut into blocks of text. A linear classifier over what encloses a block, its length and its links gives the
 cost of calling it boilerplate or content, which become the capacities of its edges from the source and to the sink.
-Edges between neighbouring blocks, and between neighbours with the same parent, cost their capacity when the labels
-differ. The minimum cut is the cheapest labelling of the whole page; blocks on the source's side are its main text.
+Edges between neighbouring blocks, weaker the further apart they are in the tree of elements, and between neighbours with
+the same parent, cost their capacity when the labels differ. The minimum cut is the cheapest labelling of the whole page;
+blocks on the source's side are its main text. Where nothing around a block tells, what is beside it decides.
 
 All costs are finite. Names of elements are evidence by their head noun (``post-sidebar`` is a sidebar, ``has-sidebar``
 and ``page-with-sidebar`` are not, ``search-results`` hardly a search box), ``article`` and ``main`` outweigh names and
@@ -23,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements of HTML, and words in class, id and role that name parts of a page.
-RAW = "script style noscript template textarea select svg math iframe object canvas audio video title"
+RAW = "script style template textarea select svg iframe object canvas audio video title annotation annotation-xml"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-PARTS_OUT = frozenset("nav footer aside button menu dialog head".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
+PARTS_OUT = frozenset("nav footer aside menu dialog head".split())
 PARTS_IN = frozenset("article main".split())
 FORMS = frozenset("form fieldset".split())
 NAMES_OUT = frozenset(
@@ -52,7 +56,9 @@ INSIDE, NAMED, WEAK, FORM, OUT, PART, OUTSIDE = 4.0, 2.0, -1.5, -3.0, -6.0, -9.0
 WRAPS, LEFT, MAIN, PROSE = 0.6, 0.1, 0.3, 8
 #: Weight of links in a paragraph or heading that is placed as content.
 LINKED = 0.45
-NEXT, SIBLING = 0.5, 0.7
+#: Edge between neighbouring blocks two steps apart in the tree, as neighbouring paragraphs are, and what each further step
+#: leaves of it; edge between neighbours of one parent; share of a block's text in buttons from which it is a button.
+NEXT, STEP, SIBLING, BUTTON = 0.7, 0.8, 0.7, 0.99
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})(?=[\s/>])((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*)|[^>=])*+)>?(?:(?<=/>)|.*?(?:</\1(?=[\s/>])[^>]*>|\Z))"
@@ -63,20 +69,35 @@ _NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+class Cues:
+    """Evidence that an element gives on what it encloses, and the nearest element around it that gives some."""
+
+    __slots__ = ("apart", "around", "inside", "kinds", "main", "number", "out", "prose", "state")
+
+    def __init__(self, around: Cues | None, kinds: list[str], number: int):
+        self.around, self.kinds, self.number = around, kinds, number
+        self.prose = self.main = 0  # words of prose within it, and of those that are within article or main
+        self.inside = (around is not None and around.inside) or "in" in kinds
+        parts = 2 * any(k in ("part", "comments", "out", "form") for k in kinds) or "header" in kinds
+        self.out = max(around.out if around else 0, int(parts))  # 2 if out of the content, 1 if so unless inside
+        self.apart = (around is not None and around.apart) or "part" in kinds or "comments" in kinds
+        self.state = (0.0, False)
+
+
 class Block:
-    """A run of text between block elements: text, share inside links, words, and what encloses it."""
+    """A run of text between block elements: text, shares inside links and buttons, words, what encloses it, and the steps in the tree from the block before."""
 
-    __slots__ = ("cues", "element", "link", "parent", "text", "words")
+    __slots__ = ("button", "cues", "element", "link", "parent", "steps", "text", "words")
 
     @property
     def inside(self) -> bool:
         """Whether an article or main encloses it."""
-        return any(k == "in" for k, _ in self.cues)
+        return self.cues is not None and self.cues.inside
 
     @property
     def out(self) -> bool:
         """Whether a part of the page that isn't content, or one named so, encloses it."""
-        return any(k in ("part", "comments", "out", "form") or (k == "header" and not self.inside) for k, _ in self.cues)
+        return self.cues is not None and (self.cues.out == 2 or (self.cues.out == 1 and not self.inside))
 
 
 @functools.lru_cache(maxsize=4096)
@@ -108,6 +129,8 @@ def _cues(tag: str, rest: str) -> list[str]:
     kinds = {name_cue(x) for x in names}
     if tag in PARTS_OUT:
         return ["part"]
+    if tag == "noscript":
+        return ["weak"]
     if tag in PARTS_IN or names and ("main" in names or "article" in names) and "role" in rest.lower():
         found.append("in")
     for kind in ("comments", "out", "header"):
@@ -123,26 +146,30 @@ def _cues(tag: str, rest: str) -> list[str]:
 def blocks(page: str) -> list[Block]:
     """Blocks with text, in page order. Elements left open end with the page, or where an outer one ends."""
     found: list[Block] = []
-    stack: list[tuple] = [("", (), 0)]  # tag, cues of it and those around it, number
+    stack: list[tuple] = [("", None, 0)]  # tag, the nearest cues, number
     opened: Counter[str] = Counter()
-    text, link, links, number, at = [], 0, 0, 0, 0
+    text, link, button, links, number, at = [], 0, 0, 0, 0, 0
+    depth, low = 0, 0  # of the block before, and the least since
 
     def flush() -> None:
-        nonlocal text, link
+        nonlocal text, link, button, depth, low
         if text:
             joined = " ".join(html_lib.unescape("".join(text)).split())
             if joined:
                 block, i = Block(), len(stack) - 1
                 while i and stack[i][0] in INLINE:
                     i -= 1
-                block.text, block.link, block.element, block.words = joined, min(1.0, link / len(joined)), stack[i][0], joined.count(" ") + 1
-                block.cues, block.parent = stack[-1][1], stack[max(0, i - 1)][2]
+                block.text, block.link, block.button, block.element, block.words = joined, min(1.0, link / len(joined)), min(1.0, button / len(joined)), stack[i][0], joined.count(" ") + 1
+                block.cues, block.parent = stack[i][1], stack[max(0, i - 1)][2]
+                block.steps, depth = max(2, depth + i - 2 * min(low, i)), i
+                low = depth
                 found.append(block)
-        text, link = [], 0
+        text, link, button = [], 0, 0
 
     def close() -> str:
-        nonlocal links
+        nonlocal links, low
         tag = stack.pop()[0]
+        low = min(low, len(stack) - 1)
         opened[tag] -= 1
         links -= tag == "a"
         return tag
@@ -151,6 +178,7 @@ def blocks(page: str) -> list[Block]:
         if m.start() > at:
             text.append(page[at : m.start()])
             link += (m.start() - at) * bool(links)
+            button += (m.start() - at) * (opened["button"] > 0)
         at = m.end()
         tag = (m[4] or "").lower()
         if not tag:
@@ -170,7 +198,7 @@ def blocks(page: str) -> list[Block]:
             number += 1
             if not m[5].rstrip().endswith("/"):
                 cues = _cues(tag, m[5])
-                stack.append((tag, (*stack[-1][1], *((k, number) for k in cues)) if cues else stack[-1][1], number))
+                stack.append((tag, Cues(stack[-1][1], cues, number) if cues else stack[-1][1], number))
                 opened[tag] += 1
                 links += tag == "a"
     if at < len(page):
@@ -179,23 +207,12 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def costs(found: list[Block]) -> list[float]:
-    """How much likelier each block is content than boilerplate, as a log odds."""
-    prose: Counter[int] = Counter()  # words by element with cues, -1 within article or main, -2 in all
-    inside: Counter[int] = Counter()
-    for b in found:
-        if b.words >= PROSE and b.link < 0.5:
-            own = any(k == "in" for k, _ in b.cues) and not any(k in ("part", "comments") for k, _ in b.cues)
-            for n in {n for _, n in b.cues} | {-2} | ({-1} if own else set()):
-                prose[n] += b.words
-                inside[n] += b.words * own
-    has_main = prose[-1] > 0 and prose[-1] >= MAIN * prose[-2]
-    plain = all(b.element in ("", "html", "body") for b in found)
-    out = []
-    for b in found:
-        cue, own = 0.0, False
-        for kind, n in b.cues:
-            wraps = prose[-2] and prose[n] > WRAPS * prose[-2] and (inside[n] or not has_main)
+def _placed(nodes: list[Cues], total: int, has_main: bool) -> None:
+    """The weight that each element with cues gives to what it encloses, from that of those around it; nodes from the outside in."""
+    for node in nodes:
+        cue, own = node.around.state if node.around else (0.0, False)
+        wraps = total and node.prose > WRAPS * total and (node.main or not has_main)
+        for kind in node.kinds:
             if kind == "part":
                 cue = PART
             elif kind == "comments":
@@ -210,6 +227,37 @@ def costs(found: list[Block]) -> list[float]:
             elif kind != "header" or not own:
                 weight = FORM if kind == "form" else OUT
                 cue = cue + LEFT * weight if wraps else min(cue, weight)
+        node.state = (cue, own)
+
+
+def costs(found: list[Block]) -> list[float]:
+    """How much likelier each block is content than boilerplate, as a log odds."""
+    nodes: dict[int, Cues] = {}
+    total = main = 0
+    for b in found:
+        node = b.cues
+        while node is not None and node.number not in nodes:
+            nodes[node.number] = node
+            node = node.around
+        if b.words >= PROSE and b.link < 0.5:
+            own = b.words if b.inside and not b.cues.apart else 0
+            total, main = total + b.words, main + own
+            if b.cues is not None:
+                b.cues.prose += b.words
+                b.cues.main += own
+    order = [nodes[n] for n in sorted(nodes)]  # an element begins after those around it
+    for node in reversed(order):
+        if node.around is not None:
+            node.around.prose += node.prose
+            node.around.main += node.main
+    has_main = main > 0 and main >= MAIN * total
+    _placed(order, total, has_main)
+    plain = all(b.element in ("", "html", "body") for b in found)
+    out = []
+    for b in found:
+        cue, own = b.cues.state if b.cues is not None else (0.0, False)
+        if b.button >= BUTTON:
+            cue = PART
         upright = b.element in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6")
         z = BIAS + cue + OUTSIDE * (has_main and not own) + PLAIN * plain + WORD * min(b.words, MOST_WORDS) + SENTENCE * (b.text[-1] in ".!?…\"'»”")
         z += LINKS * b.link * (LINKED if upright and cue > 0 else 1)
@@ -291,17 +339,28 @@ def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list
     return side
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page: its content blocks in page order, one a line."""
-    found = blocks(page or "")
+def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges between blocks: to the one before, by the steps between them, and to the last one with the same parent."""
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, NEXT))
+            edges.append((i - 1, i, NEXT * STEP ** (b.steps - 2)))
         if b.parent in last:
             edges.append((last[b.parent], i, SIBLING))
         last[b.parent] = i
-    return "\n".join(b.text for b, content in zip(found, minimum_cut(costs(found), edges), strict=True) if content)
+    return edges
+
+
+def labelled(page: str | None) -> list[tuple[Block, float, bool]]:
+    """The blocks of a page with their own cost and whether the cut calls them content."""
+    found = blocks(page or "")
+    own = costs(found)
+    return list(zip(found, own, minimum_cut(own, smoothness(found)), strict=True))
+
+
+def main_text(page: str | None) -> str:
+    """The main text of a page: its content blocks in page order, one a line."""
+    return "\n".join(b.text for b, _, content in labelled(page) if content)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
