@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import draw
 from tidemark.operators.inference import numbered, resampled
+from tidemark.plans.keep import keep
+from tidemark.plans.scan import running, total
 
 EPSILON = sys.float_info.epsilon
 #: What two statistics that are equal but for rounding may differ by.
@@ -85,3 +87,84 @@ def wild_t_bootstrap(rows: DataFrame, block: list[str], seed: int, replicates: i
     bound = lambda at: F.col("estimate") - F.col("standard_error") * F.col(at)
     p = F.when(F.col("t").isNotNull(), (1 + F.col("extreme")) / F.lit(replicates + 1))
     return out.select("estimate", "standard_error", "t", p.alias("p_value"), bound("at_high").alias("low"), bound("at_low").alias("high"), "blocks", "flat")
+
+
+def _admitted(values: DataFrame, block: list[str], value: str, candidates: list[tuple[int, str]], seed: int, replicates: int, level: float) -> list[bool]:
+    """Whether the median may be each of some candidates, tested in the direction beside it: all in one job, one row comes back.
+
+    A block's statistic is its values above the candidate less those below; with random signs for whole blocks it is the
+    mean of signs under a median that is the candidate, each replicate studentised by its own blocks.
+    """
+    sign = lambda c: F.when(F.col(value).isNull(), 1).otherwise(F.signum(F.col(value) - c)).cast("long")
+    n = range(len(candidates))
+    blocks = values.groupBy(*block).agg(F.count("*").alias("w"), *(F.sum(sign(c)).alias(f"s{k}") for k, (c, _) in enumerate(candidates)))
+    blocks = numbered(blocks, block).drop("n")
+    whole = blocks.agg(F.sum("w").cast("double").alias("W"), F.sum(F.col("w") * F.col("w")).cast("double").alias("W2"), *(F.sum(F.col(f"s{k}") * F.col(f"s{k}")).cast("double").alias(f"q{k}") for k in n))
+    flips = blocks.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1)))).withColumn("f", F.when((F.col("rep") < 0) | (draw(seed, "rep", "i") % 2 == 0), 1).otherwise(-1))
+    sums = [F.sum(F.col("f") * F.col(f"s{k}") * x).cast("double").alias(f"{name}{k}") for k in n for name, x in (("a", F.lit(1)), ("b", F.col("w")))]
+    reps = flips.groupBy("rep").agg(*sums).join(F.broadcast(whole))
+
+    def t(k: int) -> Column:
+        offset = F.col(f"a{k}") / F.col("W")
+        spread = F.col(f"q{k}") - 2 * offset * F.col(f"b{k}") + offset * offset * F.col("W2")
+        return F.when(spread > ROUNDING * F.col(f"q{k}"), F.col(f"a{k}") / F.sqrt(spread))
+
+    reps = reps.select("rep", *(t(k).alias(f"t{k}") for k in n))
+    # replicate -1 has no sign turned: it is what was observed
+    seen = reps.filter("rep < 0").select(*(F.col(f"t{k}").alias(f"o{k}") for k in n))
+    rows = reps.filter("rep >= 0").join(F.broadcast(seen))
+    p = [(1 + F.count_if(F.col(f"t{k}").isNull() | _beyond(F.col(f"t{k}"), F.col(f"o{k}"), d))) / F.lit(replicates + 1) for k, (_, d) in enumerate(candidates)]
+    return list(rows.agg(*(F.coalesce(F.first(f"o{k}").isNotNull() & (p[k] > (1 - level) / 2), F.lit(False)).alias(f"p{k}") for k in n)).first())
+
+
+def median_interval(values: DataFrame, block: list[str], value: str, seed: int, replicates: int = 1_000, level: float = 0.95, width: int = 100_000, ways: int = 16) -> DataFrame:
+    """Median of whole numbers with the interval of those that a studentised sign-flip test over blocks doesn't reject: estimate, low, high, n, censored.
+
+    A null value is censored: longer than all others. The estimate is the value of the middle rank. From it on outwards,
+    down and up, a bound is the last of the values that is admitted before one is refused. It is looked for by ranks: in
+    each round some values between the last admitted and the first refused are tested, in one job for both sides, until
+    none lie between; the driver gets their verdicts alone. So a bound is next to a value that is refused, or is the
+    outermost. Where half or more are censored, or the estimate itself is refused, bounds are null; no values give no row.
+    """
+    values = keep(values.select(*block, value))
+    size = values.agg(F.count("*").alias("n"), (F.count("*") - F.count(value)).alias("censored")).filter("n > 0")
+    n = (size.first() or [0])[0]
+    bins = values.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
+    upto = running(bins, [], [value], width, {"_upto": total(F.col("_c"))})
+    start = upto.filter(2 * F.col("_upto") >= n).agg(F.min(value)).first()[0] if n else None
+    # for each side: the last admitted, the first refused, and whether it is still looked for
+    sides = {"low": [start, None, start is not None], "high": [start, None, start is not None]}
+    ends = {"low": ("greater", F.max, F.min), "high": ("less", F.min, F.max)}
+    if start is not None:
+        for side, ok in zip(sides, _admitted(values, block, value, [(start, ends[s][0]) for s in sides], seed, replicates, level), strict=True):
+            if not ok:
+                sides[side] = [None, start, False]
+    while any(s[2] for s in sides.values()):
+        asked: list[tuple[int, str]] = []
+        owners: list[str] = []
+        for side, (last, refused, open_) in sides.items():
+            if not open_:
+                continue
+            outwards = F.col(value) < last if side == "low" else F.col(value) > last
+            if refused is not None:
+                outwards &= F.col(value) > refused if side == "low" else F.col(value) < refused
+            spread = F.percentile_approx(value, [k / (ways + 1) for k in range(1, ways + 1)], 10_000)
+            r = values.filter(outwards).agg(ends[side][1](value), ends[side][2](value), spread).first()
+            found = sorted({x for x in (r[0], r[1], *(r[2] or [])) if x is not None}, reverse=side == "low")
+            if not found:
+                sides[side][2] = False
+            asked += [(x, ends[side][0]) for x in found]
+            owners += [side] * len(found)
+        verdicts = _admitted(values, block, value, asked, seed, replicates, level) if asked else []
+        for side in sides:
+            if not sides[side][2]:
+                continue
+            for (x, _), ok, owner in zip(asked, verdicts, owners, strict=True):
+                if owner != side:
+                    continue
+                if not ok:
+                    sides[side][1] = x
+                    break
+                sides[side][0] = x
+    kind = values.schema[value].dataType
+    return size.select(*(F.lit(x).cast(kind).alias(c) for c, x in (("estimate", start), ("low", sides["low"][0]), ("high", sides["high"][0]))), "n", "censored")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import draw
-from tidemark.operators.inference import numbered
 from tidemark.plans.asof import asof_join
 from tidemark.plans.intervals import interval_join
 
@@ -80,20 +78,3 @@ def apply_spans(days: DataFrame, excluded: DataFrame) -> DataFrame:
     """Time of each day that is left once what is excluded is taken off: days (day), excluded (day, overlap_us)."""
     rows = days.join(excluded, "day", "left").withColumn("excluded_us", F.coalesce("overlap_us", F.lit(0)))
     return rows.select("day", "excluded_us", (F.lit(DAY_US) - F.col("excluded_us")).alias("span_us"))
-
-
-def median_interval(blocks: DataFrame, values: DataFrame, order: list[str], candidates: list[int], seed: int, replicates: int, alpha: float) -> DataFrame:
-    """Confidence interval of a median: the candidates that a sign-flip test of the values' signs around them admits.
-
-    blocks: keys of the blocks; values: the same keys and value. A block's statistic at a candidate is its values above
-    less those below; a replicate flips whole blocks. All candidates are tested in one job; the first and last admitted
-    are returned.
-    """
-    at = values.withColumn("candidate", F.explode(F.array(*(F.lit(c).cast("long") for c in candidates))))
-    sums = at.groupBy(*order, "candidate").agg(F.sum(F.signum(F.col("value") - F.col("candidate"))).cast("long").alias("s"))
-    placed = sums.join(numbered(blocks, order).select(*order, "i"), order)
-    observed = placed.groupBy("candidate").agg(F.abs(F.sum("s")).alias("t"))
-    signs = placed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("sign", F.when(draw(seed, "rep", "i") % 2 == 0, 1).otherwise(-1))
-    reps = signs.groupBy("candidate", "rep").agg(F.abs(F.sum(F.col("sign") * F.col("s"))).alias("r"))
-    tested = reps.join(observed, "candidate").groupBy("candidate").agg(((1 + F.count_if(F.col("r") >= F.col("t"))) / F.lit(replicates + 1)).alias("p_value"))
-    return tested.filter(F.col("p_value") >= alpha).agg(F.min("candidate").alias("low"), F.max("candidate").alias("high"), F.count("*").alias("admitted"))

@@ -224,14 +224,29 @@ def frames_in_windows(frames: DataFrame, windows: DataFrame, width: int = 60 * M
     return out.withColumn("verdict", verdict)
 
 
-def heartbeat_alarms(beats: DataFrame, stale_us: int = 300_000_000, most_gaps: int = 2) -> DataFrame:
-    """Beats after which the next comes late, or with too many new gaps."""
+def heartbeat_alarms(beats: DataFrame, stale_us: int = 300_000_000, most_gaps: int = 2, maintenance: tuple[int, int] | None = None) -> DataFrame:
+    """Beats after which the next comes late, or with too many new gaps: stream, us, alarm.
+
+    maintenance: from and to, in microseconds of the UTC day; a beat that would have become stale within it raises no
+    stale alarm. Beats of a stream at one instant are in order of their gaps.
+    """
     order = Window.partitionBy("stream").orderBy("us", "gaps")
     seen = beats.withColumn("next_us", F.lead("us").over(order)).withColumn("new_gaps", F.col("gaps") - F.coalesce(F.lag("gaps").over(order), F.lit(0)))
     late, many = F.col("next_us") - F.col("us") > stale_us, F.col("new_gaps") > most_gaps
+    if maintenance:
+        due = (F.col("us") + stale_us) % DAY_US
+        late &= ~((due >= maintenance[0]) & (due < maintenance[1]))
     return seen.filter(late | many).select("stream", "us", F.when(late & many, "both").when(late, "stale").otherwise("gaps").alias("alarm"))
 
 
+def heartbeat_days(beats: DataFrame, alarms: DataFrame) -> DataFrame:
+    """Each UTC day with beats: streams, beats, alarms, and all_clear, the day's word that there were none."""
+    day = F.floor(F.col("us") / DAY_US).alias("day")
+    raised = alarms.groupBy(day).agg(F.count("*").alias("alarms"))
+    days = beats.groupBy(day).agg(F.count_distinct("stream").alias("streams"), F.count("*").alias("beats")).join(raised, "day", "left")
+    return days.withColumn("alarms", F.coalesce("alarms", F.lit(0).cast("long"))).withColumn("all_clear", F.col("alarms") == 0)
+
+
 def manifest_totals(files: DataFrame) -> DataFrame:
     return files.groupBy("kind").agg(F.count("*").alias("objects"), F.sum("bytes").alias("bytes"), F.sum("n_rows").alias("n_rows"), F.array_join(F.sort_array(F.collect_set("root")), ",").alias("roots"))
 

@@ -1,8 +1,10 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import resampling as op
+from tidemark.operators.inference import day_blocks
 from tidemark.queries import query
 from tidemark.queries.inference import _BLOCKS, _CLUSTERS, _blocks, _clusters, _draw
+from tidemark.sources.adapters import view
 
 R = 10_000
 _EPS = f"{op.EPSILON!r}::DOUBLE"
@@ -33,3 +35,23 @@ def wild_t_bootstrap(spark, sf_dir):
     out = op.wild_t_bootstrap(_blocks(spark, sf_dir), ["grp", "block"], 23, R, 3.0)
     places = {"p_value": 9, "low": 5, "high": 5, "blocks": None, "flat": None}
     return out.select(*(c if places.get(c, 6) is None else F.round(c, places.get(c, 6)).alias(c) for c in out.columns))
+
+
+_FLIPS, _VALUES = 200, """vd AS (SELECT user_id, user_id % 7 AS grp, us {div} 86400000000 AS day, sum(CASE WHEN event_type = 'click' THEN c ELSE -c END)::BIGINT AS total, count(*) FILTER (event_type = 'error') > 1 AS open FROM ev GROUP BY 1, 2, 3),
+  vl AS (SELECT grp, (dense_rank() OVER (PARTITION BY grp ORDER BY day) - 1) {div} 3 AS block, CASE WHEN NOT open THEN total END AS value FROM vd)"""
+
+
+@query("median_interval", f"""WITH {_VALUES}, vk AS (SELECT grp, block, count(*) AS w, row_number() OVER (ORDER BY grp, block) - 1 AS i FROM vl GROUP BY grp, block),
+  cd AS (SELECT DISTINCT value AS c FROM vl WHERE value IS NOT NULL), s AS (SELECT i, c, any_value(w) AS w, sum(CASE WHEN value IS NULL THEN 1 ELSE sign(value - c) END)::BIGINT AS s FROM vl JOIN vk USING (grp, block), cd GROUP BY i, c),
+  wh AS (SELECT c, sum(w)::DOUBLE AS W1, sum(w * w)::DOUBLE AS W2, sum(s * s)::DOUBLE AS q, sum(s)::DOUBLE AS a0, sum(s * w)::DOUBLE AS b0 FROM s GROUP BY c), sg AS (SELECT rep, i, CASE WHEN {_draw(5, "rep", "i")} % 2 = 0 THEN 1 ELSE -1 END AS f FROM vk, (SELECT unnest(range(0, {_FLIPS})) AS rep) x),
+  re AS (SELECT c, rep, sum(f * s)::DOUBLE AS a, sum(f * s * w)::DOUBLE AS b FROM s JOIN sg USING (i) GROUP BY c, rep),
+  ts AS (SELECT c, CASE WHEN q - 2 * (a / W1) * b + (a / W1) * (a / W1) * W2 > 1e-9 * q THEN a / sqrt(q - 2 * (a / W1) * b + (a / W1) * (a / W1) * W2) END AS t,
+    CASE WHEN q - 2 * (a0 / W1) * b0 + (a0 / W1) * (a0 / W1) * W2 > 1e-9 * q THEN a0 / sqrt(q - 2 * (a0 / W1) * b0 + (a0 / W1) * (a0 / W1) * W2) END AS o FROM re JOIN wh USING (c)),
+  pv AS (SELECT c, any_value(o) IS NOT NULL AND (1 + count(*) FILTER (t IS NULL OR t >= o - 1e-9)) / {_FLIPS + 1}.0 > 0.05 AS g, any_value(o) IS NOT NULL AND (1 + count(*) FILTER (t IS NULL OR t <= o + 1e-9)) / {_FLIPS + 1}.0 > 0.05 AS l FROM ts GROUP BY c),
+  nn AS (SELECT count(*) AS n, count(*) - count(value) AS censored FROM vl), es AS (SELECT min(value) AS estimate FROM (SELECT value, row_number() OVER (ORDER BY value NULLS LAST) AS r FROM vl), nn WHERE 2 * r >= n AND value IS NOT NULL)
+  SELECT estimate, (SELECT min(c) FROM pv WHERE c <= estimate AND c > coalesce((SELECT max(c) FROM pv WHERE c <= estimate AND NOT g), -9e18)) AS low, (SELECT max(c) FROM pv WHERE c >= estimate AND c < coalesce((SELECT min(c) FROM pv WHERE c >= estimate AND NOT l), 9e18)) AS high, n, censored FROM es, nn""")
+def median_interval(spark, sf_dir):
+    signed = F.when(F.col("event_type") == "click", F.col("c")).otherwise(-F.col("c"))
+    days = view(spark, sf_dir, "ev").groupBy("user_id", (F.col("user_id") % 7).alias("grp"), F.expr("us div 86400000000").alias("day")).agg(F.sum(signed).alias("total"), (F.count_if(F.col("event_type") == "error") > 1).alias("open"))
+    rows = day_blocks(days).select("grp", "block", F.when(~F.col("open"), F.col("total")).alias("value"))
+    return op.median_interval(rows, ["grp", "block"], "value", 5, _FLIPS, 0.9)

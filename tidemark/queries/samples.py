@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 from tidemark.operators import samples as op
 from tidemark.operators import tape
 from tidemark.queries import query
-from tidemark.queries.inference import _BLOCKS, _blocks, _draw
 from tidemark.queries.tape import _DAYS
 from tidemark.sources.adapters import table, view
 
@@ -65,14 +64,3 @@ def apply_spans(spark, sf_dir):
     days = view(spark, sf_dir, "v_tape").select(F.expr("us div 86400000000").alias("day")).distinct()
     spans = days.select("day", (F.col("day") * tape.DAY_US).alias("a"), ((F.col("day") + 1) * tape.DAY_US - 1).alias("b"))
     return op.apply_spans(days, tape.overlap_us(spans, view(spark, sf_dir, "v_excl"), "day", "a", "b"))
-
-
-_CANDIDATES = list(range(-3000, 3001, 500))
-
-
-@query("median_interval", f"""WITH {_BLOCKS}, kb AS (SELECT grp, block, row_number() OVER (ORDER BY grp, block) - 1 AS i FROM (SELECT DISTINCT grp, block FROM bl)), s AS (SELECT i, candidate, sum(sign(total - candidate))::BIGINT AS s FROM bl JOIN kb USING (grp, block), (SELECT unnest({_CANDIDATES}) AS candidate) x GROUP BY ALL),
-  ob AS (SELECT candidate, abs(sum(s)) AS t FROM s GROUP BY candidate), re AS (SELECT candidate, rep, abs(sum(CASE WHEN {_draw(5, "rep", "i")} % 2 = 0 THEN s ELSE -s END)) AS r FROM s, (SELECT unnest(range(0, 100)) AS rep) y GROUP BY ALL),
-  p AS (SELECT candidate, (1 + count(*) FILTER (r >= t)) / 101.0 AS p_value FROM re JOIN ob USING (candidate) GROUP BY candidate) SELECT min(candidate)::BIGINT AS low, max(candidate)::BIGINT AS high, count(*) AS admitted FROM p WHERE p_value >= 0.05""")
-def median_interval(spark, sf_dir):
-    rows = _blocks(spark, sf_dir).select("grp", "block", F.col("total").alias("value"))
-    return op.median_interval(rows.select("grp", "block").distinct(), rows, ["grp", "block"], _CANDIDATES, 5, 100, 0.05)

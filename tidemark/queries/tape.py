@@ -159,6 +159,16 @@ def heartbeat_alarms(spark, sf_dir):
     return op.heartbeat_alarms(beats, stale_us=43_200_000_000)
 
 
+_BEATS = """b AS (SELECT ticker AS stream, us, seq % 7 AS gaps FROM v_tape), s AS (SELECT *, lead(us) OVER w - us > 43200000000 AND NOT ((us + 43200000000) % 86400000000 >= 14400000000 AND (us + 43200000000) % 86400000000 < 50400000000) AS late, gaps - coalesce(lag(gaps) OVER w, 0) > 5 AS many FROM b WINDOW w AS (PARTITION BY stream ORDER BY us, gaps)),
+  al AS (SELECT us {div} 86400000000 AS day, count(*) AS alarms FROM s WHERE late OR many GROUP BY 1)"""
+
+
+@query("heartbeat_days", f"WITH {_BEATS} SELECT us {{div}} 86400000000 AS day, count(DISTINCT stream) AS streams, count(*) AS beats, coalesce(any_value(alarms), 0) AS alarms, coalesce(any_value(alarms), 0) = 0 AS all_clear FROM b LEFT JOIN al ON al.day = us {{div}} 86400000000 GROUP BY 1")
+def heartbeat_days(spark, sf_dir):
+    beats = view(spark, sf_dir, "v_tape").select(F.col("ticker").alias("stream"), "us", (F.col("seq") % 7).alias("gaps"))
+    return op.heartbeat_days(beats, op.heartbeat_alarms(beats, 43_200_000_000, 5, (14_400_000_000, 50_400_000_000)))
+
+
 @query("manifest_totals", "SELECT source AS kind, count(*) AS objects, sum(n_chars)::BIGINT AS bytes, sum(doc_id % 10)::BIGINT AS n_rows, string_agg(DISTINCT lang, ',' ORDER BY lang) AS roots FROM documents GROUP BY source")
 def manifest_totals(spark, sf_dir):
     return op.manifest_totals(table(spark, sf_dir, "documents").select(F.col("source").alias("kind"), F.col("n_chars").alias("bytes"), (F.col("doc_id") % 10).alias("n_rows"), F.col("lang").alias("root")))

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.book import book_levels, touch_series
 
@@ -162,12 +164,105 @@ def stream_stale_alarm(beats: DataFrame, stale_us: int, most_gaps: int) -> DataF
 
     def step(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = carried.withColumn("_new", F.lit(False)).unionByName(batch.select("stream", "us", "gaps", F.lit(True).alias("_new")))
-        own = Window.partitionBy("stream").orderBy("_new", "us")
+        own = Window.partitionBy("stream").orderBy("_new", "us", "gaps")
         late = F.coalesce(F.col("us") - F.lag("us").over(own) > stale_us, F.lit(False))
         many = F.col("gaps") - F.coalesce(F.lag("gaps").over(own), F.lit(0)) > most_gaps
         seen = rows.withColumns({"_late": late, "_many": many}).filter("_new and (_late or _many)")
         alarm = F.when(F.col("_late") & F.col("_many"), "both").when(F.col("_late"), "stale").otherwise("gaps")
-        last = rows.groupBy("stream").agg(F.max_by(F.struct("us", "gaps"), F.struct("_new", "us")).alias("r")).select("stream", "r.*")
+        last = rows.groupBy("stream").agg(F.max_by(F.struct("us", "gaps"), F.struct("_new", "us", "gaps")).alias("r")).select("stream", "r.*")
         return seen.select("stream", "us", alarm.alias("alarm")), last
 
     return run_carried(beats, step, "stream string, us long, gaps long")
+
+
+def _watch(silent_ms: int, most_gaps: int, maintenance: list[tuple[int, int]]):
+    day = 86_400_000
+
+    def quiet(at_ms: int) -> int:
+        """Milliseconds until a maintenance window that holds the time of day is over; 0 outside of one."""
+        return next((b - at_ms % day for a, b in maintenance if a <= at_ms % day < b), 0)
+
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, gaps, silent = state.get if state.exists else (None, 0, False)
+        now, out = state.getCurrentProcessingTimeMs(), []
+        if state.hasTimedOut:
+            wait = quiet(now)
+            if not wait:
+                silent = True
+                out.append(("silent", last, gaps))
+            state.update((last, gaps, silent))
+            state.setTimeoutDuration(wait or silent_ms)
+        else:
+            for chunk in chunks:
+                if not len(chunk):
+                    continue
+                at = chunk["us"].idxmax()
+                us, most = int(chunk["us"].max()), int(chunk["gaps"][at])
+                if last is None or us >= last:
+                    if silent:
+                        silent = False
+                        out.append(("clear", us, most))
+                    if last is not None and most - gaps > most_gaps:
+                        out.append(("gaps", us, most))
+                    last, gaps = us, most
+            state.update((last, gaps, silent))
+            state.setTimeoutDuration(silent_ms)
+        yield pd.DataFrame({"stream": [key[0]] * len(out), "alarm": [o[0] for o in out], "last_us": [o[1] for o in out], "gaps": [o[2] for o in out]})
+
+    return step
+
+
+def stream_silence(beats: DataFrame, silent_ms: int, most_gaps: int = 2, maintenance: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Alarms of streams of beats (stream, us, gaps) as they come: silent, clear and gaps, with the last beat and its gaps.
+
+    A timer of the processing time runs for each stream from its last beats on: where none comes for silent_ms the stream
+    is silent, and says so again each time that passes; its next beat gives the all-clear. Within maintenance windows,
+    (from, to) in milliseconds of the UTC day, the alarm waits for their end. gaps is raised by a batch of beats with more
+    than most_gaps new ones. A stream that never had a beat isn't known. State is one row for each stream; beats older
+    than the last one, and rows with a null, say nothing.
+    """
+    rows = beats.select("stream", "us", "gaps").dropna()
+    return rows.groupBy("stream").applyInPandasWithState(
+        _watch(silent_ms, most_gaps, maintenance or []), "stream string, alarm string, last_us long, gaps long", "last long, gaps long, silent boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
+
+
+def stale_intents(intents: DataFrame, stale_us: int = 240_000_000) -> DataFrame:
+    """Intents (series, as_of, book_us) with stale: the book is older than stale_us, or there is none. Works on streams and tables."""
+    return intents.withColumn("stale", F.coalesce(F.col("as_of") - F.col("book_us") > stale_us, F.lit(True)))
+
+
+def _ratios(counts: DataFrame, warn: float, least: int) -> DataFrame:
+    each = counts.select("series", "seen", "rejected", F.lit(False).alias("pooled"))
+    kind = counts.schema["series"].dataType
+    every = counts.agg(F.lit(None).cast(kind).alias("series"), F.sum("seen").alias("seen"), F.sum("rejected").alias("rejected"), F.lit(True).alias("pooled")).filter("seen > 0")
+    ratio = F.col("rejected") / F.col("seen")
+    return each.unionByName(every).select("series", "pooled", "seen", "rejected", F.round(ratio, 9).alias("ratio"), ((ratio > warn) & (F.col("pooled") | (F.col("seen") >= least))).alias("warns"))
+
+
+def stale_ratios(intents: DataFrame, warn: float = 0.5, least: int = 10) -> DataFrame:
+    """By series, and pooled over all: intents seen, those rejected as stale, their ratio, and whether it warns.
+
+    intents: of stale_intents. A series warns where its ratio is above warn and it has least intents; all together warn
+    whatever their number. A null series is one; no intents give no rows.
+    """
+    return _ratios(intents.groupBy("series").agg(F.count("*").alias("seen"), F.count_if("stale").alias("rejected")), warn, least)
+
+
+def _stale_counts(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
+    new = batch.groupBy("series").agg(F.count("*").alias("seen"), F.count_if("stale").alias("rejected"))
+    both = carried.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+    after = both.groupBy("series").agg(F.sum("seen").alias("seen"), F.sum("rejected").alias("rejected"), F.bool_or("_new").alias("_met"))
+    return after.filter("_met").drop("_met"), after.drop("_met")
+
+
+def watched_intents(intents: DataFrame, name: str, stale_us: int = 240_000_000) -> DataFrame:
+    """stale_intents of a stream that reports, with every batch, how many were seen and rejected, as observed metrics under name."""
+    rows = stale_intents(intents, stale_us)
+    return rows.observe(name, F.count(F.lit(1)).alias("seen"), F.count_if("stale").alias("rejected"))
+
+
+def stream_stale_books(intents: DataFrame, stale_us: int = 240_000_000, warn: float = 0.5, least: int = 10) -> DataFrame:
+    """stale_ratios of a stream of intents (series, as_of, book_us), over what is there now; counts by series are carried."""
+    found = run_carried(watched_intents(intents, "stale_books", stale_us).select("series", "stale"), _stale_counts, "series string, seen long, rejected long")
+    return _ratios(found.groupBy("series").agg(F.max("seen").alias("seen"), F.max("rejected").alias("rejected")), warn, least)  # both only grow
