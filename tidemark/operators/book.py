@@ -10,12 +10,13 @@ from collections.abc import Iterator
 from heapq import nlargest
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import weighted_quantile
-from tidemark.plans.asof import asof_join, last_before
-from tidemark.plans.scan import latest, running, total
+from tidemark.plans.asof import asof_join, last_before, last_row_before
+from tidemark.plans.keep import keep
+from tidemark.plans.scan import before, latest, most, running, total
 
 
 def with_epoch(tape: DataFrame, width: int = 1_000_000) -> DataFrame:
@@ -156,15 +157,120 @@ def rest_agreement(rest: DataFrame, state: DataFrame) -> DataFrame:
     return rows.rollup("series").agg(F.count("*").alias("n"), *(F.count_if(F.col("kind") == k).alias(k) for k in ("agree", "disagree", "no_coverage", "gap")))
 
 
-def replay_parity(touch: DataFrame, state: DataFrame) -> DataFrame:
-    """Two reconstructions at sampled points, tallied: agreed, disagreed, no_anchor or gap."""
-    rows = state.join(touch.select(F.col("id").alias("point_id"), F.col("yes_bid").alias("a"), F.col("no_bid").alias("b")), "point_id", "left")
-    same = F.col("a").eqNullSafe(F.col("yes_bid")) & F.col("b").eqNullSafe(F.col("no_bid"))
-    verdict = F.when(F.col("status") != "ok", F.col("status")).when(same, "agreed").otherwise("disagreed")
-    return rows.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+def parity_results(points: DataFrame, touch: DataFrame, state: DataFrame, shifted: DataFrame, tape: DataFrame, gaps: DataFrame, width: int = 86_400_000_000) -> DataFrame:
+    """Two reconstructions at sampled points, told apart: points with status, tied_agreed and blind.
 
+    points: point_id, ticker, at_us, kind, cohort. touch: best prices after every row of the tape; the pass takes the last
+    one at or before a point, and raises where a gap of the ticker or of the connection lies between its last snapshot and
+    the point. state and shifted: book_state_at of the points, which raises by its own rule; in shifted, deltas stamped like
+    their snapshot count as after it. agreed_on_raise: both raise; disagreed: one does, or prices differ; no_anchor: no
+    snapshot yet; excluded_tied_delta: a delta is stamped like the snapshot in force, so that either state is admissible,
+    and tied_agreed says whether the pass has one of the two; agreed else. blind: nothing of the ticker comes after.
+    """
+    seen = touch.select("ticker", "us", "id", F.struct(F.col("yes_bid").alias("a"), F.col("no_bid").alias("b")).alias("passed"))
+    rows = asof_join(points, seen, ["ticker"], "at_us", "us", ["passed"], tie="id")
+    snaps = tape.filter("is_snapshot").select("ticker", F.col("us").alias("snap_us")).distinct()
+    rows = asof_join(rows, snaps, ["ticker"], "at_us", "snap_us", ["snap_us"])
+    rows = asof_join(rows, gaps.filter("ticker <> ''").select("ticker", F.col("detected_us").alias("own_gap")), ["ticker"], "at_us", "own_gap", ["own_gap"])
+    rows = last_before(rows, gaps.filter("ticker = ''"), "at_us", "detected_us", "gap_us", width)
+    raised = F.coalesce(F.greatest("own_gap", "gap_us") >= F.col("snap_us"), F.lit(False))
+    tied = tape.filter("not is_snapshot").select("ticker", F.col("us").alias("snap_us"), F.lit(True).alias("_tied")).distinct()
+    rows = rows.join(tied, ["ticker", "snap_us"], "left")
+    last = tape.groupBy("ticker").agg(F.max("us").alias("_last"))
+    rows = rows.join(last, "ticker", "left").withColumn("blind", F.coalesce(F.col("_last") < F.col("at_us"), F.lit(True)))
+    views = lambda df, name: df.select("point_id", F.struct("status", "yes_bid", "no_bid").alias(name))
+    rows = rows.join(views(state, "s"), "point_id").join(views(shifted, "z"), "point_id")
+    same = lambda v: F.col("passed.a").eqNullSafe(F.col(f"{v}.yes_bid")) & F.col("passed.b").eqNullSafe(F.col(f"{v}.no_bid"))
+    oracle = F.col("s.status") == "gap"
+    status = F.when(oracle & raised, "agreed_on_raise").when(oracle != raised, "disagreed").when(F.col("s.status") == "no_anchor", "no_anchor")
+    status = status.when(F.col("_tied"), "excluded_tied_delta").when(same("s"), "agreed").otherwise("disagreed")
+    rows = rows.withColumn("status", status)
+    return rows.select(*points.columns, "status", F.when(F.col("status") == "excluded_tied_delta", same("s") | same("z")).alias("tied_agreed"), "blind")
+
+
+def with_later_deltas(tape: DataFrame, points: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """tape, points and gaps with stamps twice as fine, snapshots a step earlier: deltas stamped like a snapshot come after it."""
+    us = F.col("us") * 2 - F.when(F.col("is_snapshot"), 1).otherwise(0)
+    return tape.withColumn("us", us), points.withColumn("at_us", F.col("at_us") * 2), gaps.withColumn("detected_us", F.col("detected_us") * 2)
+
+
+def replay_parity(results: DataFrame) -> DataFrame:
+    """parity_results counted by kind, by cohort and in all: scope, name, each status, tied_agreed, blind and n; statuses that are not there are 0."""
+    scopes = F.explode(F.array(*(F.struct(F.lit(s).alias("scope"), n.alias("name")) for s, n in (("kind", F.col("kind")), ("cohort", F.col("cohort")), ("all", F.lit("*"))))))
+    rows = results.select(scopes.alias("x"), "status", "tied_agreed", "blind").select("x.*", "status", "tied_agreed", "blind")
+    return rows.groupBy("scope", "name").agg(
+        *(F.count_if(F.col("status") == k).alias(k) for k in ("agreed", "agreed_on_raise", "disagreed", "excluded_tied_delta", "no_anchor")), F.count_if("tied_agreed").alias("tied_agreed"), F.count_if("blind").alias("blind"), F.count("*").alias("n")
+    )
+
+
+def ranked_tickers(tape: DataFrame, root: Column, width: int = 1_000) -> DataFrame:
+    """Tickers by their number of rows, most first, ties by name: ticker, root, n_rows, place from 0."""
+    counts = keep(tape.groupBy("ticker").agg(F.count("*").alias("n_rows")).withColumns({"root": root, "_less": -F.col("n_rows")}))
+    return running(counts, [], ["_less", "ticker"], width, {"place": total(F.lit(1), through=False)}).select("ticker", "root", "n_rows", F.col("place").cast("long").alias("place"))
 
-def sample_points(tape: DataFrame, every: int) -> DataFrame:
+
+def sample_cohorts(ranked: DataFrame, busy: int, quiet: int, spread: int) -> DataFrame:
+    """Tickers to sample from, each in one cohort: ticker, cohort, n_rows, place.
+
+    busy: the first of the root with the most rows; quiet: those with the fewest rows; spread: at evenly spaced places
+    of all. A ticker that more than one would take goes to the first of these, so a cohort may come out short.
+    """
+    roots = ranked.groupBy("root").agg(F.sum("n_rows").alias("_rows")).orderBy(F.desc("_rows"), "root").limit(1).select("root")
+    n = ranked.agg(F.count("*").alias("_n"))
+    rows = ranked.join(F.broadcast(n))
+    step = F.greatest(F.floor(F.col("_n") / spread), F.lit(1))
+    of = lambda df, name, order: df.withColumns({"cohort": F.lit(name), "_order": F.lit(order)}).select("ticker", "cohort", "n_rows", "place", "_order")
+    first = ranked.join(F.broadcast(roots), "root").orderBy("place").limit(busy)
+    last = rows.filter(F.col("place") >= F.col("_n") - quiet)
+    even = rows.filter((F.col("place") % step == 0) & (F.col("place") < step * spread))
+    picked = of(first, "busy", 0).unionByName(of(last, "quiet", 1)).unionByName(of(even, "spread", 2))
+    return picked.groupBy("ticker", "n_rows", "place").agg(F.min_by("cohort", "_order").alias("cohort"))
+
+
+def sample_points(tape: DataFrame, cohorts: DataFrame, ranked: DataFrame, gaps: DataFrame, interior: int, batches: int, width: int = 1_000_000) -> DataFrame:
+    """Points at which to compare books, without repeats: ticker, at_us, kind, cohort.
+
+    Of each ticker of cohorts, in order of its ids: interior rows at evenly spaced places; around as many snapshot
+    batches, evenly spaced among those with a row before them, the row before, the batch and a microsecond after it; and
+    blind, a microsecond after its last row. Of each gap (id, ticker, detected_us), cohort gap: post_gap, when it was
+    detected, and gap_edge, the rows before and after it and a microsecond after; a gap of the connection takes the
+    busiest ticker with a snapshot before it, and one without such a ticker has no points.
+    """
+    rows = tape.join(cohorts.select("ticker", "cohort", "n_rows"), "ticker").withColumn("_batch", F.when(F.col("is_snapshot"), F.struct("us", "seq")))
+    rows = keep(running(rows, ["ticker"], ["id"], width, {"_i": total(F.lit(1), through=False), "_was": latest(F.col("_batch"), through=False), "_prev": before(F.col("us"))}))
+    places = F.array_distinct(F.array(*(F.floor(F.col("n_rows") * (i + 1) / (interior + 1)) for i in range(interior))))
+    inner = rows.filter(F.array_contains(places, F.col("_i"))).select("ticker", F.col("us").alias("at_us"), F.lit("interior").alias("kind"), "cohort")
+    starts = rows.filter(F.col("is_snapshot") & (F.col("_was").isNull() | (F.col("_was") != F.col("_batch"))) & F.col("_prev").isNotNull())
+    starts = running(starts, ["ticker"], ["id"], width, {"_b": total(F.lit(1), through=False)}).withColumn("_n", F.count("*").over(Window.partitionBy("ticker")))
+    even = F.array_distinct(F.array(*(F.floor(F.col("_n") * i / batches) for i in range(batches))))
+    around = starts.filter(F.array_contains(even, F.col("_b"))).select("ticker", F.explode(F.array(F.col("_prev"), F.col("us"), F.col("us") + 1)).alias("at_us"), F.lit("snapshot").alias("kind"), "cohort")
+    blind = rows.groupBy("ticker", "cohort").agg((F.max_by("us", "id") + 1).alias("at_us")).select("ticker", "at_us", F.lit("blind").alias("kind"), "cohort")
+    # the busiest ticker with a snapshot by then: the best place so far among first snapshots
+    firsts = tape.filter("is_snapshot").groupBy("ticker").agg(F.min("us").alias("first_us")).join(ranked.select("ticker", "place"), "ticker")
+    lead = running(firsts, [], ["first_us", "place"], 86_400_000_000, {"_best": most(-F.col("place"))}).join(ranked.select((-F.col("place")).alias("_best"), F.col("ticker").alias("_name")), "_best")
+    whole = last_row_before(gaps.filter("ticker = ''"), lead.groupBy("first_us").agg(F.max_by("_name", "_best").alias("_name")), "detected_us", "first_us", ["_name"], 86_400_000_000)
+    own = asof_join(gaps.filter("ticker <> ''"), tape.filter("is_snapshot").select("ticker", F.col("us").alias("first_us")), ["ticker"], "detected_us", "first_us", ["first_us"]).filter("first_us is not null")
+    found = own.select("ticker", "detected_us").unionByName(whole.filter("_name is not null").select(F.col("_name").alias("ticker"), "detected_us")).distinct()
+    stamps = tape.select("ticker", "us", "id")
+    found = asof_join(found, stamps.withColumnRenamed("us", "before_us"), ["ticker"], "detected_us", "before_us", ["before_us"], strict=True, tie="id")
+    found = asof_join(found, stamps.withColumnRenamed("us", "after_us"), ["ticker"], "detected_us", "after_us", ["after_us"], forward=True, tie="id")
+    edge = lambda c, kind: F.struct(c.alias("at_us"), F.lit(kind).alias("kind"))
+    edges = F.array(edge(F.col("detected_us"), "post_gap"), edge(F.col("before_us"), "gap_edge"), edge(F.col("after_us"), "gap_edge"), edge(F.col("after_us") + 1, "gap_edge"))
+    edges = found.select("ticker", F.explode(edges).alias("x")).select("ticker", "x.at_us", "x.kind", F.lit("gap").alias("cohort")).filter("at_us is not null")
+    return inner.unionByName(around).unionByName(blind).unionByName(edges).distinct()
+
+
+def sample_shortfall(points: DataFrame, cohorts: DataFrame, wanted: dict[str, int]) -> DataFrame:
+    """Per cohort of wanted: tickers wanted and found, how many are missing, and points."""
+    names = F.explode(F.array(*(F.struct(F.lit(c).alias("cohort"), F.lit(n).cast("long").alias("wanted")) for c, n in wanted.items())))
+    asked = cohorts.sparkSession.range(1).select(names.alias("x")).select("x.*")
+    tickers = cohorts.groupBy("cohort").agg(F.count("*").alias("found"))
+    made = points.groupBy("cohort").agg(F.count("*").alias("points"))
+    out = asked.join(tickers, "cohort", "left").join(made, "cohort", "left").fillna(0, ["found", "points"])
+    return out.select("cohort", "wanted", "found", (F.col("wanted") - F.col("found")).alias("missing"), "points")
+
+
+def sample_every(tape: DataFrame, every: int) -> DataFrame:
     """Evenly spaced rows of every ticker, by its row numbers, and the number of rows it has."""
     own = Window.partitionBy("ticker")
     ranked = tape.withColumn("rank", F.row_number().over(own.orderBy("id")).cast("long")).withColumn("n_rows", F.count("*").over(own))
