@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -272,10 +274,39 @@ def delta_partition(compared: DataFrame) -> DataFrame:
     return compared.groupBy(degrees.alias("degrees")).agg(F.count("*").alias("n"), F.sum("minutes").alias("minutes")).withColumn("within_one", F.abs("degrees") <= 1)
 
 
-def mechanism_rates(flags: DataFrame, by: str, cols: list[str]) -> DataFrame:
-    """Share of rows with each flag, cut off at six decimals."""
-    long = flags.select(by, F.explode(F.array(*(F.struct(F.lit(c).alias("mechanism"), F.col(c).cast("long").alias("hit")) for c in cols))).alias("x")).select(by, "x.*")
-    return long.groupBy(by, "mechanism").agg(F.sum("hit").alias("hits"), F.count("*").alias("n")).withColumn("millionths", F.expr("hits * 1000000 div n"))
+def mechanism_rates(flags: DataFrame, by: str, thresholds: dict[str, str]) -> DataFrame:
+    """Of each key and mechanism the rate of its flag as numerator and denominator, cut off at six decimals, and whether it matches.
+
+    thresholds: decimals as text by mechanism, in order of priority (from 0). A rate matches where numerator >= threshold *
+    denominator, multiplied out in whole numbers, so no quotient is rounded. A null flag counts in the denominator alone.
+    """
+    listed = F.array(*(F.struct(F.lit(c).alias("mechanism"), F.lit(i).cast("long").alias("priority"), F.col(c).cast("long").alias("hit")) for i, c in enumerate(thresholds)))
+    long = flags.select(by, F.explode(listed).alias("x")).select(by, "x.*")
+    rates = long.groupBy(by, "mechanism", "priority").agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("numerator"), F.count("*").alias("denominator"))
+    exact = {c: Decimal(t).as_integer_ratio() for c, t in thresholds.items()}
+    whole = lambda x: x.cast("decimal(38,0)")
+    matched = F.lit(None).cast("boolean")
+    for c, (n, d) in exact.items():
+        matched = F.when(F.col("mechanism") == c, whole(F.col("numerator")) * F.lit(d) >= F.lit(n) * whole(F.col("denominator"))).otherwise(matched)
+    return rates.withColumn("millionths", F.expr("numerator * 1000000 div denominator")).withColumn("matched", matched)
+
+
+def first_matching(rates: DataFrame, by: str) -> DataFrame:
+    """Of each key the mechanism of the first priority that matches, with its rate; null where none does."""
+    found = F.min_by(F.when(F.col("matched"), F.struct("mechanism", "numerator", "denominator")), F.when(F.col("matched"), F.col("priority")))
+    return rates.groupBy(by).agg(found.alias("m")).select(by, "m.mechanism", "m.numerator", "m.denominator")
+
+
+def published_mechanism(rates: DataFrame, published: DataFrame, by: str) -> DataFrame:
+    """Published rates (the key and millionths) with the mechanism that gives them, the first by priority; null where none does.
+
+    A rate gives what is published if published <= numerator / denominator < published + a millionth, multiplied out.
+    """
+    whole = lambda c: F.col(c).cast("decimal(38,0)")
+    scaled = whole("numerator") * F.lit(1_000_000)
+    met = published.select(by, F.col("millionths").alias("published")).join(rates.drop("millionths"), by, "left")
+    gives = (whole("published") * whole("denominator") <= scaled) & (scaled < (whole("published") + 1) * whole("denominator"))
+    return met.groupBy(by, "published").agg(F.min_by(F.when(gives, F.col("mechanism")), F.when(gives, F.col("priority"))).alias("mechanism"), F.count_if(gives).alias("candidates"))
 
 
 def decode_agreement(published: DataFrame, decoded: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def ingest_markets(shards: DataFrame, ticker: str, prefixes: list[str], cents: list[str]) -> DataFrame:
@@ -160,7 +161,41 @@ def partitioned_sink(df: DataFrame, path: str, by: list[str], order: str) -> Non
     df.repartition(*by).sortWithinPartitions(*by, order).write.partitionBy(*by).mode("errorifexists").parquet(path)
 
 
-def read_window(df: DataFrame, day: str, us: str, start: int, end: int) -> DataFrame:
-    """Rows of [start, end], both included; the day filter prunes partitions, the exact one follows."""
-    days = (start // 86_400_000_000, end // 86_400_000_000)
-    return df.filter(F.col(day).between(*days)).filter(F.col(us).between(start, end))
+def enforce_schema(df: DataFrame, schema: StructType) -> DataFrame:
+    """df, if it has the columns of schema with their types and no others, in any order; else an error that says what differs."""
+    want, have = ({f.name: f.dataType.simpleString() for f in s} for s in (schema, df.schema))
+    wrong = [f"{c}: {have.get(c, 'missing')} instead of {want.get(c, 'nothing')}" for c in sorted({*want, *have}) if want.get(c) != have.get(c)]
+    if wrong:
+        raise ValueError("schema differs in " + "; ".join(wrong))
+    return df.select(*(f.name for f in schema))
+
+
+def arrival_date(us: str) -> Column:
+    """The UTC day of a time, as the text that partitions are named by."""
+    return F.date_format(F.timestamp_micros(us), "yyyy-MM-dd")
+
+
+def write_tape(df: DataFrame, path: str, us: str, order: str) -> None:
+    """df (with a root) by root and arrival_date, the day of its time, rows in order within files; refuses to overwrite."""
+    partitioned_sink(df.withColumn("arrival_date", arrival_date(us)), path, ["root", "arrival_date"], order)
+
+
+def read_window(spark: SparkSession, path: str, schema: StructType, us: str, start: int, end: int, roots: list[str] | None = None, half_open: bool = False, era_start: int | None = None) -> DataFrame:
+    """Rows of [start, end] of a table of write_tape, of half_open [start, end), of some roots or of all; from era_start on, if given.
+
+    schema is what the table is to have, its root among it; another one raises. Filters on the partition columns come
+    first, so that only files of these roots and days are listed and read; then the exact time. An end before the start
+    gives no rows, and rows without a time are in no window.
+    """
+    kinds = StructType([*schema.fields, StructField("arrival_date", StringType())])
+    # partition values are read as text: a root like 007 stays one
+    rows = enforce_schema(spark.read.option("basePath", path).schema(kinds).parquet(path), kinds)
+    written = spark.read.parquet(path).schema
+    inner = {f.name: f.dataType for f in written if f.name not in ("root", "arrival_date")}
+    enforce_schema(spark.createDataFrame([], StructType([StructField(n, t) for n, t in inner.items()])), StructType([f for f in schema if f.name != "root"]))
+    start = start if era_start is None else max(start, era_start)
+    first, last = (F.date_format(F.timestamp_micros(F.lit(t)), "yyyy-MM-dd") for t in (start, end))
+    rows = rows.filter(F.col("arrival_date").between(first, last))
+    if roots is not None:
+        rows = rows.filter(F.col("root").isin(*roots))
+    return rows.filter((F.col(us) >= start) & (F.col(us) < end if half_open else F.col(us) <= end)).drop("arrival_date")

@@ -218,11 +218,30 @@ def straddle_price(spark, sf_dir):
     return op.straddle_price(entries, view(spark, sf_dir, "v_mid"), 2600)
 
 
-@query("mechanism_rates", """WITH f AS (SELECT station, tenths > 900 AS hot, tenths < 450 AS cold, seen_us - valid_us > 300000000 AS late FROM v_obs), u AS (SELECT station, 'hot' AS mechanism, hot::INT AS hit FROM f UNION ALL SELECT station, 'cold', cold::INT FROM f UNION ALL SELECT station, 'late', late::INT FROM f)
-  SELECT station, mechanism, sum(hit)::BIGINT AS hits, count(*) AS n, sum(hit)::BIGINT * 1000000 {div} count(*) AS millionths FROM u GROUP BY station, mechanism""")
-def mechanism_rates(spark, sf_dir):
+_RATES = """f AS (SELECT station, tenths > 900 AS hot, tenths < 450 AS cold, seen_us - valid_us > 300000000 AS late FROM v_obs), u AS (SELECT station, 'hot' AS mechanism, 0 AS priority, 0.175 AS t, hot::INT AS hit FROM f UNION ALL SELECT station, 'cold', 1, 0.05, cold::INT FROM f UNION ALL SELECT station, 'late', 2, 0.25, late::INT FROM f),
+  rt AS (SELECT station, mechanism, priority, sum(hit)::BIGINT AS numerator, count(*) AS denominator, sum(hit)::BIGINT * 1000000 {div} count(*) AS millionths, sum(hit)::DECIMAL(18, 0) >= any_value(t)::DECIMAL(18, 3) * count(*)::DECIMAL(18, 0) AS matched FROM u GROUP BY station, mechanism, priority)"""
+
+
+def _rates(spark, sf_dir):
     flags = view(spark, sf_dir, "v_obs").select("station", (F.col("tenths") > 900).alias("hot"), (F.col("tenths") < 450).alias("cold"), (F.col("seen_us") - F.col("valid_us") > 300_000_000).alias("late"))
-    return op.mechanism_rates(flags, "station", ["hot", "cold", "late"])
+    return op.mechanism_rates(flags, "station", {"hot": "0.175", "cold": "0.05", "late": "0.25"})
+
+
+@query("mechanism_rates", f"WITH {_RATES} SELECT * FROM rt")
+def mechanism_rates(spark, sf_dir):
+    return _rates(spark, sf_dir)
+
+
+@query("mechanism_first", f"WITH {_RATES} SELECT station, arg_min(mechanism, priority) FILTER (matched) AS mechanism, arg_min(numerator, priority) FILTER (matched) AS numerator, arg_min(denominator, priority) FILTER (matched) AS denominator FROM rt GROUP BY station")
+def mechanism_first(spark, sf_dir):
+    return op.first_matching(_rates(spark, sf_dir), "station")
+
+
+@query("mechanism_published", f"""WITH {_RATES}, pb AS (SELECT station, max(millionths) AS published FROM rt GROUP BY station)
+  SELECT station, published, arg_min(mechanism, priority) FILTER (millionths = published) AS mechanism, count(*) FILTER (millionths = published) AS candidates FROM pb JOIN rt USING (station) GROUP BY station, published""")
+def mechanism_published(spark, sf_dir):
+    rates = _rates(spark, sf_dir)
+    return op.published_mechanism(rates, rates.groupBy("station").agg(F.max("millionths").alias("millionths")), "station")
 
 
 _TWO = "pb AS (SELECT station, (valid_us + id % 7 {div} 6 * 60000000) {div} 60000000 AS minute, max(tenths) AS value FROM v_obs GROUP BY 1, 2), dc AS (SELECT station, valid_us {div} 60000000 AS minute, max(tenths - tenths % 2) AS value FROM v_obs GROUP BY 1, 2)"

@@ -104,10 +104,24 @@ def freeze_digest(spark, sf_dir):
     return op.digest(view(spark, sf_dir, "v_obs").select("id", "station", "valid_us", "tenths"))
 
 
-@query("read_window", "SELECT * FROM v_tape WHERE us BETWEEN 1705000000000000 AND 1705600000000000")
+def _stored(spark, sf_dir):
+    """The tape by root and day of arrival, and its schema."""
+    rows, path = view(spark, sf_dir, "v_tape").withColumn("root", F.substring("ticker", 1, 2)), f"{shared_folder(spark)}/tape"
+    op.write_tape(rows, path, "us", "id")
+    return path, rows.schema
+
+
+@query("read_window", "SELECT *, substr(ticker, 1, 2) AS root FROM v_tape WHERE us BETWEEN 1705000000000000 AND 1705600000000000 AND substr(ticker, 1, 2) IN ('M1', 'M2', 'M4')")
 def read_window(spark, sf_dir):
-    tape = view(spark, sf_dir, "v_tape").withColumn("day", F.expr("us div 86400000000"))
-    return op.read_window(tape, "day", "us", 1_705_000_000_000_000, 1_705_600_000_000_000).drop("day")
+    path, schema = _stored(spark, sf_dir)
+    return op.read_window(spark, path, schema, "us", 1_705_000_000_000_000, 1_705_600_000_000_000, ["M1", "M2", "M4"])
+
+
+@query("read_window_half_open", "SELECT *, substr(ticker, 1, 2) AS root FROM v_tape WHERE us >= 1705100000000000 AND us < (SELECT max(us) FROM v_tape)")
+def read_window_half_open(spark, sf_dir):
+    path, schema = _stored(spark, sf_dir)
+    end = view(spark, sf_dir, "v_tape").agg(F.max("us")).first()[0]
+    return op.read_window(spark, path, schema, "us", 1_700_000_000_000_000, end, half_open=True, era_start=1_705_100_000_000_000)
 
 
 @query("ingest_mos_csv", """WITH r AS (SELECT concat('R', us {div} 86400000000) AS runtime, concat('F', k % 24) AS ftime, CASE WHEN c % 4 = 0 THEN NULL ELSE (c % 100)::DOUBLE END AS tmp, event_id AS line FROM ev)
