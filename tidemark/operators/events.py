@@ -31,9 +31,24 @@ def wall_clock_window(days: DataFrame) -> DataFrame:
     return days.select("*", midnight("day").alias("start_us"), midnight(F.col("day") + 1).alias("end_us"))
 
 
+def lst_days(readings: DataFrame, stations: DataFrame) -> DataFrame:
+    """Readings with the day of local standard time that their valid_us is in, as of lst_day_window; stations: station, tz.
+
+    The offset is that of 15 January of the reading's year, summer or not. Readings of stations without a zone go.
+    """
+    noon = F.make_timestamp(F.year(F.timestamp_micros("valid_us")), F.lit(1), F.lit(15), F.lit(12), F.lit(0), F.lit(0))
+    offset = F.unix_micros(F.from_utc_timestamp(noon, F.col("tz"))) - F.unix_micros(noon)
+    return readings.join(stations, "station").withColumn("day", F.floor((F.col("valid_us") + offset) / DAY_US)).drop("tz")
+
+
+def _with_day(readings: DataFrame, clock: str = "valid_us") -> DataFrame:
+    """Readings with a day keep it; others are of the UTC day."""
+    return readings if "day" in readings.columns else readings.withColumn("day", F.floor(F.col(clock) / DAY_US))
+
+
 def running_extreme(readings: DataFrame, clock: str = "valid_us", low: bool = False) -> DataFrame:
-    """Adds day and the extreme of the station's readings of that day so far."""
-    rows = readings.withColumn("day", F.expr(f"{clock} div {DAY_US}"))
+    """Adds the extreme of the station's readings of their day so far, and the UTC day to those without a day."""
+    rows = _with_day(readings, clock)
     order = Window.partitionBy("station", "day").orderBy(clock, "id").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("extreme", (F.min if low else F.max)("tenths").over(order))
 
@@ -45,15 +60,19 @@ def records(rows: DataFrame, clock: str) -> DataFrame:
     return rows.withColumn("_best", best).filter("tenths > _best or (_best is null and tenths is not null)").drop("_best")
 
 
-def detect_locks(readings: DataFrame, strikes: DataFrame, margin: int, clock: str = "valid_us") -> DataFrame:
-    """Per strike the first reading whose running maximum clears it with a margin; clean, or ambiguous if only without.
+def detect_locks(readings: DataFrame, strikes: DataFrame, margin: int, clock: str = "valid_us", low: bool = False, strict: bool = False) -> DataFrame:
+    """Per strike the first reading whose running extreme clears it with a margin; clean, or ambiguous if only without.
 
-    t0 is when that reading was seen; strikes that no reading reaches are none. Readings without tenths don't count.
-    Strikes meet only the readings that raise their day's maximum, not all of the day's.
+    The extreme is the day's maximum, which is to reach the strike, or for a low ladder its minimum, which is to fall to
+    it; strict asks for a tenth beyond it. Days are those of the readings (lst_days), else UTC days. t0 is when that
+    reading was seen; strikes that no reading reaches are none. Readings without tenths don't count. Strikes meet only
+    the readings that move their day's extreme, not all of the day's.
     """
-    rows = records(readings.withColumn("day", F.expr(f"{clock} div {DAY_US}")), clock).withColumn("extreme", F.col("tenths"))
-    met = strikes.join(rows, ["station", "day"], "left").withColumn("cleared", F.col("extreme") >= F.col("strike") + margin).withColumn("reached", F.col("extreme") >= F.col("strike"))
-    at = F.struct("seen_us", "tenths", "id")
+    sign = -1 if low else 1
+    rows = records(_with_day(readings, clock).withColumn("tenths", sign * F.col("tenths")), clock)
+    bar = sign * F.col("strike") + int(strict)
+    met = strikes.join(rows, ["station", "day"], "left").withColumn("cleared", F.col("tenths") >= bar + margin).withColumn("reached", F.col("tenths") >= bar)
+    at = F.struct("seen_us", (sign * F.col("tenths")).alias("tenths"), "id")
     order = F.struct(clock, "id")
     out = met.groupBy("station", "day", "strike", "ticker").agg(F.min_by(F.when(F.col("cleared"), at), F.when(F.col("cleared"), order)).alias("c"), F.min_by(F.when(F.col("reached"), at), F.when(F.col("reached"), order)).alias("r"))
     kind = F.when(F.col("c").isNotNull(), "clean").when(F.col("r").isNotNull(), "ambiguous").otherwise("none")
@@ -168,7 +187,7 @@ def arrival_delay(readings: DataFrame, strikes: DataFrame) -> DataFrame:
     """
     valid = detect_locks(readings, strikes, 0).select("station", "day", "strike", "reading_id")
     at = readings.select(F.col("id").alias("reading_id"), F.col("valid_us").alias("reached_us"))
-    rows = readings.withColumn("day", F.expr(f"valid_us div {DAY_US}"))
+    rows = _with_day(readings)
     arrivals = strikes.join(records(rows, "seen_us"), ["station", "day"]).filter(F.col("tenths") >= F.col("strike")).groupBy("station", "day", "strike").agg(F.min("seen_us").alias("seen_us"))
     out = valid.join(at, "reading_id", "left").join(arrivals, ["station", "day", "strike"], "left")
     kind = F.when(F.col("reached_us").isNull(), "never").when(F.col("seen_us") > F.col("reached_us"), "delayed").otherwise("at_once")
@@ -233,7 +252,7 @@ def qc_neighbor(readings: DataFrame, neighbours: DataFrame, within_us: int, apar
 
 def basis_compare(readings: DataFrame, official: DataFrame, least_minutes: int) -> DataFrame:
     """Each day's highest reading against the official one, where enough distinct minutes were read; valid within one degree, rounded half to even."""
-    rows = readings.groupBy("station", F.expr(f"valid_us div {DAY_US}").alias("day")).agg(F.max("tenths").alias("high"), F.count_distinct(F.expr("valid_us div 60000000")).alias("minutes")).filter(F.col("minutes") >= least_minutes)
+    rows = _with_day(readings).groupBy("station", "day").agg(F.max("tenths").alias("high"), F.count_distinct(F.expr("valid_us div 60000000")).alias("minutes")).filter(F.col("minutes") >= least_minutes)
     delta = F.col("high") - F.col("official") * 10
     return rows.join(official, ["station", "day"]).withColumn("delta", delta).withColumn("valid", F.abs(F.bround(F.col("delta") / 10)) <= 1)
 
@@ -251,13 +270,26 @@ def separating_strikes(a: str, b: str, strikes: list[int]) -> Column:
     return F.filter(F.array(*(F.lit(s).cast("long") for s in strikes)), lambda s: (F.col(a) > s) != (F.col(b) > s))
 
 
-def straddle_entry(readings: DataFrame, official: DataFrame) -> DataFrame:
-    """Per day the first instant at which the running maximum is above the official value, and whether by the day's first reading."""
+def straddle_entry(readings: DataFrame, official: DataFrame, strikes: DataFrame, closes: DataFrame) -> DataFrame:
+    """Per day the first instant at which the running maximum is above the official value: entry_us, how, ticker, minutes_to_close.
+
+    how is open where it is the day's first reading, else crossing. ticker is the market that settles the day: the one with
+    the highest strike (station, day, strike, ticker) that the official value reaches, null if none. closes: station, day,
+    close_us. Days are those of the readings (lst_days), else UTC days; days without such an instant have no row.
+    """
     rows = running_extreme(readings).join(official, ["station", "day"])
     order = Window.partitionBy("station", "day").orderBy("valid_us", "id")
     over = rows.withColumn("n", F.row_number().over(order)).filter(F.col("extreme") > F.col("official") * 10)
     first = over.groupBy("station", "day").agg(F.min_by(F.struct("valid_us", "n"), F.struct("valid_us", "id")).alias("f"))
-    return first.select("station", "day", F.col("f.valid_us").alias("entry_us"), F.when(F.col("f.n") == 1, "open").otherwise("crossing").alias("how"))
+    settling = strikes.join(official, ["station", "day"]).filter(F.col("strike") <= F.col("official") * 10).groupBy("station", "day").agg(F.max_by("ticker", F.struct("strike", "ticker")).alias("ticker"))
+    out = first.join(settling, ["station", "day"], "left").join(closes, ["station", "day"], "left")
+    left = F.floor((F.col("close_us") - F.col("f.valid_us")) / 60_000_000)
+    return out.select("station", "day", F.col("f.valid_us").alias("entry_us"), F.when(F.col("f.n") == 1, "open").otherwise("crossing").alias("how"), "ticker", left.alias("minutes_to_close"))
+
+
+def straddle_histogram(entries: DataFrame, width: int = 60) -> DataFrame:
+    """Entries by how they came about and by bins of width minutes to the close, from the bin's least: entries, and how many have a settling market."""
+    return entries.groupBy("how", (F.floor(F.col("minutes_to_close") / width) * width).alias("from_minute")).agg(F.count("*").alias("entries"), F.count("ticker").alias("settling"))
 
 
 def straddle_price(entries: DataFrame, quotes: DataFrame, least_units: int) -> DataFrame:
@@ -334,8 +366,13 @@ def settle_trades(trades: DataFrame, official: DataFrame) -> DataFrame:
 
 
 def observation_sidecar(readings: DataFrame, official: DataFrame) -> DataFrame:
-    """Per station-day the readings in order, as text, with the official value if there is one."""
+    """Per station-day the readings in order, as text, with the minutes they are of, and the official value if there is one.
+
+    Returns n, digest, missing (no official value), and of the index of decoded minutes of the UTC clock: minutes (how many),
+    first_minute and last_minute. Days are those of the readings (lst_days), else UTC days.
+    """
     order = F.array_sort(F.collect_list(F.struct("valid_us", "id", "tenths")))
-    rows = readings.groupBy("station", F.expr(f"valid_us div {DAY_US}").alias("day")).agg(order.alias("x"))
+    minute = F.floor(F.col("valid_us") / 60_000_000)
+    rows = _with_day(readings).groupBy("station", "day").agg(order.alias("x"), F.count_distinct(minute).alias("minutes"), F.min(minute).alias("first_minute"), F.max(minute).alias("last_minute"))
     listed = F.array_join(F.transform("x", lambda r: F.concat_ws(":", r["id"].cast("string"), r["tenths"].cast("string"))), ",")
-    return rows.join(official, ["station", "day"], "left").select("station", "day", F.size("x").cast("long").alias("n"), F.md5(listed).alias("digest"), F.col("official").isNull().alias("missing"))
+    return rows.join(official, ["station", "day"], "left").select("station", "day", F.size("x").cast("long").alias("n"), F.md5(listed).alias("digest"), F.col("official").isNull().alias("missing"), "minutes", "first_minute", "last_minute")

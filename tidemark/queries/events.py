@@ -5,17 +5,30 @@ from tidemark.queries import query
 from tidemark.sources.adapters import view
 
 HOUR = 3_600_000_000
-_RUN = "rx AS (SELECT *, max(tenths) OVER (PARTITION BY station, day ORDER BY valid_us, id ROWS UNBOUNDED PRECEDING) AS extreme FROM (SELECT *, valid_us {div} 86400000000 AS day FROM v_obs))"
+_RUN = "rx AS (SELECT *, max(tenths) OVER (PARTITION BY station, day ORDER BY valid_us, id ROWS UNBOUNDED PRECEDING) AS extreme FROM v_lst)"
 _LOCKED = f"""{_RUN}, m AS (SELECT s.station, s.day, s.strike, s.ticker, r.* EXCLUDE (station, day) FROM v_strikes s LEFT JOIN rx r ON s.station = r.station AND s.day = r.day),
   lk AS (SELECT station, day, strike, ticker, arg_min((seen_us, tenths, id), (valid_us, id)) FILTER (extreme >= strike + 10) AS c, arg_min(id, (valid_us, id)) FILTER (extreme >= strike) AS r FROM m GROUP BY ALL),
   locks AS (SELECT station, day, strike, ticker, CASE WHEN c IS NOT NULL THEN 'clean' WHEN r IS NOT NULL THEN 'ambiguous' ELSE 'none' END AS kind, c[1] AS t0_us, c[2] AS tenths, c[3] AS reading_id FROM lk)"""
 
 
+_ZONES = ("America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles")
+
+
+def _stations(spark, sf_dir):
+    zone = F.element_at(F.array(*map(F.lit, _ZONES)), (F.substring("station", 2, 9).cast("int") % 4 + 1))
+    return view(spark, sf_dir, "v_obs").select("station", zone.alias("tz")).distinct()
+
+
+def _readings(spark, sf_dir):
+    """Readings by the days of local standard time, from the stations' zones; the SQL has their hours."""
+    return op.lst_days(view(spark, sf_dir, "v_obs"), _stations(spark, sf_dir))
+
+
 def _locks(spark, sf_dir):
-    return op.detect_locks(view(spark, sf_dir, "v_obs"), view(spark, sf_dir, "v_strikes"), 10)
+    return op.detect_locks(_readings(spark, sf_dir), view(spark, sf_dir, "v_strikes"), 10)
 
 
-@query("lst_day_window", "SELECT DISTINCT 'America/New_York' AS tz, valid_us {div} 86400000000 AS day, valid_us {div} 86400000000 * 86400000000 + 18000000000 AS start_us, valid_us {div} 86400000000 * 86400000000 + 18000000000 + 86400000000 AS end_us FROM v_obs")
+@query("lst_day_window", "SELECT DISTINCT 'America/New_York' AS tz, day, day * 86400000000 + 18000000000 AS start_us, day * 86400000000 + 18000000000 + 86400000000 AS end_us FROM v_days")
 def lst_day_window(spark, sf_dir):
     return op.lst_day_window(view(spark, sf_dir, "v_days").select(F.lit("America/New_York").alias("tz"), F.col("day").cast("int")).distinct()).withColumn("day", F.col("day").cast("long"))
 
@@ -34,6 +47,15 @@ def detect_locks(spark, sf_dir):
     return _locks(spark, sf_dir)
 
 
+_LOW = """rn AS (SELECT *, min(tenths) OVER (PARTITION BY station, day ORDER BY valid_us, id ROWS UNBOUNDED PRECEDING) AS extreme FROM v_lst), m AS (SELECT s.station, s.day, s.strike, s.ticker, r.* EXCLUDE (station, day) FROM v_strikes s LEFT JOIN rn r ON s.station = r.station AND s.day = r.day),
+  lk AS (SELECT station, day, strike, ticker, arg_min((seen_us, tenths, id), (valid_us, id)) FILTER (extreme < strike - 10) AS c, arg_min(id, (valid_us, id)) FILTER (extreme < strike) AS r FROM m GROUP BY ALL)"""
+
+
+@query("detect_low_locks", f"WITH {_LOW} SELECT station, day, strike, ticker, CASE WHEN c IS NOT NULL THEN 'clean' WHEN r IS NOT NULL THEN 'ambiguous' ELSE 'none' END AS kind, c[1] AS t0_us, c[2] AS tenths, c[3] AS reading_id FROM lk")
+def detect_low_locks(spark, sf_dir):
+    return op.detect_locks(_readings(spark, sf_dir), view(spark, sf_dir, "v_strikes"), 10, low=True, strict=True)
+
+
 @query("lock_supply", f"WITH {_LOCKED} SELECT station, count(*) AS strikes, count(*) FILTER (kind = 'clean') AS clean, count(*) FILTER (kind = 'ambiguous') AS ambiguous FROM locks GROUP BY ROLLUP (station)")
 def lock_supply(spark, sf_dir):
     return op.lock_supply(_locks(spark, sf_dir))
@@ -173,12 +195,12 @@ def qc_neighbor(spark, sf_dir):
     return op.qc_neighbor(readings, near, HOUR // 2, 50)
 
 
-_BASIS = """hi AS (SELECT station, valid_us {div} 86400000000 AS day, max(tenths) AS high, count(DISTINCT valid_us {div} 60000000) AS minutes FROM v_obs GROUP BY 1, 2 HAVING count(DISTINCT valid_us {div} 60000000) >= 5),
+_BASIS = """hi AS (SELECT station, day, max(tenths) AS high, count(DISTINCT valid_us {div} 60000000) AS minutes FROM v_lst GROUP BY 1, 2 HAVING count(DISTINCT valid_us {div} 60000000) >= 5),
   cp AS (SELECT station, day, high, minutes, official, high - official * 10 AS delta, abs(round_even((high - official * 10) / 10, 0)) <= 1 AS valid FROM hi JOIN v_days USING (station, day))"""
 
 
 def _compared(spark, sf_dir):
-    return op.basis_compare(view(spark, sf_dir, "v_obs"), view(spark, sf_dir, "v_days"), 5)
+    return op.basis_compare(_readings(spark, sf_dir), view(spark, sf_dir, "v_days"), 5)
 
 
 @query("basis_compare", f"WITH {_BASIS} SELECT * FROM cp")
@@ -203,12 +225,27 @@ def separating_strikes(spark, sf_dir):
     return rows.select("station", "day", F.array_join(op.separating_strikes("high", "settled", [900, 950, 970, 980, 990]).cast("array<string>"), ",").alias("strikes"))
 
 
-_ENTRY = f"{_RUN}, nn AS (SELECT rx.*, official, row_number() OVER (PARTITION BY station, day ORDER BY valid_us, id) AS n FROM rx JOIN v_days USING (station, day)), en AS (SELECT station, day, min(valid_us) AS entry_us, CASE WHEN arg_min(n, (valid_us, id)) = 1 THEN 'open' ELSE 'crossing' END AS how FROM nn WHERE extreme > official * 10 GROUP BY station, day)"
+_ENTRY = f"""{_RUN}, nn AS (SELECT rx.*, official, row_number() OVER (PARTITION BY station, day ORDER BY valid_us, id) AS n FROM rx JOIN v_days USING (station, day)),
+  e0 AS (SELECT station, day, official, min(valid_us) AS entry_us, CASE WHEN arg_min(n, (valid_us, id)) = 1 THEN 'open' ELSE 'crossing' END AS how FROM nn WHERE extreme > official * 10 GROUP BY station, day, official),
+  en AS (SELECT station, day, entry_us, how, (SELECT arg_max(s.ticker, (strike, s.ticker)) FROM v_strikes s WHERE s.station = e0.station AND s.day = e0.day AND strike <= official * 10) AS ticker,
+    ((day + 1) * 86400000000 + (5 + CAST(substr(station, 2) AS BIGINT) % 4) * 3600000000 - entry_us) {{div}} 60000000 AS minutes_to_close FROM e0)"""
+
+
+def _entries(spark, sf_dir):
+    official = view(spark, sf_dir, "v_days")
+    windows = op.lst_day_window(official.select("station", F.col("day").cast("int").alias("day")).join(_stations(spark, sf_dir), "station"))
+    closes = windows.select("station", F.col("day").cast("long").alias("day"), F.col("end_us").alias("close_us"))
+    return op.straddle_entry(_readings(spark, sf_dir), official, view(spark, sf_dir, "v_strikes"), closes)
 
 
 @query("straddle_entry", f"WITH {_ENTRY} SELECT * FROM en")
 def straddle_entry(spark, sf_dir):
-    return op.straddle_entry(view(spark, sf_dir, "v_obs"), view(spark, sf_dir, "v_days"))
+    return _entries(spark, sf_dir)
+
+
+@query("straddle_histogram", f"WITH {_ENTRY} SELECT how, minutes_to_close {{div}} 60 * 60 AS from_minute, count(*) AS entries, count(ticker) AS settling FROM en GROUP BY 1, 2")
+def straddle_histogram(spark, sf_dir):
+    return op.straddle_histogram(_entries(spark, sf_dir))
 
 
 @query("straddle_price", f"""WITH {_EVENTS}, s AS (SELECT event_id AS entry_id, ticker, t0_us AS at_us, (SELECT arg_max((yes_bid, yes_size, mid2), (us, id)) FROM v_mid m WHERE m.ticker = et.ticker AND us <= t0_us) AS x FROM et)
@@ -272,13 +309,13 @@ def settle_trades(spark, sf_dir):
     return op.settle_trades(trades, view(spark, sf_dir, "v_days"))
 
 
-@query("observation_sidecar", """WITH g AS (SELECT station, valid_us {div} 86400000000 AS day, count(*) AS n, md5(string_agg(concat(id, ':', tenths), ',' ORDER BY valid_us, id)) AS digest FROM v_obs GROUP BY 1, 2)
-  SELECT station, day, n, digest, official IS NULL AS missing FROM g LEFT JOIN (SELECT station, day, CASE WHEN official % 3 <> 0 THEN official END AS official FROM v_days) USING (station, day)""")
+@query("observation_sidecar", """WITH g AS (SELECT station, day, count(*) AS n, md5(string_agg(concat(id, ':', tenths), ',' ORDER BY valid_us, id)) AS digest, count(DISTINCT valid_us {div} 60000000) AS minutes, min(valid_us) {div} 60000000 AS first_minute, max(valid_us) {div} 60000000 AS last_minute FROM v_lst GROUP BY 1, 2)
+  SELECT station, day, n, digest, official IS NULL AS missing, minutes, first_minute, last_minute FROM g LEFT JOIN (SELECT station, day, CASE WHEN official % 3 <> 0 THEN official END AS official FROM v_days) USING (station, day)""")
 def observation_sidecar(spark, sf_dir):
-    return op.observation_sidecar(view(spark, sf_dir, "v_obs"), view(spark, sf_dir, "v_days").withColumn("official", F.expr("CASE WHEN official % 3 <> 0 THEN official END")))
+    return op.observation_sidecar(_readings(spark, sf_dir), view(spark, sf_dir, "v_days").withColumn("official", F.expr("CASE WHEN official % 3 <> 0 THEN official END")))
 
 
-@query("arrival_delay", """WITH x AS (SELECT s.station, s.day, s.strike, min(valid_us) AS reached_us, min(seen_us) AS seen_us FROM v_strikes s LEFT JOIN v_obs o ON o.station = s.station AND valid_us {div} 86400000000 = s.day AND tenths >= strike GROUP BY ALL)
+@query("arrival_delay", """WITH x AS (SELECT s.station, s.day, s.strike, min(valid_us) AS reached_us, min(seen_us) AS seen_us FROM v_strikes s LEFT JOIN v_lst o ON o.station = s.station AND o.day = s.day AND tenths >= strike GROUP BY ALL)
   SELECT station, day, strike, CASE WHEN reached_us IS NULL THEN 'never' WHEN seen_us > reached_us THEN 'delayed' ELSE 'at_once' END AS kind, seen_us - reached_us AS delay_us FROM x""")
 def arrival_delay(spark, sf_dir):
-    return op.arrival_delay(view(spark, sf_dir, "v_obs"), view(spark, sf_dir, "v_strikes"))
+    return op.arrival_delay(_readings(spark, sf_dir), view(spark, sf_dir, "v_strikes"))

@@ -33,7 +33,8 @@ VIEWS = {
     "v_excl": "SELECT event_id AS id, CASE k % 3 WHEN 0 THEN 'recorded_gap' WHEN 1 THEN 'subscription_wide' ELSE 'resubscribe_blind' END AS class, us AS start_us, us + (1 + k % 20) * 6000000 AS end_us FROM ev WHERE event_type = 'error'",
     "v_quiet": "SELECT DISTINCT day * 86400000000 + 25200000000 AS start_us, day * 86400000000 + 32400000000 AS end_us FROM (SELECT us {div} 86400000000 AS day FROM ev) d WHERE day % 7 = 3",
     "v_obs": "SELECT event_id AS id, concat('S', user_id % 20) AS station, us AS valid_us, us + (k % 9) * 60000000 AS seen_us, 400 + c % 600 AS tenths FROM ev",
-    "v_days": "SELECT station, valid_us {div} 86400000000 AS day, max(tenths) {div} 10 + (valid_us {div} 86400000000) % 3 - 1 AS official FROM v_obs GROUP BY station, valid_us {div} 86400000000",
+    "v_lst": "SELECT *, (valid_us - (5 + CAST(substr(station, 2) AS BIGINT) % 4) * 3600000000) {div} 86400000000 AS day FROM v_obs",
+    "v_days": "SELECT station, day, max(tenths) {div} 10 + day % 3 - 1 AS official FROM v_lst GROUP BY station, day",
     "v_strikes": "SELECT station, day, 300 + 50 * n AS strike, concat('KX', station, '-', day, '-T', 300 + 50 * n) AS ticker FROM v_days CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 6 UNION ALL SELECT 12 UNION ALL SELECT 13) x",
     "v_decisions": """SELECT l_orderkey * 10 + l_linenumber AS leg_id, concat('S', l_suppkey % 20) AS series, l_orderkey AS event, CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(round(l_discount * 100) AS BIGINT) * 950 + l_partkey % 500 END AS fair,
         100 * (1 + l_suppkey % 90) AS yes_bid, 100 * (1 + l_suppkey % 90) + 100 * (1 + l_partkey % 6) AS yes_ask, CAST(l_quantity AS BIGINT) - 5 AS depth, 500 + l_orderkey * 7 % 4000 AS spread, 2000 AS spread_median,
