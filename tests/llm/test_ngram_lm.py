@@ -45,11 +45,6 @@ def test_base_scores_match_brute_force(spark):
     check(spark, documents(spark))
 
 
-def test_rare_tokens_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(ngram_lm, "FREQUENT", 50)
-    check(spark, documents(spark))
-
-
 def test_edges(spark):
     check(spark, [(1, None), (2, ""), (3, "One one ONE\ttwo"), (3, "One one ONE\ttwo"), (None, "x y"), (4, "zz " * 3000), (5, "É é")])
     assert score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0

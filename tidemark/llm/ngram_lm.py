@@ -1,13 +1,19 @@
 """Bigram language model in a log-frequency Bloom filter.
 
-Chunks: documents are dealt to chunks of bounded size by a hash of their row, so a chunk can be made again. Counting:
-every chunk sends its distinct tokens and token pairs, with their counts in training documents, packed by segment of the
-hash, to the task that owns the segment. Storing: a count c becomes the level 1 + floor(log_BASE c), and an n-gram of
-level q is put into the segment's filter q times, once for each level up to q. The filter is as large as its entries
-ask for, and pairs of every count are in it. Answers: the segment probes its filter for levels 1, 2, ... until one is
-missing, which gives the quantised count, for all that the chunks sent, and sends levels (of tokens, exact counts as
-well) back in the order of the keys. Scoring: the probability of a token is interpolated between its share of the
-pairs after the token before and its smoothed share of all tokens.
+Counting: chunks of documents send their distinct tokens and token pairs, with their counts in training documents, packed
+by segment of the hash, to the tasks that own the segments. Storing: a count c becomes the level 1 + floor(log_BASE c),
+and an n-gram of level q is put into the segment's filter q times, once for each level up to q. A filter is as large as
+its entries ask for, and n-grams of every count are in it. Probing: what is known of an n-gram is the last level before
+the first that is missing, and stands for the mean count of what was stored and is found at that level; so the counts of
+all tokens sum to what was counted. Scoring: the probability of a token is interpolated between its share of the pairs
+after the token before and its smoothed share of all tokens.
+
+fit_model leaves the filters as a table, which score_with probes for any documents: its tasks get keys and a filter, and
+no counts. score_documents fits and scores the same documents, and lets the tasks that built a filter probe it at once,
+for keys of training and held-out documents alike, which saves sending all keys a second time; the scores are the same.
+
+The token part sums to 1 over the tokens seen and one unknown. The pair part is not normalised by context: levels are
+steps of half, so the probabilities after one context may sum to some hundredths more or less than 1.
 
 No task and no broadcast holds the whole model: what a task holds is bounded by the sizes of a chunk and of a segment.
 """
@@ -16,11 +22,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._groups import runs
@@ -29,9 +36,7 @@ from tidemark.llm._words import MULTIPLIERS, mix, pieces, words
 
 BASE = 1.5
 #: Weight of the pair model; bits for every n-gram and level; probes of each.
-PAIR_WEIGHT, BITS_EACH, PROBES = 0.5, 10, 4
-#: Without effect since exact counts come with the answers; kept for those who set it.
-FREQUENT = 1 << 19
+PAIR_WEIGHT, BITS_EACH, PROBES = 0.5, 20, 8
 #: Bytes of text in a chunk, and for which a segment is owned, in the mean; least bits of a segment.
 CHUNK, SEGMENT, SEGMENT_BITS = 12 << 20, 16 << 20, 10
 #: Levels that a count can have.
@@ -123,7 +128,9 @@ def _keys(tokens: np.ndarray, kind: int, bits: int) -> np.ndarray:
 _SENT = "chunk long, kind int, segment int, keys binary, counts binary"
 
 
-def _sent(bits: int):
+def _sent(bits: int, counted: bool = True):
+    """Distinct keys of each chunk by segment, and unless asked for levels alone their counts in training documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["chunk"]):
             rows, tokens, n = _chunk(group)
@@ -137,7 +144,7 @@ def _sent(bits: int):
                 for s in np.flatnonzero(np.diff(cut)).tolist():
                     a, b = cut[s], cut[s + 1]
                     own = _gaps(keys[a:b], 8) if kind == TOKEN else _gaps(low[a:b], 5)
-                    out.append((chunk, kind, s, own, _packed(counts[a:b])))
+                    out.append((chunk, kind, s, own, _packed(counts[a:b]) if counted else b""))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "kind", "segment", "keys", "counts"])
 
     return run
@@ -146,35 +153,89 @@ def _sent(bits: int):
 _ANSWERS = "chunk long, kind int, segment int, levels binary, counts binary, total long, distinct long"
 
 
+def _stored(group: pa.Table, kind: int, segment: int, bits: int) -> tuple[Filter, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A segment's filter from what chunks sent of it; the distinct keys, their counts, where each chunk's begin and which key each is."""
+    keys, counts = [], []
+    for k, c in zip(group.column("keys").to_pylist(), group.column("counts").to_pylist(), strict=True):
+        keys.append(_from_sent(k, kind, segment, bits))
+        counts.append(_unpacked(c, len(keys[-1])))
+    cut = np.cumsum([0, *(len(k) for k in keys)])
+    unique, which = np.unique(np.concatenate(keys), return_inverse=True)
+    summed = np.bincount(which, np.concatenate(counts), len(unique)).astype(np.int64)
+    seen = summed > 0
+    stored = level_of(summed[seen])
+    size = 64 * (max(64, BITS_EACH * int(stored.sum())) // 64 + 1)
+    return Filter(Filter.segment([(kind, unique[seen], stored)], size).reshape(1, -1), 0), unique, summed, cut, which
+
+
+def _from_sent(data: bytes, kind: int, segment: int, bits: int) -> np.ndarray:
+    return _from_gaps(data, 8) if kind == TOKEN else _from_gaps(data, 5) | np.uint64(segment) << np.uint64(64 - bits) if bits else _from_gaps(data, 5)
+
+
+def _by_level(levels: np.ndarray, summed: np.ndarray) -> list[tuple[int, int, int]]:
+    """(level, sum of counts, number) of the keys that were counted, by the level they are found at."""
+    seen = summed > 0
+    n, sums = np.bincount(levels[seen], minlength=LEVELS), np.zeros(LEVELS, np.int64)
+    np.add.at(sums, levels[seen], summed[seen])
+    return [(q, int(sums[q]), int(n[q])) for q in np.flatnonzero(n).tolist()]
+
+
+def _answer_batch(kind: int, segment: int, rows: list[tuple[int, bytes, bytes, int, int]]) -> pa.RecordBatch:
+    chunk, found, packed, total, distinct = zip(*rows, strict=True)
+    same = np.ones(len(rows), dtype=np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(chunk, pa.int64()), pa.array(kind * same), pa.array(segment * same), pa.array(found, pa.binary()), pa.array(packed, pa.binary()), pa.array(total, pa.int64()), pa.array(distinct, pa.int64())],
+        ["chunk", "kind", "segment", "levels", "counts", "total", "distinct"],
+    )
+
+
 def _answers(bits: int):
-    """For each chunk the levels of its keys, and for tokens their counts; with chunk -1 the sums of the segment."""
+    """For each chunk the levels of its keys, and for tokens their counts; with chunk -1 - level what was counted of those found at a level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["kind", "segment"]):
             kind, segment = group.column("kind")[0].as_py(), group.column("segment")[0].as_py()
-            keys, counts = [], []
-            for k, c in zip(group.column("keys").to_pylist(), group.column("counts").to_pylist(), strict=True):
-                keys.append(_from_gaps(k, 8) if kind == TOKEN else _from_gaps(k, 5) | np.uint64(segment) << np.uint64(64 - bits))
-                counts.append(_unpacked(c, len(keys[-1])))
-            cut = np.cumsum([0, *(len(k) for k in keys)])
-            unique, which = np.unique(np.concatenate(keys), return_inverse=True)
-            summed = np.bincount(which, np.concatenate(counts), len(unique)).astype(np.int64)
-            seen = summed > 0
-            stored = level_of(summed[seen])
-            size = 64 * (max(64, BITS_EACH * int(stored.sum())) // 64 + 1)
-            model = Filter(Filter.segment([(kind, unique[seen], stored)], size).reshape(1, -1), 0)
-            levels = model.levels(unique, kind).astype(np.uint8)[which]
-            exact = summed[which]
-            rows = [(-1, b"", b"", int(summed.sum()), int(seen.sum()))]
+            model, unique, summed, cut, which = _stored(group, kind, segment, bits)
+            levels = model.levels(unique, kind)
+            rows = [(-1 - q, b"", b"", total, n) for q, total, n in _by_level(levels, summed)]
+            levels, exact = levels.astype(np.uint8)[which], summed[which]
             for i, chunk in enumerate(group.column("chunk").to_pylist()):
                 own = slice(cut[i], cut[i + 1])
                 rows.append((chunk, zlib.compress(levels[own].tobytes(), 1), zlib.compress(_packed(exact[own]), 1) if kind == TOKEN else b"", 0, 0))
-            chunk, found, packed, total, distinct = zip(*rows, strict=True)
-            same = np.ones(len(rows), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(chunk, pa.int64()), pa.array(kind * same), pa.array(segment * same), pa.array(found, pa.binary()), pa.array(packed, pa.binary()), pa.array(total, pa.int64()), pa.array(distinct, pa.int64())],
-                ["chunk", "kind", "segment", "levels", "counts", "total", "distinct"],
-            )
+            yield _answer_batch(kind, segment, rows)
+
+    return run
+
+
+def _filters(bits: int):
+    """The filter of each segment as levels of chunk 0, and what was counted of those found at each level as in _answers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["kind", "segment"]):
+            kind, segment = group.column("kind")[0].as_py(), group.column("segment")[0].as_py()
+            model, unique, summed, _, _ = _stored(group, kind, segment, bits)
+            rows = [(-1 - q, b"", b"", total, n) for q, total, n in _by_level(model.levels(unique, kind), summed)]
+            yield _answer_batch(kind, segment, [*rows, (0, model.cells.tobytes(), b"", 0, 0)])
+
+    return run
+
+
+def _probed(bits: int):
+    """For each chunk the levels of its keys in the segment's filter, which comes first; where there is none, they are 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["kind", "segment"]):
+            kind, segment = group.column("kind")[0].as_py(), group.column("segment")[0].as_py()
+            model, rows = None, []
+            for chunk, data in zip(group.column("chunk").to_pylist(), group.column("keys").to_pylist(), strict=True):
+                if chunk < 0:
+                    model = Filter(np.frombuffer(data, np.uint8).reshape(1, -1), 0)
+                    continue
+                keys = _from_sent(data, kind, segment, bits)
+                levels = model.levels(keys, kind) if model is not None else np.zeros(len(keys), np.int64)
+                rows.append((chunk, zlib.compress(levels.astype(np.uint8).tobytes(), 1), b"", 0, 0))
+            if rows:
+                yield _answer_batch(kind, segment, rows)
 
     return run
 
@@ -225,12 +286,31 @@ def _answered(group: pa.Table, kind: int, n: int) -> tuple[np.ndarray, np.ndarra
     levels = np.frombuffer(b"".join(found), np.uint8).astype(np.int64)
     if len(levels) != n:
         raise RuntimeError(f"a chunk has {n} keys and {len(levels)} answers")
-    counts = [_unpacked(zlib.decompress(c), len(k)) for c, k in zip(own.column("counts").to_pylist(), found, strict=True)] if kind == TOKEN else []
+    counts = [_unpacked(zlib.decompress(c), len(k)) for c, k in zip(own.column("counts").to_pylist(), found, strict=True) if c] if kind == TOKEN else []
     return levels, np.concatenate([np.zeros(0, np.int64), *counts])
 
 
-def _scores(bits: int, total: int, distinct: int):
-    whole = total + distinct + 1
+@dataclass(frozen=True)
+class Levels:
+    """Tokens and distinct tokens of the training documents, and the mean counts of tokens and of pairs by level."""
+
+    total: int
+    distinct: int
+    tokens: tuple[float, ...]
+    pairs: tuple[float, ...]
+
+    @classmethod
+    def of(cls, table: DataFrame) -> Levels:
+        """From the rows of _answers or _filters; at most a row for each kind and level reaches the driver."""
+        sums = {(r.kind, -1 - r.chunk): (int(r.total), int(r.distinct)) for r in table.filter("chunk < 0").groupBy("kind", "chunk").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).collect()}
+        middle = count_of(np.arange(LEVELS))
+        means = [tuple(float(sums[k, q][0] / sums[k, q][1]) if (k, q) in sums else float(middle[q]) for q in range(LEVELS)) for k in (TOKEN, PAIR)]
+        totals = [sum(v[i] for (k, _), v in sums.items() if k == TOKEN) for i in (0, 1)]
+        return cls(*totals, *means)
+
+
+def _scores(bits: int, model: Levels):
+    whole, single_of, pair_of = model.total + model.distinct + 1, np.array(model.tokens), np.array(model.pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["chunk"]):
@@ -238,13 +318,14 @@ def _scores(bits: int, total: int, distinct: int):
             document = np.repeat(np.arange(len(n)), n)
             unique, which = np.unique(tokens, return_inverse=True)
             levels, exact = _answered(group, TOKEN, len(unique))
+            exact = exact if len(exact) else np.zeros(len(unique), np.int64)
             base = np.bincount(document, np.log10(exact + 1.0)[which], len(n)) - n * np.log10(float(whole))
             n_known = np.bincount(document, (exact > 0)[which], len(n)).astype(np.int64)
-            approx = count_of(levels)
+            approx = single_of[levels]
             single = (approx[which] + 1) / whole
             before = np.concatenate([[np.searchsorted(unique, END)], which[:-1]])
             pair, place = np.unique(_keys(tokens, PAIR, bits), return_inverse=True)
-            share = np.minimum(count_of(_answered(group, PAIR, len(pair))[0])[place] / np.maximum(approx[before], 1.0), 1.0)
+            share = np.minimum(pair_of[_answered(group, PAIR, len(pair))[0]][place] / np.maximum(approx[before], 1.0), 1.0)
             score = np.bincount(document, np.log10(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * single), len(n))
             own = pa.Table.from_batches(rows).select(["doc_id", "held_out"]).combine_chunks()
             yield pa.RecordBatch.from_arrays([own.column("doc_id").combine_chunks(), own.column("held_out").combine_chunks(), pa.array(n.astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
@@ -252,6 +333,27 @@ def _scores(bits: int, total: int, distinct: int):
     return run
 
 
+def _placed(docs: DataFrame, held_out: Column) -> tuple[DataFrame, int]:
+    """Rows with their chunk, by a hash of the row, so that a chunk can be made again; and the bytes of all texts."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // CHUNK + 1))), size
+
+
+def _segment_bits(size: int) -> int:
+    return max(SEGMENT_BITS, (size // SEGMENT).bit_length())
+
+
+def _by_segment(sent: DataFrame, step, parts: int) -> DataFrame:
+    return keep(sent.repartition(parts, "kind", "segment").sortWithinPartitions("kind", "segment", "chunk").mapInArrow(step, _ANSWERS))
+
+
+def _scored(placed: DataFrame, answers: DataFrame, bits: int, model: Levels, parts: int) -> DataFrame:
+    texts = placed.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("segment"), "doc_id", "held_out", "text")
+    met = texts.unionByName(answers.filter("chunk >= 0").select("chunk", "kind", "segment", "levels", "counts"), allowMissingColumns=True)
+    return met.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "segment").mapInArrow(_scores(bits, model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """Scores of all documents: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -260,16 +362,41 @@ def score_documents(docs: DataFrame) -> DataFrame:
     repeated rows count and are scored each; other columns are ignored; no rows give no rows.
     """
     parts = partitions(docs)
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(SEGMENT_BITS, (size // SEGMENT).bit_length())
-    placed = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // CHUNK + 1)))
-    sent = placed.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_sent(bits), _SENT)
-    answers = keep(sent.repartition(parts, "kind", "segment").sortWithinPartitions("kind", "segment").mapInArrow(_answers(bits), _ANSWERS))
-    sums = answers.filter((F.col("chunk") < 0) & (F.col("kind") == TOKEN)).agg(F.sum("total"), F.sum("distinct")).first()
-    total, distinct = int(sums[0] or 0), int(sums[1] or 0)
-    texts = placed.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("segment"), "doc_id", "held_out", "text")
-    met = texts.unionByName(answers.filter("chunk >= 0").select("chunk", "kind", "segment", "levels", "counts"), allowMissingColumns=True)
-    scored = met.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "segment").mapInArrow(_scores(bits, total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    placed, size = _placed(docs, F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False)))
+    bits = _segment_bits(size)
+    answers = _by_segment(placed.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_sent(bits), _SENT), _answers(bits), parts)
+    model = Levels.of(answers)
+    scored = _scored(placed, answers, bits, model, parts)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@dataclass(frozen=True)
+class Model:
+    """A fitted model: a table with the filter of each segment (kind, segment, cells), by how many bits segments are told apart, and its levels."""
+
+    filters: DataFrame
+    bits: int
+    levels: Levels
+
+
+def fit_model(docs: DataFrame) -> Model:
+    """The model of all of docs (doc_id, text), whose rows count as often as they stand; no rows give one that knows nothing."""
+    parts = partitions(docs)
+    placed, size = _placed(docs, F.lit(False))
+    bits = _segment_bits(size)
+    table = _by_segment(placed.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_sent(bits), _SENT), _filters(bits), parts)
+    return Model(table.filter("chunk = 0").select("kind", "segment", F.col("levels").alias("cells")), bits, Levels.of(table))
+
+
+def score_with(model: Model, docs: DataFrame) -> DataFrame:
+    """Scores of documents that the model need not have seen: doc_id, n_tokens, score.
+
+    Chunks of docs (doc_id, text) send their distinct keys to the tasks that hold the segments' filters, which answer
+    with levels. A null or empty text is one end; null and repeated ids are scored each; no rows give no rows.
+    """
+    parts = partitions(docs)
+    placed, _ = _placed(docs, F.lit(False))
+    asked = placed.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_sent(model.bits, counted=False), _SENT)
+    held = model.filters.select(F.lit(-1).cast("long").alias("chunk"), "kind", "segment", F.col("cells").alias("keys"), F.lit(b"").alias("counts"))
+    answers = _by_segment(held.unionByName(asked), _probed(model.bits), parts)
+    return _scored(placed, answers, model.bits, model.levels, parts).select("doc_id", "n_tokens", "score")
