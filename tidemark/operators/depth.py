@@ -227,6 +227,24 @@ def ladder_build(tickers: DataFrame, group: Column, seats: int, exact: bool = Fa
     return rows.withColumn("seat", (F.row_number().over(own.orderBy("ticker")) - 1).cast("long")).withColumn("n", F.count("*").over(own)).filter(F.col("n") == seats if exact else (F.col("n") >= seats) & (F.col("seat") < seats)).drop("n")
 
 
+def ladder_by_strike(markets: DataFrame, legs: int = 6) -> DataFrame:
+    """Ladders of events whose markets can all be read: grp, ticker, kind, strike, seat, in order of strikes.
+
+    markets: of market_dimension (ticker, series, event_date, kind, strike, rejected). An event has a ladder if it has
+    exactly so many markets, none rejected, of which one is below, one is above and the others are brackets, with no strike
+    of a bracket twice. grp is series and date. The market below sits first and the one above last.
+    """
+    own = Window.partitionBy("series", "event_date")
+    rows = markets.filter("series <> ''").withColumns({
+        "_n": F.count("*").over(own), "_rejected": F.count_if("rejected").over(own), "_below": F.count_if(F.col("kind") == "below").over(own), "_above": F.count_if(F.col("kind") == "above").over(own),
+        "_strikes": F.size(F.collect_set(F.when(F.col("kind") == "bracket", F.col("strike"))).over(own)),
+    })
+    rows = rows.filter((F.col("_n") == legs) & (F.col("_rejected") == 0) & (F.col("_below") == 1) & (F.col("_above") == 1) & (F.col("_strikes") == legs - 2))
+    place = F.when(F.col("kind") == "below", 0).when(F.col("kind") == "above", 2).otherwise(1)
+    seat = F.row_number().over(own.orderBy(place, "strike")) - 1
+    return rows.select(F.concat_ws("-", "series", F.col("event_date").cast("string")).alias("grp"), "ticker", "kind", "strike", seat.cast("long").alias("seat"))
+
+
 def arb_episodes(matrix: DataFrame, magnitude: Column, depth: Column) -> DataFrame:
     """Maximal runs of states with a positive magnitude and depth; each ends at the next state, the last is censored if there is none.
 

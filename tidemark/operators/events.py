@@ -358,9 +358,13 @@ def window_difference(readings: DataFrame, a: DataFrame, b: DataFrame) -> DataFr
     return high(a, "high_a").join(high(b, "high_b"), ["station", "day"], "full").filter("not (high_a <=> high_b)")
 
 
-def settle_trades(trades: DataFrame, official: DataFrame) -> DataFrame:
-    """Trades (trade_id, station, day, strike, side, units, price) with their outcome and profit in units * ticks; pending without an official value."""
-    rows = trades.join(official, ["station", "day"], "left").withColumn("yes", F.col("official") * 10 >= F.col("strike"))
+def settle_trades(trades: DataFrame, official: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+    """Trades (trade_id, station, day, strike, side, units, price) with their outcome and profit in units * ticks; pending without an official value.
+
+    Those whose trade_id is among settled are left out: they have been settled before. A null trade_id never is.
+    """
+    rows = trades if settled is None else trades.join(settled.select("trade_id").distinct(), "trade_id", "left_anti")
+    rows = rows.join(official, ["station", "day"], "left").withColumn("yes", F.col("official") * 10 >= F.col("strike"))
     won = F.col("yes") == (F.col("side") == "yes")
     return rows.select("trade_id", F.when(F.col("yes").isNull(), "pending").when(won, "won").otherwise("lost").alias("outcome"), F.when(won, F.col("units") * (10_000 - F.col("price"))).when(~won, -F.col("units") * F.col("price")).alias("pnl"))
 

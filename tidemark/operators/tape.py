@@ -163,23 +163,50 @@ def quiet_bands(days: DataFrame, start_hour: int = 7, end_hour: int = 9) -> Data
 
 
 def event_day_inventory(tape: DataFrame, exclusions: DataFrame, most_percent: int = 5) -> DataFrame:
-    """Rows, tickers, bounds and excluded time of every day; evaluable with no more than most_percent excluded."""
-    days = tape.groupBy(F.floor(F.col("us") / DAY_US).alias("day")).agg(F.count_distinct("ticker").alias("tickers"), F.count("*").alias("n_rows"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
-    spans = days.select("day", (F.col("day") * DAY_US).alias("a"), ((F.col("day") + 1) * DAY_US - 1).alias("b"))
-    days = days.join(overlap_us(spans, exclusions, "day", "a", "b"), "day")
-    return days.withColumn("evaluable", F.col("overlap_us") * 100 <= most_percent * DAY_US).withColumnRenamed("overlap_us", "outage_us")
+    """Of every series and event date of a tape (series, ticker, us): tickers, rows, bounds, what they cover, excluded time, evaluable.
+
+    The date is the UTC day. covered_us is the time from the first to the last row that isn't excluded, outage_us what of
+    the whole day is; a day is evaluable with no more than most_percent excluded. Null series are one; no rows, no days.
+    """
+    days = tape.groupBy("series", F.floor(F.col("us") / DAY_US).alias("day")).agg(F.count_distinct("ticker").alias("tickers"), F.count("*").alias("n_rows"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    days = keep(days)
+    span = lambda whole, a, b: F.struct(F.struct(F.lit(whole).alias("whole"), "series", "day").alias("of"), a.alias("a"), b.alias("b"))
+    both = F.array(span(True, F.col("day") * DAY_US, (F.col("day") + 1) * DAY_US - 1), span(False, F.col("first_us"), F.col("last_us")))
+    held = overlap_us(days.select(F.explode(both).alias("x")).select("x.*"), exclusions, "of", "a", "b")
+    held = held.groupBy(F.col("of.series").alias("_series"), F.col("of.day").alias("_day")).agg(F.max(F.when(F.col("of.whole"), F.col("overlap_us"))).alias("outage_us"), F.max(F.when(~F.col("of.whole"), F.col("overlap_us"))).alias("_out"))
+    out = days.join(held, F.col("series").eqNullSafe(F.col("_series")) & F.col("day").eqNullSafe(F.col("_day"))).withColumn("covered_us", F.col("last_us") - F.col("first_us") - F.col("_out"))
+    return out.withColumn("evaluable", F.col("outage_us") * 100 <= most_percent * DAY_US).drop("_series", "_day", "_out")
 
 
-def contiguous_run(days: DataFrame, city: str, length: int) -> DataFrame:
-    """The first run of length consecutive days that are evaluable in every city: its first and last day; no row if there is none."""
+def contiguous_run(days: DataFrame, city: str, length: int, step: int = 14) -> DataFrame:
+    """The first run of length consecutive days that are evaluable in every city: first_day, last_day, error, longest; always one row.
+
+    length is to be a multiple of step, else an error is raised. Where no run is as long, the days are null, error is
+    no_run, and longest is how long the longest is (0 if no day is evaluable everywhere).
+    """
+    if length <= 0 or length % step:
+        raise ValueError(f"a run of {length} days is not a multiple of {step}")
     cities = days.agg(F.count_distinct(city).alias("all"))
     good = days.filter("evaluable").groupBy("day").agg(F.count_distinct(city).alias("n")).join(F.broadcast(cities), F.col("n") == F.col("all"))
     rows = good.select("day", (F.col("day") - F.row_number().over(Window.orderBy("day"))).alias("run"))  # a row a day
-    return rows.groupBy("run").agg(F.min("day").alias("first_day"), F.count("*").alias("n")).filter(F.col("n") >= length).agg(F.min("first_day").alias("first_day")).filter("first_day is not null").withColumn("last_day", F.col("first_day") + length - 1)
+    runs = rows.groupBy("run").agg(F.min("day").alias("first_day"), F.count("*").alias("n"))
+    found = runs.agg(F.min(F.when(F.col("n") >= length, F.col("first_day"))).alias("first_day"), F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("longest"))
+    return found.select("first_day", (F.col("first_day") + length - 1).alias("last_day"), F.when(F.col("first_day").isNull(), "no_run").alias("error"), "longest")
+
+
+def split_disagreements(days: DataFrame) -> DataFrame:
+    """Days (city, day) that not every city has: day, cities that have it, and how many are missing. A split needs there to be none."""
+    rows = days.select("city", "day").distinct()
+    return rows.groupBy("day").agg(F.count("*").alias("cities")).join(F.broadcast(rows.agg(F.count_distinct("city").alias("_all")))).select("day", "cities", (F.col("_all") - F.col("cities")).alias("missing")).filter("missing > 0")
 
 
 def freeze_split(days: DataFrame) -> DataFrame:
-    """Two thirds of the days, in order, for discovery and the rest for holdout."""
+    """Two thirds of the days, in order, for discovery and the rest for holdout. Days with a city are to be the same for all cities, else an error is raised."""
+    if "city" in days.columns:
+        days = keep(days.select("city", "day").distinct())
+        wrong = split_disagreements(days).agg(F.count("*"), F.min("day")).first()
+        if wrong[0]:
+            raise ValueError(f"cities disagree on {wrong[0]} days, the first of them {wrong[1]}")
     index = F.row_number().over(Window.orderBy("day")) - 1  # a row a day
     numbered = days.select("day").distinct().select("day", index.cast("long").alias("day_index"), F.count("*").over(Window.partitionBy()).alias("n"))
     return numbered.select("day", "day_index", F.when(F.col("day_index") * 3 < F.col("n") * 2, "discovery").otherwise("holdout").alias("split"))
@@ -195,10 +222,21 @@ def touched(rows: DataFrame, intervals: DataFrame, start: str, end: str, name: s
     return met.withColumn(name, F.coalesce(F.col("_y") >= F.col(start), F.lit(False))).drop("_y")
 
 
-def screen_windows(windows: DataFrame, exclusions: DataFrame, scope_start: int, scope_end: int) -> DataFrame:
-    """Evidence windows tagged out_of_scope, excluded or kept; exclusion bounds count as excluded. A window with a null bound is kept."""
-    tag = F.when((F.col("a_us") < scope_start) | (F.col("b_us") > scope_end), "out_of_scope").when(F.col("_hit"), "excluded").otherwise("kept")
-    return touched(windows, exclusions, "a_us", "b_us", "_hit").withColumn("status", tag).drop("_hit")
+def screen_windows(windows: DataFrame, exclusions: DataFrame, scope_start: int, scope_end: int, days: DataFrame | None = None) -> DataFrame:
+    """Evidence windows (id, a_us, b_us) tagged out_of_scope, out_of_window, excluded or kept, the first that holds.
+
+    days: series, day, start_us, end_us of each event day, for windows that have a series and a day: one that isn't inside
+    its event day's, or whose event day isn't there, is out_of_window. Exclusion bounds count as excluded. A window with
+    a null bound is kept if nothing else holds.
+    """
+    rows = touched(windows, exclusions, "a_us", "b_us", "_hit")
+    outside = F.lit(False)
+    if days is not None:
+        bounds = days.select(F.col("series").alias("_series"), F.col("day").alias("_day"), F.col("start_us").alias("_from"), F.col("end_us").alias("_to"))
+        rows = rows.join(bounds, F.col("series").eqNullSafe(F.col("_series")) & F.col("day").eqNullSafe(F.col("_day")), "left")
+        outside = F.coalesce((F.col("a_us") < F.col("_from")) | (F.col("b_us") > F.col("_to")), F.col("_from").isNull())
+    tag = F.when((F.col("a_us") < scope_start) | (F.col("b_us") > scope_end), "out_of_scope").when(outside, "out_of_window").when(F.col("_hit"), "excluded").otherwise("kept")
+    return rows.withColumn("status", tag).drop("_hit", "_series", "_day", "_from", "_to")
 
 
 def screen_tally(screened: DataFrame, exclusions: DataFrame, width: int = 60 * MINUTE_US) -> DataFrame:

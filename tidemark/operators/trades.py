@@ -108,6 +108,19 @@ def near_events(prints: DataFrame, events: DataFrame, reach: int) -> DataFrame:
     return rows.withColumn("stratum", where)
 
 
+def near_counts(stratum: DataFrame, universe: DataFrame) -> DataFrame:
+    """Prints of near_events by where they lie; off_universe where their ticker (of universe) isn't one of the study's, whatever its event."""
+    rows = stratum.join(universe.select("ticker", F.lit(True).alias("_in")).distinct(), "ticker", "left")
+    where = F.when(F.col("_in").isNull(), "off_universe").otherwise(F.col("stratum"))
+    return rows.groupBy(where.alias("stratum")).agg(F.count("*").alias("prints"), F.count_distinct("ticker").alias("tickers"))
+
+
+def near_flow(prints: DataFrame, events: DataFrame, universe: DataFrame, reach: int, tape: DataFrame, quotes: DataFrame, horizons: list[int]) -> DataFrame:
+    """flow_clusters of the prints of the universe's tickers within reach of their ticker's event: anchors, horizons and nets are those prints' alone."""
+    inside = near_events(prints.join(universe.select("ticker").distinct(), "ticker", "left_semi"), events, reach).filter("stratum = 'inside'").select(*prints.columns)
+    return flow_clusters(print_net_cents(horizon_windows(resolve_anchors(inside, tape), quotes, "anchor_us", horizons)))
+
+
 def placement_grid(closes: DataFrame, every: int = 900_000_000, hours: int = 24, n: int = 48) -> DataFrame:
     """n instants every so often from some hours before each close, on multiples of the step."""
     first = F.ceil((F.col("close_us") - hours * 3_600_000_000) / every).cast("long")
@@ -177,7 +190,25 @@ def orphan_positions(positions: DataFrame, trades: DataFrame, key: str) -> DataF
     return positions.join(trades, key, "left_anti")
 
 
+def position_parity(positions: DataFrame, trades: DataFrame, key: str) -> DataFrame:
+    """Keys whose position (key, units) is not what their trades (key, units) sum to: key, held, traded, difference; nothing held or traded is 0."""
+    of = lambda df, name: df.groupBy(key).agg(F.sum("units").alias(name))
+    both = of(positions, "held").join(of(trades, "traded"), key, "full").fillna(0, ["held", "traded"])
+    return both.withColumn("difference", F.col("held") - F.col("traded")).filter("difference <> 0")
+
+
+def attributed(snapshots: DataFrame, orders: DataFrame, eligible: tuple[str, ...] = ("executed",)) -> DataFrame:
+    """What tickers have realised (ticker, snapshot_us, realised) with the order that it is put down to: order_id, placed_us.
+
+    That is the latest order of the ticker with an eligible status placed at or before the snapshot, of those placed at
+    once the one with the largest id; null where there is none.
+    """
+    rows = orders.filter(F.col("status").isin(*eligible)).select("ticker", "order_id", "placed_us")
+    return asof_join(snapshots, rows, ["ticker"], "snapshot_us", "placed_us", ["order_id", "placed_us"], tie="order_id")
+
+
 def portfolio_aggregate(positions: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of exposure, realised and fees by key, and positions that are open; nulls add nothing, no positions give no rows."""
     return positions.groupBy(*by).agg(F.sum("exposure").alias("exposure"), F.sum("realised").alias("realised"), F.sum("fees").alias("fees"), F.count_if(F.col("exposure") != 0).alias("open_positions"))
 
 

@@ -300,13 +300,13 @@ def window_difference(spark, sf_dir):
     return op.window_difference(view(spark, sf_dir, "v_obs"), windows(5), windows(4))
 
 
-@query("settle_trades", """WITH t AS (SELECT event_id AS trade_id, concat('S', user_id % 20) AS station, us {div} 86400000000 + k % 3 AS day, 900 + k AS strike, CASE WHEN k % 2 = 0 THEN 'yes' ELSE 'no' END AS side, c AS units, 100 * (1 + k % 98) AS price FROM ev WHERE event_type = 'click'),
+@query("settle_trades", """WITH t AS (SELECT event_id AS trade_id, concat('S', user_id % 20) AS station, us {div} 86400000000 + k % 3 AS day, 900 + k AS strike, CASE WHEN k % 2 = 0 THEN 'yes' ELSE 'no' END AS side, c AS units, 100 * (1 + k % 98) AS price FROM ev WHERE event_type = 'click' AND event_id NOT IN (SELECT trade_id FROM v_prints WHERE units > 5000)),
   j AS (SELECT t.*, official * 10 >= strike AS yes FROM t LEFT JOIN v_days USING (station, day))
   SELECT trade_id, CASE WHEN yes IS NULL THEN 'pending' WHEN yes = (side = 'yes') THEN 'won' ELSE 'lost' END AS outcome, CASE WHEN yes IS NULL THEN NULL WHEN yes = (side = 'yes') THEN units * (10000 - price) ELSE -units * price END AS pnl FROM j""")
 def settle_trades(spark, sf_dir):
     ev = view(spark, sf_dir, "ev").filter("event_type = 'click'")
     trades = ev.select(F.col("event_id").alias("trade_id"), F.concat(F.lit("S"), F.col("user_id") % 20).alias("station"), (F.expr("us div 86400000000") + F.col("k") % 3).alias("day"), (900 + F.col("k")).alias("strike"), F.when(F.col("k") % 2 == 0, "yes").otherwise("no").alias("side"), F.col("c").alias("units"), (100 * (1 + F.col("k") % 98)).alias("price"))
-    return op.settle_trades(trades, view(spark, sf_dir, "v_days"))
+    return op.settle_trades(trades, view(spark, sf_dir, "v_days"), view(spark, sf_dir, "v_prints").filter("units > 5000").select("trade_id"))
 
 
 @query("observation_sidecar", """WITH g AS (SELECT station, day, count(*) AS n, md5(string_agg(concat(id, ':', tenths), ',' ORDER BY valid_us, id)) AS digest, count(DISTINCT valid_us {div} 60000000) AS minutes, min(valid_us) {div} 60000000 AS first_minute, max(valid_us) {div} 60000000 AS last_minute FROM v_lst GROUP BY 1, 2)

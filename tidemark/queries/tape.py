@@ -111,16 +111,26 @@ _DAYS = f"""{_MERGED}, t AS (SELECT us {{div}} 86400000000 AS day, count(DISTINC
   d AS (SELECT t.*, outage_us, outage_us * 100 <= 5 * 86400000000 AS evaluable FROM t JOIN o USING (day))"""
 
 
-@query("event_day_inventory", f"WITH {_DAYS} SELECT * FROM d")
+_SERIES = "concat('G', CAST(substr(ticker, 2) AS BIGINT) % 5)"
+
+
+def _series(rows):
+    return rows.withColumn("series", F.concat(F.lit("G"), F.substring("ticker", 2, 20).cast("long") % 5))
+
+
+@query("event_day_inventory", f"""WITH {_MERGED}, sd AS (SELECT {_SERIES} AS series, us {{div}} 86400000000 AS day, count(DISTINCT ticker) AS tickers, count(*) AS n_rows, min(us) AS first_us, max(us) AS last_us FROM v_tape GROUP BY 1, 2)
+  SELECT *, outage_us * 100 <= 5 * 86400000000 AS evaluable, last_us - first_us - coalesce((SELECT sum(least(last_us, end_us) - greatest(first_us, start_us)) FROM merged WHERE start_us <= last_us AND end_us >= first_us), 0)::BIGINT AS covered_us
+  FROM (SELECT *, coalesce((SELECT sum(least((day + 1) * 86400000000 - 1, end_us) - greatest(day * 86400000000, start_us)) FROM merged WHERE start_us <= (day + 1) * 86400000000 - 1 AND end_us >= day * 86400000000), 0)::BIGINT AS outage_us FROM sd)""")
 def event_day_inventory(spark, sf_dir):
-    return op.event_day_inventory(view(spark, sf_dir, "v_tape"), view(spark, sf_dir, "v_excl"))
+    return op.event_day_inventory(_series(view(spark, sf_dir, "v_tape")), view(spark, sf_dir, "v_excl"))
 
 
-@query("contiguous_run", """WITH d AS (SELECT DISTINCT station, valid_us {div} 86400000000 AS day FROM v_obs WHERE station IN ('S1', 'S2', 'S3')), g AS (SELECT day FROM d GROUP BY day HAVING count(*) = 3),
-  r AS (SELECT day, day - row_number() OVER (ORDER BY day) AS run FROM g), f AS (SELECT min(day) AS first_day, count(*) AS n FROM r GROUP BY run HAVING count(*) >= 2) SELECT min(first_day) AS first_day, min(first_day) + 1 AS last_day FROM f HAVING min(first_day) IS NOT NULL""")
+@query("contiguous_run", """WITH d AS (SELECT DISTINCT station, day FROM v_lst), g AS (SELECT day FROM d GROUP BY day HAVING count(*) = (SELECT count(DISTINCT station) FROM d)),
+  r AS (SELECT day, day - row_number() OVER (ORDER BY day) AS run FROM g), f AS (SELECT min(day) AS first_day, count(*) AS n FROM r GROUP BY run), x AS (SELECT min(first_day) FILTER (n >= 14) AS first_day, coalesce(max(n), 0) AS longest FROM f)
+  SELECT first_day, first_day + 13 AS last_day, CASE WHEN first_day IS NULL THEN 'no_run' END AS error, longest FROM x""")
 def contiguous_run(spark, sf_dir):
-    days = view(spark, sf_dir, "v_obs").filter("station in ('S1', 'S2', 'S3')").select("station", F.floor(F.col("valid_us") / op.DAY_US).alias("day")).distinct()
-    return op.contiguous_run(days.withColumn("evaluable", F.lit(True)), "station", 2)
+    days = view(spark, sf_dir, "v_lst").select("station", "day").distinct()
+    return op.contiguous_run(days.withColumn("evaluable", F.lit(True)), "station", 14)
 
 
 @query("freeze_split", """WITH d AS (SELECT DISTINCT us {div} 86400000000 AS day FROM v_tape), n AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS day_index, count(*) OVER () AS n FROM d)
@@ -129,14 +139,24 @@ def freeze_split(spark, sf_dir):
     return op.freeze_split(view(spark, sf_dir, "v_tape").select(F.floor(F.col("us") / op.DAY_US).alias("day")))
 
 
-_SCREENED = f"""{_MERGED}, w AS (SELECT id, us AS a_us, us + 1800000000 AS b_us FROM v_prints),
-  sw AS (SELECT *, CASE WHEN a_us < {START} OR b_us > {END} THEN 'out_of_scope' WHEN EXISTS (SELECT 1 FROM merged WHERE a_us <= end_us AND b_us >= start_us) THEN 'excluded' ELSE 'kept' END AS status FROM w)"""
+@query("split_disagreements", "WITH d AS (SELECT DISTINCT station, day FROM v_lst WHERE tenths >= 900), c AS (SELECT day, count(*) AS cities, (SELECT count(DISTINCT station) FROM d) - count(*) AS missing FROM d GROUP BY day) SELECT * FROM c WHERE missing > 0")
+def split_disagreements(spark, sf_dir):
+    """Days on which a station read 90 degrees are those that it has."""
+    return op.split_disagreements(view(spark, sf_dir, "v_lst").filter("tenths >= 900").select(F.col("station").alias("city"), "day"))
+
+
+#: Event days are from 6 to 22 o'clock, and the last series has none on every fifth day.
+_SCREENED = f"""{_MERGED}, w AS (SELECT id, {_SERIES} AS series, us {{div}} 86400000000 AS day, us AS a_us, us + 1800000000 AS b_us FROM v_prints),
+  sw AS (SELECT *, CASE WHEN a_us < {START} OR b_us > {END} THEN 'out_of_scope' WHEN a_us < day * 86400000000 + 21600000000 OR b_us > day * 86400000000 + 79200000000 OR (series = 'G4' AND day % 5 = 0) THEN 'out_of_window'
+    WHEN EXISTS (SELECT 1 FROM merged WHERE a_us <= end_us AND b_us >= start_us) THEN 'excluded' ELSE 'kept' END AS status FROM w)"""
 
 
 @query("screen_windows", f"WITH {_SCREENED} SELECT * FROM sw")
 def screen_windows(spark, sf_dir):
-    windows = view(spark, sf_dir, "v_prints").select("id", F.col("us").alias("a_us"), (F.col("us") + 1_800_000_000).alias("b_us"))
-    return op.screen_windows(windows, view(spark, sf_dir, "v_excl"), START, END)
+    windows = _series(view(spark, sf_dir, "v_prints")).select("id", "series", F.floor(F.col("us") / op.DAY_US).alias("day"), F.col("us").alias("a_us"), (F.col("us") + 1_800_000_000).alias("b_us"))
+    days = windows.select("series", "day").distinct().filter("not (series = 'G4' and day % 5 = 0)")
+    days = days.select("series", "day", (F.col("day") * op.DAY_US + 6 * 3_600_000_000).alias("start_us"), (F.col("day") * op.DAY_US + 22 * 3_600_000_000).alias("end_us"))
+    return op.screen_windows(windows, view(spark, sf_dir, "v_excl"), START, END, days)
 
 
 @query("screen_tally", f"""WITH {_SCREENED}, ct AS (SELECT class, count(DISTINCT sw.id) AS n FROM sw JOIN v_excl e ON a_us <= e.end_us AND b_us >= e.start_us WHERE status = 'excluded' GROUP BY class)

@@ -87,10 +87,31 @@ def ts_violations(spark, sf_dir):
 _LOCKS = "SELECT ticker, min(us) + 86400000000 AS lock_us FROM v_touch WHERE yes_bid > 5500 GROUP BY ticker"
 
 
-@query("near_lock_stratum", f"WITH l AS ({_LOCKS}) SELECT p.id, lock_us, CASE WHEN lock_us IS NULL THEN 'no_lock' WHEN abs(us - lock_us) <= 86400000000 THEN 'inside' ELSE 'outside_lock' END AS stratum FROM v_prints p LEFT JOIN l USING (ticker)")
+def _near_locks(spark, sf_dir):
+    return view(spark, sf_dir, "v_touch").filter("yes_bid > 5500").groupBy("ticker").agg((F.min("us") + 24 * HOUR).alias("lock_us"))
+
+
+def _universe(spark, sf_dir):
+    """The tickers of one root in two."""
+    return view(spark, sf_dir, "v_touch").select("ticker").distinct().filter("CAST(substr(ticker, 2) AS BIGINT) % 5 < 3")
+
+
+_NEAR = f"nl AS ({_LOCKS}), ns AS (SELECT p.*, lock_us, CASE WHEN lock_us IS NULL THEN 'no_lock' WHEN abs(us - lock_us) <= 86400000000 THEN 'inside' ELSE 'outside_lock' END AS stratum, CAST(substr(ticker, 2) AS BIGINT) % 5 < 3 AND ticker IN (SELECT ticker FROM v_touch) AS known FROM v_prints p LEFT JOIN nl USING (ticker))"
+
+
+@query("near_lock_stratum", f"WITH {_NEAR} SELECT id, lock_us, stratum FROM ns")
 def near_lock_stratum(spark, sf_dir):
-    locks = view(spark, sf_dir, "v_touch").filter("yes_bid > 5500").groupBy("ticker").agg((F.min("us") + 24 * HOUR).alias("lock_us"))
-    return op.near_events(view(spark, sf_dir, "v_prints"), locks, 24 * HOUR).select("id", "lock_us", "stratum")
+    return op.near_events(view(spark, sf_dir, "v_prints"), _near_locks(spark, sf_dir), 24 * HOUR).select("id", "lock_us", "stratum")
+
+
+@query("near_lock_counts", f"WITH {_NEAR} SELECT CASE WHEN known THEN stratum ELSE 'off_universe' END AS stratum, count(*) AS prints, count(DISTINCT ticker) AS tickers FROM ns GROUP BY 1")
+def near_lock_counts(spark, sf_dir):
+    return op.near_counts(op.near_events(view(spark, sf_dir, "v_prints"), _near_locks(spark, sf_dir), 24 * HOUR), _universe(spark, sf_dir))
+
+
+@query("near_lock_flow", f"WITH {_HORIZONS}, {_NEAR} SELECT net.ticker, horizon_us, sum(net)::BIGINT AS total, sum(net.units)::BIGINT AS weight FROM net JOIN ns ON ns.id = net.id WHERE stratum = 'inside' AND known GROUP BY net.ticker, horizon_us HAVING sum(net.units) > 0")
+def near_lock_flow(spark, sf_dir):
+    return op.near_flow(_prints(spark, sf_dir), _near_locks(spark, sf_dir), _universe(spark, sf_dir), 24 * HOUR, view(spark, sf_dir, "v_tape"), view(spark, sf_dir, "v_mid"), HORIZONS)
 
 
 _GRID = "g AS (SELECT ticker, close_us, s.s::INT AS slot, ((close_us - 86400000000 + 899999999) {div} 900000000 + s.s) * 900000000 AS at_us FROM (SELECT ticker, max(us) AS close_us FROM v_touch GROUP BY ticker), (SELECT unnest(range(0, 48)) AS s) s)"
@@ -157,9 +178,27 @@ def fill_reconcile(spark, sf_dir):
     return op.fill_reconcile(spark.sql(_ORDERS, orders=table(spark, sf_dir, "orders")), fills)
 
 
-@query("orphan_positions", "SELECT c_custkey, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("orphan_positions", "SELECT c_custkey, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')")
 def orphan_positions(spark, sf_dir):
-    return op.orphan_positions(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Only urgent orders that are partly filled count as trades, so that some positions have none."""
+    trades = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'")
+    return op.orphan_positions(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), trades.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("position_parity", """WITH h AS (SELECT concat('M', user_id) AS ticker, sum(c)::BIGINT AS held FROM ev WHERE event_type = 'purchase' GROUP BY 1), t AS (SELECT ticker, sum(units)::BIGINT AS traded FROM v_prints WHERE taker_side = 'yes' GROUP BY 1)
+  SELECT ticker, coalesce(held, 0) AS held, coalesce(traded, 0) AS traded, coalesce(held, 0) - coalesce(traded, 0) AS difference FROM h FULL JOIN t USING (ticker) WHERE coalesce(held, 0) <> coalesce(traded, 0)""")
+def position_parity(spark, sf_dir):
+    held = view(spark, sf_dir, "ev").filter("event_type = 'purchase'").select(F.concat(F.lit("M"), "user_id").alias("ticker"), F.col("c").alias("units"))
+    return op.position_parity(held, view(spark, sf_dir, "v_prints").filter("taker_side = 'yes'").select("ticker", "units"), "ticker")
+
+
+@query("portfolio_attribution", """WITH p AS (SELECT event_id AS id, concat('M', user_id) AS ticker, us AS snapshot_us, c AS realised FROM ev WHERE event_type = 'purchase'), o AS (SELECT event_id AS order_id, concat('M', user_id) AS ticker, us AS placed_us FROM ev WHERE event_type = 'click' AND k % 3 > 0),
+  x AS (SELECT p.*, (SELECT arg_max((order_id, placed_us), (placed_us, order_id)) FROM o WHERE o.ticker = p.ticker AND placed_us <= snapshot_us) AS m FROM p) SELECT id, ticker, snapshot_us, realised, m[1] AS order_id, m[2] AS placed_us FROM x""")
+def portfolio_attribution(spark, sf_dir):
+    ev = view(spark, sf_dir, "ev").withColumn("ticker", F.concat(F.lit("M"), "user_id"))
+    snapshots = ev.filter("event_type = 'purchase'").select(F.col("event_id").alias("id"), "ticker", F.col("us").alias("snapshot_us"), F.col("c").alias("realised"))
+    orders = ev.filter("event_type = 'click'").select("ticker", F.col("event_id").alias("order_id"), F.col("us").alias("placed_us"), F.when(F.col("k") % 3 > 0, "executed").otherwise("rejected").alias("status"))
+    return op.attributed(snapshots, orders)
 
 
 @query("portfolio_aggregate", """SELECT l_linestatus, sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_quantity AS BIGINT) ELSE 0 END)::BIGINT AS exposure, sum(CAST(round(l_extendedprice * 100) AS BIGINT))::BIGINT AS realised, sum(CAST(round(l_tax * 100) AS BIGINT))::BIGINT AS fees,
