@@ -10,6 +10,12 @@
 4. Extend: only for those places, window by window to the left and right within what they own, is the match carried
    to its exact ends, again by sorting and comparing neighbours. Overlapping windows then join into maximal spans.
 
+The order is that of two hashes, of the gram and of all the words owned, and equality is that of 64-bit hashes; no common
+prefix of neighbours is computed. In an order by the words themselves the neighbour that agrees longest to the right may
+agree little to the left, while a passage's other copy, which agrees to the left, lies further off: extending neighbours
+alone would miss it (a test shows such texts). Groups of equal hashes meet all copies of what is owned at once, and where
+copies differ within that, step 4 compares each window with all others.
+
 The first occurrence, in order of doc_id and place, is kept; later ones may be removed.
 """
 
