@@ -95,3 +95,24 @@ def test_coverage_makes_no_pairs(spark):
     sf, xf = spark.createDataFrame([(1, 0, 9)], "id long, a long, b long"), spark.createDataFrame([(1, 2)], "start_us long, end_us long")
     plan = tape.overlap_us(sf, xf, "id", "a", "b")._jdf.queryExecution().optimizedPlan().toString()
     assert "_day" not in plan and "Join Cross" not in plan
+
+
+@pytest.mark.parametrize("width", [1, 7, 100_000])
+def test_epochs_of_a_busy_ticker(spark, spills, width):
+    from tidemark.operators.book import with_epoch
+
+    rng = random.Random(width)
+    rows, us = [], 0
+    for i in range(900):
+        us += rng.random() < 0.4
+        rows.append((i, rng.choice(["hot"] * 9 + [None]), us, rng.randrange(3), rng.choice([True, False, False, None])))
+    df = spark.createDataFrame(rows, "id long, ticker string, us long, seq long, is_snapshot boolean")
+    want = {}
+    for ticker in ("hot", None):
+        was, n = None, 0
+        for i, _, u, q, snap in (r for r in rows if r[1] == ticker):
+            if snap:
+                n, was = n + (was != (u, q)), (u, q)
+            want[i] = n
+    assert {r.id: r.epoch for r in with_epoch(df, width).collect()} == want
+    assert with_epoch(df.limit(0)).count() == 0

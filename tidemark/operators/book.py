@@ -22,12 +22,24 @@ from tidemark.plans.scan import before, latest, most, running, total
 def with_epoch(tape: DataFrame, width: int = 1_000_000) -> DataFrame:
     """Adds epoch, the number of snapshots of the ticker so far: a snapshot row whose batch differs from that of the snapshot row before starts one.
 
-    Runs along a ticker's rows in ranges of width of their ids. Rows without an id come first.
+    A ticker's rows are windowed in ranges of width of their ids, so that a busy ticker is many tasks. A row for each range
+    says how its first and last snapshot batch meet those of the ranges before, and how many it starts besides. Rows
+    without an id come first.
     """
-    batch = F.when(F.col("is_snapshot"), F.struct("us", "seq"))
-    rows = running(tape, ["ticker"], ["id"], width, {"_batch": latest(batch, through=False)})
-    starts = F.coalesce(F.col("is_snapshot") & (F.col("_batch").isNull() | (F.col("_batch") != F.struct("us", "seq"))), F.lit(False))
-    return running(rows, ["ticker"], ["id"], width, {"epoch": total(starts.cast("long"))}).drop("_batch")
+    snapshot = F.coalesce("is_snapshot", F.lit(False))
+    rows = tape.withColumns({"_part": F.floor(F.col("id") / width), "_batch": F.when(snapshot, F.struct("us", "seq"))})
+    own = Window.partitionBy("ticker", "_part").orderBy("id")
+    rows = rows.withColumn("_was", F.last("_batch", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_next", F.coalesce(F.col("_was") != F.col("_batch"), F.lit(False)).cast("long"))
+    parts = rows.groupBy("ticker", "_part").agg(F.sum("_next").alias("_n"), F.min_by("_batch", F.when(snapshot, F.col("id"))).alias("_first"), F.max_by("_batch", F.when(snapshot, F.col("id"))).alias("_last"))
+    upto = Window.partitionBy("ticker").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.last("_last", ignorenulls=True).over(upto)
+    parts = parts.withColumn("_opens", (F.col("_first").isNotNull() & (held.isNull() | (held != F.col("_first")))).cast("long"))
+    parts = parts.select(F.col("ticker").alias("_ticker"), F.col("_part").alias("_range"), "_opens", F.coalesce(F.sum(F.col("_n") + F.col("_opens")).over(upto), F.lit(0)).alias("_before"))
+    met = rows.join(parts, F.col("ticker").eqNullSafe(F.col("_ticker")) & F.col("_part").eqNullSafe(F.col("_range")))
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    epoch = F.col("_before") + F.sum("_next").over(so_far) + F.when(F.count("_batch").over(so_far) > 0, F.col("_opens")).otherwise(0)
+    return met.select(*tape.columns, epoch.alias("epoch"))
 
 
 def book_levels(tape: DataFrame) -> DataFrame:
