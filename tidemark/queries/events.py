@@ -255,7 +255,7 @@ def straddle_price(spark, sf_dir):
     return op.straddle_price(entries, view(spark, sf_dir, "v_mid"), 2600)
 
 
-_RATES = """f AS (SELECT station, tenths > 900 AS hot, tenths < 450 AS cold, seen_us - valid_us > 300000000 AS late FROM v_obs), u AS (SELECT station, 'hot' AS mechanism, 0 AS priority, 0.175 AS t, hot::INT AS hit FROM f UNION ALL SELECT station, 'cold', 1, 0.05, cold::INT FROM f UNION ALL SELECT station, 'late', 2, 0.25, late::INT FROM f),
+_RATES = """f AS (SELECT station, tenths > 900 AS hot, tenths < 450 AS cold, seen_us - valid_us > 300000000 AS late FROM v_obs), u AS (SELECT station, 'hot' AS mechanism, 0::BIGINT AS priority, 0.175 AS t, hot::INT AS hit FROM f UNION ALL SELECT station, 'cold', 1, 0.05, cold::INT FROM f UNION ALL SELECT station, 'late', 2, 0.25, late::INT FROM f),
   rt AS (SELECT station, mechanism, priority, sum(hit)::BIGINT AS numerator, count(*) AS denominator, sum(hit)::BIGINT * 1000000 {div} count(*) AS millionths, sum(hit)::DECIMAL(18, 0) >= any_value(t)::DECIMAL(18, 3) * count(*)::DECIMAL(18, 0) AS matched FROM u GROUP BY station, mechanism, priority)"""
 
 
