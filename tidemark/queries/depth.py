@@ -262,7 +262,7 @@ def follower_response(spark, sf_dir):
 _LEADS = f"""{_responses_sql(f"SELECT DISTINCT upstream AS ticker, downstream AS follower FROM ({_PAIRS}) UNION SELECT downstream, upstream FROM ({_PAIRS})")},
   wa AS (SELECT corridor, 'forward' AS reading, upstream AS ticker, downstream AS follower FROM ({_PAIRS}) UNION ALL SELECT corridor, 'reverse', downstream, upstream FROM ({_PAIRS})),
   el AS (SELECT r.*, lead_us IS NOT NULL AND EXISTS (SELECT 1 FROM v_quiet x WHERE x.start_us <= r.us + r.lead_us AND x.end_us >= r.anchor_us) AS is_out, us {{div}} 86400000000 AS d, corridor, reading FROM responses r JOIN wa ON wa.ticker = r.ticker AND wa.follower = r.follower),
-  es AS (SELECT 'pair' AS scope, reading, corridor, ticker AS leader, follower, -1 AS day, lead_us, is_out FROM el UNION ALL SELECT 'corridor', reading, corridor, '*', '*', -1, lead_us, is_out FROM el UNION ALL SELECT 'day', reading, corridor, '*', '*', d, lead_us, is_out FROM el)"""
+  es AS (SELECT 'pair' AS scope, reading, corridor, ticker AS leader, follower, (-1)::BIGINT AS day, lead_us, is_out FROM el UNION ALL SELECT 'corridor', reading, corridor, '*', '*', -1, lead_us, is_out FROM el UNION ALL SELECT 'day', reading, corridor, '*', '*', d::BIGINT, lead_us, is_out FROM el)"""
 
 
 @query("pair_lead_lag", f"""WITH RECURSIVE {_LEADS} SELECT scope, reading, corridor, leader, follower, day, count(*) AS crossings, count(lead_us) FILTER (NOT is_out) AS episodes, count(lead_us) FILTER (is_out) AS screened, quantile_cont(lead_us, 0.5) FILTER (NOT is_out) AS median_lead_us FROM es GROUP BY scope, reading, corridor, leader, follower, day""")
