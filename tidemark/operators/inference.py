@@ -68,22 +68,40 @@ def wild_cluster_bootstrap(blocks: DataFrame, order: list[str], seed: int, repli
     return out.select(F.round("estimate", 6).alias("estimate"), F.round(F.when(F.col("scale") > 0, F.abs("sum") / F.col("scale")), 6).alias("t"), F.round((1 + F.col("extreme")) / F.lit(replicates + 1), 9).alias("p_value"))
 
 
-def gate(rows: DataFrame, least_estimate: float, alpha: float, least_n: int) -> DataFrame:
-    """Whether each estimate is worth it, significant, and based on enough: estimate, p_value, clusters."""
-    rows = rows.withColumn("economic", F.col("estimate") >= least_estimate).withColumn("significant", F.col("p_value") < alpha).withColumn("powered", F.col("clusters") >= least_n)
+def gate(rows: DataFrame, threshold: float, alpha: float, least_n: int, direction: str = "greater", strict: bool = False) -> DataFrame:
+    """Whether each estimate is worth it, significant, and based on enough: economic, undecidable, significant, powered, passed.
+
+    rows: estimate, p_value, clusters. An estimate that meets the threshold, in the direction greater or less, is economic;
+    with strict it is to go beyond it, as with a threshold of zero, where meeting it is no edge. Without an estimate or a
+    p-value (or with a NaN for it) a row is undecidable: neither economic nor significant, so it doesn't pass.
+    """
+    if direction not in ("greater", "less"):
+        raise ValueError(f"direction must be greater or less, not {direction!r}")
+    x = F.col("estimate")
+    met = (x > threshold if strict else x >= threshold) if direction == "greater" else (x < threshold if strict else x <= threshold)
+    missing = x.isNull() | F.isnan(x.cast("double")) | F.col("p_value").isNull() | F.isnan(F.col("p_value").cast("double"))
+    rows = rows.withColumn("undecidable", missing).withColumn("economic", ~F.col("undecidable") & F.coalesce(met, F.lit(False)))
+    rows = rows.withColumn("significant", ~F.col("undecidable") & F.coalesce(F.col("p_value") < alpha, F.lit(False))).withColumn("powered", F.col("clusters") >= least_n)
     return rows.withColumn("passed", F.col("economic") & F.col("significant") & F.col("powered"))
 
 
-def holdout(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Whether the holdout of each group bears its discovery out: the same sign, half the size, and half the clusters.
+def holdout(rows: DataFrame, by: list[str], alpha: float, least_n: int) -> DataFrame:
+    """Whether the holdout of each group replicates its discovery: the same sign, half the size, significant, and half the clusters.
 
-    rows: by, split, estimate, clusters.
+    rows: by, split, estimate, p_value, clusters, a row for each group and split. least_n is what the discovery was to have:
+    the holdout is powered with half of it, rounded up. An estimate of zero has no sign. direction is null where the
+    discovery is zero or missing, which no holdout can replicate; a missing p-value or estimate isn't significant.
     """
-    side = lambda s: rows.filter(F.col("split") == s).select(*by, F.col("estimate").alias(f"{s}_estimate"), F.col("clusters").alias(f"{s}_clusters"))
+    side = lambda s: rows.filter(F.col("split") == s).select(*by, *(F.col(c).alias(f"{s}_{c}") for c in ("estimate", "clusters", "p_value")))
     both = side("discovery").join(side("holdout"), by)
-    same = F.signum("discovery_estimate") == F.signum("holdout_estimate")
-    large = 2 * F.abs("holdout_estimate") >= F.abs("discovery_estimate")
-    return both.withColumn("same_sign", same).withColumn("held", same & large & (2 * F.col("holdout_clusters") >= F.col("discovery_clusters")))
+    a, b, p = F.col("discovery_estimate"), F.col("holdout_estimate"), F.col("holdout_p_value")
+    both = both.withColumn("direction", F.when(a > 0, "greater").when(a < 0, "less"))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    both = both.withColumns({
+        "same_sign": sure((F.signum(a) == F.signum(b)) & (b != 0)), "magnitude": sure(2 * F.abs(b) >= F.abs(a)), "significant": sure((p < alpha) & ~F.isnan(p.cast("double")) & b.isNotNull()),
+        "powered": F.col("holdout_clusters") >= (least_n + 1) // 2,
+    })
+    return both.withColumn("held", F.col("same_sign") & F.col("magnitude") & F.col("significant") & F.col("powered")).drop("discovery_p_value")
 
 
 def verdict(rows: DataFrame, precedence: list[str]) -> DataFrame:

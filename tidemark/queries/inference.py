@@ -67,7 +67,7 @@ def _study(spark, sf_dir):
     return rows.groupBy("grp", "split").agg((F.sum("x") / F.count("*")).alias("estimate"), F.count_distinct("l_suppkey").alias("clusters"), (F.count("*") % 100 / 1000).alias("p_value"))
 
 
-_GATED = f"{_STUDY}, ga AS (SELECT *, estimate >= 0.5 AS economic, p_value < 0.05 AS significant, clusters >= 30 AS powered, estimate >= 0.5 AND p_value < 0.05 AND clusters >= 30 AS passed FROM sy)"
+_GATED = f"{_STUDY}, ga AS (SELECT *, estimate IS NULL OR p_value IS NULL AS undecidable, estimate >= 0.5 AS economic, p_value < 0.05 AS significant, clusters >= 30 AS powered, estimate >= 0.5 AND p_value < 0.05 AND clusters >= 30 AS passed FROM sy)"
 
 
 @query("gate", f"WITH {_GATED} SELECT * FROM ga")
@@ -75,10 +75,17 @@ def gate(spark, sf_dir):
     return op.gate(_study(spark, sf_dir), 0.5, 0.05, 30)
 
 
-@query("holdout", f"""WITH {_STUDY} SELECT d.grp, d.estimate AS discovery_estimate, d.clusters AS discovery_clusters, h.estimate AS holdout_estimate, h.clusters AS holdout_clusters, sign(d.estimate) = sign(h.estimate) AS same_sign,
-  sign(d.estimate) = sign(h.estimate) AND 2 * abs(h.estimate) >= abs(d.estimate) AND 2 * h.clusters >= d.clusters AS held FROM sy d JOIN sy h ON d.grp = h.grp WHERE d.split = 'discovery' AND h.split = 'holdout'""")
+@query("gate_strict", f"WITH {_STUDY}, gs AS (SELECT grp, split, estimate, clusters, CASE WHEN clusters % 2 = 0 THEN p_value END AS p_value FROM sy) SELECT *, p_value IS NULL AS undecidable, p_value IS NOT NULL AND estimate < 0.6 AS economic, coalesce(p_value < 0.05, false) AS significant, clusters >= 30 AS powered, coalesce(p_value < 0.05, false) AND estimate < 0.6 AND clusters >= 30 AS passed FROM gs")
+def gate_strict(spark, sf_dir):
+    """Less than the threshold, and not decidable for an odd number of clusters."""
+    return op.gate(_study(spark, sf_dir).withColumn("p_value", F.when(F.col("clusters") % 2 == 0, F.col("p_value"))), 0.6, 0.05, 30, "less", strict=True)
+
+
+@query("holdout", f"""WITH {_STUDY}, bo AS (SELECT d.grp, d.estimate AS discovery_estimate, d.clusters AS discovery_clusters, h.estimate AS holdout_estimate, h.clusters AS holdout_clusters, h.p_value AS holdout_p_value FROM sy d JOIN sy h ON d.grp = h.grp WHERE d.split = 'discovery' AND h.split = 'holdout'),
+  hd AS (SELECT *, CASE WHEN discovery_estimate > 0 THEN 'greater' WHEN discovery_estimate < 0 THEN 'less' END AS direction, sign(discovery_estimate) = sign(holdout_estimate) AND holdout_estimate <> 0 AS same_sign, 2 * abs(holdout_estimate) >= abs(discovery_estimate) AS magnitude, holdout_p_value < 0.05 AS significant, holdout_clusters >= 16 AS powered FROM bo)
+  SELECT *, same_sign AND magnitude AND significant AND powered AS held FROM hd""")
 def holdout(spark, sf_dir):
-    return op.holdout(_study(spark, sf_dir), ["grp"])
+    return op.holdout(_study(spark, sf_dir), ["grp"], 0.05, 31)
 
 
 @query("verdict", f"WITH {_GATED} SELECT *, CASE WHEN estimate IS NULL THEN 'UNDECIDABLE' WHEN NOT powered THEN 'UNDERPOWERED' WHEN passed THEN 'PASS' WHEN powered AND NOT passed THEN 'CLOSED' END AS verdict FROM ga")
