@@ -29,3 +29,14 @@ def test_holdouts_replicate_discoveries(spark):
         "yes": (True, True, True, True, True, "greater"), "sign": (False, True, True, True, False, "greater"), "small": (True, False, True, True, False, "greater"), "chance": (True, True, False, True, False, "greater"),
         "few": (True, True, True, False, False, "greater"), "zero": (False, True, True, True, False, None), "nop": (True, True, False, True, False, "less"), "none": (False, False, False, True, False, "greater"),
     }
+
+
+def test_calibration_cells_at_their_edges(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.forecast import calibration_cell
+
+    rows = [("tails", 0.02, 12), ("tails", 0.03, 13), ("edge", 0.05, 24), ("edge", 0.30, 48), ("edge", 0.31, 49), ("edge", 0.06, None), ("other", 0.06, 0), ("edge", None, 9999)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, strategy string, price double, hours long")
+    got = [tuple(r.x) for r in df.select("i", calibration_cell(F.col("strategy"), F.col("price"), F.col("hours")).alias("x")).orderBy("i").collect()]
+    assert got == [("tails", 0, 0), ("tails", 1, 1), ("edge", 0, 1), ("edge", 4, 2), ("edge", 5, 2), ("edge", 1, -1), ("other", None, 0), ("edge", None, 2)]

@@ -84,6 +84,30 @@ def lead_bucket(hours: Column) -> Column:
     return F.when(hours.isNull(), "unknown").when(hours <= 2, "<=2h").when(hours <= 8, "2-8h").when(hours <= 24, "8-24h").when(hours <= 72, "24-72h").otherwise(">72h")
 
 
+#: Upper bounds of the prices that each strategy's calibration tells apart, and of its lead times in hours.
+PRICE_EDGES = {"tails": (0.02,), "edge": (0.05, 0.10, 0.15, 0.20, 0.30)}
+LEAD_EDGES = (12, 24, 48)
+
+
+def place_in(value: Column, edges: tuple[float, ...], open_end: bool = True) -> Column:
+    """The place of the first edge that a value doesn't exceed; beyond the last edge the next place, or without open_end the last. Null for null."""
+    out = F.when(value.isNull(), F.lit(None).cast("long"))
+    for i, upper in enumerate(edges):
+        out = out.when(value <= upper, F.lit(i).cast("long"))
+    return out.otherwise(F.lit(len(edges) if open_end else len(edges) - 1).cast("long"))
+
+
+def calibration_cell(strategy: Column, price: Column, hours: Column) -> Column:
+    """The cell of a score: a struct of strategy, price and lead. Prices have the strategy's edges; lead times end at 48 hours, -1 is one that isn't known.
+
+    Of a strategy without edges, or a missing price, the price's place is null.
+    """
+    place = F.lit(None).cast("long")
+    for name, edges in PRICE_EDGES.items():
+        place = F.when(strategy == name, place_in(price, edges)).otherwise(place)
+    return F.struct(strategy.alias("strategy"), place.alias("price"), F.coalesce(place_in(hours, LEAD_EDGES, open_end=False), F.lit(-1).cast("long")).alias("lead"))
+
+
 def skip_funnel(rows: DataFrame, by: str, reason: str) -> DataFrame:
     """Rows by group and reason, with the reason's share of the group."""
     counts = rows.groupBy(by, reason).agg(F.count("*").alias("n"))

@@ -83,6 +83,16 @@ def lead_bucket(spark, sf_dir):
     return _scored(spark, sf_dir).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
+@query("calibration_cells", """WITH s AS (SELECT CASE WHEN o = 1 THEN 'edge' ELSE 'tails' END AS strategy, CAST(p AS DOUBLE) / 3 AS price, CASE WHEN CAST(lead AS BIGINT) % 7 > 0 THEN CAST(lead AS BIGINT) * 2 END AS hours FROM v_scored)
+  SELECT strategy, CASE strategy WHEN 'tails' THEN CASE WHEN price <= 0.02 THEN 0 ELSE 1 END ELSE CASE WHEN price <= 0.05 THEN 0 WHEN price <= 0.10 THEN 1 WHEN price <= 0.15 THEN 2 WHEN price <= 0.20 THEN 3 WHEN price <= 0.30 THEN 4 ELSE 5 END END::BIGINT AS price,
+    CASE WHEN hours IS NULL THEN -1 WHEN hours <= 12 THEN 0 WHEN hours <= 24 THEN 1 ELSE 2 END::BIGINT AS lead, count(*) AS n FROM s GROUP BY 1, 2, 3""")
+def calibration_cells(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_scored")
+    hours = F.col("lead").cast("long")
+    cell = op.calibration_cell(F.when(F.col("o") == 1, "edge").otherwise("tails"), F.col("p").cast("double") / 3, F.when(hours % 7 > 0, hours * 2))
+    return rows.select(cell.alias("x")).select("x.*").groupBy("strategy", "price", "lead").agg(F.count("*").alias("n"))
+
+
 @query("skip_funnel", "SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY o_orderpriority), 9) AS share FROM orders GROUP BY 1, 2")
 def skip_funnel(spark, sf_dir):
     return op.skip_funnel(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus")
