@@ -150,20 +150,20 @@ def ladder_build(spark, sf_dir):
     return _legs(spark, sf_dir)
 
 _EVENT = "concat('KX', station, '-', strftime(DATE '1970-01-01' + day::INT, '%y'), upper(strftime(DATE '1970-01-01' + day::INT, '%b')), strftime(DATE '1970-01-01' + day::INT, '%d'))"
-_MARKETS = f"""mk AS (SELECT {_EVENT} AS ev, station, day, official, unnest(range(6)) AS n FROM v_days), ml AS (SELECT concat(ev, CASE WHEN n IN (0, 5) THEN '-T' ELSE '-B' END, 60 + 5 * n + official % 7, CASE WHEN n IN (0, 5) THEN '' ELSE '.5' END) AS ticker, concat('KX', station) AS series, day, n,
-    60 + 5 * n + official % 7 + CASE WHEN n IN (0, 5) THEN 0 ELSE 0.5 END AS strike FROM mk WHERE NOT (n = 3 AND day % 7 = 0))"""
+_MARKETS = f"""mk AS (SELECT {_EVENT} AS ev, station, day, official, unnest(range(6)) AS n FROM v_days), ml AS (SELECT official, concat(ev, CASE WHEN n IN (0, 5) THEN '-T' ELSE '-B' END, 60 + 5 * n + official % 7, CASE WHEN n IN (0, 5) THEN '' ELSE '.5' END) AS ticker, concat('KX', station) AS series, day, n,
+    60 + 5 * n + official % 7 + CASE WHEN n IN (0, 5) THEN 0 ELSE 0.5 END AS strike FROM mk WHERE NOT (n = 3 AND official < 98))"""
 
 
 def _markets(spark, sf_dir):
-    """Six markets of every station-day, but five on each seventh day."""
+    """Six markets of every station-day, but five where the day's official value is below 98."""
     date = F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "yyMMMdd")
-    rows = view(spark, sf_dir, "v_days").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(5)))).filter("not (n = 3 and day % 7 = 0)")
+    rows = view(spark, sf_dir, "v_days").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(5)))).filter("not (n = 3 and official < 98)")
     tail = F.col("n").isin(0, 5)
     strike = (60 + 5 * F.col("n") + F.col("official") % 7).cast("string")
     return market_dimension(rows.select(F.concat(F.lit("KX"), "station", F.lit("-"), F.upper(date), F.when(tail, "-T").otherwise("-B"), strike, F.when(tail, "").otherwise(".5")).alias("ticker")))
 
 
-@query("ladder_by_strike", f"""WITH {_MARKETS} SELECT concat(series, '-', DATE '1970-01-01' + day::INT) AS grp, ticker, CASE n WHEN 0 THEN 'below' WHEN 5 THEN 'above' ELSE 'bracket' END AS kind, strike::DECIMAL(10, 1) AS strike, n::BIGINT AS seat FROM ml WHERE day % 7 <> 0""")
+@query("ladder_by_strike", f"""WITH {_MARKETS} SELECT concat(series, '-', DATE '1970-01-01' + day::INT) AS grp, ticker, CASE n WHEN 0 THEN 'below' WHEN 5 THEN 'above' ELSE 'bracket' END AS kind, strike::DECIMAL(10, 1) AS strike, n::BIGINT AS seat FROM ml WHERE official >= 98""")
 def ladder_by_strike(spark, sf_dir):
     return op.ladder_by_strike(_markets(spark, sf_dir))
 

@@ -92,11 +92,11 @@ def _near_locks(spark, sf_dir):
 
 
 def _universe(spark, sf_dir):
-    """The tickers of one root in two."""
-    return view(spark, sf_dir, "v_touch").select("ticker").distinct().filter("CAST(substr(ticker, 2) AS BIGINT) % 5 < 3")
+    """The tickers that were bid 39 cents for no at some time."""
+    return view(spark, sf_dir, "v_touch").filter("no_bid >= 3900").select("ticker").distinct()
 
 
-_NEAR = f"nl AS ({_LOCKS}), ns AS (SELECT p.*, lock_us, CASE WHEN lock_us IS NULL THEN 'no_lock' WHEN abs(us - lock_us) <= 86400000000 THEN 'inside' ELSE 'outside_lock' END AS stratum, CAST(substr(ticker, 2) AS BIGINT) % 5 < 3 AND ticker IN (SELECT ticker FROM v_touch) AS known FROM v_prints p LEFT JOIN nl USING (ticker))"
+_NEAR = f"nl AS ({_LOCKS}), ns AS (SELECT p.*, lock_us, CASE WHEN lock_us IS NULL THEN 'no_lock' WHEN abs(us - lock_us) <= 86400000000 THEN 'inside' ELSE 'outside_lock' END AS stratum, ticker IN (SELECT ticker FROM v_touch WHERE no_bid >= 3900) AS known FROM v_prints p LEFT JOIN nl USING (ticker))"
 
 
 @query("near_lock_stratum", f"WITH {_NEAR} SELECT id, lock_us, stratum FROM ns")
