@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._columns import lower_ascii
 from tidemark.llm._spark import keep, small_side
 
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Share of a score that is passed on.
 DAMPING = 0.85
 #: Share of distrust from which a host is blocked: one that links to nothing but a blocked host has 1, one that links to
