@@ -6,19 +6,28 @@ aggregates, a row for each cluster or block; replicates are rows, spread over ta
 
 from __future__ import annotations
 
+import itertools
 import sys
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import draw
-from tidemark.operators.inference import numbered, resampled
+from tidemark.functions.draws import TOGETHER, drawn
+from tidemark.operators.inference import numbered
 from tidemark.plans.keep import keep
 from tidemark.plans.scan import running, total
 
 EPSILON = sys.float_info.epsilon
 #: What two statistics that are equal but for rounding may differ by.
 ROUNDING = 1e-9
+#: Clusters of a piece, which is one row of two arrays, and of a range, of which a task holds one.
+PIECE, RANGE = 2**13, 2**22
+#: Replicates of a task at least, so that clusters are sent to tasks in proportion to their number; and draws of a task at least.
+TASK_REPLICATES, TASK_DRAWS = 100, 2**21
 
 
 def _beyond(value: Column, observed: Column, direction: str) -> Column:
@@ -31,17 +40,73 @@ def _interval(df: DataFrame, by: list[str], value: str, level: float) -> list[Co
     return [F.percentile(value, F.lit(q)).alias(name) for q, name in (((1 - level) / 2, "at_low"), ((1 + level) / 2, "at_high"))]
 
 
-def ratio_bootstrap(clusters: DataFrame, order: list[str], seed: int, replicates: int = 10_000, null: float = 0.0, direction: str = "greater", level: float = 0.95) -> DataFrame:
+def _column(arrays: list[pa.Array]) -> tuple[np.ndarray, np.ndarray | None]:
+    """One array with a 0 after it, and which of its values are known, where some aren't. Whole numbers whose sums may not fit 64 bits are Python's."""
+    whole = pa.concat_arrays(arrays)
+    values = np.append(whole.fill_null(0).to_numpy(), whole.type.to_pandas_dtype()(0))
+    if values.dtype.kind == "i" and max(-int(values.min()), int(values.max())) > 2**63 // TOGETHER:
+        values = values.astype(object)
+    return values, np.append(whole.is_valid().to_numpy(zero_copy_only=False), False) if whole.null_count else None
+
+
+def _drawn_sums(seed: int, replicates: int, each: int, n: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of (tile, range, piece, total, weight), sorted, to the sums of what each replicate of a tile draws from a range of clusters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = ((tile, part, batch, k) for batch in batches for k, (tile, part) in enumerate(zip(batch["tile"].to_pylist(), batch["range"].to_pylist(), strict=True)))
+        for (tile, part), rows in itertools.groupby(pieces, lambda x: x[:2]):
+            held = [(batch["total"][k].values, batch["weight"][k].values) for _, _, batch, k in rows]
+            (total, known), (weight, _) = (_column(list(c)) for c in zip(*held, strict=True))
+            low, size = part * width, len(total) - 1
+            reps = range(tile * each, min(replicates, (tile + 1) * each))
+            sums = [[0, 0, 0] for _ in reps]
+            for first, draws in drawn(seed, reps, n):
+                at = (draws % np.uint32(n) if n < 2**32 else draws).astype(np.int64)
+                if size < n:  # what lies in another range takes the 0 at the end
+                    at = np.where((at >= low) & (at < low + size), at - low, size)
+                taken = [c.take(at, mode="clip").sum(axis=1).tolist() for c in ((total, weight) if known is None else (total, weight, known))]
+                for mine, found in zip(sums[first - reps.start :][: len(draws)], zip(*taken, strict=True), strict=True):
+                    for k, x in enumerate(found):
+                        mine[k] += x
+            counted = [w != 0 if known is None else c > 0 for _, w, c in sums]
+            columns = [pa.array(reps, pa.int64()), pa.array([s[0] if c else None for s, c in zip(sums, counted, strict=True)], held[0][0].type), pa.array([s[1] for s in sums], held[0][1].type)]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "total", "weight"])
+
+    return run
+
+
+def _ratios(clusters: DataFrame, seed: int, replicates: int, width: int) -> DataFrame:
+    """Ratio r of each replicate rep, which draws with replacement as many clusters as there are.
+
+    clusters: _id, total, weight, where the ids of a part of 2 ** 33 are those of one task's rows. A draw's place is a hash of
+    its own, so every one is made, but none is a row: a task has some replicates and a range of width clusters as arrays, makes
+    its replicates' draws and adds up what they take from the range. So memory is bounded by the range, and shuffles grow
+    with the clusters. With more clusters than a range holds, each range makes the draws anew.
+    """
+    n, kinds = clusters.count(), dict(clusters.dtypes)
+    each = min(replicates, max(TASK_REPLICATES, TASK_DRAWS // max(n, 1)))
+    tiles, ranges = -(-replicates // each), max(1, -(-n // width))
+    placed = running(clusters, [], ["_id"], 2**33, {"i": total(F.lit(1), through=False)})
+    place = [F.floor(F.col("i") / width).cast("int").alias("range"), F.floor(F.col("i") % width / PIECE).alias("piece")]
+    pieces = placed.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("i", "total", "weight"))).alias("rows"))
+    dealt = pieces.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), "range", "piece", F.col("rows.total").alias("total"), F.col("rows.weight").alias("weight"))
+    dealt = dealt.repartitionById(tiles * ranges, (F.col("tile") * ranges + F.col("range")).cast("int")).sortWithinPartitions("tile", "range", "piece")
+    sums = dealt.mapInArrow(_drawn_sums(seed, replicates, each, n, width), f"rep long, total {kinds['total']}, weight {kinds['weight']}")
+    return sums.groupBy("rep").agg((F.sum("total") / F.sum("weight")).alias("r"))
+
+
+def ratio_bootstrap(clusters: DataFrame, order: list[str], seed: int, replicates: int = 10_000, null: float = 0.0, direction: str = "greater", level: float = 0.95, width: int = RANGE) -> DataFrame:
     """Ratio of sums over clusters (total, weight): estimate, clusters, p_value, low, high, spread, degenerate.
 
     The pivot of replicate less estimate gives the p-value, (1 + those as extreme) / (replicates + 1), and the basic
     interval. degenerate says that replicates differ by rounding alone. Clusters without a positive weight are left
-    out; no clusters give no row.
+    out; no clusters give no row. width is how many clusters a task holds at most; with more, draws are made more than once.
     """
-    clusters = clusters.filter("weight > 0")
+    whole = {c for c, kind in clusters.dtypes if kind in ("tinyint", "smallint", "int", "bigint")}
+    sums = [F.col(c).cast("long" if c in whole else "double").alias(c) for c in ("total", "weight")]
+    clusters = keep(clusters.filter("weight > 0").orderBy(*order).select(F.monotonically_increasing_id().alias("_id"), *sums))
     point = clusters.agg((F.sum("total") / F.sum("weight")).alias("estimate"), F.count("*").alias("clusters")).filter("clusters > 0")
-    reps = resampled(clusters, order, seed, replicates).groupBy("rep").agg((F.sum(F.col("times") * F.col("total")) / F.sum(F.col("times") * F.col("weight"))).alias("r"))
-    rows = reps.join(F.broadcast(point))
+    rows = _ratios(clusters, seed, replicates, width).join(F.broadcast(point))
     extreme = F.count_if(_beyond(F.col("r") - F.col("estimate"), F.col("estimate") - null, direction)).alias("extreme")
     out = rows.groupBy("estimate", "clusters").agg(extreme, *_interval(rows, [], "r", level), F.stddev_pop("r").alias("spread"), F.avg(F.abs("r")).alias("scale"))
     return out.select(
